@@ -19,6 +19,8 @@ PER_LANGUAGE, IN_ALL = 512, 8192
 CLUSTERS = 4
 #: A text is rejected if its cosine is under this share of the lowest among the training rows of its centroid.
 REJECT_SHARE = 0.5
+#: Texts of fewer n-grams are too short to be judged by their distance; only those without a letter are rejected.
+JUDGED = 72
 UNKNOWN = "und"
 
 #: ASCII bytes other than letters become spaces; bytes of longer characters stay.
@@ -133,7 +135,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     lang_pred is the language of the nearest centroid and score its cosine (0 to 1). A text that is
     null, empty or without a letter has lang_pred ``und``, score 0 and is rejected; so has every text
     if nothing could be learned. ``rejected`` is also true where the cosine is under the centroid's
-    floor. Ties go to the first language in code point order.
+    floor and the text has JUDGED n-grams or more. Ties go to the first language in code point order.
     """
 
     def run(batches):
@@ -146,7 +148,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best = near.argmax(axis=1)
                     score = np.where(known, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0)
                     names = [model.languages[model.of[c]] if ok else UNKNOWN for c, ok in zip(best, known)]
-                    rejected = ~known | (score < model.floor[best])
+                    rejected = ~known | ((score < model.floor[best]) & (np.expm1(rows).sum(axis=1) >= JUDGED))
                 else:
                     names, score, rejected = [UNKNOWN] * (b - a), np.zeros(b - a), np.ones(b - a, bool)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score.astype(float)), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])

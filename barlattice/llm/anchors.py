@@ -317,7 +317,7 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
 
         yield from batches_of(rows(), ["__doc", "__spots"], [pa.int64(), pa.binary()])
 
-    sent = docs.where("doc_id IS NOT NULL").mapInArrow(scan, PARCEL)
+    sent = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(scan, PARCEL)
     return send(send(sent).mapInArrow(meet, PARCEL)).mapInArrow(regroup, "__doc long, __spots binary")
 
 
@@ -367,12 +367,14 @@ def repeated_spans(docs: DataFrame, plan: Plan, tokens: Callable, send_out: Call
 
     ``send_out`` turns the passages of a task's documents into parcels of kind 0 for their grams'
     buckets, and into spans of kind 1 that it could settle itself; ``settle`` turns the parcels of a
-    gram bucket into spans. The texts are shuffled once: both joins read the same exchange.
+    gram bucket into spans. A struct column ``__row``, if there, is carried along. The texts are
+    shuffled once: both joins read the same exchange, so both keep the same columns.
     """
     buckets = buckets_for(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carried = ["__row"] if "__row" in docs.columns else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     anchored = repeated_anchors(docs, plan, tokens)
-    passages = docs.join(anchored.hint("shuffle_hash"), docs["doc_id"] == anchored["__doc"], "left").select("doc_id", "text", "__spots")
+    passages = docs.join(anchored.hint("shuffle_hash"), docs["doc_id"] == anchored["__doc"], "left").select("doc_id", "text", "__spots", *carried)
 
     def out(batches):
         yield from parcels(send_out(batches, plan, buckets))
@@ -388,7 +390,7 @@ def repeated_spans(docs: DataFrame, plan: Plan, tokens: Callable, send_out: Call
         yield from parcels(found())
 
     spans = send(send(passages.mapInArrow(out, PARCEL)).mapInArrow(meet, PARCEL)).mapInArrow(collect_spans, "__owner long, __spans binary")
-    return docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["__owner"], "left").select("doc_id", "text", "__spans")
+    return docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["__owner"], "left").select("doc_id", "text", "__spans", *carried)
 
 
 def batch_spots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

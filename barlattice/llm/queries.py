@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash, suffixes, tokenize
+from . import automata, langid, mixing, simhash, suffixes, tokenize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,9 +30,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("score"), "rejected")
 
 
+def op8_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_bpe, op6_mixing, op7_langid, op9_suffixes)}
+QUERIES = {f.__name__: f for f in (op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes)}
 ORACLE_SQL: dict[str, str] = {}

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .anchors import Plan, batch_spots, byte_tokens, full_windows, pack, repeated_spans, scramble, span_parcels, unpack
 from .common import spread, text_buffer
@@ -256,59 +258,62 @@ def merge_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarra
 
 
 def removed_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, text and ``__spans``, the byte spans to remove."""
+    """doc_id, text, ``__spans`` (the byte spans to remove) and a carried ``__row``."""
     plan = PLAN if span == SPAN else Plan(span, max(1, span // 2))
     return repeated_spans(docs, plan, byte_tokens, sorted_runs, merge_parcels)
 
 
-def deduplicate(docs: DataFrame, span: int = SPAN, with_bytes: bool = False) -> DataFrame:
+def kept_parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """Length, number of spans and what stays of each text of a batch (doc_id, text, spans)."""
+    data, offsets = text_buffer(batch.column(1))
+    marks, edges = text_buffer(batch.column(2))
+    raw = marks.tobytes()
+    for i in range(batch.num_rows):
+        text = data[offsets[i] : offsets[i + 1]]
+        spans = np.frombuffer(raw[edges[i] : edges[i + 1]], "<u4").reshape(-1, 2).tolist()
+        parts, at = [], 0
+        for a, b in spans:
+            parts.append(text[at:a].tobytes())
+            at = b
+        parts.append(text[at:].tobytes())
+        yield len(text), len(spans), b"".join(parts)
+
+
+def deduplicate(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Remove each byte covered by a ``span``-byte string that also starts in a document of a smaller doc_id.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with
-    ``with_bytes`` also ``kept``, the bytes that remain. Strings are judged on the input and overlap
-    freely. Null and empty texts have no bytes; texts shorter than ``span`` stay whole. A row with a
-    null doc_id is not compared and stays whole. doc_id is taken as a key: repeated rows hold the
-    same text, so none has a smaller doc_id, and both stay or lose alike. Empty tables give empty
-    results.
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256. Strings are
+    judged on the input and overlap freely. Null and empty texts have no bytes; texts shorter than
+    ``span`` stay whole. A row with a null doc_id is not compared and stays whole. doc_id is taken as
+    a key: repeated rows hold the same text, so none has a smaller doc_id, and all stay or lose
+    alike. Empty tables give empty results.
     """
 
-    def cut_out(batches):
+    def digest(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            marks, edges = text_buffer(batch.column(2))
-            raw = marks.tobytes()
-            rows = []
-            for i in range(batch.num_rows):
-                text = data[offsets[i] : offsets[i + 1]]
-                spans = np.frombuffer(raw[edges[i] : edges[i + 1]], "<u4").reshape(-1, 2).astype(np.int64)
-                ends = np.r_[spans[:, 0], len(text)]
-                starts = np.r_[0, spans[:, 1]]
-                kept = text.tobytes() if not len(spans) else b"".join(text[a:b].tobytes() for a, b in zip(starts, ends))
-                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
-            columns = list(zip(*rows)) or [()] * 5
-            arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns[:4], (pa.int64(), pa.int64(), pa.int64(), pa.string())))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_bytes:
-                arrays.append(pa.array(columns[4], pa.binary()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return removed_spans(docs, span).mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
+            rows = [(n, n - len(kept), spans, hashlib.sha256(kept).hexdigest()) for n, spans, kept in kept_parts(batch)]
+            columns = list(zip(*rows)) or [()] * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return removed_spans(docs.select("doc_id", "text"), span).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text``; documents that become empty stay, with an empty text.
+    """``docs``, all columns, with repeated strings cut out of ``text``.
 
-    A cut inside a character leaves bytes that are no UTF-8; these are dropped from the text.
+    Documents that lose everything stay, with an empty text; a null text becomes an empty one. A cut
+    inside a character leaves bytes that are no UTF-8; these are dropped from the text.
     """
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__row")
+    inputs = docs.select("doc_id", "text", row)
 
-    def text_of(batches):
+    def texts(batches):
         for batch in batches:
-            kept = [None if x is None else x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["__id", "__text"])
-
-    changed = deduplicate(docs, span, with_bytes=True).where("n_removed > 0").select("doc_id", "kept").mapInArrow(text_of, "__id long, __text string")
-    joined = docs.join(changed, docs["doc_id"] == changed["__id"], "left")
-    from pyspark.sql import functions as F
+            kept = [x.decode("utf-8", "ignore") for _, _, x in kept_parts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(3)], names=["text", "__row"])
 
-    return joined.select(*[F.coalesce("__text", "text").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    schema = StructType([StructField("text", StringType()), StructField("__row", inputs.schema["__row"].dataType)])
+    out = removed_spans(inputs, span).mapInArrow(texts, schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("__row")[f"c{rest.index(c)}"].alias(c) for c in docs.columns])

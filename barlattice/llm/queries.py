@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, langid, mixing, simhash, suffixes, tokenize
+from . import automata, crosspoly, langid, mixing, simhash, suffixes, tokenize, vptree
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op3_crosspoly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -38,5 +47,5 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_vptree, op3_crosspoly, op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes)}
 ORACLE_SQL: dict[str, str] = {}

@@ -94,21 +94,32 @@ def split_heavy(df: DataFrame, keys: list[str], identity: str, limit: int) -> Da
     return joined.select(*df.columns, "block", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi"))
 
 
+def salted(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str, salts: int = 16) -> DataFrame:
+    """Inner join on ``left_key = right_key`` where a key may hold any share of the left rows.
+
+    The left rows of a key go to ``salts`` tasks by ``spread_by``; the right rows, one per key, go to all.
+    """
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    r = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return l.join(r, (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__right_salt"))).drop("__salt", "__right_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (node, component) per node that has an edge.
 
     Smallest-label propagation with pointer jumping; every round is cut into the checkpoint folder.
     The edges are stars made inside the buckets, so that few rounds are needed. ``component`` is the
-    smallest node reachable.
+    smallest node reachable. A node with very many edges, or a component with very many nodes, is
+    spread over tasks by salt.
     """
-    both = edges.select("a", "b").where("a <> b").distinct()
-    both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    one_way = edges.select("a", "b").where("a <> b").distinct()
+    both = cut(one_way.union(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
     for _ in range(most_rounds):
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("__near"))
+        seen = salted(both, labels, "b", "node", "a").groupBy("a").agg(F.min("component").alias("__near"))
         nearer = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.col("component").alias("__old"), F.least("component", F.coalesce("__near", "component")).alias("component"))
-        up = nearer.select(F.col("node").alias("__up"), F.col("component").alias("__upper"))
-        jumped = cut(nearer.join(up, nearer["component"] == up["__up"]).select("node", "__old", F.col("__upper").alias("component")))
+        upper = nearer.select(F.col("node").alias("__up"), F.col("component").alias("__upper"))
+        jumped = cut(salted(nearer, upper, "component", "__up", "node").select("node", "__old", F.col("__upper").alias("component")))
         labels = jumped.select("node", "component")
         if jumped.where("component <> __old").isEmpty():
             return labels

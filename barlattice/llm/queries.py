@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, crosspoly, langid, mixing, simhash, suffixes, tokenize, vptree
+from . import automata, crosspoly, langid, mixing, resample, revisit, simhash, suffixes, tokenize, vptree
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op2_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisit.resolve(revisit.captures(_read(spark, sf_dir, "pages")))
+    fields = [F.col("headers")[name].alias(name.replace("-", "_")) for name in ("content-length", "cache-control", "content-type", "etag")]
+    return found.select("record_id", "url", "status", "refers_to", "digest", *fields)
+
+
 def op3_crosspoly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -47,5 +53,13 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vptree, op3_crosspoly, op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _read(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    return resample.resample(_read(spark, sf_dir, "documents"), good)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_vptree, op2_revisit, op3_crosspoly, op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes, op10_resample)
+}
+ORACLE_SQL = {"op2_revisit": revisit.ORACLE}

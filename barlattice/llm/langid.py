@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import runs, text_buffer
@@ -91,15 +91,14 @@ def held_out() -> Column:
 def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, k: int = CLUSTERS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the rows that are not held out.
 
-    The sample holds at most ``per_language`` rows of a language and ``in_all`` rows together, those
-    with the smallest seeded hashes of doc_id; only their vectors come to the driver (4 bytes * dims
-    * in_all at most).
+    The sample holds at most ``per_language`` rows of a language and ``in_all`` rows together: one of
+    each slot of a seeded hash of doc_id, the smallest. Only their vectors come to the driver (4 bytes
+    * dims * in_all at most).
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    keyed = labelled.select("doc_id", "lang", F.xxhash64(F.lit(7), F.col("doc_id")).alias("__key"))
-    salted = Window.partitionBy("lang", F.pmod("__key", F.lit(16))).orderBy("__key", "doc_id")
-    some = keyed.withColumn("__rank", F.row_number().over(salted)).where(F.col("__rank") <= max(1, per_language // 16))
-    some = some.orderBy("__rank", "__key").limit(in_all).select(F.col("doc_id").alias("__id"))
+    key = F.xxhash64(F.lit(7), F.col("doc_id"))
+    slots = labelled.select("doc_id", "lang", key.alias("__key")).groupBy("lang", F.pmod("__key", F.lit(per_language)).alias("__slot"))
+    some = slots.agg(F.min(F.struct("__key", "doc_id")).alias("__least")).orderBy("__least").limit(in_all).select(F.col("__least.doc_id").alias("__id"))
 
     def run(batches):
         for batch in batches:

@@ -152,29 +152,30 @@ def relative_volume(panel: DataFrame, window: int = 20) -> DataFrame:
     return base.select("symbol", "date", ratio.alias("median_ratio"), z.alias("robust_z"), status.alias("status"))
 
 
-def volume_profile(panel: DataFrame, bins: int = 20, window: int = 120) -> DataFrame:
-    """Volume by price of the last ``window`` bars in equal bins, as arrays, for each bar given.
+def volume_profile(signals: DataFrame, numbered: DataFrame, bins: int = 20, window: int = 120) -> DataFrame:
+    """Volume by price of the ``window`` bars up to each signal: signal_id, bin, edge, volume, for all bins.
 
-    Bins are found by counting edges at or below the close, so a flat range is one bin.
+    Every signal lists its places and meets its bars by equality. The bin of a close is the number of
+    edges at or below it, so that a flat range is one bin.
     """
-    taken = F.collect_list(F.struct("close", "volume")).over(back(1 - window))
-    base = panel.select("*", F.min("low").over(back(1 - window)).alias("lo"), F.max("high").over(back(1 - window)).alias("hi"), taken.alias("past"))
+    wanted = signals.select("signal_id", "symbol", F.explode(F.sequence(F.col("rn") - (window - 1), F.col("rn"))).alias("rn"))
+    met = wanted.join(numbered.select("symbol", "rn", "high", "low", "close", "volume"), ["symbol", "rn"])
+    per = met.groupBy("signal_id").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.collect_list(F.struct("close", "volume")).alias("past"))
     edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins)
-    base = base.withColumn("edges", edges)
-
-    def place(x):
-        return F.least(F.greatest(F.size(F.filter("edges", lambda e: e <= x["close"])) - 1, F.lit(0)), F.lit(bins - 1))
-
-    base = base.withColumn("placed", F.transform("past", lambda x: F.struct(place(x).alias("bin"), x["volume"].alias("volume"))))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.aggregate(F.filter("placed", lambda p: p["bin"] == i), F.lit(0.0), lambda a, p: a + p["volume"]))
-    return base.withColumn("vol_by_price", sums).drop("past", "placed")
-
-
-def overhang(profile: DataFrame) -> DataFrame:
-    """Share of the profile's volume in bins whose lower edge is over 1.02 closes."""
-    above = F.aggregate(F.zip_with(F.slice("edges", 1, 20), "vol_by_price", lambda e, v: F.when(e > F.col("close") * 1.02, v).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    total = F.aggregate("vol_by_price", F.lit(0.0), lambda a, x: a + x)
-    return profile.withColumn("overhang", F.coalesce(F.try_divide(above, total), F.lit(0.0)))
+    per = per.withColumn("edges", edges)
+    place = F.least(F.greatest(F.size(F.filter("edges", lambda e: e <= F.col("x.close"))) - 1, F.lit(0)), F.lit(bins - 1))
+    placed = per.select("signal_id", "edges", F.explode("past").alias("x")).select("signal_id", place.alias("bin"), F.col("x.volume").alias("volume"))
+    sums = placed.groupBy("signal_id", "bin").agg(F.sum("volume").alias("volume"))
+    grid = per.select("signal_id", F.posexplode(F.slice("edges", 1, bins)).alias("bin", "edge"))
+    return grid.join(sums, ["signal_id", "bin"], "left").select("signal_id", "bin", "edge", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+
+
+def profile_levels(profile: DataFrame, signals: DataFrame) -> DataFrame:
+    """Per signal: share of volume in bins over 1.02 closes (overhang), and the edge of the fullest bin above the close."""
+    x = profile.join(signals.select("signal_id", "close"), "signal_id")
+    above = F.col("edge") > F.col("close") * 1.02
+    fullest = F.max_by("edge", F.when(F.col("edge") > F.col("close"), F.struct(F.round("volume", 6), -F.col("bin"))))
+    return x.groupBy("signal_id").agg(F.coalesce(F.try_divide(F.sum(F.when(above, F.col("volume")).otherwise(0.0)), F.sum("volume")), F.lit(0.0)).alias("overhang"), fullest.alias("vol_edge"))
 
 
 def first_breakout(panel: DataFrame) -> DataFrame:

@@ -25,26 +25,29 @@ def platform_features(spark, d):
     return r6(fx.platform_features(panel, P.index_bars(panel)).where("rn >= 120"), A_COLUMNS, "symbol", "date")
 
 
-PROFILE_SQL = f"""pr AS (SELECT *, min(low) {f(-119)} AS lo, max(high) {f(-119)} AS hi, list(close) {f(-119)} AS cs, list(volume) {f(-119)} AS vs FROM nb),
-pf AS (SELECT symbol, date, close, rn, lo, hi, i, lo + (hi - lo) * i / 20 AS edge,
-  list_sum(list_transform(range(1, len(cs) + 1), lambda k: CASE WHEN least(greatest(len(list_filter(range(0, 21), lambda e: lo + (hi - lo) * e / 20 <= cs[k])) - 1, 0), 19) = i THEN vs[k] ELSE 0 END)) AS vol
-  FROM (SELECT * FROM pr WHERE rn >= 120 AND rn % 40 = 0), range(0, 20) AS t(i))"""
+PROFILE_SQL = """pw AS (SELECT s.signal_id, s.close AS c, b.high, b.low, b.close, b.volume FROM sig s JOIN nb b ON b.symbol = s.symbol AND b.rn BETWEEN s.rn - 119 AND s.rn),
+pl AS (SELECT signal_id, min(low) AS lo, max(high) AS hi FROM pw GROUP BY 1),
+pb AS (SELECT pw.signal_id, least(greatest(len(list_filter(range(0, 21), lambda e: lo + (hi - lo) * e / 20 <= close)) - 1, 0), 19) AS bin, sum(volume) AS volume FROM pw JOIN pl USING (signal_id) GROUP BY 1, 2),
+pf AS (SELECT pl.signal_id, CAST(i AS INTEGER) AS bin, lo + (hi - lo) * i / 20 AS edge, coalesce(pb.volume, 0) AS volume FROM pl CROSS JOIN range(0, 20) AS t(i) LEFT JOIN pb ON pb.signal_id = pl.signal_id AND pb.bin = t.i),
+pv AS (SELECT pf.signal_id, sum(CASE WHEN edge > close * 1.02 THEN volume ELSE 0 END) / sum(volume) AS overhang, arg_max(edge, (round(volume, 6), -bin)) FILTER (edge > close) AS vol_edge FROM pf JOIN sig USING (signal_id) GROUP BY 1)"""
 
 
-@query("o3_2_volume_by_price", f"WITH {P.BARS}, {P.NUMBERED}, {PROFILE_SQL} SELECT symbol, date, CAST(i AS INTEGER) AS bin, round(edge, 6) AS edge, round(vol, 6) AS volume FROM pf")
+@query("o3_2_volume_by_price", f"WITH {P.BARS}, {P.NUMBERED}, {P.SIGNALS}, {PROFILE_SQL} SELECT signal_id, bin, round(edge, 6) AS edge, round(volume, 6) AS volume FROM pf")
 def volume_by_price(spark, d):
-    chosen = fx.volume_profile(P.numbered(P.bars(spark, d))).where("rn >= 120 AND rn % 40 = 0")
-    return chosen.select("symbol", "date", F.posexplode(F.arrays_zip(F.slice("edges", 1, 20).alias("edge"), F.col("vol_by_price").alias("volume"))).alias("bin", "x")).select("symbol", "date", "bin", F.round("x.edge", 6).alias("edge"), F.round("x.volume", 6).alias("volume"))
+    panel = P.bars(spark, d)
+    return r6(fx.volume_profile(P.signals(panel), P.numbered(panel)), "edge volume", "signal_id", "bin")
 
 
 @query(
     "o3_3_overhang",
-    f"WITH {P.BARS}, {P.NUMBERED}, {PROFILE_SQL}, vb AS (SELECT symbol, date, arg_min(low, (-volume, date)) {f(-9)} AS vol_bar_lo FROM bars) "
-    "SELECT p.symbol, p.date, round(sum(CASE WHEN edge > close * 1.02 THEN vol ELSE 0 END) / sum(vol), 6) AS overhang, round(any_value(vol_bar_lo), 6) AS vol_bar_lo FROM pf p JOIN vb USING (symbol, date) GROUP BY 1, 2",
+    f"WITH {P.BARS}, {P.NUMBERED}, {P.SIGNALS}, {PROFILE_SQL}, vb AS (SELECT symbol || ':' || CAST(date AS VARCHAR) AS signal_id, arg_min(low, (-volume, date)) {f(-9)} AS vol_bar_lo FROM bars) "
+    "SELECT signal_id, round(overhang, 6) AS overhang, round(vol_edge, 6) AS vol_edge, round(vol_bar_lo, 6) AS vol_bar_lo FROM pv JOIN vb USING (signal_id)",
 )
 def overhang(spark, d):
-    panel = P.numbered(P.bars(spark, d)).withColumn("vol_bar_lo", F.min_by("low", F.struct(-F.col("volume"), F.col("date"))).over(fx.back(-9)))
-    return r6(fx.overhang(fx.volume_profile(panel).where("rn >= 120 AND rn % 40 = 0")), "overhang vol_bar_lo", "symbol", "date")
+    panel = P.bars(spark, d)
+    s = P.signals(panel)
+    lows = panel.select(F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("signal_id"), F.min_by("low", F.struct(-F.col("volume"), F.col("date"))).over(fx.back(-9)).alias("vol_bar_lo"))
+    return r6(fx.profile_levels(fx.volume_profile(s, P.numbered(panel)), s).join(lows, "signal_id"), "overhang vol_edge vol_bar_lo", "signal_id")
 
 
 @query(
@@ -203,7 +206,7 @@ def market_grade(spark, d):
 
 
 STRUCT_SQL = f"""sp0 AS (SELECT symbol, date, rn, close, list(low) {f(-74, -15)} AS before, list(high) {f(-14, -1)} AS hs, list(low) {f(-14, -1)} AS ls FROM nb),
-sp1 AS (SELECT *, list_min(before) AS l0, list_max(hs) AS h1, list_position(hs, list_max(hs)) AS p FROM sp0 WHERE rn >= 120 AND rn % 10 = 0),
+sp1 AS (SELECT *, list_min(before) AS l0, list_max(hs) AS h1, list_position(hs, list_max(hs)) AS p FROM sp0 WHERE rn >= 120),
 sp2 AS (SELECT *, list_min(ls[p + 1:]) AS l2 FROM sp1), sp AS (SELECT *, CASE WHEN l2 IS NOT NULL AND h1 > l2 THEN (close - l2) / (h1 - l2) END AS recovery FROM sp2)"""
 
 
@@ -215,7 +218,7 @@ def structure_proxy(spark, d):
     def lst(c, a, b):
         return F.collect_list(c).over(fx.back(a, b))
 
-    x = P.numbered(P.bars(spark, d)).select("symbol", "date", "rn", "close", F.min("low").over(fx.back(-74, -15)).alias("l0"), lst("high", -14, -1).alias("hs"), lst("low", -14, -1).alias("ls")).where("rn >= 120 AND rn % 10 = 0")
+    x = P.numbered(P.bars(spark, d)).select("symbol", "date", "rn", "close", F.min("low").over(fx.back(-74, -15)).alias("l0"), lst("high", -14, -1).alias("hs"), lst("low", -14, -1).alias("ls")).where("rn >= 120")
     x = x.withColumn("h1", F.array_max("hs")).withColumn("p", F.array_position("hs", F.array_max("hs")).cast("int"))
     x = x.withColumn("l2", F.array_min(F.slice("ls", F.col("p") + 1, F.size("ls"))))
     x = x.withColumn("recovery", F.when(F.col("l2").isNotNull() & (F.col("h1") > F.col("l2")), (F.col("close") - F.col("l2")) / (F.col("h1") - F.col("l2"))))

@@ -121,8 +121,9 @@ sr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY sector_chg DESC,
 
 
 def signals(panel: DataFrame) -> DataFrame:
-    """Every 40th bar from the 120th on is a signal: trigger just above its high, stop below its low, target beyond."""
-    chosen = numbered(panel).where((F.col("rn") >= 120) & (F.col("rn") % 40 == 0))
+    """Bars from the 120th on that close above the 20 closes before: trigger just above the high, stop below the low, target beyond."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    chosen = numbered(panel.withColumn("before", F.max("close").over(w.rowsBetween(-20, -1)))).where((F.col("rn") >= 120) & (F.col("close") > F.col("before")))
     return chosen.select(
         F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("signal_id"),
         "symbol", F.col("date").alias("signal_date"), "rn", "close",
@@ -133,7 +134,7 @@ def signals(panel: DataFrame) -> DataFrame:
 SIGNALS = """sig AS (
   SELECT symbol || ':' || CAST(date AS VARCHAR) AS signal_id, symbol, date AS signal_date, rn, close,
          round(high * 1.0005, 4) AS trigger, round(low * 0.995, 4) AS stop, round(high * 1.02, 4) AS target
-  FROM nb WHERE rn >= 120 AND rn % 40 = 0)"""
+  FROM (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS before FROM nb) WHERE rn >= 120 AND close > before)"""
 
 
 def outcomes(panel: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -146,8 +147,7 @@ def outcomes(panel: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10)) -> Dat
         ahead = ahead.withColumn(f"ret{h}", F.when(full, F.round((F.lead("close", h).over(w) / F.col("entry") - 1) * 100, 6)))
         ahead = ahead.withColumn(f"mfe{h}", F.when(full, F.round((F.max("high").over(span) / F.col("entry") - 1) * 100, 6)))
         ahead = ahead.withColumn(f"mae{h}", F.when(full, F.round((F.min("low").over(span) / F.col("entry") - 1) * 100, 6)))
-    picked = numbered(ahead).where((F.col("rn") >= 120) & (F.col("rn") % 8 == 0))
-    return picked
+    return numbered(ahead).where("rn >= 120")
 
 
 def _ahead(h: int) -> str:
@@ -162,4 +162,4 @@ def _ahead(h: int) -> str:
 
 OUTCOMES = f"""out AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, lead(open) OVER (PARTITION BY symbol ORDER BY date) AS entry,
-         {', '.join(_ahead(h) for h in (1, 3, 5, 10))} FROM bars) WHERE rn >= 120 AND rn % 8 = 0)"""
+         {', '.join(_ahead(h) for h in (1, 3, 5, 10))} FROM bars) WHERE rn >= 120)"""

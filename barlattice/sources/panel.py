@@ -144,9 +144,9 @@ def outcomes(panel: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10)) -> Dat
     for h in horizons:
         span = w.rowsBetween(1, h)
         full = F.count("close").over(span) == h
-        ahead = ahead.withColumn(f"ret{h}", F.when(full, F.round((F.lead("close", h).over(w) / F.col("entry") - 1) * 100, 6)))
-        ahead = ahead.withColumn(f"mfe{h}", F.when(full, F.round((F.max("high").over(span) / F.col("entry") - 1) * 100, 6)))
-        ahead = ahead.withColumn(f"mae{h}", F.when(full, F.round((F.min("low").over(span) / F.col("entry") - 1) * 100, 6)))
+        ahead = ahead.withColumn(f"ret{h}", F.when(full, (F.lead("close", h).over(w) / F.col("entry") - 1) * 100))
+        ahead = ahead.withColumn(f"mfe{h}", F.when(full, (F.max("high").over(span) / F.col("entry") - 1) * 100))
+        ahead = ahead.withColumn(f"mae{h}", F.when(full, (F.min("low").over(span) / F.col("entry") - 1) * 100))
     return numbered(ahead).where("rn >= 120")
 
 
@@ -155,8 +155,8 @@ def _ahead(h: int) -> str:
     full = f"CASE WHEN count(close) {f} = {h} THEN"
     entry = "lead(open) OVER (PARTITION BY symbol ORDER BY date)"
     return (
-        f"{full} round((lead(close, {h}) OVER (PARTITION BY symbol ORDER BY date) / {entry} - 1) * 100, 6) END AS ret{h}, "
-        f"{full} round((max(high) {f} / {entry} - 1) * 100, 6) END AS mfe{h}, {full} round((min(low) {f} / {entry} - 1) * 100, 6) END AS mae{h}"
+        f"{full} (lead(close, {h}) OVER (PARTITION BY symbol ORDER BY date) / {entry} - 1) * 100 END AS ret{h}, "
+        f"{full} (max(high) {f} / {entry} - 1) * 100 END AS mfe{h}, {full} (min(low) {f} / {entry} - 1) * 100 END AS mae{h}"
     )
 
 

@@ -47,11 +47,24 @@ class Plan:
 
 
 def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays and byte strings in one compressed parcel; integers byte plane by byte plane, as high bytes repeat."""
+    parts = [(a.dtype.str, a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) if isinstance(a, np.ndarray) else (None, a) for a in map(_flat, arrays)]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, protocol=5))
 
 
-def unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+def _flat(a):
+    return np.ascontiguousarray(a) if isinstance(a, np.ndarray) else a
+
+
+def unpack(blob: bytes) -> list:
+    out = []
+    for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+        if kind is None:
+            out.append(raw)
+        else:
+            size = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel())
+    return out
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -215,13 +228,14 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, lis
 
 
 def send(df: DataFrame) -> DataFrame:
-    """Bring the parcels of a bucket together, in order."""
+    """Bring the parcels of a bucket together, in order; there is one bucket of each kind to a partition."""
     n = partitions(df.sparkSession)
-    return df.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return df.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("kind", "bucket")
 
 
 def buckets_for(docs: DataFrame) -> int:
-    return max(64, 4 * partitions(docs.sparkSession))
+    """As many as partitions: the parcels of a stage are then no more than the blocks of its shuffle."""
+    return partitions(docs.sparkSession)
 
 
 def deal(buckets: np.ndarray, count: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -249,11 +263,12 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
         hashes, owners, spots = hashes[order], owners[order], spots[order]
         fresh = np.r_[True, hashes[1:] != hashes[:-1]]
         many = ~fresh | np.r_[~fresh[1:], False]
-        low = hashes >> np.uint64(24)
-        home = (low % np.uint64(buckets)).astype(np.int64)
+        # The bucket and 32 bits more of the hash go along: the more buckets, the more bits in all.
+        home = (hashes % np.uint64(buckets)).astype(np.int64)
+        low = (hashes // np.uint64(buckets)).astype(np.uint32)
         for b, h, d, p in deal(home[fresh], buckets, low[fresh], owners[fresh], spots[fresh]):
             o = np.lexsort((p, d))
-            yield 0, b, pack(h[o].view(np.uint8).reshape(-1, 8)[:, :5].copy(), np.diff(d[o], prepend=0), p[o].astype(np.uint32))
+            yield 0, b, pack(h[o], np.diff(d[o], prepend=0), p[o].astype(np.uint32))
         o = np.lexsort((spots[many], owners[many]))
         d, p = owners[many][o], spots[many][o]
         for b, d, p in deal(bucket_of(d, buckets), buckets, d, p):
@@ -287,10 +302,7 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
                     yield from ((0, bucket, blob) for blob in blobs)
                     continue
                 seen = [unpack(b) for b in blobs]
-                raw = np.concatenate([x[0] for x in seen])
-                hashes = np.zeros((len(raw), 8), np.uint8)
-                hashes[:, :5] = raw
-                hashes = hashes.view(np.uint64).ravel()
+                hashes = np.concatenate([x[0] for x in seen])
                 owners, spots = np.concatenate([np.cumsum(x[1]) for x in seen]), np.concatenate([x[2] for x in seen])
                 order = np.argsort(hashes, kind="stable")
                 h = hashes[order]

@@ -25,7 +25,7 @@ SPAN = 50
 #: 24 bytes choose the anchor: about 7 anchors in 100 bytes.
 PLAN = Plan(SPAN, 24)
 #: Suffixes that a task gathers into one sorted run.
-RUN = 300_000
+RUN = 450_000
 
 
 def passages(data: np.ndarray, begin: np.ndarray, at: np.ndarray, end: np.ndarray, plan: Plan):

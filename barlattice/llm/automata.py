@@ -23,7 +23,7 @@ PLAN = Plan(SPAN, 8)
 #: Passages gathered by a task before it settles them among themselves.
 RUN = 200_000
 #: Passages in one automaton.
-SHARD = 2_000
+SHARD = 500
 
 
 class SuffixAutomaton:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import runs, text_buffer
 
@@ -128,6 +129,25 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
     return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(of), np.array(floor))
 
 
+def judge(texts: pa.Array, letters: np.ndarray, model: Model):
+    """(first, last, languages, scores, rejected) for runs of a batch's texts."""
+    for a, b, rows in vectors(texts, len(model.idf)):
+        known = letters[a:b] & bool(model.languages)
+        if not model.languages:
+            yield a, b, [UNKNOWN] * (b - a), np.zeros(b - a), np.ones(b - a, bool)
+            continue
+        near = unit(rows * model.idf) @ model.centroids.T
+        best = near.argmax(axis=1)
+        score = np.where(known, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0)
+        far = (score < model.floor[best]) & (np.expm1(rows).sum(axis=1) >= JUDGED)
+        yield a, b, [model.languages[model.of[c]] if ok else UNKNOWN for c, ok in zip(best, known)], score.astype(float), ~known | far
+
+
+def with_letters(docs: DataFrame, *more: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(*more, text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row; only the text is looked at.
 
@@ -140,21 +160,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, rows in vectors(batch.column(1), len(model.idf)):
-                known = letters[a:b] & bool(model.languages)
-                if model.languages:
-                    near = unit(rows * model.idf) @ model.centroids.T
-                    best = near.argmax(axis=1)
-                    score = np.where(known, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0)
-                    names = [model.languages[model.of[c]] if ok else UNKNOWN for c, ok in zip(best, known)]
-                    rejected = ~known | ((score < model.floor[best]) & (np.expm1(rows).sum(axis=1) >= JUDGED))
-                else:
-                    names, score, rejected = [UNKNOWN] * (b - a), np.zeros(b - a), np.ones(b - a, bool)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score.astype(float)), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
+            for a, b, names, score, rejected in judge(batch.column(1), letters, model):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    text = F.col("text").cast("string")
-    inputs = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return inputs.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return with_letters(docs, F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -163,8 +172,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with all their columns."""
+    """The rows of ``docs`` whose language is recognised, with all their columns; one scan, no shuffle of texts."""
     model = fit(docs)
-    columns = docs.columns
-    judged = predict(docs, model).where("rejected").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(judged, docs["doc_id"] == judged["__id"], "left_anti").select(*columns)
+    rest = [c for c in docs.columns if c != "text"]
+    inputs = with_letters(docs, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"))
+
+    def run(batches):
+        for batch in batches:
+            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            kept = np.concatenate([~x[4] for x in judge(batch.column(1), letters, model)] or [np.zeros(0, bool)])
+            yield batch.select([0, 1]).filter(pa.array(kept))
+
+    out = inputs.mapInArrow(run, StructType([inputs.schema["row"], inputs.schema["text"]]))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[f"c{rest.index(c)}"].alias(c) for c in docs.columns])

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers each that may be broadcast, once counted.
+BROADCAST_ROWS = 10_000
 #: The words of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,9 +87,12 @@ def split_heavy(df: DataFrame, keys: list[str], identity: str, limit: int) -> Da
     compare only rows of different blocks.
     """
     heavy = df.groupBy(*keys).count().where(F.col("count") > limit)
-    heavy = heavy.select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("count") / limit).cast("int").alias("__blocks"))
+    heavy = cut(heavy.select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("count") / limit).cast("int").alias("__blocks")))
+    many = heavy.limit(BROADCAST_ROWS + 1).count()
+    if not many:
+        return df.select("*", F.lit(0).alias("block"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     match = [F.col(k) == F.col(f"__{k}") for k in keys]
-    joined = df.join(heavy, match, "left").drop(*[f"__{k}" for k in keys])
+    joined = df.join(F.broadcast(heavy) if many <= BROADCAST_ROWS else heavy, match, "left").drop(*[f"__{k}" for k in keys])
     joined = joined.withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     joined = joined.withColumn("block", F.pmod(F.xxhash64(identity), F.col("__blocks")).cast("int"))
     joined = joined.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))

@@ -108,10 +108,9 @@ def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: fl
                         taken = some.take(pa.array(source))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), t, np.int32)), taken.column(1), pa.array(np.asarray(bucket_ids, np.int64)), pa.array(np.asarray(first, bool)), taken.column(0), taken.column(2), taken.column(3)], names=["tab", "label", "bucket", "main", "id", "v", "dim"])
 
-    label_type = vectors.schema["label"].dataType.simpleString()
+    label_type, vector_type = (vectors.schema[c].dataType.simpleString() for c in ("label", "v"))
     keys = ["tab", "label", "dim", "bucket"]
-    dealt = vectors.select("id", "label", "v", "dim").mapInArrow(deal, f"tab int, label {label_type}, bucket long, main boolean, id long, v array<double>, dim int")
-    # The sizes come from the codes alone, written once: rows with their vectors are never counted twice.
+    dealt = vectors.select("id", "label", "v", "dim").mapInArrow(deal, f"tab int, label {label_type}, bucket long, main boolean, id long, v {vector_type}, dim int")
     dealt = split_heavy(dealt, keys, "id", bucket)
 
     def compare(rows: pa.Table):
@@ -185,7 +184,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     taken as a key; rows of one vec_id never link with each other. Empty tables give empty results.
     """
     usable = valid(df, "embedding").where("label IS NOT NULL AND vec_id IS NOT NULL")
-    vectors = usable.select(F.col("vec_id").cast("long").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim"))
+    vectors = usable.select(F.col("vec_id").cast("long").alias("id"), "label", F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
     size = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(2))).first()
     found = cut(links(vectors, width_for(*size), cosine, tables, margin, bucket))
     counts = found.groupBy(F.col("a").alias("__c")).agg(F.sum("n").alias("__n"))

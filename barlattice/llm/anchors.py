@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, runs, text_buffer
+from .common import partitions, runs, text_buffer, tidy
 
 NONE = np.uint64(2**64 - 1)
 STEP = 0x9E3779B97F4A7C15
@@ -274,6 +274,7 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
         for b, d, p in deal(bucket_of(d, buckets), buckets, d, p):
             yield 1, b, pack(np.diff(d, prepend=0), p.astype(np.uint32))
 
+    @tidy
     def scan(batches):
         held, size = [], 0
 
@@ -295,6 +296,7 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
         if held:
             yield from parcels(settle())
 
+    @tidy
     def meet(batches):
         def found():
             for kind, bucket, blobs in by_bucket(batches):
@@ -316,6 +318,7 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
 
         yield from parcels(found())
 
+    @tidy
     def regroup(batches):
         def rows():
             for _, _, blobs in by_bucket(batches):
@@ -354,6 +357,7 @@ def span_parcels(owner: np.ndarray, start: np.ndarray, end: np.ndarray, buckets:
         yield kind, b, pack(np.diff(d, prepend=0), s.astype(np.uint32), (e - s).astype(np.uint32))
 
 
+@tidy
 def collect_spans(batches):
     """(doc, spans): the merged spans of each document, as pairs of little-endian unsigned integers."""
 
@@ -388,9 +392,11 @@ def repeated_spans(docs: DataFrame, plan: Plan, tokens: Callable, send_out: Call
     anchored = repeated_anchors(docs, plan, tokens)
     passages = docs.join(anchored.hint("shuffle_hash"), docs["doc_id"] == anchored["__doc"], "left").select("doc_id", "text", "__spots", *carried)
 
+    @tidy
     def out(batches):
         yield from parcels(send_out(batches, plan, buckets))
 
+    @tidy
     def meet(batches):
         def found():
             for kind, bucket, blobs in by_bucket(batches):

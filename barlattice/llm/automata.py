@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import Plan, batch_spots, full_windows, pack, repeated_spans, scramble, span_parcels, unpack, word_bounds, word_tokens
-from .common import text_buffer
+from .common import text_buffer, tidy
 
 SPAN = 20
 PLAN = Plan(SPAN, 8)
@@ -222,6 +222,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, with_text: bool = False) -> D
     """
     plan = PLAN if span == SPAN else Plan(span, max(1, span // 2))
 
+    @tidy
     def cut_out(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, merge_labels, partitions, split_heavy
+from .common import components, cut, merge_labels, partitions, split_heavy, tidy
 from .vectors import matrix, valid
 
 COSINE = 0.98
@@ -80,6 +80,7 @@ def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: fl
             cache[dim] = Hashes(dim, tables, width)
         return cache[dim]
 
+    @tidy
     def deal(batches):
         for batch in batches:
             for dim in np.unique(batch.column(3).to_numpy()):
@@ -152,6 +153,7 @@ def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: fl
         np.minimum.at(least, labels[order], ids[used][order])
         return pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(least[labels]), pa.array(counts.astype(np.int64))], names=["a", "b", "n"])
 
+    @tidy
     def run(batches):
         held = None
         for batch in batches:

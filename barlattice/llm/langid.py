@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import runs, text_buffer
+from .common import runs, text_buffer, tidy
 
 #: Buckets of hashed n-grams (of 1, 2 and 3 bytes of lower-cased letters).
 DIMS = 2048
@@ -101,14 +101,16 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
     slots = labelled.select("doc_id", "lang", key.alias("__key")).groupBy("lang", F.pmod("__key", F.lit(per_language)).alias("__slot"))
     some = slots.agg(F.min(F.struct("__key", "doc_id")).alias("__least")).orderBy("__least").limit(in_all).select(F.col("__least.doc_id").alias("__id"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             for a, b, rows in vectors(batch.column(1), dims):
                 blobs = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs], names=["lang", "vector"])
 
-    chosen = docs.join(F.broadcast(some), docs["doc_id"] == some["__id"]).where(F.col("lang").isNotNull())
-    found = chosen.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, vector binary").collect()
+    texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    chosen = texts.join(F.broadcast(some), texts["doc_id"] == some["__id"]).where("lang IS NOT NULL")
+    found = chosen.select("lang", "text").mapInArrow(run, "lang string, vector binary").collect()
     if not found:
         return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(0))
     found.sort()
@@ -157,6 +159,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     floor and the text has JUDGED n-grams or more. Ties go to the first language in code point order.
     """
 
+    @tidy
     def run(batches):
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -177,6 +180,7 @@ def known(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     inputs = with_letters(docs, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)

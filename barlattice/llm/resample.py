@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import scramble, word_tokens
-from .common import cut, runs, text_buffer
+from .common import cut, runs, text_buffer, tidy
 
 #: Buckets of hashed words and word pairs.
 BUCKETS = 1 << 14
@@ -41,6 +41,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np.nd
     bounded table. Each task sends one count per bucket, and the driver gets ``buckets`` rows.
     """
 
+    @tidy
     def count(batches):
         totals = np.zeros((2, buckets), np.int64)
         for batch in batches:
@@ -51,7 +52,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np.nd
         used = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[0][used]), pa.array(totals[1][used])], names=["bucket", "raw", "target"])
 
-    marked = docs.join(F.broadcast(target_ids), docs["doc_id"] == target_ids["id"], "left").select(F.col("text").cast("string").alias("text"), F.col("id").isNotNull().alias("wanted"))
+    texts, ids = docs.select("doc_id", F.col("text").cast("string").alias("text")), target_ids.select("id")
+    marked = texts.join(F.broadcast(ids), texts["doc_id"] == ids["id"], "left").select("text", F.col("id").isNotNull().alias("wanted"))
     sums = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
     for row in sums:
@@ -64,6 +66,7 @@ def weigh(docs: DataFrame, model: np.ndarray, seed: int = 10) -> DataFrame:
     """doc_id, n_grams, log_weight (the whole text's log ratio) and key (with seeded Gumbel noise)."""
     buckets = len(model)
 
+    @tidy
     def score(batches):
         for batch in batches:
             total, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)

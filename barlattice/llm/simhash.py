@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, merge_labels, partitions, split_heavy, spread
+from .common import components, cut, merge_labels, partitions, split_heavy, spread, tidy
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Children of a node of the index.
@@ -64,6 +64,7 @@ def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED, chunk: int = 1
 def fingerprints(docs: DataFrame, n: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fingerprint (as a signed long). Null, empty and wordless texts have fingerprint 0."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
@@ -162,6 +163,7 @@ def links(marks: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     dealt = dealt.select("node", "fp", F.col("__k.way").alias("way"), F.col("__k.shared").alias("shared"))
     dealt = split_heavy(dealt, ["way", "shared"], "node", bucket)
 
+    @tidy
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .anchors import Plan, batch_spots, byte_tokens, full_windows, pack, repeated_spans, scramble, span_parcels, unpack
-from .common import spread, text_buffer
+from .common import spread, text_buffer, tidy
 
 SPAN = 50
 #: 24 bytes choose the anchor: about 7 anchors in 100 bytes.
@@ -289,6 +289,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN) -> DataFrame:
     alike. Empty tables give empty results.
     """
 
+    @tidy
     def digest(batches):
         for batch in batches:
             rows = [(n, n - len(kept), spans, hashlib.sha256(kept).hexdigest()) for n, spans, kept in kept_parts(batch)]
@@ -309,6 +310,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__row")
     inputs = docs.select("doc_id", "text", row)
 
+    @tidy
     def texts(batches):
         for batch in batches:
             kept = [x.decode("utf-8", "ignore") for _, _, x in kept_parts(batch)]

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts of more characters are cut at safe boundaries, so that one text never needs its ids whole.
 PIECE = 1 << 20
@@ -82,6 +84,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
     pattern = pattern or public_tokenizers.PATTERN
 
+    @tidy
     def run(batches):
         coder = encoding(ranks_path, pattern)
         for batch in batches:
@@ -116,6 +119,7 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
     pattern = pattern or public_tokenizers.PATTERN
 
+    @tidy
     def run(batches):
         coder = encoding(ranks_path, pattern)
         for batch in batches:

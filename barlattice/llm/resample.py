@@ -16,7 +16,7 @@ BUCKETS = 1 << 14
 #: Bound on the labelled documents that the target model is made of.
 TARGET_ROWS = 20_000
 #: Share of the documents that is selected.
-SHARE = 0.75
+SHARE = 0.85
 SMOOTHING = 1.0
 
 

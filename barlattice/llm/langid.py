@@ -14,14 +14,14 @@ from pyspark.sql.types import StructType
 from .common import runs, text_buffer, tidy
 
 #: Buckets of hashed n-grams (of 1, 2 and 3 bytes of lower-cased letters).
-DIMS = 2048
+DIMS = 8192
 #: Bound on the labelled rows that the model is fitted on: so many per language, and in all.
-PER_LANGUAGE, IN_ALL = 512, 8192
+PER_LANGUAGE, IN_ALL = 512, 4096
 CLUSTERS = 4
 #: A text is rejected if its cosine is under this share of the lowest among the training rows of its centroid.
 REJECT_SHARE = 0.5
 #: Texts of fewer n-grams are too short to be judged by their distance; only those without a letter are rejected.
-JUDGED = 72
+JUDGED = 384
 UNKNOWN = "und"
 
 #: ASCII bytes other than letters become spaces; bytes of longer characters stay.
@@ -60,8 +60,8 @@ def vectors(texts: pa.Array, dims: int = DIMS):
     """(first, last, matrix of log-scaled counts) for runs of the batch's texts."""
     data, offsets = text_buffer(pc.utf8_lower(texts.cast(pa.large_string())))
     for i, j in runs(offsets):
-        for a in range(i, j, 512):
-            b = min(a + 512, j)
+        for a in range(i, j, 256):
+            b = min(a + 256, j)
             yield a, b, np.log1p(np.stack([grams(data[offsets[k] : offsets[k + 1]], dims) for k in range(a, b)])).astype(np.float32)
 
 
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
     """Learn from ``text`` and non-null ``lang`` of the rows that are not held out.
 
     The sample holds at most ``per_language`` rows of a language and ``in_all`` rows together: one of
-    each slot of a seeded hash of doc_id, the smallest. Only their vectors come to the driver (4 bytes
+    each slot of a seeded hash of doc_id, the smallest. Only their vectors come to the driver (2 bytes
     * dims * in_all at most).
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
     def run(batches):
         for batch in batches:
             for a, b, rows in vectors(batch.column(1), dims):
-                blobs = pa.array([r.tobytes() for r in rows], pa.binary())
+                blobs = pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs], names=["lang", "vector"])
 
     texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
         return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(0))
     found.sort()
     langs = np.array([r.lang for r in found])
-    rows = np.stack([np.frombuffer(r.vector, np.float32) for r in found])
+    rows = np.stack([np.frombuffer(r.vector, np.float16) for r in found]).astype(np.float32)
     idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 1
     rows = unit(rows * idf)
     languages, centroids, of, floor = sorted(set(langs.tolist())), [], [], []

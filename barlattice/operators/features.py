@@ -185,7 +185,8 @@ def first_breakout(panel: DataFrame) -> DataFrame:
     base = base.withColumn("base_hi", F.max("close").over(back(-60, -1))).withColumn("vr", F.when(vma > 0, F.col("volume") / vma).otherwise(0.0)).withColumn("chg1", pct(F.col("close"), F.lag("close").over(by_symbol())))
     flag = (F.col("rn") >= 62) & (F.col("close") > F.col("base_hi")) & (F.col("vr") >= 1.8) & (F.col("chg1") >= 3)
     base = base.withColumn("flag", flag)
-    hit = F.when(F.col("flag"), F.struct(F.col("rn").alias("rn"), F.col("base_hi"), F.col("close"), F.col("volume"), F.col("low"), F.col("date")))
+    base = base.withColumn("base_lo", F.min("low").over(back(-60, -1)))
+    hit = F.when(F.col("flag"), F.struct(F.col("rn").alias("rn"), F.col("base_hi"), F.col("base_lo"), F.col("vr"), F.col("close"), F.col("volume"), F.col("low"), F.col("date")))
     first = F.first(hit, ignorenulls=True).over(back(-14, -1))
     out = base.withColumn("bo", first)
     local = F.least(F.col("rn"), F.lit(260)) - 1 + (F.col("bo.rn") - F.col("rn"))
@@ -200,7 +201,8 @@ def regime(index: DataFrame) -> DataFrame:
         "date", "close", "n", F.avg("close").over(w.rowsBetween(-19, 0)).alias("ma20"), F.avg("close").over(w.rowsBetween(-59, 0)).alias("ma60"),
         pct(F.col("close"), F.lag("close", 5).over(w)).alias("ret5"), pct(F.col("close"), F.lag("close", 20).over(w)).alias("ret20"), F.stddev_samp("ret").over(w.rowsBetween(-19, 0)).alias("vol20"),
     ).where("n >= 61")
-    trend = F.when((F.col("close") > F.col("ma20")) & (F.col("close") > F.col("ma60")) & (F.col("ret20") > 0), "TREND_UP").when((F.col("close") < F.col("ma20")) & (F.col("close") < F.col("ma60")) & (F.col("ret20") < 0), "TREND_DOWN").otherwise("TREND_NEUTRAL")
+    trend = F.when((F.col("close") > F.col("ma20")) & (F.col("ma20") > F.col("ma60")), "TREND_UP").when((F.col("close") < F.col("ma20")) & (F.col("ma20") < F.col("ma60")), "TREND_DOWN").otherwise("TREND_NEUTRAL")
+    base = base.withColumn("vs_ma20", pct(F.col("close"), F.col("ma20"))).withColumn("vs_ma60", pct(F.col("close"), F.col("ma60")))
     return base.withColumn("trend", trend).withColumn("volatility", F.when(F.col("vol20") < 1.0, "VOL_LOW").when(F.col("vol20") >= 2.0, "VOL_HIGH").otherwise("VOL_NORMAL"))
 
 
@@ -211,3 +213,46 @@ def market_grade(index: DataFrame) -> DataFrame:
     base = index.select("date", "close", F.row_number().over(w).alias("n"), F.avg("close").over(w.rowsBetween(-4, 0)).alias("ma5"), F.avg("close").over(w.rowsBetween(-19, 0)).alias("ma20"), pct(F.col("close"), F.lag("close", 5).over(w)).alias("chg5"), vr.alias("vr")).where("n >= 21")
     points = 3 * (F.col("close") >= F.col("ma5")).cast("int") + 3 * (F.col("close") >= F.col("ma20")).cast("int") + (F.col("chg5") > 0).cast("int") + (F.col("vr") >= 0.8).cast("int")
     return base.withColumn("points", points).withColumn("grade", F.when(F.col("points") >= 6, "A").when(F.col("points") >= 4, "B").otherwise("C"))
+
+
+def since_breakout(panel: DataFrame) -> DataFrame:
+    """Bars with a breakout among the 14 before, and the lists of highs, lows and volumes from it to the bar before."""
+    x = first_breakout(panel)
+    lists = [F.collect_list(c).over(back(-14, -1)).alias(f"{c}s") for c in ("high", "low", "volume")]
+    x = x.select("symbol", "date", "rn", "high", "low", "close", "volume", "bo", F.lag("close").over(by_symbol()).alias("prev_close"), F.avg("close").over(back(-4)).alias("ma5"), *lists).where("bo IS NOT NULL")
+    age = (F.col("rn") - F.col("bo.rn")).cast("int")
+    x = x.withColumn("age", age)
+    return x.select(*[F.slice(c, F.size(c) - F.col("age") + 1, F.col("age")).alias(c) if c in ("highs", "lows", "volumes") else F.col(c) for c in x.columns])
+
+
+def structure_proxy(panel: DataFrame) -> DataFrame:
+    """L0 before the breakout, H1 the first highest high since, L2 the lowest low after it; how far the close has recovered."""
+    x = since_breakout(panel).withColumn("l0", F.col("bo.base_lo")).withColumn("h1", F.array_max("highs"))
+    x = x.withColumn("at", F.array_position("highs", F.col("h1")).cast("int"))
+    x = x.withColumn("l2", F.array_min(F.slice("lows", F.col("at") + 1, F.size("lows"))))
+    ordered = (F.col("l0") < F.col("l2")) & (F.col("l2") < F.col("h1"))
+    x = x.withColumn("recovery", F.when(ordered, (F.col("close") - F.col("l2")) / (F.col("h1") - F.col("l2"))))
+    reason = F.when(F.col("l2").isNull(), "NO_COMPLETE_POST_H1_PULLBACK_DAY").when(~ordered, "INVALID_L0_L2_H1_ORDER_OR_DENOMINATOR")
+    state = F.when(F.col("recovery").isNull(), "INVALID").when(F.col("recovery") < 0.5, "EARLY").when(F.col("recovery") <= 1.0, "RECOVERING").otherwise("EXTENDED")
+    return x.withColumn("state", state).withColumn("reason", reason)
+
+
+def breakout_trace(panel: DataFrame) -> DataFrame:
+    """The stage of the pullback since the first breakout, and the volume ratios along it."""
+    x = since_breakout(panel)
+    rest = F.slice("volumes", 2, F.size("volumes"))  # after the breakout bar, before this one
+    held = F.aggregate(rest, F.lit(0.0), lambda a, v: a + v)
+    base, v0 = F.col("bo.base_hi"), F.col("bo.volume")
+    x = x.withColumn("retest", F.when(F.size(rest) > 0, held / F.size(rest))).withColumn("pull", (held + F.col("volume")) / F.col("age"))
+    price = (F.col("close") >= base * 0.97) & ((F.abs(F.col("close") / base - 1) <= 0.04) | F.col("close").between(base * 0.97, base * 1.04))
+    volume = F.col("pull") < v0 * 0.7
+    turn = (F.col("close") >= F.col("prev_close")) | (F.col("close") >= F.col("ma5"))
+    stage = (
+        F.when(price & volume & turn, "PULLBACK_ALL_PASS").when(~volume & price & turn, "PULLBACK_VOLUME_FAIL_ONLY").when(~turn & price & volume, "PULLBACK_TURN_STRENGTH_FAIL_ONLY")
+        .when(~price & volume & turn, "PULLBACK_PRICE_STRUCTURE_FAIL").otherwise("PULLBACK_MULTIPLE_FAIL")
+    )
+    span = F.col("high") - F.col("low")
+    return x.select(
+        "symbol", "date", F.col("bo.date").alias("breakout_date"), F.col("age").cast("long").alias("age"), base.alias("base_hi"), stage.alias("stage"), F.col("bo.vr").alias("breakout_volume_ratio"), (F.col("pull") / v0).alias("pull_volume_ratio"),
+        (F.col("retest") / v0).alias("retest_volume_ratio"), F.try_divide("volume", "retest").alias("reactivation_vs_retest"), (F.col("volume") / v0).alias("reactivation_vs_breakout"), F.when(span > 0, (F.col("close") - F.col("low")) / span).alias("day_position"), pct(F.col("close"), base).alias("distance_from_base_pct"),
+    )

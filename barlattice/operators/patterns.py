@@ -126,18 +126,6 @@ def pivots(panel: DataFrame, radius: int = 2) -> DataFrame:
     )
 
 
-def double_bottoms(numbered: DataFrame, radius: int = 2, apart: int = 3, within: int = 20) -> DataFrame:
-    """For each low pivot as second low, the latest earlier pivot low that is lower and at least ``apart`` bars away.
-
-    Each first low is listed at the places where a second may stand, so the pairs come from an equality
-    join on (symbol, place), never from all pairs of a symbol.
-    """
-    p = pivots(numbered, radius).where("is_low").select("symbol", "rn", "date", "low")
-    firsts = p.select("symbol", F.col("rn").alias("rn1"), F.col("low").alias("low1"), F.explode(F.sequence(F.col("rn") + apart, F.col("rn") + within)).alias("rn"))
-    pairs = p.join(firsts, ["symbol", "rn"]).where("low > low1")
-    return pairs.groupBy("symbol", "rn", "date", "low").agg(F.max("rn1").alias("first_rn"), F.max_by("low1", "rn1").alias("first_low"))
-
-
 def board(symbol: Column) -> Column:
     prefix = F.substring(symbol, 1, 2)
     return F.when(prefix == "68", "STAR").when(prefix == "30", "ChiNext").when(prefix.isin("00", "60"), "Main").otherwise("Unknown")

@@ -174,20 +174,6 @@ def review_points(spark, d):
     return x.select("signal_id", "horizon", "due_date", status.alias("status"), F.round("price", 6).alias("price"))
 
 
-C_SIGNALS = """sig AS (SELECT signal_id, symbol, signal_date, rn, close, trigger, stop, target FROM (SELECT symbol || ':' || CAST(date AS VARCHAR) AS signal_id, symbol, date AS signal_date, rn, close, round(greatest(hi5, ma5), 4) AS trigger, round(fl * 0.98, 4) AS stop, round(greatest(hi5, ma5) * 1.05, 4) AS target, before
-FROM (SELECT *, max(high) OVER w5 AS hi5, avg(close) OVER w5 AS ma5, min(low) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS fl, max(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS before FROM nb WINDOW w5 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))) WHERE rn >= 120 AND close > before)"""
-
-
-@query("o10_10_structure_simulation", f"WITH {B}, {P.NUMBERED}, {C_SIGNALS}, {own_path(20)}, {replay_sql(20, False, False, 20)} SELECT rp.*, trigger, stop, target FROM rp JOIN sig USING (signal_id)")
-def structure_simulation(spark, d):
-    panel = P.bars(spark, d)
-    lv = panel.select("symbol", F.col("date").alias("signal_date"), F.max("high").over(fx.back(-4)).alias("hi5"), F.avg("close").over(fx.back(-4)).alias("ma5"), F.min("low").over(fx.back(-19)).alias("fl"))
-    s = P.signals(panel).drop("trigger", "stop", "target").join(lv, ["symbol", "signal_date"])
-    top = F.greatest("hi5", "ma5")
-    s = s.select("signal_id", "symbol", "signal_date", "rn", "close", F.round(top, 4).alias("trigger"), F.round(F.col("fl") * 0.98, 4).alias("stop"), F.round(top * 1.05, 4).alias("target"))
-    return ex.replay(ex.own_clock_path(s, P.numbered(panel), 20), horizon=20, gap_fills=False, time_exit=False).join(s.select("signal_id", "trigger", "stop", "target"), "signal_id")
-
-
 @query(
     "o10_13_event_log",
     f"WITH {BASE}, l AS (SELECT symbol, sha256(signal_id || '|' || CAST(CAST(round(trigger * 10000) AS BIGINT) AS VARCHAR)) AS event_hash, signal_date FROM sig UNION ALL SELECT symbol, sha256(signal_id || '|' || CAST(CAST(round(trigger * 10000) AS BIGINT) AS VARCHAR)), signal_date FROM sig WHERE close > 10.9) "

@@ -161,15 +161,19 @@ PULLBACK_SQL = f"""pb0 AS (SELECT symbol, date, rn, sum(down_v) {f(-9)} AS dv, s
     "CASE WHEN un = 0 THEN 'NO_UP_SESSIONS' WHEN dn = 0 THEN 'NO_DOWN_SESSIONS' END AS ratio_reason FROM pb0 WHERE rn >= 30",
 )
 def pullback_observation(spark, d):
-    base = P.numbered(P.bars(spark, d)).withColumn("pc", F.lag("close").over(fx.by_symbol()))
+    return r6(pullback_features(P.bars(spark, d)), "down_volume_share up_down_mean_ratio half_mean_decay", "symbol", "date", "ratio_reason")
+
+
+def pullback_features(panel):
+    """Volume of the last ten bars: share on falling bars, rising against falling mean, second half against first."""
+    base = P.numbered(panel).withColumn("pc", F.lag("close").over(fx.by_symbol()))
     base = base.withColumn("up_v", F.when(F.col("close") > F.col("pc"), F.col("volume"))).withColumn("down_v", F.when(F.col("close") < F.col("pc"), F.col("volume")))
     w = fx.back(-9)
-    out = base.select(
+    return base.select(
         "symbol", "date", "rn", F.try_divide(F.coalesce(F.sum("down_v").over(w), F.lit(0.0)), F.sum("volume").over(w)).alias("down_volume_share"), F.try_divide(F.avg("up_v").over(w), F.avg("down_v").over(w)).alias("up_down_mean_ratio"),
         F.try_divide(F.avg("volume").over(fx.back(-4)), F.avg("volume").over(fx.back(-9, -5))).alias("half_mean_decay"),
         F.when(F.count("up_v").over(w) == 0, "NO_UP_SESSIONS").when(F.count("down_v").over(w) == 0, "NO_DOWN_SESSIONS").alias("ratio_reason"),
     ).where("rn >= 30")
-    return r6(out, "down_volume_share up_down_mean_ratio half_mean_decay", "symbol", "date", "ratio_reason")
 
 
 @query(
@@ -186,13 +190,13 @@ def relative_volume(spark, d):
 
 REGIME_SQL = f"""rg0 AS (SELECT *, row_number() OVER (ORDER BY date) AS n, (close / lag(close) OVER (ORDER BY date) - 1) * 100 AS ret FROM idx),
 rg1 AS (SELECT date, close, n, avg(close) {g(-19)} AS ma20, avg(close) {g(-59)} AS ma60, (close / lag(close, 5) OVER (ORDER BY date) - 1) * 100 AS ret5, (close / lag(close, 20) OVER (ORDER BY date) - 1) * 100 AS ret20, stddev_samp(ret) {g(-19)} AS vol20 FROM rg0),
-rg AS (SELECT *, CASE WHEN close > ma20 AND close > ma60 AND ret20 > 0 THEN 'TREND_UP' WHEN close < ma20 AND close < ma60 AND ret20 < 0 THEN 'TREND_DOWN' ELSE 'TREND_NEUTRAL' END AS trend,
+rg AS (SELECT *, (close / ma20 - 1) * 100 AS vs_ma20, (close / ma60 - 1) * 100 AS vs_ma60, CASE WHEN close > ma20 AND ma20 > ma60 THEN 'TREND_UP' WHEN close < ma20 AND ma20 < ma60 THEN 'TREND_DOWN' ELSE 'TREND_NEUTRAL' END AS trend,
   CASE WHEN vol20 < 1.0 THEN 'VOL_LOW' WHEN vol20 >= 2.0 THEN 'VOL_HIGH' ELSE 'VOL_NORMAL' END AS volatility FROM rg1 WHERE n >= 61)"""
 
 
-@query("o3_14_market_regime", f"WITH {P.BARS}, {P.INDEX}, {REGIME_SQL} SELECT date, {rounded('ma20 ma60 ret5 ret20 vol20')}, trend, volatility FROM rg")
+@query("o3_14_market_regime", f"WITH {P.BARS}, {P.INDEX}, {REGIME_SQL} SELECT date, {rounded('vs_ma20 vs_ma60 ret5 ret20 vol20')}, trend, volatility FROM rg")
 def market_regime(spark, d):
-    return r6(fx.regime(P.index_bars(P.bars(spark, d))), "ma20 ma60 ret5 ret20 vol20", "date", "trend", "volatility")
+    return r6(fx.regime(P.index_bars(P.bars(spark, d))), "vs_ma20 vs_ma60 ret5 ret20 vol20", "date", "trend", "volatility")
 
 
 @query(
@@ -205,27 +209,6 @@ def market_grade(spark, d):
     return fx.market_grade(P.index_bars(P.bars(spark, d))).select("date", "points", "grade")
 
 
-STRUCT_SQL = f"""sp0 AS (SELECT symbol, date, rn, close, list(low) {f(-74, -15)} AS before, list(high) {f(-14, -1)} AS hs, list(low) {f(-14, -1)} AS ls FROM nb),
-sp1 AS (SELECT *, list_min(before) AS l0, list_max(hs) AS h1, list_position(hs, list_max(hs)) AS p FROM sp0 WHERE rn >= 120),
-sp2 AS (SELECT *, list_min(ls[p + 1:]) AS l2 FROM sp1), sp AS (SELECT *, CASE WHEN l2 IS NOT NULL AND h1 > l2 THEN (close - l2) / (h1 - l2) END AS recovery FROM sp2)"""
-
-
-@query(
-    "o3_16_structure_proxy",
-    f"WITH {P.BARS}, {P.NUMBERED}, {STRUCT_SQL} SELECT symbol, date, {rounded('l0 h1 l2 recovery')}, CASE WHEN recovery IS NULL THEN 'INVALID' WHEN recovery < 0.5 THEN 'EARLY' WHEN recovery <= 1.0 THEN 'RECOVERING' ELSE 'EXTENDED' END AS state FROM sp",
-)
-def structure_proxy(spark, d):
-    def lst(c, a, b):
-        return F.collect_list(c).over(fx.back(a, b))
-
-    x = P.numbered(P.bars(spark, d)).select("symbol", "date", "rn", "close", F.min("low").over(fx.back(-74, -15)).alias("l0"), lst("high", -14, -1).alias("hs"), lst("low", -14, -1).alias("ls")).where("rn >= 120")
-    x = x.withColumn("h1", F.array_max("hs")).withColumn("p", F.array_position("hs", F.array_max("hs")).cast("int"))
-    x = x.withColumn("l2", F.array_min(F.slice("ls", F.col("p") + 1, F.size("ls"))))
-    x = x.withColumn("recovery", F.when(F.col("l2").isNotNull() & (F.col("h1") > F.col("l2")), (F.col("close") - F.col("l2")) / (F.col("h1") - F.col("l2"))))
-    state = F.when(F.col("recovery").isNull(), "INVALID").when(F.col("recovery") < 0.5, "EARLY").when(F.col("recovery") <= 1.0, "RECOVERING").otherwise("EXTENDED")
-    return r6(x.withColumn("state", state), "l0 h1 l2 recovery", "symbol", "date", "state")
-
-
 # Two style series: the mean closes of the 60 and the 30 boards.
 PAIR_SQL = f"""pa AS (SELECT date, avg(close) FILTER (symbol LIKE '60%') AS a, avg(close) FILTER (symbol LIKE '30%') AS b FROM bars GROUP BY date),
 pr1 AS (SELECT date, a / b AS ratio FROM pa WHERE a IS NOT NULL AND b IS NOT NULL),
@@ -247,21 +230,40 @@ def pair_ratio(spark, d):
     return r6(x.withColumn("direction", F.when(F.col("chg20") > 0, "UP").when(F.col("chg20") < 0, "DOWN").when(F.col("chg20") == 0, "FLAT")), "ratio chg20 chg5 chg4", "date", "direction")
 
 
-BREAKOUT_SQL = f"""bk0 AS (SELECT *, max(close) {f(-60, -1)} AS base_hi, coalesce(volume / nullif(avg(volume) {f(-20, -1)}, 0), 0) AS vr, (close / lag(close) {W} - 1) * 100 AS chg1, avg(close) {f(-4)} AS ma5 FROM nb),
+BREAKOUT_SQL = f"""bk0 AS (SELECT *, max(close) {f(-60, -1)} AS base_hi, min(low) {f(-60, -1)} AS base_lo, coalesce(volume / nullif(avg(volume) {f(-20, -1)}, 0), 0) AS vr, (close / lag(close) {W} - 1) * 100 AS chg1 FROM nb),
 bk1 AS (SELECT *, (rn >= 62 AND close > base_hi AND vr >= 1.8 AND chg1 >= 3) AS flag FROM bk0),
-bk2 AS (SELECT *, first_value(CASE WHEN flag THEN {{'rn': rn, 'base_hi': base_hi, 'close': close, 'volume': volume, 'low': low, 'date': date}} END IGNORE NULLS) {f(-14, -1)} AS bo0 FROM bk1),
+bk2 AS (SELECT *, first_value(CASE WHEN flag THEN {{'rn': rn, 'base_hi': base_hi, 'base_lo': base_lo, 'vr': vr, 'close': close, 'volume': volume, 'low': low, 'date': date}} END IGNORE NULLS) {f(-14, -1)} AS bo0 FROM bk1),
 bk AS (SELECT *, CASE WHEN least(rn, 260) - 1 + (bo0.rn - rn) >= 61 THEN bo0 END AS bo FROM bk2)"""
 
+# The bars from the breakout to the one before, one row each.
+SINCE_SQL = f"""tb AS (SELECT symbol, date, rn, high, low, close, volume, bo, lag(close) {W} AS pc, avg(close) {f(-4)} AS ma5x FROM bk), tt AS (SELECT * FROM tb WHERE bo IS NOT NULL),
+tp AS (SELECT tt.symbol, tt.date, b.rn AS p, b.high AS p_high, b.low AS p_low, b.volume AS p_volume, tt.bo.rn AS brn FROM tt JOIN nb b ON b.symbol = tt.symbol AND b.rn >= tt.bo.rn AND b.rn < tt.rn)"""
+
+
+@query(
+    "o3_16_structure_proxy",
+    f"WITH {P.BARS}, {P.NUMBERED}, {BREAKOUT_SQL}, {SINCE_SQL}, h AS (SELECT symbol, date, max(p_high) AS h1, arg_min(p, (-p_high, p)) AS h_at FROM tp GROUP BY 1, 2), l AS (SELECT tp.symbol, tp.date, min(p_low) AS l2 FROM tp JOIN h USING (symbol, date) WHERE p > h_at GROUP BY 1, 2), "
+    "z AS (SELECT tt.symbol, tt.date, bo.base_lo AS l0, h1, l2, CASE WHEN bo.base_lo < l2 AND l2 < h1 THEN (close - l2) / (h1 - l2) END AS recovery FROM tt JOIN h USING (symbol, date) LEFT JOIN l USING (symbol, date)) "
+    f"SELECT symbol, date, {rounded('l0 h1 l2 recovery')}, CASE WHEN recovery IS NULL THEN 'INVALID' WHEN recovery < 0.5 THEN 'EARLY' WHEN recovery <= 1.0 THEN 'RECOVERING' ELSE 'EXTENDED' END AS state, CASE WHEN l2 IS NULL THEN 'NO_COMPLETE_POST_H1_PULLBACK_DAY' WHEN recovery IS NULL THEN 'INVALID_L0_L2_H1_ORDER_OR_DENOMINATOR' END AS reason FROM z",
+)
+def structure_proxy(spark, d):
+    return r6(fx.structure_proxy(P.bars(spark, d)), "l0 h1 l2 recovery", "symbol", "date", "state", "reason")
+
+
+TRACE_COLUMNS = "base_hi breakout_volume_ratio pull_volume_ratio retest_volume_ratio reactivation_vs_retest reactivation_vs_breakout day_position distance_from_base_pct"
+
 
 @query(
     "o3_18_breakout_trace",
-    f"WITH {P.BARS}, {P.NUMBERED}, {BREAKOUT_SQL} SELECT symbol, date, bo.date AS breakout_date, rn - bo.rn AS age, round(bo.base_hi, 6) AS base_hi, round(volume / bo.volume, 6) AS volume_vs_breakout, "
-    "CASE WHEN close < bo.low THEN 'FAILED' WHEN close < bo.base_hi THEN 'BELOW_BASE' WHEN close < bo.close THEN 'PULLBACK' WHEN close = bo.close THEN 'AT_BREAKOUT' ELSE 'ADVANCING' END AS stage FROM bk WHERE bo IS NOT NULL",
+    f"WITH {P.BARS}, {P.NUMBERED}, {BREAKOUT_SQL}, {SINCE_SQL}, r AS (SELECT symbol, date, sum(p_volume) FILTER (p > brn) AS held, count(*) FILTER (p > brn) AS n FROM tp GROUP BY 1, 2), "
+    "y AS (SELECT tt.*, rn - bo.rn AS age, CASE WHEN n > 0 THEN held / n END AS retest, (coalesce(held, 0) + volume) / (rn - bo.rn) AS pull FROM tt JOIN r USING (symbol, date)), "
+    "z AS (SELECT *, (close >= bo.base_hi * 0.97 AND (abs(close / bo.base_hi - 1) <= 0.04 OR close BETWEEN bo.base_hi * 0.97 AND bo.base_hi * 1.04)) AS a, pull < bo.volume * 0.7 AS b, (close >= pc OR close >= ma5x) AS c FROM y), "
+    "o AS (SELECT symbol, date, bo.date AS breakout_date, age, CASE WHEN a AND b AND c THEN 'PULLBACK_ALL_PASS' WHEN NOT b AND a AND c THEN 'PULLBACK_VOLUME_FAIL_ONLY' WHEN NOT c AND a AND b THEN 'PULLBACK_TURN_STRENGTH_FAIL_ONLY' WHEN NOT a AND b AND c THEN 'PULLBACK_PRICE_STRUCTURE_FAIL' ELSE 'PULLBACK_MULTIPLE_FAIL' END AS stage, "
+    "bo.base_hi AS base_hi, bo.vr AS breakout_volume_ratio, pull / bo.volume AS pull_volume_ratio, retest / bo.volume AS retest_volume_ratio, volume / nullif(retest, 0) AS reactivation_vs_retest, volume / bo.volume AS reactivation_vs_breakout, CASE WHEN high > low THEN (close - low) / (high - low) END AS day_position, (close / bo.base_hi - 1) * 100 AS distance_from_base_pct FROM z) "
+    f"SELECT symbol, date, breakout_date, age, stage, {rounded(TRACE_COLUMNS)} FROM o",
 )
 def breakout_trace(spark, d):
-    x = fx.first_breakout(P.bars(spark, d)).where("bo IS NOT NULL")
-    stage = F.when(F.col("close") < F.col("bo.low"), "FAILED").when(F.col("close") < F.col("bo.base_hi"), "BELOW_BASE").when(F.col("close") < F.col("bo.close"), "PULLBACK").when(F.col("close") == F.col("bo.close"), "AT_BREAKOUT").otherwise("ADVANCING")
-    return x.select("symbol", "date", F.col("bo.date").alias("breakout_date"), (F.col("rn") - F.col("bo.rn")).cast("long").alias("age"), F.round("bo.base_hi", 6).alias("base_hi"), F.round(F.col("volume") / F.col("bo.volume"), 6).alias("volume_vs_breakout"), stage.alias("stage"))
+    return r6(fx.breakout_trace(P.bars(spark, d)), TRACE_COLUMNS, "symbol", "date", "breakout_date", "age", "stage")
 
 
 @query(

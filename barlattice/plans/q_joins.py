@@ -9,7 +9,6 @@ from barlattice.functions import scalars as sc
 from barlattice.operators import execution as ex
 from barlattice.operators import features as fx
 from barlattice.operators import joins as jn
-from barlattice.operators import patterns as pt
 from barlattice.sources import panel as P
 
 from .q_execution import BASE, OUTCOME, PROSPECTIVE, RULE, own_path, prospective, rule_model
@@ -131,15 +130,6 @@ def event_window_join(spark, d):
     return x.join(P.corporate_events(spark, d).select("symbol", "ex_date"), "symbol").where("ex_date > entry AND ex_date <= target").select("signal_id", "ex_date")
 
 
-@query(
-    "o5_10_double_bottoms",
-    f"WITH {B}, {P.NUMBERED}, p0 AS (SELECT *, count(low) {f(-2, -1)} + count(low) {f(1, 2)} AS cnt, min(low) {f(-2, -1)} AS l1, min(low) {f(1, 2)} AS l2 FROM nb), p AS (SELECT * FROM p0 WHERE cnt = 4 AND low <= l1 AND low <= l2) SELECT b.symbol, b.date, max(a.rn) AS first_rn, round(arg_max(a.low, a.rn), 6) AS first_low, round(any_value(b.low), 6) AS second_low FROM p b JOIN p a ON a.symbol = b.symbol AND b.rn - a.rn BETWEEN 3 AND 20 AND b.low > a.low GROUP BY 1, 2",
-)
-def double_bottoms(spark, d):
-    x = pt.double_bottoms(P.numbered(P.bars(spark, d)))
-    return x.select("symbol", "date", F.col("first_rn").cast("long").alias("first_rn"), F.round("first_low", 6).alias("first_low"), F.round("low", 6).alias("second_low"))
-
-
 @query(
     "o5_11_dominance",
     f"{LEVELS_WITH}, c AS (SELECT signal_id, date, round(rr, 9) AS h, round(risk, 9) AS l FROM lv WHERE rr IS NOT NULL AND risk IS NOT NULL) SELECT c.signal_id, (SELECT count(*) FROM c o WHERE o.date = c.date AND o.h >= c.h AND o.l <= c.l AND (o.h > c.h OR o.l < c.l)) AS dominated_by FROM c",

@@ -112,44 +112,6 @@ def reversal_classified(panel):
     return x.withColumn("class", F.when(~F.col("downside"), "OUTSIDE").when(F.col("bounce") & F.col("reclaim"), "CANDIDATE").when(F.col("bounce"), "PRIMARY_CONTROL").otherwise("BASELINE"))
 
 
-CPRED = f"""cq0 AS (SELECT g.*, r.median_ratio, max(g.high) {f(-20, -1).replace('symbol', 'g.symbol').replace('date', 'g.date')} AS resistance, min(b.low) {f(-20, -1).replace('symbol', 'g.symbol').replace('date', 'g.date')} AS floor_, b.low, b.open FROM ge g JOIN ra r ON r.symbol = g.symbol AND r.date = g.date JOIN bars b ON b.symbol = g.symbol AND b.date = g.date),
-cq1 AS (SELECT *, (high >= resistance * 0.99 AND close < resistance) AS rejected FROM cq0),
-cq AS (SELECT *, sum(CAST(rejected AS INTEGER)) {f(-4)} AS pushes FROM cq1 WHERE resistance IS NOT NULL)"""
-
-
-@query(
-    "o4_6_structure_predicates",
-    f"WITH {B}, {GEOMETRY_SQL}, {RELVOL_SQL}, {CPRED} SELECT symbol, date, rejected, (pushes >= 2) AS failed_pushes, coalesce(median_ratio >= 2.0 AND abs(body_return) <= 0.01, FALSE) AS stall, (body_return > 0 AND close_location >= 0.60) AS confirmed, "
-    "CASE WHEN close < floor_ * 0.98 THEN 'BROKEN' WHEN close < floor_ THEN 'BREACHED' WHEN low < floor_ THEN 'TESTED_HELD' WHEN low <= floor_ * 1.01 THEN 'NEAR' ELSE 'ABOVE' END AS support_state FROM cq",
-)
-def structure_predicates(spark, d):
-    panel = P.bars(spark, d)
-    x = fx.geometry(panel).join(fx.relative_volume(panel).select("symbol", "date", "median_ratio"), ["symbol", "date"]).join(panel.select("symbol", "date", "low"), ["symbol", "date"])
-    x = x.withColumn("resistance", F.max("high").over(fx.back(-20, -1))).withColumn("floor", F.min("low").over(fx.back(-20, -1)))
-    x = x.withColumn("rejected", (F.col("high") >= F.col("resistance") * 0.99) & (F.col("close") < F.col("resistance"))).where("resistance IS NOT NULL")
-    x = x.withColumn("pushes", F.sum(F.col("rejected").cast("int")).over(fx.back(-4)))
-    c, low, fl = F.col("close"), F.col("low"), F.col("floor")
-    state = F.when(c < fl * 0.98, "BROKEN").when(c < fl, "BREACHED").when(low < fl, "TESTED_HELD").when(low <= fl * 1.01, "NEAR").otherwise("ABOVE")
-    stall = F.coalesce((F.col("median_ratio") >= 2.0) & (F.abs("body_return") <= 0.01), F.lit(False))
-    return x.select("symbol", "date", "rejected", (F.col("pushes") >= 2).alias("failed_pushes"), stall.alias("stall"), ((F.col("body_return") > 0) & (F.col("close_location") >= 0.60)).alias("confirmed"), state.alias("support_state"))
-
-
-@query(
-    "o4_7_exit_state",
-    f"WITH {B}, {P.NUMBERED}, {P.SIGNALS}, p AS (SELECT s.signal_id, s.close AS entry, s.stop, s.target, b.rn - s.rn AS step, b.close, b.high, b.low FROM sig s JOIN nb b ON b.symbol = s.symbol AND b.rn BETWEEN s.rn + 1 AND s.rn + 10), "
-    "q AS (SELECT signal_id, count(*) AS n, count(*) FILTER (close < stop) AS broken, count(*) FILTER (high >= target AND step <= 3) AS early, count(*) FILTER (high >= target AND close < entry) AS warnings FROM p GROUP BY 1) "
-    "SELECT signal_id, n AS n_bars, CASE WHEN broken > 0 THEN 'SUPPORT_BREAK' WHEN early > 0 THEN 'EARLY_PROFIT' WHEN warnings = 1 THEN 'FIRST_WARNING' WHEN warnings > 1 THEN 'REPEATED_RISK' ELSE 'HOLD' END AS exit_state FROM q",
-)
-def exit_state(spark, d):
-    p = after_signals(P.bars(spark, d), 10)
-    q = p.groupBy("signal_id").agg(
-        F.count(F.lit(1)).alias("n_bars"), F.count_if(F.col("b_close") < F.col("stop")).alias("broken"), F.count_if((F.col("b_high") >= F.col("target")) & (F.col("step") <= 3)).alias("early"),
-        F.count_if((F.col("b_high") >= F.col("target")) & (F.col("b_close") < F.col("close"))).alias("warnings"),
-    )
-    state = F.when(F.col("broken") > 0, "SUPPORT_BREAK").when(F.col("early") > 0, "EARLY_PROFIT").when(F.col("warnings") == 1, "FIRST_WARNING").when(F.col("warnings") > 1, "REPEATED_RISK").otherwise("HOLD")
-    return q.select("signal_id", "n_bars", state.alias("exit_state"))
-
-
 def after_signals(panel, bars: int):
     """Each signal with its next bars on the symbol's own clock, by an equality join on (symbol, place)."""
     b = P.numbered(panel).select("symbol", "rn", *[F.col(c).alias(f"b_{c}") for c in ("date", "open", "high", "low", "close")])

@@ -12,10 +12,10 @@ from barlattice.operators import statistics as stt
 from barlattice.sources import panel as P
 
 from .q_execution import AFTER_ENTRY, BASE, DELAY, PROSPECTIVE, RULE, first_triggers, horizons_after_entry, own_path, prospective, rule_model
-from .q_features import COMPRESSION_SQL, PAIR_SQL, REGIME_SQL, REVERSAL_SQL, RISK_SQL, pair_series
+from .q_features import COMPRESSION_SQL, PAIR_SQL, PULLBACK_SQL, REGIME_SQL, REVERSAL_SQL, RISK_SQL, pair_series
 from .q_patterns import ALL, BOARD, CONDITIONS, LEVELS_WITH, RVC, VCB, features_of, reversal_classified, signal_levels
 from .registry import query
-from .sql import FEATURES, W, f
+from .sql import FEATURES, STEP, W, f
 
 B = P.BARS
 OUT = f"{B}, {P.NUMBERED}, {P.OUTCOMES}"
@@ -336,15 +336,46 @@ def bounce_bins(spark, d):
     return reversal_classified(P.bars(spark, d)).select("symbol", "date", rk.equal_bins(["date"], ["t_day_return", "symbol"], 5).alias("bin"))
 
 
+K_SQL = ", ".join(
+    f"CASE WHEN any_value(n) >= {max(2, k)} THEN round(sum(ret10 * CASE WHEN score > b{k} THEN 1.0 WHEN score = b{k} THEN ({k} - ab{k}) / eq{k} ELSE 0 END / {k}), 6) END AS top{k}" for k in (1, 3, 5)
+)
+QUALITY = f"""pq AS (SELECT p.date, p.symbol, coalesce(dv, 0) / nullif(tv, 0) AS f1, ua / nullif(da, 0) AS f2, h2 / nullif(h1, 0) AS f3, ret10 FROM pb0 p JOIN out o ON o.symbol = p.symbol AND o.date = p.date WHERE p.rn >= 120),
+pc AS (SELECT * FROM pq WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND ret10 IS NOT NULL),
+rkd AS (SELECT *, count(*) OVER d AS n, rank() OVER (PARTITION BY date ORDER BY f1) + (count(*) OVER (PARTITION BY date, f1) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY date ORDER BY f2) + (count(*) OVER (PARTITION BY date, f2) - 1) / 2.0 AS r2, rank() OVER (PARTITION BY date ORDER BY f3) + (count(*) OVER (PARTITION BY date, f3) - 1) / 2.0 AS r3 FROM pc WINDOW d AS (PARTITION BY date)),
+sco AS (SELECT *, ((n - r1) + r2 + (n - r3)) / (3 * n) AS score FROM rkd),
+bnd AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS sr, rank() OVER (PARTITION BY date ORDER BY ret10) + (count(*) OVER (PARTITION BY date, ret10) - 1) / 2.0 AS rr, {', '.join(f'nth_value(score, {k}) OVER o AS b{k}' for k in (1, 3, 5))} FROM sco WINDOW o AS (PARTITION BY date ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+cnt AS (SELECT *, {', '.join(f'sum(CAST(score > b{k} AS INTEGER)) OVER d AS ab{k}, sum(CAST(score = b{k} AS INTEGER)) OVER d AS eq{k}' for k in (1, 3, 5))}, CAST(least(4, floor((sr - 0.5) / n * 5)) AS INTEGER) AS g, max(score) OVER d > min(score) OVER d AS varied FROM bnd WINDOW d AS (PARTITION BY date))"""
+
+
 @query(
-    "o7_7_boundary_weights",
-    f"WITH {RS}, {P.OUTCOMES}, j AS (SELECT rs.symbol, rs.date, round(rs.r20, 2) AS s, ret10 FROM rs JOIN out o ON o.symbol = rs.symbol AND o.date = rs.date WHERE ret10 IS NOT NULL), w AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC) AS p, count(*) OVER (PARTITION BY date) AS n FROM j), e AS (SELECT *, max(CASE WHEN p = least(3, n) THEN s END) OVER (PARTITION BY date) AS b FROM w), "
-    "c AS (SELECT *, sum(CAST(s > b AS INTEGER)) OVER (PARTITION BY date) AS ab, sum(CAST(s = b AS INTEGER)) OVER (PARTITION BY date) AS eq FROM e), f AS (SELECT *, CASE WHEN s > b THEN 1.0 WHEN s = b THEN (least(3, n) - ab) / eq ELSE 0 END / least(3, n) AS wt FROM c) SELECT date, round(sum(wt), 6) AS total_weight, round(sum(wt * ret10), 6) AS top3_return, round(avg(ret10), 6) AS pool_return FROM f GROUP BY 1",
+    "o7_7_quality_ranking",
+    f"WITH {B}, {STEP}, {PULLBACK_SQL}, {P.NUMBERED}, {P.OUTCOMES}, {QUALITY} SELECT date, any_value(n) AS n, {K_SQL}, round(avg(ret10), 6) AS baseline, CASE WHEN any_value(n) >= 3 AND var_pop(sr) > 0 AND var_pop(rr) > 0 THEN round(covar_pop(sr, rr) / sqrt(var_pop(sr) * var_pop(rr)), 6) END AS ic, "
+    + ", ".join(f"CASE WHEN any_value(n) >= 5 AND any_value(varied) THEN round(avg(ret10) FILTER (g = {q}), 6) END AS q{q + 1}" for q in range(5))
+    + " FROM cnt GROUP BY date",
 )
-def boundary_weights(spark, d):
-    x = risk(spark, d).join(P.outcomes(P.bars(spark, d)).select("symbol", "date", "ret10"), ["symbol", "date"]).where("ret10 IS NOT NULL").withColumn("s", F.round("r20", 2))
-    w = rk.boundary_weights(x, ["date"], "s", 3)
-    return w.groupBy("date").agg(F.round(F.sum("weight"), 6).alias("total_weight"), F.round(F.sum(F.col("weight") * F.col("ret10")), 6).alias("top3_return"), F.round(F.avg("ret10"), 6).alias("pool_return"))
+def quality_ranking(spark, d):
+    """Composite of three volume ranks per date; top 1, 3 and 5 with shared boundary ties, rank IC and five bins."""
+    from .q_features import pullback_features
+
+    panel = P.bars(spark, d)
+    x = pullback_features(panel).where("rn >= 120").select("symbol", "date", F.col("down_volume_share").alias("f1"), F.col("up_down_mean_ratio").alias("f2"), F.col("half_mean_decay").alias("f3"))
+    x = x.join(P.outcomes(panel).select("symbol", "date", "ret10"), ["symbol", "date"]).dropna()
+    w = Window.partitionBy("date")
+    x = x.withColumn("n", F.count(F.lit(1)).over(w))
+    x = x.select("*", *[rk.average_rank(["date"], c).alias(f"r{c}") for c in ("f1", "f2", "f3")])
+    x = x.withColumn("score", ((F.col("n") - F.col("rf1")) + F.col("rf2") + (F.col("n") - F.col("rf3"))) / (3 * F.col("n")))
+    x = x.select("*", rk.average_rank(["date"], "score").alias("sr"), rk.average_rank(["date"], "ret10").alias("rr"), (F.max("score").over(w) > F.min("score").over(w)).alias("varied"))
+    for k in (1, 3, 5):
+        x = rk.boundary_weights(x, ["date"], "score", k).withColumnRenamed("weight", f"w{k}")
+    bin_ = F.least(F.lit(4), F.floor((F.col("sr") - 0.5) / F.col("n") * 5))
+    g = x.withColumn("g", bin_).groupBy("date").agg(
+        F.first("n").alias("n"), *[F.round(F.sum(F.col(f"w{k}") * F.col("ret10")), 6).alias(f"t{k}") for k in (1, 3, 5)], F.round(F.avg("ret10"), 6).alias("baseline"), F.first("varied").alias("varied"),
+        F.var_pop("sr").alias("vs"), F.var_pop("rr").alias("vr"), F.covar_pop("sr", "rr").alias("c"), *[F.round(F.avg(F.when(F.col("g") == q, F.col("ret10"))), 6).alias(f"b{q + 1}") for q in range(5)],
+    )
+    ic = F.when((F.col("n") >= 3) & (F.col("vs") > 0) & (F.col("vr") > 0), F.round(F.col("c") / F.sqrt(F.col("vs") * F.col("vr")), 6))
+    return g.select(
+        "date", "n", *[F.when(F.col("n") >= max(2, k), F.col(f"t{k}")).alias(f"top{k}") for k in (1, 3, 5)], "baseline", ic.alias("ic"), *[F.when((F.col("n") >= 5) & F.col("varied"), F.col(f"b{q}")).alias(f"q{q}") for q in range(1, 6)]
+    )
 
 
 @query(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlattice.functions import scalars as sc
-from barlattice.operators import adjust, execution as ex, features as fx, joins as jn, patterns as pt, ranks as rk, statistics as stt
+from barlattice.operators import adjust, structure as st, execution as ex, features as fx, joins as jn, patterns as pt, ranks as rk, statistics as stt
 from barlattice.sources import files, panel as P
 from barlattice.streaming import late
 
@@ -154,6 +154,48 @@ def test_pareto_and_dominance(spark):
     assert {x.name: x.front for x in rk.pareto_fronts(df, "d", "h", "l", "name").collect()} == want
 
 
+def brute_structure(bars, rule):
+    """The same search over the whole history of one symbol, bar by bar."""
+    low, high = [b[4] for b in bars], [b[3] for b in bars]
+    out = {}
+    for t in range(max(rule.slow, rule.reach + 2) - 1, len(bars)):
+        def pivots(v, best):
+            return [i for i in range(rule.radius, t - rule.radius) if v[i] == best(v[i - rule.radius : i + rule.radius + 1])]
+
+        lows, highs = pivots(low, min), pivots(high, max)
+        for b in reversed(lows):
+            for a in reversed([i for i in lows if i < b]):
+                if b - a < rule.apart or low[b] <= low[a] or t in out:
+                    continue
+                peaks, rebounds = [i for i in highs if i < a], [i for i in highs if i > b]
+                if not peaks or not rebounds or t - peaks[-1] > rule.reach:
+                    continue
+                depth = (high[peaks[-1]] - min(low[peaks[-1] + 1 : t])) / high[peaks[-1]]
+                size = (high[rebounds[-1]] - low[b]) / low[b]
+                if rule.depth[0] <= depth <= rule.depth[1] and rule.rebound[0] <= size <= rule.rebound[1]:
+                    out[t] = (peaks[-1] + 1, a + 1, b + 1, rebounds[-1] + 1)
+    return out
+
+
+@pytest.mark.parametrize("rule", [st.BALANCED, st.CONSERVATIVE])
+def test_pullback_structures(spark, rule):
+    rows = random_panel(7, 2, 200)
+    got = {(r.symbol, r.rn - 1): (r.peak_rn, r.rn1, r.rn2, r.rebound_rn) for r in st.pullback_structures(P.numbered(spark.createDataFrame(rows, BARS)), rule).collect()}
+    want = {}
+    for s in {r[0] for r in rows}:
+        want |= {(s, t): v for t, v in brute_structure([r for r in rows if r[0] == s], rule).items()}
+    assert got == want and got
+
+
+def test_exit_states(spark):
+    calm, push = (10.0, 10.2, 9.8, 10.1), (10.0, 11.0, 9.9, 10.2)
+    bars = [calm, push, calm, push, (9.5, 9.6, 8.0, 8.5)]
+    rows = [("k", i + 1, 10.0, 11.0, 9.0, *b) for i, b in enumerate(bars)]
+    x = spark.createDataFrame(rows, "key string, step long, entry double, peak double, floor double, open double, high double, low double, close double")
+    states = {r.step: r.exit_state for r in st.exit_states(x).collect()}
+    assert states == {2: "FIRST_RESISTANCE_REJECTION_WARNING", 3: "HOLD_OR_REOBSERVE", 4: "EARLY_PROFIT_TAKING_CANDIDATE", 5: "KEY_SUPPORT_BREAK"}
+
+
 def test_cooldown(spark):
     df = spark.createDataFrame([("a", p) for p in (1, 5, 11, 12, 13, 22, 23, 40)] + [("b", 3)], "k string, p long")
     assert {(r.k, r.p) for r in pt.cooldown(df, "k", "p").collect()} == {("a", 1), ("a", 12), ("a", 23), ("a", 40), ("b", 3)}

@@ -256,3 +256,30 @@ def breakout_trace(panel: DataFrame) -> DataFrame:
         "symbol", "date", F.col("bo.date").alias("breakout_date"), F.col("age").cast("long").alias("age"), base.alias("base_hi"), stage.alias("stage"), F.col("bo.vr").alias("breakout_volume_ratio"), (F.col("pull") / v0).alias("pull_volume_ratio"),
         (F.col("retest") / v0).alias("retest_volume_ratio"), F.try_divide("volume", "retest").alias("reactivation_vs_retest"), (F.col("volume") / v0).alias("reactivation_vs_breakout"), F.when(span > 0, (F.col("close") - F.col("low")) / span).alias("day_position"), pct(F.col("close"), base).alias("distance_from_base_pct"),
     )
+
+
+def pullback_observation(panel: DataFrame) -> DataFrame:
+    """Volume between the first breakout and the bar: share on falling days, rising against falling, second half against first.
+
+    Each value that cannot be told comes with its reason.
+    """
+    x = since_breakout(panel.withColumn("before", F.lag("close").over(by_symbol())))
+    moved = F.collect_list(F.struct("volume", F.signum(F.col("close") - F.col("before")).alias("way"))).over(back(-14, -1))
+    days = panel.withColumn("before", F.lag("close").over(by_symbol())).select("symbol", "date", moved.alias("days"))
+    x = x.select("symbol", "date", "age").join(days, ["symbol", "date"])
+    x = x.withColumn("w", F.slice("days", F.size("days") - F.col("age") + 2, F.col("age") - 1))
+    x = x.select("symbol", "date", (F.col("age") - 1).cast("long").alias("window_days"), "w", F.floor((F.col("age") - 1) / 2).cast("int").alias("half"))
+
+    def total(a):
+        return F.aggregate(a, F.lit(0.0), lambda s, z: s + z["volume"])
+
+    def mean(a):
+        return F.when(F.size(a) > 0, total(a) / F.size(a))
+
+    up, down = F.filter("w", lambda z: z["way"] > 0), F.filter("w", lambda z: z["way"] < 0)
+    none, n = F.when(F.col("window_days") == 0, "NO_PULLBACK_WINDOW"), F.col("window_days")
+    return x.select(
+        "symbol", "date", "window_days", F.try_divide(total(down), total(F.col("w"))).alias("down_volume_share"), F.try_divide(mean(up), mean(down)).alias("up_down_volume_ratio"),
+        F.when(n >= 4, F.try_divide(mean(F.slice("w", F.col("half") + 1, F.size("w"))), mean(F.slice("w", F.lit(1), F.col("half"))))).alias("decay_ratio"),
+        none.alias("share_reason"), F.coalesce(none, F.when((F.size(up) == 0) | (F.size(down) == 0), "NO_UP_OR_DOWN_DAY")).alias("ratio_reason"), F.coalesce(none, F.when(n < 4, "PULLBACK_WINDOW_LT_4")).alias("decay_reason"),
+    )

@@ -14,6 +14,12 @@ from . import features as fx
 from . import patterns as pt
 
 
+#: Bars before the pullback that its volume is compared with.
+BASELINE = 20
+#: Rising and falling bars that a median by direction needs.
+DIRECTIONAL = 2
+
+
 @dataclass(frozen=True)
 class Rule:
     """Fixed values of a rule."""
@@ -47,7 +53,7 @@ def pullback_structures(numbered: DataFrame, rule: Rule = BALANCED) -> DataFrame
     """
     x = pt.pivots(numbered, rule.radius)
     past = F.collect_list(F.struct("rn", "low", "high", "close", "is_low", "is_high")).over(fx.back(-rule.reach, -1))
-    x = x.select("symbol", "date", "rn", "open", "high", "low", "close", F.lag("close").over(fx.by_symbol()).alias("prev_close"), F.avg("close").over(fx.back(-4)).alias("ma5"), past.alias("past"))
+    x = x.select("symbol", "date", "rn", "open", "high", "low", "close", F.lag("close").over(fx.by_symbol()).alias("prev_close"), F.avg("close").over(fx.back(-4)).alias("ma5"), past.alias("past"), *[F.collect_list(c).over(fx.back(-rule.reach - BASELINE, -1)).alias(f"{c}s") for c in ("volume", "close")])
     x = x.where(F.col("rn") >= max(rule.slow, rule.reach + 2))
     known = F.col("rn") - 1 - rule.radius
     x = x.withColumn("lows", F.reverse(F.filter("past", lambda p: p["is_low"] & (p["rn"] <= known)))).withColumn("highs", F.reverse(F.filter("past", lambda p: p["is_high"] & (p["rn"] <= known))))
@@ -70,8 +76,36 @@ def pullback_structures(numbered: DataFrame, rule: Rule = BALANCED) -> DataFrame
     pairs = F.flatten(F.flatten(F.transform("lows", lambda s: F.transform(F.filter("lows", lambda a: (s["rn"] - a["rn"] >= rule.apart) & (s["low"] > a["low"])), lambda a: pair(s, a)))))
     fits = F.filter(pairs, lambda p: p["depth"].between(*rule.depth) & p["size"].between(*rule.rebound))
     # Exploding the first fit computes it once for all later uses; no filter moves below it.
-    found = x.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", F.explode(F.slice(fits, 1, 1)).alias("s"))
-    return found.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "s.*")
+    found = x.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "volumes", "closes", F.explode(F.slice(fits, 1, 1)).alias("s"))
+    return found.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "volumes", "closes", "s.*")
+
+
+def volume_path(structures: DataFrame) -> DataFrame:
+    """Medians of the pullback's volume (peak to the bar before), of its halves, of the bars before it, and by direction."""
+    n = (F.col("rn") - 1 - F.col("peak_rn")).cast("int")
+    x = structures.withColumn("n", n)
+    pull = F.slice("volumes", F.size("volumes") - F.col("n") + 1, F.col("n"))
+    start = F.greatest(F.size("volumes") - F.col("n") - BASELINE, F.lit(0)) + 1
+    reference = F.slice("volumes", start, F.size("volumes") - F.col("n") - start + 1)
+    closes = F.slice("closes", F.size("closes") - F.col("n") + 1, F.col("n"))
+    before = F.slice("closes", F.size("closes") - F.col("n"), F.col("n"))
+    # Arrays are exploded once, so that what they are made of is not worked out again for each use.
+    x = x.select("symbol", "date", "n", F.explode(F.array(F.struct(pull.alias("pull"), reference.alias("ref"), F.arrays_zip(pull.alias("v"), closes.alias("c"), before.alias("b")).alias("bars")))).alias("a")).select("symbol", "date", "n", "a.*")
+    half = F.floor((F.col("n") + 1) / 2).cast("int")
+
+    def directed(rising):
+        kept = F.filter("bars", lambda z: z["c"] > z["b"] if rising else z["c"] < z["b"])
+        return F.transform(kept, lambda z: z["v"])
+
+    up, down = directed(True), directed(False)
+    enough = (F.size(up) >= DIRECTIONAL) & (F.size(down) >= DIRECTIONAL)
+    out = x.select(
+        "symbol", "date", fx.median_of(F.col("pull")).alias("pull_median"), fx.median_of(F.col("ref")).alias("reference_median"), fx.median_of(F.slice("pull", 1, half)).alias("first_half"), fx.median_of(F.slice("pull", half + 1, F.col("n"))).alias("second_half"),
+        F.when(enough, fx.median_of(up)).alias("up_median"), F.when(enough, fx.median_of(down)).alias("down_median"),
+    )
+    out = out.withColumn("ratio", F.when(F.col("reference_median") > 0, F.col("pull_median") / F.col("reference_median"))).withColumn("up_down_ratio", F.try_divide("up_median", "down_median"))
+    label = F.when(F.col("ratio").isNull(), "UNDETERMINED").when(F.col("ratio") <= 0.80, "CONTRACTED_OBSERVABLE").when(F.col("ratio") >= 1.20, "EXPANDED_OBSERVABLE").otherwise("MIXED_OBSERVABLE")
+    return out.withColumn("label", label)
 
 
 def observations(structures: DataFrame, rule: Rule = BALANCED) -> DataFrame:

@@ -125,45 +125,9 @@ def robust_volume(spark, d):
     return r6(fx.relative_volume(P.bars(spark, d)), "median_ratio robust_z", "symbol", "date", "status")
 
 
-# Pullback (the last 10 bars) against its reference (the 20 bars before).
-PATH_SQL = f"""vp0 AS (SELECT symbol, date, rn, list(volume) {f(-9)} AS pull, list(volume) {f(-29, -10)} AS ref, list(volume) {f(-9, -5)} AS h1, list(volume) {f(-4)} AS h2, list(up_v) {f(-9)} AS ups, list(down_v) {f(-9)} AS downs FROM st2),
-vp1 AS (SELECT *, list_filter(ups, lambda x: x IS NOT NULL) AS u, list_filter(downs, lambda x: x IS NOT NULL) AS w FROM vp0 WHERE rn >= 30),
-vp AS (SELECT symbol, date, list_aggregate(pull, 'median') / nullif(list_aggregate(ref, 'median'), 0) AS pull_ref_ratio, list_aggregate(h1, 'median') AS first_half, list_aggregate(h2, 'median') AS second_half,
-  CASE WHEN len(u) >= 2 THEN list_aggregate(u, 'median') END AS up_median, CASE WHEN len(w) >= 2 THEN list_aggregate(w, 'median') END AS down_median FROM vp1)"""
-
-
-@query(
-    "o3_11_volume_path",
-    f"WITH {P.BARS}, {STEP}, {PATH_SQL} SELECT symbol, date, {rounded('pull_ref_ratio first_half second_half up_median down_median')}, CASE WHEN pull_ref_ratio <= 0.8 THEN 'CONTRACTING' WHEN pull_ref_ratio >= 1.2 THEN 'EXPANDING' WHEN pull_ref_ratio IS NULL THEN 'UNAVAILABLE' ELSE 'NEUTRAL' END AS label FROM vp",
-)
-def volume_path(spark, d):
-    base = P.numbered(P.bars(spark, d)).withColumn("pc", F.lag("close").over(fx.by_symbol()))
-    base = base.withColumn("up_v", F.when(F.col("close") > F.col("pc"), F.col("volume"))).withColumn("down_v", F.when(F.col("close") < F.col("pc"), F.col("volume")))
-
-    def lst(c, a, b=0):
-        return F.collect_list(c).over(fx.back(a, b))
-
-    cut = base.select("symbol", "date", "rn", lst("volume", -9).alias("pull"), lst("volume", -29, -10).alias("ref"), lst("volume", -9, -5).alias("h1"), lst("volume", -4).alias("h2"), lst("up_v", -9).alias("u"), lst("down_v", -9).alias("w")).where("rn >= 30")
-    out = cut.select(
-        "symbol", "date", F.try_divide(fx.median_of(F.col("pull")), fx.median_of(F.col("ref"))).alias("pull_ref_ratio"), fx.median_of(F.col("h1")).alias("first_half"), fx.median_of(F.col("h2")).alias("second_half"),
-        F.when(F.size("u") >= 2, fx.median_of(F.col("u"))).alias("up_median"), F.when(F.size("w") >= 2, fx.median_of(F.col("w"))).alias("down_median"),
-    )
-    label = F.when(F.col("pull_ref_ratio") <= 0.8, "CONTRACTING").when(F.col("pull_ref_ratio") >= 1.2, "EXPANDING").when(F.col("pull_ref_ratio").isNull(), "UNAVAILABLE").otherwise("NEUTRAL")
-    return r6(out.withColumn("label", label), "pull_ref_ratio first_half second_half up_median down_median", "symbol", "date", "label")
-
-
 PULLBACK_SQL = f"""pb0 AS (SELECT symbol, date, rn, sum(down_v) {f(-9)} AS dv, sum(volume) {f(-9)} AS tv, avg(up_v) {f(-9)} AS ua, avg(down_v) {f(-9)} AS da, avg(volume) {f(-9, -5)} AS h1, avg(volume) {f(-4)} AS h2, count(up_v) {f(-9)} AS un, count(down_v) {f(-9)} AS dn FROM st2)"""
 
 
-@query(
-    "o3_12_pullback_observation",
-    f"WITH {P.BARS}, {STEP}, {PULLBACK_SQL} SELECT symbol, date, round(coalesce(dv, 0) / nullif(tv, 0), 6) AS down_volume_share, round(ua / nullif(da, 0), 6) AS up_down_mean_ratio, round(h2 / nullif(h1, 0), 6) AS half_mean_decay, "
-    "CASE WHEN un = 0 THEN 'NO_UP_SESSIONS' WHEN dn = 0 THEN 'NO_DOWN_SESSIONS' END AS ratio_reason FROM pb0 WHERE rn >= 30",
-)
-def pullback_observation(spark, d):
-    return r6(pullback_features(P.bars(spark, d)), "down_volume_share up_down_mean_ratio half_mean_decay", "symbol", "date", "ratio_reason")
-
-
 def pullback_features(panel):
     """Volume of the last ten bars: share on falling bars, rising against falling mean, second half against first."""
     base = P.numbered(panel).withColumn("pc", F.lag("close").over(fx.by_symbol()))
@@ -250,6 +214,17 @@ def structure_proxy(spark, d):
     return r6(fx.structure_proxy(P.bars(spark, d)), "l0 h1 l2 recovery", "symbol", "date", "state", "reason")
 
 
+@query(
+    "o3_12_pullback_observation",
+    f"WITH {P.BARS}, {P.NUMBERED}, {BREAKOUT_SQL}, lc AS (SELECT symbol, rn, volume, close > lag(close) {W} AS up, close < lag(close) {W} AS down FROM nb), tt AS (SELECT symbol, date, rn, bo.rn AS brn FROM bk WHERE bo IS NOT NULL), "
+    "g AS (SELECT tt.symbol, tt.date, count(lc.volume) AS n, sum(volume) AS total, sum(volume) FILTER (down) AS dv, avg(volume) FILTER (up) AS ua, avg(volume) FILTER (down) AS da, avg(volume) FILTER (lc.rn - brn <= (tt.rn - 1 - brn) // 2) AS h1, avg(volume) FILTER (lc.rn - brn > (tt.rn - 1 - brn) // 2) AS h2 FROM tt LEFT JOIN lc ON lc.symbol = tt.symbol AND lc.rn > brn AND lc.rn < tt.rn GROUP BY 1, 2) "
+    "SELECT symbol, date, n AS window_days, round(coalesce(dv, 0) / total, 6) AS down_volume_share, round(ua / da, 6) AS up_down_volume_ratio, CASE WHEN n >= 4 THEN round(h2 / h1, 6) END AS decay_ratio, CASE WHEN n = 0 THEN 'NO_PULLBACK_WINDOW' END AS share_reason, CASE WHEN n = 0 THEN 'NO_PULLBACK_WINDOW' WHEN ua IS NULL OR da IS NULL THEN 'NO_UP_OR_DOWN_DAY' END AS ratio_reason, CASE WHEN n = 0 THEN 'NO_PULLBACK_WINDOW' WHEN n < 4 THEN 'PULLBACK_WINDOW_LT_4' END AS decay_reason FROM g",
+)
+def pullback_observation(spark, d):
+    columns = "down_volume_share up_down_volume_ratio decay_ratio"
+    return r6(fx.pullback_observation(P.bars(spark, d)), columns, "symbol", "date", "window_days", "share_reason", "ratio_reason", "decay_reason")
+
+
 TRACE_COLUMNS = "base_hi breakout_volume_ratio pull_volume_ratio retest_volume_ratio reactivation_vs_retest reactivation_vs_breakout day_position distance_from_base_pct"
 
 

@@ -44,6 +44,18 @@ def pullback_structures(spark, d):
     return r6(x.select("*", *ages), "peak low1 low2 rebound depth size", "symbol", "date", "peak_age", "first_age", "second_age", "rebound_age")
 
 
+PATH = "pull_median reference_median first_half second_half up_median down_median ratio up_down_ratio"
+VOLUME_SQL = """lc AS (SELECT symbol, rn, volume, close > lag(close) OVER (PARTITION BY symbol ORDER BY date) AS up, close < lag(close) OVER (PARTITION BY symbol ORDER BY date) AS down FROM nb),
+vm AS (SELECT s.symbol, s.date, median(volume) FILTER (lc.rn > peak_rn) AS pull_median, median(volume) FILTER (lc.rn <= peak_rn) AS reference_median, median(volume) FILTER (lc.rn > peak_rn AND lc.rn - peak_rn <= (s.rn - peak_rn) // 2) AS first_half, median(volume) FILTER (lc.rn - peak_rn > (s.rn - peak_rn) // 2) AS second_half,
+ median(volume) FILTER (lc.rn > peak_rn AND up) AS um, median(volume) FILTER (lc.rn > peak_rn AND down) AS dm, count(*) FILTER (lc.rn > peak_rn AND up) AS un, count(*) FILTER (lc.rn > peak_rn AND down) AS dn FROM strc s JOIN lc ON lc.symbol = s.symbol AND lc.rn BETWEEN peak_rn - 19 AND s.rn - 1 GROUP BY 1, 2),
+vp AS (SELECT *, CASE WHEN un >= 2 AND dn >= 2 THEN um END AS up_median, CASE WHEN un >= 2 AND dn >= 2 THEN dm END AS down_median, pull_median / nullif(reference_median, 0) AS ratio, CASE WHEN un >= 2 AND dn >= 2 THEN um / nullif(dm, 0) END AS up_down_ratio FROM vm)"""
+
+
+@query("o3_11_volume_path", f"WITH {B}, {STRUCTURE}, {VOLUME_SQL} SELECT symbol, date, {rounded(PATH)}, CASE WHEN ratio IS NULL THEN 'UNDETERMINED' WHEN ratio <= 0.80 THEN 'CONTRACTED_OBSERVABLE' WHEN ratio >= 1.20 THEN 'EXPANDED_OBSERVABLE' ELSE 'MIXED_OBSERVABLE' END AS label FROM vp")
+def volume_path(spark, d):
+    return r6(st.volume_path(structures(spark, d)), PATH, "symbol", "date", "label")
+
+
 @query(
     "o4_6_structure_predicates",
     f"WITH {B}, {STRUCTURE}, {GEOMETRY_SQL}, {RELVOL_SQL} SELECT s.symbol, s.date, confirmed, support_state, coalesce(median_ratio >= 2.0 AND abs(body_return) <= 0.005 AND close_location <= 0.60, FALSE) AS stall, (s.high >= peak * 0.99 AND s.close < peak AND close_location <= 0.60) AS rejected, 'UNAVAILABLE' AS limit_up_status "

@@ -31,7 +31,7 @@ FROM pth CROSS JOIN (VALUES (1::BIGINT), (3), (5), (10)) AS h(horizon) {1} WHERE
 
 @query("o10_1_session_outcomes", f"WITH {BASE}, {session_path(10)} " + OUTCOME.format("s_pos + step", "CROSS JOIN (SELECT max(pos) AS reach FROM sessions)"))
 def session_outcomes(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     s = P.sessions(panel)
     path = ex.session_path(P.signals(panel), panel, s, 10)
     path = path.withColumn("one", F.lit(1)).join(F.broadcast(s.agg(F.max("pos").alias("reach"), F.lit(1).alias("one"))), "one")  # one row
@@ -40,7 +40,7 @@ def session_outcomes(spark, d):
 
 @query("o10_1b_own_clock_outcomes", f"WITH {BASE}, {own_path(10)} " + OUTCOME.format("step", "CROSS JOIN (SELECT CAST(NULL AS BIGINT) AS reach)"))
 def own_clock_outcomes(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     return ex.fixed_outcomes(ex.own_clock_path(P.signals(panel), P.numbered(panel), 10), None)
 
 
@@ -49,7 +49,7 @@ def own_clock_outcomes(spark, d):
     f"WITH {BASE}, {own_path(5)} SELECT signal_id, step, CASE WHEN b_close IS NULL THEN 'MISSING' WHEN b_high < trigger THEN 'PENDING' WHEN b_low <= stop AND b_high >= target THEN 'AMBIGUOUS' WHEN b_low <= stop THEN 'TRIGGERED_STOP_TOUCHED' WHEN b_high >= target THEN 'TRIGGERED_TARGET_TOUCHED' ELSE 'TRIGGERED' END AS state FROM pth",
 )
 def bar_states(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     return ex.classify_bar(ex.own_clock_path(P.signals(panel), P.numbered(panel), 5)).select("signal_id", "step", "state")
 
 
@@ -63,7 +63,7 @@ RULE_PRICE = "CASE WHEN b_low <= stop AND b_high >= target THEN NULL WHEN b_low
 
 @query("o10_3_fills_and_decisions", f"WITH {BASE}, {own_path(5)} SELECT signal_id, step, round({FILL}, 6) AS fill_price, {KIND} AS exit_kind, round({PRICE}, 6) AS exit_price FROM pth")
 def fills_and_decisions(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     kind, price = ex.exit_decision()
     path = ex.own_clock_path(P.signals(panel), P.numbered(panel), 5)
     return path.select("signal_id", "step", F.round(ex.fill_price(), 6).alias("fill_price"), kind.alias("exit_kind"), F.round(price, 6).alias("exit_price"))
@@ -90,12 +90,12 @@ RULE = f"{BASE}, {own_path(30)}, {replay_sql(30, False, False, 30)}"
 
 
 def prospective(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     return ex.replay(ex.own_clock_path(P.signals(panel), P.numbered(panel), 11))
 
 
 def rule_model(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     return ex.replay(ex.own_clock_path(P.signals(panel), P.numbered(panel), 30), horizon=30, gap_fills=False, time_exit=False)
 
 
@@ -105,7 +105,7 @@ query("o10_5_rule_replay", f"WITH {RULE} SELECT * FROM rp")(rule_model)
 
 @query("o10_4b_session_replay", f"WITH {BASE}, {session_path(11)}, {replay_sql(11, True, True)} SELECT * FROM rp")
 def session_replay(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     return ex.replay(ex.session_path(P.signals(panel), panel, P.sessions(panel), 11))
 
 
@@ -115,7 +115,7 @@ def session_replay(spark, d):
     "round(max(CASE WHEN step - exit_step <= 3 AND status LIKE 'EXIT_STOP%' THEN (b_high / exit_price - 1) * 100 END), 6) AS recovery3_pct FROM a GROUP BY 1",
 )
 def shadow_outcomes(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     path = ex.own_clock_path(P.signals(panel), P.numbered(panel), 11)
     r = ex.replay(path)
     after = r.join(path.select("signal_id", "step", "b_high"), "signal_id")
@@ -130,7 +130,7 @@ COHORT = "CASE WHEN delay = 1 THEN 'T+1' WHEN delay = 2 THEN 'T+2' WHEN delay =
 
 
 def first_triggers(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     path = ex.own_clock_path(P.signals(panel), P.numbered(panel), 10)
     x = path.groupBy("signal_id").agg(F.min(F.when(F.col("b_high") >= F.col("trigger"), F.col("step"))).alias("delay"), F.min(F.when(F.col("b_close").isNull(), F.col("step"))).alias("m"))
     known = F.col("m").isNull() | (F.col("delay") < F.col("m"))
@@ -147,7 +147,7 @@ AFTER_ENTRY = f"{PROSPECTIVE}, ae AS (SELECT rp.signal_id, h.k, CASE WHEN entry_
 
 @query("o10_8_horizons_after_entry", f"WITH {AFTER_ENTRY} SELECT signal_id, k AS horizon, status, CASE WHEN status IN ('TERMINAL', 'MARKED') THEN round((price / entry_price - 1) * 100, 6) END AS return_pct FROM ae")
 def horizons_after_entry(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     path = ex.own_clock_path(P.signals(panel), P.numbered(panel), 11)
     r = ex.replay(path).withColumn("horizon", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 3, 5)])))
     marks = path.select(F.col("signal_id").alias("sid"), F.col("step").alias("at"), "b_close")
@@ -165,7 +165,7 @@ def horizons_after_entry(spark, d):
     "SELECT signal_id, horizon, due AS due_date, CASE WHEN due IS NULL THEN 'NOT_DUE' WHEN b.close IS NULL THEN 'MISSED' ELSE 'CAPTURED' END AS status, round(b.close, 6) AS price FROM x LEFT JOIN bars b ON b.symbol = x.symbol AND b.date = x.due",
 )
 def review_points(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     s = P.sessions(panel)
     x = P.signals(panel).join(F.broadcast(s.select(F.col("date").alias("signal_date"), "pos")), "signal_date").withColumn("horizon", F.explode(F.array(*[F.lit(k).cast("long") for k in (3, 5, 10)])))
     x = x.join(F.broadcast(s.select(F.col("pos").alias("due_pos"), F.col("date").alias("due_date"))), F.col("pos") + F.col("horizon") == F.col("due_pos"), "left").select("signal_id", "symbol", "horizon", "due_date")
@@ -193,7 +193,7 @@ def event_log(spark, d):
     "SELECT signal_id, due AS due_date, CASE WHEN i.close IS NOT NULL THEN 'RECOVERABLE_FROM_INDEX' ELSE 'UNRECOVERABLE' END AS status FROM m LEFT JOIN (SELECT date, avg(close) AS close FROM bars WHERE symbol LIKE '60%' GROUP BY 1) i ON i.date = m.due",
 )
 def exact_date_recovery(spark, d):
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     missed = review_points(spark, d).where("horizon = 3 AND status = 'MISSED'").select("signal_id", "due_date")
     evidence = panel.where("symbol LIKE '60%'").groupBy(F.col("date").alias("due_date")).agg(F.avg("close").alias("seen"))
     x = missed.join(evidence, "due_date", "left")

@@ -61,7 +61,7 @@ LEVELS_WITH = f"WITH {B}, {P.NUMBERED}, {P.INDEX}, {FEATURES}, {P.SIGNALS}, {PRO
 
 def signal_levels(spark, d):
     """Signals with features, volume profile, sector and levels: one row per signal."""
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
     s, member = P.signals(panel), P.sectors(spark, d)
     x = fx.platform_features(panel, P.index_bars(panel)).drop("signal_id")
     x = s.select("signal_id", "symbol", F.col("signal_date").alias("date")).join(x, ["symbol", "date"])

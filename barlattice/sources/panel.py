@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,23 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's shared checkpoint folder and read it from there.
+
+    For a panel that a query uses several times: the line items behind it are then read once. Only
+    where ``spark.checkpoint.dir`` is unset, as in local tests, a temporary folder takes its place.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+def kept_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(bars(spark, sf_dir))
+
+
 BARS = f"""bars AS (
   SELECT {SYMBOL.format('l_suppkey')} AS symbol, CAST(l_shipdate AS DATE) AS date,
          arg_min(10 + sqrt(l_extendedprice) / 300, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS open,

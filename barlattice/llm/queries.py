@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, crosspoly, langid, mixing, resample, revisit, simhash, suffixes, tokenize, vptree
+from . import automata, crosspoly, langid, mixing, oracle, resample, revisit, simhash, suffixes, tokenize, vptree
 from .common import ship
 
 
@@ -64,4 +64,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_vptree, op2_revisit, op3_crosspoly, op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes, op10_resample)
 }
-ORACLE_SQL = {"op2_revisit": revisit.ORACLE}
+ORACLE_SQL = {"op1_vptree": oracle.OP1, "op2_revisit": revisit.ORACLE, "op3_crosspoly": oracle.OP3, "op8_automata": oracle.OP8, "op9_suffixes": oracle.OP9}

@@ -96,8 +96,11 @@ class VantageTree:
         q, p = q[other], p[other]
         if not len(q):
             return
-        # The product summed in one fixed order, so that equal vectors score equally.
-        score = (self.queries[rows[q]] * self.points[points[p]]).sum(axis=1)
+        # Summed from the first component to the last, so that equal vectors score equally.
+        left, right = self.queries[rows[q]], self.points[points[p]]
+        score = np.zeros(len(q))
+        for j in range(left.shape[1]):
+            score += left[:, j] * right[:, j]
         touched = np.unique(q)
         q_all = np.concatenate([q, np.repeat(touched, self.k)])
         s_all = np.concatenate([score, self.best_score[rows[touched]].ravel()])

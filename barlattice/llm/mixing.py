@@ -100,8 +100,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 6, block:
     # One row per source: a source's row meets its documents, of which a hot source may hold a third.
     a, b = sized.alias("a"), by_source.alias("b")
     dealt = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "b.__quota", "b.__shards")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = dealt.withColumn("__key", key).withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("__shards")).cast("int"))
+    # A hash that other engines have too: its first eight digits deal out the shards, the whole orders them.
+    dealt = dealt.withColumn("__key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    dealt = dealt.withColumn("__shard", F.pmod(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long"), F.col("__shards")).cast("int"))
     dealt = dealt.withColumn("__group", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     shards = dealt.groupBy("__group", F.col("__shard").alias("party")).agg(F.sum("size").cast("double").alias("__words"), F.first("__quota").alias("__quota"))
     quotas = seats(shards, ["__group"], "__words", "__quota").select(F.col("__group").alias("__g"), F.col("party").alias("__p"), "__words", (F.col("seats") * block).alias("__take"))

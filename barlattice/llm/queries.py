@@ -64,4 +64,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_vptree, op2_revisit, op3_crosspoly, op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes, op10_resample)
 }
-ORACLE_SQL = {"op1_vptree": oracle.OP1, "op2_revisit": revisit.ORACLE, "op3_crosspoly": oracle.OP3, "op8_automata": oracle.OP8, "op9_suffixes": oracle.OP9}
+ORACLE_SQL = {"op1_vptree": oracle.OP1, "op2_revisit": revisit.ORACLE, "op3_crosspoly": oracle.OP3, "op6_mixing": oracle.OP6, "op8_automata": oracle.OP8, "op9_suffixes": oracle.OP9}

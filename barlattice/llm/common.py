@@ -150,9 +150,12 @@ def salted(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spr
     """Inner join on ``left_key = right_key`` where a key may hold any share of the left rows.
 
     The left rows of a key go to ``salts`` tasks by ``spread_by``; the right rows, one per key, go to all.
+    Both sides are dealt out explicitly: else the planner, finding one side by its key already, would
+    bring the other to it by the key alone.
     """
-    l = left.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    r = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    n = partitions(left.sparkSession)
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).repartition(n, left_key, "__salt")
+    r = right.withColumn("__right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(n, right_key, "__right_salt")
     return l.join(r, (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__right_salt"))).drop("__salt", "__right_salt")
 
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, runs, text_buffer, tidy
+from .common import cut, partitions, runs, text_buffer, tidy
 
 NONE = np.uint64(2**64 - 1)
 STEP = 0x9E3779B97F4A7C15
@@ -31,6 +31,10 @@ INVERSE = pow(BASE, -1, 2**64)
 BYTES = np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)
 #: Anchors that a task gathers before it sends them.
 HELD = 1_500_000
+#: Grams of so many occurrences are hot: their passages are dealt out by more of their context.
+HOT = 4096
+#: Hot grams listed at most, those of most occurrences; every task gets the list (16 bytes each).
+HOT_LIST = 50_000
 #: Tokens handled at once; longer documents are read in parts that overlap by a window.
 PART = 1 << 20
 
@@ -45,6 +49,11 @@ class Plan:
         """Tokens before an anchor that a window with this anchor can hold."""
         return self.span - self.gram
 
+    @property
+    def half(self) -> int:
+        """Hot passages go to two places: windows with at most so many tokens before the anchor, and the others."""
+        return self.left // 2
+
 
 def pack(*arrays) -> bytes:
     """Arrays and byte strings in one compressed parcel; integers byte plane by byte plane, as high bytes repeat."""
@@ -75,6 +84,26 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def gram_key(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 more bits of a gram's hash."""
+    return (hashes % np.uint64(buckets)) << np.uint64(32) | (hashes // np.uint64(buckets)).astype(np.uint32).astype(np.uint64)
+
+
+def is_hot(hashes: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(hashes), bool)
+    keys = gram_key(hashes, buckets)
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+
+
+def columns_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """The hash of a gram from its tokens, one array for each place; as gram_hashes gives it."""
+    total = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        total = total * np.uint64(BASE) + c
+    return scramble(total)
+
+
 def bucket_of(doc_ids: np.ndarray, buckets: int) -> np.ndarray:
     return (scramble(doc_ids.astype(np.int64).view(np.uint64) + np.uint64(STEP)) % np.uint64(buckets)).astype(np.int64)
 
@@ -254,8 +283,8 @@ def by_document(doc_ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(doc_ids[a]), *(c[a:b] for c in columns)
 
 
-def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame:
-    """(doc_id, parcel): the places of each document's anchors whose gram occurs elsewhere."""
+def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> tuple[DataFrame, np.ndarray]:
+    """(__doc, __spots), the places of each document's anchors whose gram occurs elsewhere; and the sorted keys of hot grams."""
     buckets = buckets_for(docs)
 
     def gather(hashes: np.ndarray, owners: np.ndarray, spots: np.ndarray):
@@ -266,9 +295,10 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
         # The bucket and 32 bits more of the hash go along: the more buckets, the more bits in all.
         home = (hashes % np.uint64(buckets)).astype(np.int64)
         low = (hashes // np.uint64(buckets)).astype(np.uint32)
-        for b, h, d, p in deal(home[fresh], buckets, low[fresh], owners[fresh], spots[fresh]):
+        times = np.minimum(np.diff(np.r_[np.flatnonzero(fresh), len(fresh)]), 65535).astype(np.uint16)
+        for b, h, d, p, n in deal(home[fresh], buckets, low[fresh], owners[fresh], spots[fresh], times):
             o = np.lexsort((p, d))
-            yield 0, b, pack(h[o], np.diff(d[o], prepend=0), p[o].astype(np.uint32))
+            yield 0, b, pack(h[o], np.diff(d[o], prepend=0), p[o].astype(np.uint32), n[o])
         o = np.lexsort((spots[many], owners[many]))
         d, p = owners[many][o], spots[many][o]
         for b, d, p in deal(bucket_of(d, buckets), buckets, d, p):
@@ -310,6 +340,12 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
                 h = hashes[order]
                 again = h[1:] == h[:-1]
                 chosen = order[np.r_[again, False] | np.r_[False, again]]
+                opens = np.flatnonzero(np.r_[True, ~again]) if len(h) else np.zeros(0, np.int64)
+                totals = np.add.reduceat(np.concatenate([x[3] for x in seen]).astype(np.int64)[order], opens) if len(h) else opens
+                many = totals >= HOT
+                if many.any():
+                    keys = np.uint64(bucket) << np.uint64(32) | h[opens[many]].astype(np.uint64)
+                    yield 1, bucket, pack(keys, totals[many])
                 d, p = owners[chosen], spots[chosen]
                 o = np.lexsort((p, d))
                 d, p = d[o], p[o]
@@ -321,8 +357,11 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
     @tidy
     def regroup(batches):
         def rows():
-            for _, _, blobs in by_bucket(batches):
+            for kind, _, blobs in by_bucket(batches):
                 seen = [unpack(b) for b in blobs]
+                if kind == 1:
+                    yield None, np.stack([np.concatenate([x[0] for x in seen]), np.concatenate([x[1] for x in seen]).astype(np.uint64)], axis=1).tobytes()
+                    continue
                 d, p = np.concatenate([np.cumsum(x[0]) for x in seen]), np.concatenate([x[1] for x in seen])
                 o = np.lexsort((p, d))
                 d, p = d[o], p[o]
@@ -333,7 +372,11 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> DataFrame
         yield from batches_of(rows(), ["__doc", "__spots"], [pa.int64(), pa.binary()])
 
     sent = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(scan, PARCEL)
-    return send(send(sent).mapInArrow(meet, PARCEL)).mapInArrow(regroup, "__doc long, __spots binary")
+    found = cut(send(send(sent).mapInArrow(meet, PARCEL)).mapInArrow(regroup, "__doc long, __spots binary"))
+    listed = [np.frombuffer(r[0], np.uint64).reshape(-1, 2) for r in found.where("__doc IS NULL").select("__spots").collect()]
+    hot = np.concatenate(listed) if listed else np.zeros((0, 2), np.uint64)
+    hot = hot[np.argsort(hot[:, 1], kind="stable")[::-1][:HOT_LIST], 0]
+    return found.where("__doc IS NOT NULL"), np.sort(hot)
 
 
 def merge_spans(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -389,12 +432,12 @@ def repeated_spans(docs: DataFrame, plan: Plan, tokens: Callable, send_out: Call
     buckets = buckets_for(docs)
     carried = ["__row"] if "__row" in docs.columns else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
-    anchored = repeated_anchors(docs, plan, tokens)
+    anchored, hot = repeated_anchors(docs, plan, tokens)
     passages = docs.join(anchored.hint("shuffle_hash"), docs["doc_id"] == anchored["__doc"], "left").select("doc_id", "text", "__spots", *carried)
 
     @tidy
     def out(batches):
-        yield from parcels(send_out(batches, plan, buckets))
+        yield from parcels(send_out(batches, plan, buckets, hot))
 
     @tidy
     def meet(batches):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Plan, batch_spots, full_windows, pack, repeated_spans, scramble, span_parcels, unpack, word_bounds, word_tokens
+from .anchors import Plan, batch_spots, columns_hash, full_windows, is_hot, pack, repeated_spans, scramble, span_parcels, unpack, word_bounds, word_tokens
 from .common import text_buffer, tidy
 
 SPAN = 20
@@ -89,13 +89,13 @@ class SuffixAutomaton:
                 yield end, *self.first[at]
 
 
-def word_passages(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def word_passages(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Distinct passages for each gram bucket (kind 0), and spans settled within the task (kind 1)."""
     held, size = [], 0
 
     def settle():
-        marks, grams, doc, spot, left, right = (np.concatenate([h[i] for h in held]) for i in range(6))
-        texts = [t for h in held for t in h[6]]
+        marks, grams, far_right, far_left, doc, spot, left, right = (np.concatenate([h[i] for h in held]) for i in range(8))
+        texts = [t for h in held for t in h[8]]
         order = np.lexsort((spot, doc, marks))
         fresh = np.r_[True, marks[order][1:] != marks[order][:-1]]
         later = order[~fresh]
@@ -103,12 +103,19 @@ def word_passages(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) -
         whole = near <= far
         yield from span_parcels(doc[later][whole], (spot[later] - far)[whole], (spot[later] - near + plan.span)[whole], buckets, 1)
         item = order[fresh]
-        home = (grams[item] % np.uint64(buckets)).astype(np.int64)
-        sequence = np.lexsort((marks[item], grams[item], home))
+        # A hot gram's passages go by more of what windows hold: those that reach far right, those that reach far left.
+        warm = is_hot(grams[item], buckets, hot)
+        after, before = item[warm & (right[item] >= plan.span - plan.half)], item[warm & (left[item] > plan.half)]
+        which = np.concatenate([item[~warm], after, before])
+        role = np.repeat(np.array([0, 1, 2], np.uint8), [int((~warm).sum()), len(after), len(before)])
+        key = np.concatenate([grams[item[~warm]], far_right[after], far_left[before]])
+        home = (key % np.uint64(buckets)).astype(np.int64)
+        sequence = np.lexsort((marks[which], key, home))
         edges = np.searchsorted(home[sequence], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            mine = item[sequence[edges[b] : edges[b + 1]]]
-            yield 0, int(b), pack(grams[mine], doc[mine], spot[mine].astype(np.uint32), left[mine].astype(np.uint8), b"\n".join([texts[i] for i in mine.tolist()]))
+            chosen = sequence[edges[b] : edges[b + 1]]
+            mine = which[chosen]
+            yield 0, int(b), pack(key[chosen], doc[mine], spot[mine].astype(np.uint32), left[mine].astype(np.uint8), role[chosen], b"\n".join([texts[i] for i in mine.tolist()]))
 
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
@@ -128,13 +135,16 @@ def word_passages(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) -
             for c in column.tolist():
                 within = (c >= -left) & (c < right)
                 marks = scramble(marks * np.uint64(3) + np.where(within, tokens[np.clip(at + c, 0, len(tokens) - 1)], np.uint64(0)))
-            grams = np.zeros(len(at), np.uint64)
-            for c in range(plan.gram):
-                grams = scramble(grams * np.uint64(3) + tokens[at + c])
+            def token(c):
+                return tokens[np.clip(at + c, 0, len(tokens) - 1)]
+
+            grams = columns_hash([token(c) for c in range(plan.gram)])
+            far_right = columns_hash([np.full(len(at), 1, np.uint64), grams, *(token(c) for c in range(plan.gram, plan.span - plan.half))])
+            far_left = columns_hash([np.full(len(at), 2, np.uint64), grams, *(token(-c - 1) for c in range(plan.half + 1))])
             raw = part.tobytes()
             texts = [raw[x:y] for x, y in zip(starts[at - left].tolist(), ends[at + right - 1].tolist())]
             texts = [b" ".join(t.split()) for t in texts]
-            held.append((marks, grams, ids[o], s, left, right, texts))
+            held.append((marks, grams, far_right, far_left, ids[o], s, left, right, texts))
             size += len(o)
             if size >= RUN:
                 yield from settle()
@@ -146,9 +156,9 @@ def word_passages(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) -
 def match_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc_id, start, end) of the windows of one gram bucket that start earlier as well."""
     seen = [unpack(b) for b in blobs]
-    grams, doc, spot, left = (np.concatenate([x[i] for x in seen]) for i in range(4))
+    grams, doc, spot, left, role = (np.concatenate([x[i] for x in seen]) for i in range(5))
     doc, spot, left = doc.astype(np.int64), spot.astype(np.int64), left.astype(np.int64)
-    texts = [t for x in seen for t in x[4].split(b"\n")]
+    texts = [t for x in seen for t in x[5].split(b"\n")]
     rank = np.lexsort((spot, doc, grams)).tolist()
     owner, start, end = [], [], []
     group: list[tuple[int, list[bytes]]] = []
@@ -163,6 +173,8 @@ def match_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarra
             for stop, number, there in automaton.first_starts(words, plan.span):
                 r = references[number][0]
                 at = base + stop - plan.span
+                if role[i] and (role[i] == 1) != (int(spot[i]) - at <= plan.half):
+                    continue  # the other copy of this passage sees to this window
                 if (int(doc[r]), int(spot[r] - left[r]) + there - plan.span) < (int(doc[i]), at):
                     owner.append(int(doc[i]))
                     start.append(at)
@@ -184,6 +196,7 @@ def match_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarra
             if key in known:
                 right = len(words) - int(left[i])
                 near, far = max(0, plan.span - right), min(plan.left, int(left[i]))
+                near, far = (max(near, plan.half + 1) if role[i] == 2 else near), (min(far, plan.half) if role[i] == 1 else far)
                 if near <= far:
                     owner.append(int(doc[i]))
                     start.append(int(spot[i]) - far)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .anchors import Plan, batch_spots, byte_tokens, full_windows, pack, repeated_spans, scramble, span_parcels, unpack
+from .anchors import BYTES, Plan, batch_spots, byte_tokens, columns_hash, full_windows, is_hot, pack, repeated_spans, scramble, span_parcels, unpack
 from .common import spread, text_buffer, tidy
 
 SPAN = 50
@@ -56,7 +56,7 @@ def shared(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def sorted_runs(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Front-coded runs for each gram bucket (kind 0), and spans settled within the task (kind 1)."""
     held, size = [], 0
 
@@ -83,14 +83,22 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) ->
         keys = [w[item] for w in words]
         sort = np.lexsort([doc[item], *keys[::-1]])
         item, counts, first = item[sort], counts[sort], first[sort]
-        gram = np.zeros(len(item), np.uint64)
-        for w in as_words(forth[item, : plan.gram]):
-            gram = scramble(gram + w)
-        home = (gram % np.uint64(buckets)).astype(np.int64)
-        sequence = np.argsort(home, kind="stable")
+        gram = columns_hash([BYTES[forth[item, c]] for c in range(plan.gram)])
+        warm = is_hot(gram, buckets, hot)
+        # A hot gram's passages go by more of what windows hold: those that reach far right, those that reach far left.
+        after = np.flatnonzero(warm & (right[item] >= plan.span - plan.half))
+        before_ = np.flatnonzero(warm & (left[item] > plan.half))
+        far_right = columns_hash([BYTES[forth[item[after], c]] for c in range(plan.span - plan.half)])
+        far_left = columns_hash([gram[before_], *(BYTES[back[item[before_], c]] for c in range(plan.half + 1))])
+        plain = np.flatnonzero(~warm)
+        which = np.concatenate([plain, after, before_])
+        role = np.repeat(np.array([0, 1, 2], np.uint8), [len(plain), len(after), len(before_)])
+        home = (np.concatenate([gram[plain], far_right, far_left]) % np.uint64(buckets)).astype(np.int64)
+        sequence = np.lexsort((role, which, home))
         edges = np.searchsorted(home[sequence], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            mine = sequence[edges[b] : edges[b + 1]]
+            chosen = sequence[edges[b] : edges[b + 1]]
+            mine = which[chosen]
             rows, r = forth[item[mine]], right[item[mine]]
             known = shared(rows, r)
             column = np.arange(plan.span)
@@ -98,7 +106,7 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) ->
             old = back[item[mine]]
             before = old[np.arange(plan.left) < left[item[mine]][:, None]]
             where = places[spread(first[mine], counts[mine])]
-            yield 0, int(b), pack(known.astype(np.uint8), r.astype(np.uint8), left[item[mine]].astype(np.uint8), new, before, doc[item[mine]], counts[mine].astype(np.uint32), where.astype(np.uint32))
+            yield 0, int(b), pack(known.astype(np.uint8), r.astype(np.uint8), left[item[mine]].astype(np.uint8), new, before, doc[item[mine]], counts[mine].astype(np.uint32), where.astype(np.uint32), role[chosen])
 
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
@@ -196,7 +204,7 @@ def merge(strings: list[list[bytes]], known: list[list[int]]) -> tuple[list[tupl
     return order, lengths
 
 
-def equal_windows(known: np.ndarray, right: np.ndarray, back: np.ndarray, left: np.ndarray, doc: np.ndarray, plan: Plan) -> np.ndarray:
+def equal_windows(known: np.ndarray, right: np.ndarray, back: np.ndarray, left: np.ndarray, doc: np.ndarray, role: np.ndarray, plan: Plan) -> np.ndarray:
     """For each suffix in merged order and each distance from window start to anchor: does a smaller doc_id have this window?
 
     Windows at distance o are equal where suffixes share ``span - o`` bytes, which the merged prefix
@@ -214,7 +222,8 @@ def equal_windows(known: np.ndarray, right: np.ndarray, back: np.ndarray, left:
         to_right = np.cumsum(known < need)
         to_left[order] = np.cumsum(same_left < o)
         key = to_right * (n + 1) + to_left
-        fits = by_doc[(left[by_doc] >= o) & (right[by_doc] >= need)]
+        asked = (role[by_doc] == 0) | (role[by_doc] == (1 if o <= plan.half else 2))
+        fits = by_doc[(left[by_doc] >= o) & (right[by_doc] >= need) & asked]
         sort = fits[np.argsort(key[fits], kind="stable")]
         if not len(sort):
             continue
@@ -241,11 +250,12 @@ def merge_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarra
     known = np.where(close[use], known[use], 0)
     right, left, doc, counts = (np.concatenate([x[i] for x in runs_of]).astype(np.int64) for i in (1, 2, 5, 6))
     before, where = (np.concatenate([x[i] for x in runs_of]) for i in (4, 7))
+    role = np.concatenate([x[8] for x in runs_of])
     begin, first = np.cumsum(left) - left, np.cumsum(counts) - counts
     place = place[use]
     back = np.zeros((len(place), plan.left), np.uint8)
     back[np.arange(plan.left) < left[place][:, None]] = before[spread(begin[place], left[place])]
-    found = equal_windows(known, right[place], back, left[place], doc[place], plan)
+    found = equal_windows(known, right[place], back, left[place], doc[place], role[place], plan)
     edge = np.zeros((len(place), 1), bool)
     step = np.diff(np.concatenate([edge, found, edge], axis=1).astype(np.int8), axis=1)
     row, near = np.nonzero(step == 1)

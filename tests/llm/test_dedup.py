@@ -78,6 +78,17 @@ def test_suffixes(spark, seed):
     assert rows(suffixes.deduplicate(frame(spark, docs))) == brute.suffix_dedup(docs)
 
 
+@pytest.mark.parametrize("hot", [2, 8])
+def test_hot_grams(spark, monkeypatch, hot):
+    """With a low bound nearly every passage goes by its wider context; the results stay."""
+    monkeypatch.setattr(anchors, "HOT", hot)
+    docs = corpus(6, 90)
+    _, found = anchors.repeated_anchors(frame(spark, docs), automata.PLAN, anchors.word_tokens)
+    assert len(found)
+    for function, want in ((suffixes.deduplicate, brute.suffix_dedup), (automata.deduplicate, brute.window_dedup)):
+        assert rows(function(frame(spark, docs))) == want(docs)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_automata(spark, seed):
     docs = corpus(seed)

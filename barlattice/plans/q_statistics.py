@@ -178,13 +178,17 @@ def daily_group_means(spark, d):
 BINS = f"{OUT}, fb AS (SELECT o.symbol, o.date, ret10, volume / avg(volume) {f(-20, -1)} AS rv, turnover FROM out o), fq AS (SELECT *, CAST(least(5, floor((row_number() OVER (ORDER BY rv, symbol, date) - 1) * 5.0 / count(*) OVER ()) + 1) AS INTEGER) AS q1, CAST(least(5, floor((row_number() OVER (ORDER BY turnover, symbol, date) - 1) * 5.0 / count(*) OVER ()) + 1) AS INTEGER) AS q2 FROM fb WHERE rv IS NOT NULL AND ret10 IS NOT NULL)"
 
 
-def global_bins(df, feature: str, name: str, bins: int = 5):
+def band_cuts(df, features: list[str]) -> list[list[float]]:
+    """Approximate quantiles that part each feature into 256 bands."""
+    return df.approxQuantile(features, [i / 256 for i in range(1, 256)], 0.0005)
+
+
+def global_bins(df, feature: str, name: str, cuts: list[float], bins: int = 5):
     """Equal-count bins over the whole table without one task holding it.
 
-    Rows are counted in 4,096 bands of approximate quantiles; a row's place is the rows of the bands
-    before its own, plus its place within its band.
+    Rows are counted in bands of approximate quantiles; a row's place is the rows of the bands before
+    its own, plus its place within its band.
     """
-    cuts = df.approxQuantile(feature, [i / 256 for i in range(1, 256)], 0.0005)
     edges = F.array(*[F.lit(c) for c in sorted(set(cuts))])
     x = df.withColumn("__band", F.size(F.filter(edges, lambda e: e < F.col(feature))))
     sizes = x.groupBy("__band").count()
@@ -195,9 +199,16 @@ def global_bins(df, feature: str, name: str, bins: int = 5):
     return x.withColumn(name, F.least(F.lit(bins), F.floor(place * bins / F.col("__all")) + 1).cast("int")).drop("__band", "__b", "__before", "__all")
 
 
+def bin_inputs(spark, d):
+    """Relative volume, turnover and outcome of every evaluable bar, kept as several passes follow."""
+    x = P.outcomes(P.bars(spark, d)).withColumn("rv", F.col("volume") / F.avg("volume").over(fx.back(-20, -1)))
+    return P.kept(x.where("rv IS NOT NULL AND ret10 IS NOT NULL").select("symbol", "date", "rv", "turnover", "ret10"))
+
+
 def feature_bins(spark, d):
-    x = P.outcomes(P.bars(spark, d)).withColumn("rv", F.col("volume") / F.avg("volume").over(fx.back(-20, -1))).where("rv IS NOT NULL AND ret10 IS NOT NULL").select("symbol", "date", "rv", "turnover", "ret10")
-    return global_bins(global_bins(x, "rv", "q1"), "turnover", "q2")
+    x = bin_inputs(spark, d)
+    first, second = band_cuts(x, ["rv", "turnover"])
+    return global_bins(global_bins(x, "rv", "q1", first), "turnover", "q2", second)
 
 
 @query(
@@ -394,15 +405,16 @@ def mid_rank_coordinates(spark, d):
     f"WITH {BINS}, t AS (SELECT *, row_number() OVER (ORDER BY rv DESC, symbol DESC, date DESC) AS a, row_number() OVER (ORDER BY turnover DESC, symbol DESC, date DESC) AS b, ceil(0.01 * count(*) OVER ()) AS k FROM fq) SELECT symbol, date, round(rv, 6) AS rv, turnover FROM t WHERE a <= k AND b <= k",
 )
 def joint_top_percent(spark, d):
-    x = P.outcomes(P.bars(spark, d)).withColumn("rv", F.col("volume") / F.avg("volume").over(fx.back(-20, -1))).where("rv IS NOT NULL AND ret10 IS NOT NULL").select("symbol", "date", "rv", "turnover")
+    x = bin_inputs(spark, d).drop("ret10")
+    k = -(-x.count() // 100)
 
-    def top(feature):
-        binned = global_bins(x, feature, "bin", 100)
-        k = -(-binned.count() // 100)
+    def top(feature, cuts):
         # The rows of the last bins hold the top percent; only they are ordered.
-        return binned.where("bin >= 98").orderBy(F.col(feature).desc(), F.col("symbol").desc(), F.col("date").desc()).limit(k).select("symbol", "date")
+        last = global_bins(x, feature, "bin", cuts, 100).where("bin >= 98")
+        return last.orderBy(F.col(feature).desc(), F.col("symbol").desc(), F.col("date").desc()).limit(k).select("symbol", "date")
 
-    return x.join(top("rv"), ["symbol", "date"], "left_semi").join(top("turnover"), ["symbol", "date"], "left_semi").select("symbol", "date", F.round("rv", 6).alias("rv"), "turnover")
+    first, second = band_cuts(x, ["rv", "turnover"])
+    return x.join(top("rv", first), ["symbol", "date"], "left_semi").join(top("turnover", second), ["symbol", "date"], "left_semi").select("symbol", "date", F.round("rv", 6).alias("rv"), "turnover")
 
 
 PIVOT = f"pv0 AS (SELECT *, count(low) {f(-2, -1)} + count(low) {f(1, 2)} AS cnt, min(low) {f(-2, -1)} AS l1, min(low) {f(1, 2)} AS l2, max(high) {f(-2, -1)} AS h1, max(high) {f(1, 2)} AS h2 FROM nb), piv AS (SELECT symbol, date, rn, low, high, (cnt = 4 AND low <= l1 AND low <= l2) AS is_low, (cnt = 4 AND high >= h1 AND high >= h2) AS is_high FROM pv0)"

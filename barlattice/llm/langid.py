@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -93,13 +93,16 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
     """Learn from ``text`` and non-null ``lang`` of the rows that are not held out.
 
     The sample holds at most ``per_language`` rows of a language and ``in_all`` rows together: one of
-    each slot of a seeded hash of doc_id, the smallest. Only their vectors come to the driver (2 bytes
+    each slot of a seeded hash of doc_id, the smallest. Languages take turns, so that each has up to
+    ``in_all`` / languages rows before any has more. Only their vectors come to the driver (2 bytes
     * dims * in_all at most).
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     key = F.xxhash64(F.lit(7), F.col("doc_id"))
     slots = labelled.select("doc_id", "lang", key.alias("__key")).groupBy("lang", F.pmod("__key", F.lit(per_language)).alias("__slot"))
-    some = slots.agg(F.min(F.struct("__key", "doc_id")).alias("__least")).orderBy("__least").limit(in_all).select(F.col("__least.doc_id").alias("__id"))
+    least = slots.agg(F.min(F.struct("__key", "doc_id")).alias("__least"))
+    turns = least.withColumn("__turn", F.row_number().over(Window.partitionBy("lang").orderBy("__least")))
+    some = turns.orderBy("__turn", "__least").limit(in_all).select(F.col("__least.doc_id").alias("__id"))
 
     @tidy
     def run(batches):

@@ -131,6 +131,15 @@ def test_language_id_learns_nothing(spark):
     assert langid.identify(df.where("false")).collect() == []
 
 
+def test_language_id_learns_rare_languages(spark):
+    """Nine languages, one rare, over a joint bound: the frequent ones must not take all rows."""
+    docs = [(i, f"text of l{i % 8} " * 5, f"l{i % 8}") for i in range(4000)] + [(4000 + i, "zeta xi " * 9, "rare") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=64, in_all=72)
+    assert model.languages == sorted({lang for _, _, lang in docs})
+    assert {r.lang_pred for r in langid.predict(df.where("lang = 'rare'"), model).collect()} == {"rare"}
+
+
 def test_language_id_ignores_labels(spark):
     df = spark.createDataFrame(multilingual(), "doc_id long, text string, lang string")
     model = langid.fit(df)

@@ -406,11 +406,13 @@ def mid_rank_coordinates(spark, d):
 )
 def joint_top_percent(spark, d):
     x = bin_inputs(spark, d).drop("ret10")
-    k = -(-x.count() // 100)
+    n = x.count()
+    k = -(-n // 100)
+    least = (n - k) * 100 // max(n, 1) + 1
 
     def top(feature, cuts):
-        # The rows of the last bins hold the top percent; only they are ordered.
-        last = global_bins(x, feature, "bin", cuts, 100).where("bin >= 98")
+        # The rows from the bin of place n - k on hold the top percent; only they are ordered.
+        last = global_bins(x, feature, "bin", cuts, 100).where(F.col("bin") >= least)
         return last.orderBy(F.col(feature).desc(), F.col("symbol").desc(), F.col("date").desc()).limit(k).select("symbol", "date")
 
     first, second = band_cuts(x, ["rv", "turnover"])

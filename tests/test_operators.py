@@ -249,3 +249,12 @@ def test_stream_drops_late_rows(spark, tmp_path):
         q.awaitTermination(120)
     out = {str(r.start)[:10]: (r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out["2024-01-01"] == (1, 1.0)  # the late row of that day was dropped, the repeat counted once
+
+
+@pytest.mark.parametrize("n", [1, 20, 33, 34, 150])
+def test_joint_top_percent_of_few_rows(spark, monkeypatch, n):
+    from barlattice.plans import q_statistics as q
+
+    df = spark.createDataFrame([("s", DAY - datetime.timedelta(days=i), float(n - i), float(n - i), 0.0) for i in range(n)], "symbol string, date date, rv double, turnover double, ret10 double")
+    monkeypatch.setattr(q, "bin_inputs", lambda spark, d: df)
+    assert sorted(r.rv for r in q.joint_top_percent(spark, "").collect()) == [float(n - i) for i in range(-(-n // 100))][::-1]

@@ -44,13 +44,18 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    is a temporary folder used.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a local master (as in
+    tests) gets a temporary folder, and a cluster an error, as its machines share no such folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp("-checkpoints")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -76,8 +81,10 @@ def tidy(function):
     return run
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, scanned: DataFrame | None = None) -> int:
+    """The session's shuffle partitions; not fewer than the parts that a table is read in, so that they grow with its bytes."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return least if scanned is None else max(least, scanned.rdd.getNumPartitions())
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +132,16 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             labels = up
 
 
+def trees(labels: np.ndarray, fanout: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(child, parent) for the members of every set: a tree of small fan-out, so that no node gets many edges."""
+    order = np.argsort(labels, kind="stable")
+    own = labels[order]
+    first = np.searchsorted(own, own)
+    place = np.arange(len(order)) - first
+    child = place > 0
+    return order[child], order[first[child] + (place[child] - 1) // fanout]
+
+
 def split_heavy(df: DataFrame, keys: list[str], identity: str, limit: int) -> DataFrame:
     """Give every row of a bucket of over ``limit`` rows to block pairs of that bucket.
 
@@ -163,8 +180,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (node, component) per node that has an edge.
 
     Smallest-label propagation with pointer jumping; every round is cut into the checkpoint folder.
-    The edges are stars made inside the buckets, so that few rounds are needed. ``component`` is the
-    smallest node reachable. A node with very many edges, or a component with very many nodes, is
+    The edges are flat trees made inside the buckets, so that few rounds are needed. ``component`` is
+    the smallest node reachable. A node with very many edges, or a component with very many nodes, is
     spread over tasks by salt.
     """
     one_way = edges.select("a", "b").where("a <> b").distinct()

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, merge_labels, partitions, split_heavy, spread, tidy
+from .common import components, cut, merge_labels, partitions, split_heavy, spread, tidy, trees
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Children of a node of the index.
@@ -112,18 +112,20 @@ class GrayIndex:
             end = end[begin + count - 1]
             mask, pattern, owner = up_mask, up_pattern, owner[begin]
             levels.append((mask, pattern, end, begin, count))
-        self.values, self.levels = values, levels
-        self.root = np.searchsorted(owner, buckets) if n else np.zeros(0, np.int64)
+        self.values, self.levels, self.buckets, self.owner = values, levels, buckets, owner
 
-    def pairs(self, distance: int, chunk: int = 2048):
-        """Index pairs (i < j) of the same bucket within the distance, in chunks."""
+    def search(self, values: np.ndarray, buckets: np.ndarray, distance: int, after: np.ndarray | None = None, chunk: int = 2048):
+        """(query, leaf) index pairs of the same bucket within the distance, in chunks of queries; only leaves past ``after``."""
+        after = np.full(len(values), -1) if after is None else after
         top = len(self.levels) - 1
-        for a in range(0, len(self.values), chunk):
-            query = np.arange(a, min(a + chunk, len(self.values)))
-            node = self.root[query]
+        for a in range(0, len(values) if len(self.values) else 0, chunk):
+            query = np.arange(a, min(a + chunk, len(values)))
+            node = np.minimum(np.searchsorted(self.owner, buckets[query]), len(self.owner) - 1)
+            known = self.owner[node] == buckets[query]
+            query, node = query[known], node[known]
             mask, pattern, end, *_ = self.levels[top]
-            gone = np.bitwise_count((self.values[query] ^ pattern[node]) & mask[node]).astype(np.int16)
-            keep = (gone <= distance) & (end[node] > query + 1)
+            gone = np.bitwise_count((values[query] ^ pattern[node]) & mask[node]).astype(np.int16)
+            keep = (gone <= distance) & (end[node] > after[query] + 1)
             query, node, gone = query[keep], node[keep], gone[keep]
             for level in range(top, 0, -1):
                 _, _, _, begin, count = self.levels[level]
@@ -131,11 +133,15 @@ class GrayIndex:
                 query, gone = np.repeat(query, each), np.repeat(gone, each)
                 node = spread(begin[node], each)
                 mask, pattern, end, *_ = self.levels[level - 1]
-                gone = gone + np.bitwise_count((self.values[query] ^ pattern[node]) & mask[node])
-                keep = (gone <= distance) & (end[node] > query + 1)
+                gone = gone + np.bitwise_count((values[query] ^ pattern[node]) & mask[node])
+                keep = (gone <= distance) & (end[node] > after[query] + 1)
                 query, node, gone = query[keep], node[keep], gone[keep]
             yield query, node
 
+    def pairs(self, distance: int, chunk: int = 2048):
+        """Index pairs (i < j) of the same bucket within the distance, in chunks."""
+        return self.search(self.values, self.buckets, distance, np.arange(len(self.values)), chunk)
+
 
 def block_layout(rows: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """(rotation, bits that must agree): fingerprints within the distance agree in one of these.
@@ -152,16 +158,16 @@ def block_layout(rows: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
 
 
 def links(marks: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints within the distance of each other.
+    """Edges (a, b) of fingerprints that connect all those within the distance of each other.
 
-    ``marks`` has (node, fp), fp distinct. Within a bucket, the pairs found are joined to sets at
-    once and each set leaves as a star, so edges never outnumber the rows of the buckets.
+    ``marks`` has the distinct fingerprints ``fp``. Within a bucket, the pairs found are joined to sets
+    at once and each set leaves as a tree, so edges never outnumber the rows of the buckets.
     """
     layout = block_layout(marks.count(), distance)
     signed = [(i, m - (1 << 64) if m >> 63 else m) for i, m in layout]
-    dealt = marks.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared")) for i, m in signed])).alias("__k"))
-    dealt = dealt.select("node", "fp", F.col("__k.way").alias("way"), F.col("__k.shared").alias("shared"))
-    dealt = split_heavy(dealt, ["way", "shared"], "node", bucket)
+    dealt = marks.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared")) for i, m in signed])).alias("__k"))
+    dealt = dealt.select("fp", F.col("__k.way").alias("way"), F.col("__k.shared").alias("shared"))
+    dealt = split_heavy(dealt, ["way", "shared"], "fp", bucket)
 
     @tidy
     def run(batches):
@@ -169,19 +175,19 @@ def links(marks: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        node, fp, way, shared, lo, hi = (table[c].to_numpy() for c in ("node", "fp", "way", "shared", "lo", "hi"))
+        fp, way, shared, lo, hi = (table[c].to_numpy() for c in ("fp", "way", "shared", "lo", "hi"))
         fp = fp.view(np.uint64)
         order = np.lexsort((gray_rank(fp), hi, lo, shared, way))
-        node, fp, way, shared, lo, hi = (x[order] for x in (node, fp, way, shared, lo, hi))
+        fp, way, shared, lo, hi = (x[order] for x in (fp, way, shared, lo, hi))
         fresh = np.r_[True, (way[1:] != way[:-1]) | (shared[1:] != shared[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
         labels = np.arange(len(fp))
         for a, b in GrayIndex(np.cumsum(fresh) - 1, fp).pairs(distance):
             labels = merge_labels(labels, a, b)
-        tied = np.flatnonzero(labels != np.arange(len(labels)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[labels[tied]])], names=["a", "b"])
+        child, parent = trees(labels)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[child].view(np.int64)), pa.array(fp[parent].view(np.int64))], names=["a", "b"])
 
     spread_out = dealt.repartition(partitions(marks.sparkSession) * 2, "way", "shared", "lo", "hi")
-    return spread_out.select("node", "fp", "way", "shared", "lo", "hi").mapInArrow(run, "a long, b long")
+    return spread_out.select("fp", "way", "shared", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
@@ -194,14 +200,10 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, seed: int = SEED, distanc
     give repeated rows, an empty table an empty result.
     """
     marks = cut(fingerprints(docs, n, seed))
-    nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    joined = components(links(nodes.where("node IS NOT NULL"), distance))
-    named = nodes.join(joined, "node", "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("component_id"))
+    nodes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("__least")))
+    joined = components(links(nodes.select("fp"), distance))
+    placed = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "__least", F.coalesce("component", "fp").alias("__group"))
+    names = placed.groupBy(F.col("__group").alias("__named")).agg(F.min("__least").alias("component_id"))
+    named = placed.join(names, F.col("__group") == F.col("__named")).select(F.col("fp").alias("__fp"), "component_id")
     out = marks.join(named, marks["fp"] == named["__fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, with all their columns."""
-    drop = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti").select(*docs.columns)

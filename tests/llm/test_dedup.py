@@ -47,13 +47,40 @@ def test_simhash(spark, seed):
 
 
 def test_simhash_buckets_split(spark):
-    marks = spark.createDataFrame([(i, (i % 7) | (i // 7) << 40) for i in range(400)], "node long, fp long")
+    marks = spark.createDataFrame([((i % 7) | (i // 7) << 40,) for i in range(400)], "fp long")
     from barlattice.llm.common import components
 
     whole = rows(components(simhash.links(marks, bucket=50_000)))
     assert whole == rows(components(simhash.links(marks, bucket=30))) and len(whole) == 400
 
 
+def test_simhash_links_through_null_ids(spark):
+    """A document without a doc_id links others and takes their name."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+
+    def changed(*places):
+        return " ".join("x" + w if i in places else w for i, w in enumerate(base))
+
+    docs = [(7, changed()), (None, changed(3)), (1, changed(3, 200)), (None, changed(3, 200, 390)), (None, "quite another text")]
+    marks = [brute.fingerprint(t) for _, t in docs]
+    assert all(bin(a ^ b).count("1") <= 4 for a, b in zip(marks[:3], marks[1:4])) and len(set(marks)) == 5
+    out = {r.fingerprint: r.component_id for r in simhash.near_duplicates(frame(spark, docs)).collect()}
+    assert [out[f"{m:016x}"] for m in marks] == [1, 1, 1, 1, None]
+
+
+def test_gray_index_search():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    values, groups = r.integers(0, 2**64, 300, dtype=np.uint64), np.sort(r.integers(0, 5, 300)) * 2
+    order = np.lexsort((simhash.gray_rank(values), groups))
+    values = values[order]
+    asked, asked_groups = r.integers(0, 2**64, 40, dtype=np.uint64), r.integers(0, 11, 40)
+    got = {(int(a), int(b)) for x, y in simhash.GrayIndex(groups, values).search(asked, asked_groups, 24, chunk=7) for a, b in zip(x, y)}
+    assert got == {(i, j) for i in range(40) for j in range(300) if asked_groups[i] == groups[j] and bin(int(asked[i] ^ values[j])).count("1") <= 24}
+
+
 def test_gray_index_finds_all_pairs():
     import numpy as np
 
@@ -159,10 +186,6 @@ def test_repeated_rows(spark, function):
 def test_stages_keep_columns(spark):
     docs = [(i, t, "en", "s", len(t or "")) for i, t in corpus(1)]
     df = frame(spark, docs, SCHEMA).selectExpr("*", "doc_id AS __id", "text AS fp", "1 AS node", "2 AS component", "3 AS __spans")
-    kept = simhash.keep_first(df)
-    assert kept.columns == df.columns
-    names = {r[0] for r in brute.simhash([(d[0], d[1]) for d in docs]) if r[0] == r[2]}
-    assert {r.doc_id for r in kept.collect()} == names
     cut = suffixes.without_repeats(df)
     assert cut.columns == df.columns and cut.count() == len(docs)
     n = {r.doc_id: len(r.text.encode()) for r in cut.collect()}

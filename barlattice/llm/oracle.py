@@ -30,16 +30,16 @@ k AS (SELECT p.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY p.doc_id ORDER B
 t AS (SELECT k.doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
 SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
 
-OP6 = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('6:' || CAST(doc_id AS VARCHAR)) AS key FROM documents),
-s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source), s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS party FROM s0),
+OP6 = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('6:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS held FROM d GROUP BY source), s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS party FROM s0),
 s2 AS (SELECT *, CAST((party - 1) % 3 + 1 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM s1),
 s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, party ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, party ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
-lv AS (SELECT arg_min(level, (cap / weight, party)) FILTER (level * weight <= cap) AS level FROM s3), t AS (SELECT party, source, source_size, least(lv.level * weight, cap) AS target FROM s3, lv),
-n AS (SELECT CAST(round(sum(target) / 64) AS BIGINT) AS blocks FROM t), q AS (SELECT party, i, target / (2 * i + 1) AS quotient FROM (SELECT party, target, unnest(range(0, (SELECT blocks FROM n))) AS i FROM t WHERE target > 0)),
+lv AS (SELECT arg_min(level, (cap / weight, party)) FILTER (level * weight <= cap) AS level FROM s3), t AS (SELECT party, source, source_size, held, least(lv.level * weight, cap) AS target FROM s3, lv),
+u AS (SELECT CAST(greatest(1, least(64, floor(min(target) FILTER (target > 0) / 16))) AS BIGINT) AS unit FROM t), n AS (SELECT CAST(round(sum(target) / any_value(unit)) AS BIGINT) AS blocks FROM t, u), q AS (SELECT party, i, target / (2 * i + 1) AS quotient FROM (SELECT party, target, unnest(range(0, (SELECT blocks FROM n))) AS i FROM t WHERE target > 0)),
 w AS (SELECT party, count(*) AS quota FROM (SELECT party FROM q ORDER BY quotient DESC, party, i LIMIT (SELECT blocks FROM n)) GROUP BY party),
-t2 AS (SELECT t.*, coalesce(quota, 0) AS quota, greatest(1, CAST(ceil(source_size / 1000000) AS BIGINT)) AS shards FROM t LEFT JOIN w USING (party)),
+t2 AS (SELECT t.*, coalesce(quota, 0) AS quota, CAST(greatest(1, ceil(source_size / greatest(1000000, ceil(sum(source_size) OVER () / 100000))), ceil(held / 100000)) AS BIGINT) AS shards FROM t LEFT JOIN w USING (party)),
 e AS (SELECT d.doc_id, d.size, d.key, t2.*, CAST('0x' || left(d.key, 8) AS BIGINT) % shards AS shard FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source),
 h AS (SELECT party, shard, sum(size) AS words, any_value(quota) AS quota FROM e GROUP BY 1, 2), hq AS (SELECT *, words / (2 * i + 1) AS quotient FROM (SELECT *, unnest(range(0, quota)) AS i FROM h WHERE words > 0)),
 hr AS (SELECT party, shard, quota, row_number() OVER (PARTITION BY party ORDER BY quotient DESC, shard, i) AS rank FROM hq), hw AS (SELECT party, shard, count(*) AS seats FROM hr WHERE rank <= quota GROUP BY 1, 2),
-g AS (SELECT e.*, h.words, least(coalesce(seats, 0) * 64, 3 * h.words) AS take, sum(e.size) OVER (PARTITION BY e.party, e.shard ORDER BY key, doc_id) - e.size AS before FROM e JOIN h ON h.party = e.party AND h.shard = e.shard LEFT JOIN hw ON hw.party = e.party AND hw.shard = e.shard)
+g AS (SELECT e.*, h.words, least(coalesce(seats, 0) * u.unit, 3 * h.words) AS take, sum(e.size) OVER (PARTITION BY e.party, e.shard ORDER BY key, doc_id) - e.size AS before FROM e CROSS JOIN u JOIN h ON h.party = e.party AND h.shard = e.shard LEFT JOIN hw ON hw.party = e.party AND hw.shard = e.shard)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN words > 0 THEN take // words ELSE 0 END * size + least(greatest(take - CASE WHEN words > 0 THEN take // words ELSE 0 END * words - before, 0), size) AS BIGINT) AS taken FROM g"""

@@ -56,7 +56,9 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good are the labelled documents of quality that are not toxic; those set aside for choice and report are left out."""
     good = _read(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    good = good.where(~resample.label_part(F.col("doc_id")).isin(resample.REPORT, resample.CHOICE))
     return resample.resample(_read(spark, sf_dir, "documents"), good)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import scramble, word_tokens
@@ -18,6 +18,14 @@ TARGET_ROWS = 20_000
 #: Share of the documents that is selected.
 SHARE = 0.85
 SMOOTHING = 1.0
+#: Bands in which keys are counted to find the last one selected.
+BANDS = 4096
+#: Labelled documents, by crc32 of doc_id as text mod 4: 2 are for the report, 3 for the choice of SHARE; the model has the rest.
+REPORT, CHOICE = 2, 3
+
+
+def label_part(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
 def grams(texts: pa.Array, buckets: int):
@@ -80,36 +88,54 @@ def weigh(docs: DataFrame, model: np.ndarray, seed: int = 10) -> DataFrame:
     return scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
-def top(keyed: DataFrame, k: int, step: float = 0.25) -> DataFrame:
-    """The column ``selected``: is the row among the k of largest key (ties: smaller doc_id)?
+def kth_key(keys: DataFrame, k: int, bands: int = BANDS) -> tuple[float, int]:
+    """The k-th largest ``key``, and how many rows that have just this key are among the k largest.
 
-    Rows are counted by bands of the key; only the band in which the k-th row falls is ranked, in
-    narrower and narrower bands, so that no task sorts the table.
+    Rows are counted in equal bands between the smallest and the largest key; then the band of the k-th
+    row is cut again, until it holds one key. The driver gets one row per band.
     """
-    rest, low, high = k, None, None
-    width = step * 4096
-    inner = keyed
-    above = float("inf")
-    while width > 1e-9:
-        banded = inner.groupBy(F.floor(F.col("key") / width).alias("band")).count().orderBy(F.col("band").desc()).limit(65536).collect()
-        at = None
-        for row in banded:
-            if row["count"] >= rest:
-                at = row
+    low, high = keys.agg(F.min("key"), F.max("key")).first()
+    while low < high:
+        width = (high - low) / bands
+        band = F.least(F.floor((F.col("key") - low) / width), F.lit(bands - 1)) if width > 0 else (F.col("key") == high).cast("long")
+        inside = keys.where(F.col("key").between(low, high)).groupBy(band.alias("band"))
+        for row in inside.agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy(F.col("band").desc()).collect():
+            if row.rows >= k:
+                low, high = row.low, row.high
                 break
-            rest -= row["count"]
-        if at is None:
-            return keyed.withColumn("selected", F.lit(True))
-        low, high = at["band"] * width, (at["band"] + 1) * width
-        above = high if above == float("inf") else min(above, high)
-        inner = inner.where(F.floor(F.col("key") / width) == at["band"])
-        if at["count"] <= 10_000 or at["count"] == rest:
-            break
-        width /= 4096
-    ranked = inner.select("doc_id", "key", F.row_number().over(Window.orderBy(F.col("key").desc(), F.col("doc_id").asc_nulls_last())).alias("__rank")).where(F.col("__rank") == rest).first()
-    cutoff, last = ranked["key"], ranked["doc_id"]
-    tie = (F.col("key") == F.lit(cutoff)) & ((F.col("doc_id") <= F.lit(last)) if last is not None else F.lit(True))
-    return keyed.withColumn("selected", F.coalesce((F.col("key") > F.lit(cutoff)) | tie, F.lit(False)))
+            k -= row.rows
+    return low, k
+
+
+def kth_id(ids: DataFrame, k: int) -> int | None:
+    """The k-th smallest ``doc_id``, found twelve bits at a time; nulls are last."""
+    known, inside = ids.where("doc_id IS NOT NULL"), F.lit(True)
+    if known.count() < k:
+        return None
+    for shift in (52, 40, 28, 16, 4, 0):
+        part = F.shiftright("doc_id", shift)
+        for row in known.where(inside).groupBy(part.alias("part")).count().orderBy("part").collect():
+            if row["count"] >= k:
+                inside = part == row.part
+                break
+            k -= row["count"]
+    return row.part
+
+
+def top(keyed: DataFrame, k: int, bands: int = BANDS) -> DataFrame:
+    """The column ``selected``: is the row among the k of largest key (ties: smaller doc_id, nulls last)?
+
+    No task sorts or holds more than counts. Rows equal in key and doc_id are repeated rows and are
+    selected alike, so there may be more than k rows by those of the last doc_id.
+    """
+    cutoff, wanted = kth_key(keyed, k, bands)
+    above, tied = F.col("key") > F.lit(cutoff), F.col("key") == F.lit(cutoff)
+    equal = keyed.where(tied)
+    if equal.count() > wanted:
+        last = kth_id(equal, wanted)
+        if last is not None:
+            tied = tied & F.coalesce(F.col("doc_id") <= F.lit(last), F.lit(False))
+    return keyed.withColumn("selected", above | tied)
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = 10, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -117,7 +143,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed:
 
     ``target_ids`` has the column doc_id of good documents; of these at most ``target_rows``, by the
     smallest seeded hashes, make the target model. Returns doc_id, n_grams, log_weight, key, selected
-    for every row. A null, empty or wordless text has no n-grams and weight 0 (neither better nor
+    for every row. Of equal (key, doc_id), that is of repeated rows, all are selected or none. A null, empty or wordless text has no n-grams and weight 0 (neither better nor
     worse than the corpus). Equal texts weigh equally; noise tells them apart by doc_id. Repeated
     rows get equal keys. A null doc_id has a key too. Without targets, every weight is near 0 and
     the choice is the noise's. An empty table gives an empty result.

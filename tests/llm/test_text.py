@@ -183,6 +183,53 @@ def test_top_with_ties(spark):
         assert got == {i for _, i in sorted((-(i // 10), i) for i in range(100))[:k]}
 
 
+def test_top_of_many_bands_and_repeated_rows(spark):
+    """Keys far apart, keys closer than any band, equal keys, null and repeated doc_ids."""
+    keys = [(i, i * 2000.0) for i in range(500)] + [(i, 1e-300 * i) for i in range(500, 900)] + [(-(2**62) - i, 7.0) for i in range(50)] + [(2**62 + i, 7.0) for i in range(50)] + [(None, 7.0), (None, 7.0)]
+    r = random.Random(1)
+    r.shuffle(keys)
+    df = spark.createDataFrame(keys, "doc_id long, key double")
+    order = sorted(keys, key=lambda x: (-x[1], x[0] is None, x[0] or 0))
+    for k in (1, 400, 499, 520, 560, 600, 650, 1001, 1002):
+        got = sorted(((x.doc_id, x.key) for x in resample.top(df, k, bands=16).where("selected").collect()), key=str)
+        assert got == sorted(order[: 601 if k == 600 else k], key=str), k  # both null rows, being equal, or none
+    twice = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 5.0), (3, 9.0)], "doc_id long, key double")
+    assert sorted(x.doc_id for x in resample.top(twice, 2).where("selected").collect()) == [1, 1, 3]
+
+
+def test_log_weights(spark):
+    """The model's ratios from counts of hashed words and pairs, counted anew in plain Python."""
+    import math
+
+    from barlattice.llm.anchors import scramble, word_tokens
+
+    docs = [(1, "Alpha beta gamma"), (2, "beta beta"), (3, None), (4, ""), (5, "alpha delta"), (5, "alpha delta"), (None, "gamma beta alpha")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS raw", "2 AS wanted")
+    buckets = 64
+
+    def codes(text):
+        w = [brute_token(x) for x in brute.words((text or "").lower())]
+        pairs = [int(scramble(np.array([a], np.uint64) * np.uint64(3) + np.uint64(b))[0]) for a, b in zip(w, w[1:])]
+        return [x >> 58 for x in w + pairs]
+
+    def brute_token(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(word_tokens(data, np.array([0, len(data)]))[0][0])
+
+    raw, target = [1.0] * buckets, [1.0] * buckets
+    for i, t in docs:
+        for c in codes(t):
+            raw[c] += 1
+            target[c] += i in (1, 5)
+    model = [math.log(t / sum(target)) - math.log(r / sum(raw)) for t, r in zip(target, raw)]
+    out = resample.resample(df, spark.createDataFrame([(1,), (5,), (5,), (None,)], "doc_id long"), share=1.0, buckets=buckets).collect()
+    assert len(out) == len(docs) and all(r.selected for r in out)
+    for i, t in docs:
+        mine = [r for r in out if r.doc_id == i]
+        assert all(r.n_grams == len(codes(t)) and abs(r.log_weight - sum(model[c] for c in codes(t))) < 1e-9 for r in mine)
+        assert len({r.key for r in mine}) == 1
+
+
 REC = "record_id long, url string, ts long, type string, http_status int, headers map<string,string>, digest string"
 
 

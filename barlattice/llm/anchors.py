@@ -31,10 +31,10 @@ INVERSE = pow(BASE, -1, 2**64)
 BYTES = np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)
 #: Anchors that a task gathers before it sends them.
 HELD = 1_500_000
-#: Grams of so many occurrences are hot: their passages are dealt out by more of their context.
-HOT = 4096
-#: Hot grams listed at most, those of most occurrences; every task gets the list (16 bytes each).
-HOT_LIST = 50_000
+#: Grams of so many occurrences are hot: their passages are dealt out by more of their context. A gram
+#: must also be one HOT_SHARE-th of all anchors, so that the list that every task gets (8 bytes each)
+#: has no more than HOT_SHARE grams; one below that is a small part of any task's share.
+HOT, HOT_SHARE = 4096, 50_000
 #: Tokens handled at once; longer documents are read in parts that overlap by a window.
 PART = 1 << 20
 
@@ -256,15 +256,14 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, lis
         yield *now, held
 
 
-def send(df: DataFrame) -> DataFrame:
-    """Bring the parcels of a bucket together, in order; there is one bucket of each kind to a partition."""
-    n = partitions(df.sparkSession)
+def send(df: DataFrame, n: int) -> DataFrame:
+    """Bring the parcels of a bucket together, in order; there is one of the ``n`` buckets of each kind to a partition."""
     return df.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("kind", "bucket")
 
 
 def buckets_for(docs: DataFrame) -> int:
     """As many as partitions: the parcels of a stage are then no more than the blocks of its shuffle."""
-    return partitions(docs.sparkSession)
+    return partitions(docs.sparkSession, docs.select("doc_id"))
 
 
 def deal(buckets: np.ndarray, count: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -343,9 +342,8 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> tuple[Dat
                 opens = np.flatnonzero(np.r_[True, ~again]) if len(h) else np.zeros(0, np.int64)
                 totals = np.add.reduceat(np.concatenate([x[3] for x in seen]).astype(np.int64)[order], opens) if len(h) else opens
                 many = totals >= HOT
-                if many.any():
-                    keys = np.uint64(bucket) << np.uint64(32) | h[opens[many]].astype(np.uint64)
-                    yield 1, bucket, pack(keys, totals[many])
+                keys = np.uint64(bucket) << np.uint64(32) | h[opens[many]].astype(np.uint64)
+                yield 1, bucket, pack(keys, totals[many], totals.sum(keepdims=True))
                 d, p = owners[chosen], spots[chosen]
                 o = np.lexsort((p, d))
                 d, p = d[o], p[o]
@@ -360,23 +358,26 @@ def repeated_anchors(docs: DataFrame, plan: Plan, tokens: Callable) -> tuple[Dat
             for kind, _, blobs in by_bucket(batches):
                 seen = [unpack(b) for b in blobs]
                 if kind == 1:
-                    yield None, np.stack([np.concatenate([x[0] for x in seen]), np.concatenate([x[1] for x in seen]).astype(np.uint64)], axis=1).tobytes()
+                    for keys, times, total in seen:
+                        yield from ((None, None, k, t) for k, t in zip(keys.view(np.int64).tolist(), times.tolist()))
+                        yield None, None, None, int(total[0])
                     continue
                 d, p = np.concatenate([np.cumsum(x[0]) for x in seen]), np.concatenate([x[1] for x in seen])
                 o = np.lexsort((p, d))
                 d, p = d[o], p[o]
                 fresh = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])]
                 for doc, spots in by_document(d[fresh], p[fresh]):
-                    yield doc, spots.astype("<u4").tobytes()
+                    yield doc, spots.astype("<u4").tobytes(), None, None
 
-        yield from batches_of(rows(), ["__doc", "__spots"], [pa.int64(), pa.binary()])
+        yield from batches_of(rows(), ["__doc", "__spots", "__gram", "__times"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
 
     sent = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(scan, PARCEL)
-    found = cut(send(send(sent).mapInArrow(meet, PARCEL)).mapInArrow(regroup, "__doc long, __spots binary"))
-    listed = [np.frombuffer(r[0], np.uint64).reshape(-1, 2) for r in found.where("__doc IS NULL").select("__spots").collect()]
-    hot = np.concatenate(listed) if listed else np.zeros((0, 2), np.uint64)
-    hot = hot[np.argsort(hot[:, 1], kind="stable")[::-1][:HOT_LIST], 0]
-    return found.where("__doc IS NOT NULL"), np.sort(hot)
+    found = cut(send(send(sent, buckets).mapInArrow(meet, PARCEL), buckets).mapInArrow(regroup, "__doc long, __spots binary, __gram long, __times long"))
+    counted = found.where("__doc IS NULL")
+    every = counted.where("__gram IS NULL").agg(F.sum("__times")).first()[0] or 0
+    listed = counted.where((F.col("__gram").isNotNull()) & (F.col("__times") >= max(HOT, every // HOT_SHARE))).select("__gram").collect()
+    hot = np.array([r[0] for r in listed], np.int64).view(np.uint64)
+    return found.where("__doc IS NOT NULL").select("__doc", "__spots"), np.sort(hot)
 
 
 def merge_spans(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -450,7 +451,7 @@ def repeated_spans(docs: DataFrame, plan: Plan, tokens: Callable, send_out: Call
 
         yield from parcels(found())
 
-    spans = send(send(passages.mapInArrow(out, PARCEL)).mapInArrow(meet, PARCEL)).mapInArrow(collect_spans, "__owner long, __spans binary")
+    spans = send(send(passages.mapInArrow(out, PARCEL), buckets).mapInArrow(meet, PARCEL), buckets).mapInArrow(collect_spans, "__owner long, __spans binary")
     return docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == spans["__owner"], "left").select("doc_id", "text", "__spans", *carried)
 
 
@@ -462,5 +463,3 @@ def batch_spots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarr
     spots = np.frombuffer(raw.tobytes(), "<u4").astype(np.int64)
     ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return ids, owners, spots
-
-

@@ -22,8 +22,8 @@ SPAN = 20
 PLAN = Plan(SPAN, 8)
 #: Passages gathered by a task before it settles them among themselves.
 RUN = 200_000
-#: Passages in one automaton.
-SHARD = 500
+#: Words new to an automaton after which it is full (a word makes one or two states of some 400 bytes).
+SHARD = 60_000
 
 
 class SuffixAutomaton:
@@ -98,6 +98,9 @@ def word_passages(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int, h
         texts = [t for h in held for t in h[8]]
         order = np.lexsort((spot, doc, marks))
         fresh = np.r_[True, marks[order][1:] != marks[order][:-1]]
+        for i in np.flatnonzero(~fresh).tolist():  # equal hashes: equal words?
+            x, y = order[i - 1], order[i]
+            fresh[i] = texts[x] != texts[y] or left[x] != left[y]
         later = order[~fresh]
         near, far = full_windows(left[later], right[later], plan)
         whole = near <= far
@@ -161,14 +164,23 @@ def match_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarra
     texts = [t for x in seen for t in x[5].split(b"\n")]
     rank = np.lexsort((spot, doc, grams)).tolist()
     owner, start, end = [], [], []
-    group: list[tuple[int, list[bytes]]] = []
+    group: list[int] = []
     shard: list[tuple[int, list[bytes]]] = []
+    waiting = 0
 
-    def stream(references: list[tuple[int, list[bytes]]], queries: list[tuple[int, list[bytes]]]) -> None:
-        automaton = SuffixAutomaton()
-        for number, (_, words) in enumerate(references):
-            automaton.add(number, words)
-        for i, words in queries:
+    def stream(references: list[tuple[int, list[bytes]]]) -> None:
+        """Match the passages against the automata of all: a passage against those that begin no later."""
+        begin = 0
+        while begin < len(references):
+            automaton, end = SuffixAutomaton(), begin
+            while end < len(references) and len(automaton.link) <= SHARD:
+                automaton.add(end, references[end][1])
+                end += 1
+            match(automaton, references, begin)
+            begin = end
+
+    def match(automaton: SuffixAutomaton, references: list[tuple[int, list[bytes]]], begin: int) -> None:
+        for i, words in references[begin:]:
             base = int(spot[i] - left[i])
             for stop, number, there in automaton.first_starts(words, plan.span):
                 r = references[number][0]
@@ -181,13 +193,16 @@ def match_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarra
                     end.append(at + plan.span)
 
     def close_shard() -> None:
+        nonlocal waiting
         if shard:
             shard.sort(key=lambda x: (doc[x[0]], spot[x[0]]))
-            stream(shard, shard)
+            stream(shard)
             shard.clear()
+        waiting = 0
 
     def close_group() -> None:
         """Passages of one gram, first places first: equal ones are settled, the others matched."""
+        nonlocal waiting
         distinct: list[tuple[int, list[bytes]]] = []
         known: set[tuple] = set()
         for i in group:
@@ -204,13 +219,15 @@ def match_parcels(blobs: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarra
             else:
                 known.add(key)
                 distinct.append((i, words))
-        if len(distinct) > SHARD:
-            for a in range(0, len(distinct), SHARD):
-                stream(distinct[a : a + SHARD], distinct[a:])
-        elif len(distinct) > 1:
-            shard.extend(distinct)
-            if len(shard) >= SHARD:
+        if len(distinct) > 1:
+            words = sum(len(w) for _, w in distinct)
+            if waiting + words > SHARD // 4:
                 close_shard()
+            if words > SHARD // 4:
+                stream(distinct)
+            else:
+                shard.extend(distinct)
+                waiting += words
         group.clear()
 
     for i in rank:

@@ -122,19 +122,40 @@ def test_automata(spark, seed):
     assert rows(automata.deduplicate(frame(spark, docs))) == brute.window_dedup(docs)
 
 
-def test_small_runs_and_shards(spark, monkeypatch):
-    """Many flushes, runs and automata give what one does (the tasks import these bounds)."""
-    docs = corpus(3)
-    plan = anchors.Plan(20, 8)
-    texts = [t for _, t in docs]
+@pytest.mark.parametrize("warm", [False, True])
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_small_parts_runs_and_shards(monkeypatch, kind, warm):
+    """From texts to spans in this process, with texts in many parts, many runs and many automata."""
+    import numpy as np
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array(texts, pa.string())], names=["doc_id", "text"])
-    data, offsets = anchors.text_buffer(batch.column(1))
-    whole = anchors.anchors_of(*anchors.word_tokens(data, offsets), plan)
     monkeypatch.setattr(anchors, "PART", 64)
-    parts = anchors.anchors_of(*anchors.word_tokens(data, offsets), plan)
-    assert set(zip(*map(list, whole))) <= set(zip(*map(list, parts)))
+    monkeypatch.setattr(automata, "RUN", 50)
+    monkeypatch.setattr(suffixes, "RUN", 50)
+    monkeypatch.setattr(automata, "SHARD", 40)
+    docs = sorted(corpus(3), key=lambda d: d[0])
+    plan, tokens, out, settle, want = {
+        "bytes": (suffixes.PLAN, anchors.byte_tokens, suffixes.sorted_runs, suffixes.merge_parcels, brute.suffix_dedup),
+        "words": (automata.PLAN, anchors.word_tokens, automata.word_passages, automata.match_parcels, brute.window_dedup),
+    }[kind]
+    column = pa.array([t for _, t in docs], pa.string())
+    hashes, owners, spots = anchors.anchors_of(*tokens(*anchors.text_buffer(column)), plan)
+    hot = np.unique(anchors.gram_key(hashes, 3)) if warm else np.zeros(0, np.uint64)
+    places = [np.unique(spots[owners == i]).astype("<u4").tobytes() for i in range(len(docs))]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), column, pa.array(places, pa.binary())], names=["doc_id", "text", "__spots"])
+    buckets, found = {}, []
+    for what, bucket, blob in out(iter([batch.slice(0, 40), batch.slice(40)]), plan, 3, hot):
+        if what == 0:
+            buckets.setdefault(bucket, []).append(blob)
+        else:
+            d, s, n = anchors.unpack(blob)
+            found += zip(np.cumsum(d).tolist(), s.tolist(), (s + n).tolist())
+    for blobs in buckets.values():
+        found += zip(*(x.tolist() for x in settle(blobs, plan)))
+    covered = {}
+    for d, s, e in found:
+        covered.setdefault(d, set()).update(range(s, e))
+    assert {i: len(covered.get(i, ())) for i, _ in docs} == {r[0]: r[2] for r in want(docs)}
 
 
 def test_loser_tree_prefixes():

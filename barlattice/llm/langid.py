@@ -18,10 +18,12 @@ DIMS = 8192
 #: Bound on the labelled rows that the model is fitted on: so many per language, and in all.
 PER_LANGUAGE, IN_ALL = 512, 4096
 CLUSTERS = 4
-#: A text is rejected if its cosine is under this share of the lowest among the training rows of its centroid.
+#: A cluster of fewer than this share of its language's rows is no centroid of its own.
+LEAST_CLUSTER = 0.02
+#: A text is rejected if its cosine is under this share of what training texts of its length reach but for one in a hundred.
 REJECT_SHARE = 0.5
-#: Texts of fewer n-grams are too short to be judged by their distance; only those without a letter are rejected.
-JUDGED = 384
+#: Bytes of the pieces of training texts that tell the cosine for each length; between them it is interpolated.
+LENGTHS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 UNKNOWN = "und"
 
 #: ASCII bytes other than letters become spaces; bytes of longer characters stay.
@@ -35,7 +37,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one unit row per centroid
     of: np.ndarray  # the language's index
-    floor: np.ndarray  # lowest cosine that a centroid accepts
+    floor: np.ndarray  # lowest accepted cosine of texts of each of LENGTHS bytes
 
 
 def grams(text: np.ndarray, dims: int = DIMS, chunk: int = 1 << 20) -> np.ndarray:
@@ -70,20 +72,43 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1)
 
 
-def clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from farthest-first seeds; the same rows give the same centroids."""
-    seeds = [unit(rows.mean(axis=0, keepdims=True))[0]]
-    best = rows @ seeds[0]
-    while len(seeds) < min(k, len(rows)):
-        seeds.append(rows[int(best.argmin())])
-        best = np.maximum(best, rows @ seeds[-1])
-    centres = np.stack(seeds)
+def clusters(rows: np.ndarray, k: int, rounds: int = 12, least: float = LEAST_CLUSTER) -> np.ndarray:
+    """Spherical k-means; the same rows give the same centroids.
+
+    It starts from a bisection: the largest cluster is halved along the direction in which its rows vary
+    most, until there are ``k``. So no odd row becomes a centroid; clusters of less than a share ``least``
+    of the rows are dissolved.
+    """
+    own = np.zeros(len(rows), int)
+    for c in range(1, min(k, len(rows) // 2)):
+        big = np.flatnonzero(own == np.bincount(own).argmax())
+        apart = rows[big] - rows[big].mean(axis=0)
+        along = np.linalg.eigh((apart @ apart.T).astype(np.float64))[1][:, -1]
+        own[big[along > np.median(along)]] = c
+    centres = np.stack([unit(rows[own == c].mean(axis=0, keepdims=True))[0] for c in np.unique(own)])
     for _ in range(rounds):
         own = (rows @ centres.T).argmax(axis=1)
-        centres = np.stack([unit(rows[own == c].mean(axis=0, keepdims=True))[0] if (own == c).any() else centres[c] for c in range(len(centres))])
+        held = [c for c in range(len(centres)) if (own == c).sum() >= max(1, least * len(rows))]
+        centres = np.stack([unit(rows[own == c].mean(axis=0, keepdims=True))[0] for c in held]) if held else centres[:1]
     return centres
 
 
+def floors(pieces: list[bytes], langs: np.ndarray, idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, languages: list[str]) -> np.ndarray:
+    """For each of LENGTHS, REJECT_SHARE of the cosine that all but one in a hundred training pieces have with their own language."""
+    out = []
+    for length in LENGTHS:
+        near = []
+        for i, lang in enumerate(languages):
+            cut = [np.frombuffer(p[:length], np.uint8) for p, n in zip(pieces, langs) if n == lang and len(p) >= length]
+            for a in range(0, len(cut), 256):
+                rows = unit(np.log1p(np.stack([grams(c, len(idf)) for c in cut[a : a + 256]])).astype(np.float32) * idf)
+                near.append((rows @ centroids[of == i].T).max(axis=1))
+        # A length that too few training texts have is judged as the length before.
+        known = np.concatenate(near) if near else np.zeros(0)
+        out.append(REJECT_SHARE * float(np.quantile(known, 0.01)) if len(known) >= 50 else (out[-1] if out else 0.0))
+    return np.array(out)
+
+
 def held_out() -> Column:
     """Rows that the model never learns from: crc32 of doc_id as text, mod 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -94,8 +119,9 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
 
     The sample holds at most ``per_language`` rows of a language and ``in_all`` rows together: one of
     each slot of a seeded hash of doc_id, the smallest. Languages take turns, so that each has up to
-    ``in_all`` / languages rows before any has more. Only their vectors come to the driver (2 bytes
-    * dims * in_all at most).
+    ``in_all`` / languages rows before any has more. Only their vectors and a piece of each text come to
+    the driver (2 bytes * dims and the largest of LENGTHS for each row); of repeated rows of a doc_id,
+    one. The pieces, cut to each of LENGTHS, tell how near texts of that length come.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     key = F.xxhash64(F.lit(7), F.col("doc_id"))
@@ -106,14 +132,21 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
 
     @tidy
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
+            fresh = [k not in seen and not seen.add(k) for k in batch.column(2).to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            lowered = pc.utf8_lower(batch.column(1).cast(pa.large_string()))
             for a, b, rows in vectors(batch.column(1), dims):
                 blobs = pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs], names=["lang", "vector"])
+                middles = [x.as_buffer() for x in lowered.slice(a, b - a)]
+                middles = [bytes(x[max(0, (len(x) - LENGTHS[-1]) // 2) :][: LENGTHS[-1]]) for x in map(memoryview, middles)]
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), blobs, pa.array(middles, pa.binary())], names=["__id", "lang", "vector", "piece"])
 
     texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(some), texts["doc_id"] == some["__id"]).where("lang IS NOT NULL")
-    found = chosen.select("lang", "text").mapInArrow(run, "lang string, vector binary").collect()
+    chosen = texts.join(F.broadcast(some), texts["doc_id"] == some["__id"]).where("lang IS NOT NULL AND text IS NOT NULL")
+    vectored = chosen.select("lang", "text", F.col("__id").cast("long").alias("__id")).mapInArrow(run, "__id long, lang string, vector binary, piece binary")
+    found = vectored.groupBy("__id").agg(F.min(F.struct("lang", "vector", "piece")).alias("row")).select("row.*").collect()
     if not found:
         return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(0))
     found.sort()
@@ -121,17 +154,13 @@ def fit(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE, in_
     rows = np.stack([np.frombuffer(r.vector, np.float16) for r in found]).astype(np.float32)
     idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 1
     rows = unit(rows * idf)
-    languages, centroids, of, floor = sorted(set(langs.tolist())), [], [], []
+    languages, centroids, of = sorted(set(langs.tolist())), [], []
     for i, lang in enumerate(languages):
-        own = rows[langs == lang]
-        centres = clusters(own, k)
-        near = own @ centres.T
-        for c in range(len(centres)):
-            mine = near[near.argmax(axis=1) == c, c]
-            floor.append(REJECT_SHARE * (float(mine.min()) if len(mine) else 0.0))
+        centres = clusters(rows[langs == lang], k)
         centroids.append(centres)
         of += [i] * len(centres)
-    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(of), np.array(floor))
+    centroids, of = np.concatenate(centroids).astype(np.float32), np.array(of)
+    return Model(languages, idf, centroids, of, floors([bytes(r.piece) for r in found], langs, idf, centroids, of, languages))
 
 
 def judge(texts: pa.Array, letters: np.ndarray, model: Model):
@@ -144,7 +173,8 @@ def judge(texts: pa.Array, letters: np.ndarray, model: Model):
         near = unit(rows * model.idf) @ model.centroids.T
         best = near.argmax(axis=1)
         score = np.where(known, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0)
-        far = (score < model.floor[best]) & (np.expm1(rows).sum(axis=1) >= JUDGED)
+        # Three n-grams to a byte, but for the ends of the text.
+        far = score < np.interp(np.log2(np.maximum(np.expm1(rows).sum(axis=1) / 3, 1)), np.log2(LENGTHS), model.floor)
         yield a, b, [model.languages[model.of[c]] if ok else UNKNOWN for c, ok in zip(best, known)], score.astype(float), ~known | far
 
 
@@ -158,8 +188,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is the language of the nearest centroid and score its cosine (0 to 1). A text that is
     null, empty or without a letter has lang_pred ``und``, score 0 and is rejected; so has every text
-    if nothing could be learned. ``rejected`` is also true where the cosine is under the centroid's
-    floor and the text has JUDGED n-grams or more. Ties go to the first language in code point order.
+    if nothing could be learned. ``rejected`` is also true where the cosine is under the floor for
+    texts of its length. Ties go to the first language in code point order.
     """
 
     @tidy

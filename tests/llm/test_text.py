@@ -273,3 +273,35 @@ def test_canonical_url(spark):
     from pyspark.sql import functions as F
 
     assert {r.u: r.c for r in df.select("u", revisit.canonical_url(F.col("u")).alias("c")).collect()} == cases
+
+
+def test_language_vectors_and_rejection(spark):
+    """Counts and cosines anew in plain Python; foreign texts, even short ones, are rejected, those of the corpus are not."""
+    docs = multilingual()
+    df = spark.createDataFrame(docs + [(i, t, lang) for i, t, lang in docs[:40]], "doc_id long, text string, lang string")
+    model = langid.fit(df, dims=256)
+
+    def counts(text):
+        b = [x if x >= 0x80 or 97 <= x <= 122 else 32 for x in text.lower().encode()]
+        out = np.zeros(256)
+        for n in (1, 2, 3):
+            for i in range(len(b) - n + 1):
+                code = 0
+                for x in b[i : i + n]:
+                    code = (code * 257 + x) % 2**32
+                out[((code + n * 0x51ED27) * 0x9E3779B1 % 2**32) >> 24] += 1
+        return out
+
+    texts = ["The and of, was!", "über und ich sch", "été", "t"]
+    for text in texts:
+        raw = np.frombuffer(text.lower().encode(), np.uint8)
+        assert (langid.grams(raw, 256) == counts(text)).all() and (langid.grams(raw, 256, chunk=4) == counts(text)).all()
+    odd = ["Η γρήγορη καφέ αλεπού πηδά πάνω", "Η αλεπού", "лиса", "字漢文本在這裡"]
+    rows = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts + odd)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        v = np.log1p(counts(text)) * model.idf
+        cosines = model.centroids @ (v / np.linalg.norm(v))
+        assert abs(rows[i].score - cosines.max()) < 1e-4 and rows[i].lang_pred == model.languages[model.of[cosines.argmax()]]
+    assert [rows[i].rejected for i in range(len(texts))] == [False] * 4
+    assert all(rows[i].rejected for i in range(len(texts), len(rows)))
+    assert not any(r.rejected for r in langid.predict(df, model).collect())

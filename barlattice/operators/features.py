@@ -14,6 +14,15 @@ def back(a: int, b: int = 0):
     return by_symbol().rowsBetween(a, b)
 
 
+def tiled(best, value: str, tile: int, tiles: int, skip: int = 0) -> Column:
+    """Extreme of ``tiles * tile`` bars up to the bar (or ``skip`` before it) from ``value``, the extreme of ``tile`` bars.
+
+    A sliding frame is read anew for every bar, so a long one is made of the few short ones it consists of.
+    """
+    parts = [F.lag(value, skip + tile * i).over(by_symbol()) for i in range(tiles)]
+    return best(*parts)
+
+
 def pct(now: Column, then: Column) -> Column:
     return (F.try_divide(now, then) - 1) * 100
 
@@ -23,9 +32,13 @@ def platform_features(panel: DataFrame, index: DataFrame | None = None) -> DataF
     c, h, l, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     step = panel.withColumn("rn", F.row_number().over(by_symbol())).withColumn("prev_close", F.lag("close").over(by_symbol()))
     step = step.withColumn("up_v", F.when(c > F.col("prev_close"), v)).withColumn("down_v", F.when(c < F.col("prev_close"), v))
+    step = step.select(
+        "*", F.min("low").over(back(-24)).alias("lo25"), F.max("high").over(back(-24)).alias("hi25"),
+        F.min("low").over(back(-19)).alias("lo20"), F.max("high").over(back(-19)).alias("hi20"), F.max("close").over(back(-19)).alias("hi_c20"),
+    )
     vma = F.avg("volume").over(back(-20, -1))
-    llv, hhv = F.min("low").over(back(-249)), F.max("high").over(back(-249))
-    lo60 = F.min("low").over(back(-60, -1))
+    llv, hhv = tiled(F.least, "lo25", 25, 10), tiled(F.greatest, "hi25", 25, 10)
+    lo60 = tiled(F.least, "lo20", 20, 3, skip=1)
     up, down = F.avg("up_v").over(back(-19)), F.avg("down_v").over(back(-19))
     out = step.select(
         "symbol", "date", "open", "high", "low", "close", "volume", "turnover", "rn", "prev_close",
@@ -37,20 +50,23 @@ def platform_features(panel: DataFrame, index: DataFrame | None = None) -> DataF
         *[pct(c, F.lag("close", n).over(by_symbol())).alias(f"chg{n}") for n in (1, 5, 10, 20)],
         llv.alias("llv250"), hhv.alias("hhv250"),
         F.when(hhv > llv, (c - llv) / (hhv - llv)).otherwise(0.5).alias("pos250"),
-        F.max("close").over(back(-60, -1)).alias("prev60_hi_c"),
+        tiled(F.greatest, "hi_c20", 20, 3, skip=1).alias("prev60_hi_c"),
         lo60.alias("prev60_lo"),
-        ((F.max("high").over(back(-60, -1)) - lo60) / lo60).alias("plat_range"),
+        ((tiled(F.greatest, "hi20", 20, 3, skip=1) - lo60) / lo60).alias("plat_range"),
         F.coalesce(F.try_divide(up, down), F.lit(1.0)).alias("ud_ratio"),
-        F.min("low").over(back(-19)).alias("min_low20"),
-        F.max("high").over(back(-59)).alias("max_high60"),
-        F.max("high").over(back(-119)).alias("max_high120"),
+        F.col("lo20").alias("min_low20"),
+        tiled(F.greatest, "hi20", 20, 3).alias("max_high60"),
+        tiled(F.greatest, "hi20", 20, 6).alias("max_high120"),
         F.min_by("low", F.struct(-v, F.col("date"))).over(back(-9)).alias("vol_bar_lo"),
     )
     out = out.withColumn("bias20", pct(F.col("close"), F.col("ma20")))
-    if index is None:
-        return out
+    return out if index is None else with_index(out, index)
+
+
+def with_index(features: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds the benchmark's change over five sessions and the relative strength against it."""
     moved = index_change(index).select("date", "index_chg5")
-    return out.join(moved, "date", "left").withColumn("rs", F.col("chg5") - F.col("index_chg5"))
+    return features.join(moved, "date", "left").withColumn("rs", F.col("chg5") - F.col("index_chg5"))
 
 
 def index_change(index: DataFrame) -> DataFrame:
@@ -152,30 +168,45 @@ def relative_volume(panel: DataFrame, window: int = 20) -> DataFrame:
     return base.select("symbol", "date", ratio.alias("median_ratio"), z.alias("robust_z"), status.alias("status"))
 
 
-def volume_profile(signals: DataFrame, numbered: DataFrame, bins: int = 20, window: int = 120) -> DataFrame:
-    """Volume by price of the ``window`` bars up to each signal: signal_id, bin, edge, volume, for all bins.
+def with_profile(panel: DataFrame, window: int = 120) -> DataFrame:
+    """Adds ``past``, close and volume of the ``window`` bars up to each bar, and their lowest low and highest high."""
+    x = panel.select("*", F.min("low").over(back(-19)).alias("__lo"), F.max("high").over(back(-19)).alias("__hi"))
+    past = F.collect_list(F.struct("close", "volume")).over(back(1 - window))
+    return x.select(*panel.columns, past.alias("past"), tiled(F.least, "__lo", 20, window // 20).alias("profile_lo"), tiled(F.greatest, "__hi", 20, window // 20).alias("profile_hi"))
+
+
+def volume_profile(signals: DataFrame, bins: int = 20) -> DataFrame:
+    """The columns of ``signals`` (of ``with_profile``, by symbol and signal_id) with ``volumes``: volume by price in equal bins.
 
-    Every signal lists its places and meets its bars by equality. The bin of a close is the number of
-    edges at or below it, so that a flat range is one bin.
+    The bin of a close is the number of edges at or below it, so that a flat range is one bin. The bars
+    of a signal come with it and the sums stay with the symbol: there is no join and no exchange.
     """
-    wanted = signals.select("signal_id", "symbol", F.explode(F.sequence(F.col("rn") - (window - 1), F.col("rn"))).alias("rn"))
-    met = wanted.join(numbered.select("symbol", "rn", "high", "low", "close", "volume"), ["symbol", "rn"])
-    per = met.groupBy("signal_id").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.collect_list(F.struct("close", "volume")).alias("past"))
-    edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins)
-    per = per.withColumn("edges", edges)
-    place = F.least(F.greatest(F.size(F.filter("edges", lambda e: e <= F.col("x.close"))) - 1, F.lit(0)), F.lit(bins - 1))
-    placed = per.select("signal_id", "edges", F.explode("past").alias("x")).select("signal_id", place.alias("bin"), F.col("x.volume").alias("volume"))
-    sums = placed.groupBy("signal_id", "bin").agg(F.sum("volume").alias("volume"))
-    grid = per.select("signal_id", F.posexplode(F.slice("edges", 1, bins)).alias("bin", "edge"))
-    return grid.join(sums, ["signal_id", "bin"], "left").select("signal_id", "bin", "edge", F.coalesce("volume", F.lit(0.0)).alias("volume"))
-
-
-def profile_levels(profile: DataFrame, signals: DataFrame) -> DataFrame:
-    """Per signal: share of volume in bins over 1.02 closes (overhang), and the edge of the fullest bin above the close."""
-    x = profile.join(signals.select("signal_id", "close"), "signal_id")
-    above = F.col("edge") > F.col("close") * 1.02
-    fullest = F.max_by("edge", F.when(F.col("edge") > F.col("close"), F.struct(F.round("volume", 6), -F.col("bin"))))
-    return x.groupBy("signal_id").agg(F.coalesce(F.try_divide(F.sum(F.when(above, F.col("volume")).otherwise(0.0)), F.sum("volume")), F.lit(0.0)).alias("overhang"), fullest.alias("vol_edge"))
+    lo, hi, x = F.col("profile_lo"), F.col("profile_hi"), F.col("__x.close")
+    keep = [c for c in signals.columns if c != "past"]
+    each = signals.withColumn("__x", F.explode("past"))
+    guess = F.when(hi > lo, F.floor((x - lo) / (hi - lo) * bins)).otherwise(bins - 1)
+    each = each.withColumn("__g", guess)
+    g = F.col("__g")
+
+    def edge(i):
+        return lo + (hi - lo) * i / bins
+
+    place = F.least(F.greatest(g + F.when(x >= edge(g + 1), 1).when(x < edge(g), -1).otherwise(0), F.lit(0)), F.lit(bins - 1))
+    each = each.withColumn("__bin", F.when(hi > lo, place).otherwise(bins - 1))
+    sums = [F.coalesce(F.sum(F.when(F.col("__bin") == i, F.col("__x.volume"))), F.lit(0.0)).alias(f"__v{i}") for i in range(bins)]
+    others = [F.first(c).alias(c) for c in keep if c not in ("symbol", "signal_id")]
+    done = each.groupBy("symbol", "signal_id").agg(*others, *sums)
+    return done.select(*keep, F.array(*[F.struct(F.lit(i).alias("bin"), edge(F.lit(i)).alias("edge"), F.col(f"__v{i}").alias("volume")) for i in range(bins)]).alias("volumes"))
+
+
+def profile_levels(profile: DataFrame) -> DataFrame:
+    """Adds the share of volume in bins over 1.02 closes (overhang), and the edge of the fullest bin above the close (vol_edge)."""
+    def total(bins):
+        return F.aggregate(bins, F.lit(0.0), lambda s, b: s + b["volume"])
+
+    above = F.filter("volumes", lambda b: b["edge"] > F.col("close") * 1.02)
+    ranked = F.transform(F.filter("volumes", lambda b: b["edge"] > F.col("close")), lambda b: F.struct(F.round(b["volume"], 6).alias("v"), (-b["bin"]).alias("b"), b["edge"].alias("edge")))
+    return profile.withColumn("overhang", F.coalesce(F.try_divide(total(above), total(F.col("volumes"))), F.lit(0.0))).withColumn("vol_edge", F.array_max(ranked)["edge"])
 
 
 def first_breakout(panel: DataFrame) -> DataFrame:

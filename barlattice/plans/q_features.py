@@ -34,8 +34,8 @@ pv AS (SELECT pf.signal_id, sum(CASE WHEN edge > close * 1.02 THEN volume ELSE 0
 
 @query("o3_2_volume_by_price", f"WITH {P.BARS}, {P.NUMBERED}, {P.SIGNALS}, {PROFILE_SQL} SELECT signal_id, bin, round(edge, 6) AS edge, round(volume, 6) AS volume FROM pf")
 def volume_by_price(spark, d):
-    panel = P.bars(spark, d)
-    return r6(fx.volume_profile(P.signals(panel), P.numbered(panel)), "edge volume", "signal_id", "bin")
+    x = fx.volume_profile(P.signal_bars(fx.with_profile(P.bars(spark, d))).select("symbol", "signal_id", "past", "profile_lo", "profile_hi"))
+    return r6(x.select("signal_id", F.inline("volumes")), "edge volume", "signal_id", "bin")
 
 
 @query(
@@ -44,10 +44,9 @@ def volume_by_price(spark, d):
     "SELECT signal_id, round(overhang, 6) AS overhang, round(vol_edge, 6) AS vol_edge, round(vol_bar_lo, 6) AS vol_bar_lo FROM pv JOIN vb USING (signal_id)",
 )
 def overhang(spark, d):
-    panel = P.bars(spark, d)
-    s = P.signals(panel)
-    lows = panel.select(F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("signal_id"), F.min_by("low", F.struct(-F.col("volume"), F.col("date"))).over(fx.back(-9)).alias("vol_bar_lo"))
-    return r6(fx.profile_levels(fx.volume_profile(s, P.numbered(panel)), s).join(lows, "signal_id"), "overhang vol_edge vol_bar_lo", "signal_id")
+    panel = P.bars(spark, d).withColumn("vol_bar_lo", F.min_by("low", F.struct(-F.col("volume"), F.col("date"))).over(fx.back(-9)))
+    x = P.signal_bars(fx.with_profile(panel)).select("symbol", "signal_id", "close", "vol_bar_lo", "past", "profile_lo", "profile_hi")
+    return r6(fx.profile_levels(fx.volume_profile(x)), "overhang vol_edge vol_bar_lo", "signal_id")
 
 
 @query(

@@ -62,10 +62,10 @@ LEVELS_WITH = f"WITH {B}, {P.NUMBERED}, {P.INDEX}, {FEATURES}, {P.SIGNALS}, {PRO
 def signal_levels(spark, d):
     """Signals with features, volume profile, sector and levels: one row per signal."""
     panel = P.kept_bars(spark, d)
-    s, member = P.signals(panel), P.sectors(spark, d)
-    x = fx.platform_features(panel, P.index_bars(panel)).drop("signal_id")
-    x = s.select("signal_id", "symbol", F.col("signal_date").alias("date")).join(x, ["symbol", "date"])
-    x = x.join(fx.profile_levels(fx.volume_profile(s, P.numbered(panel)), s), "signal_id")
+    member = P.sectors(spark, d)
+    x = P.signal_bars(fx.with_profile(fx.platform_features(panel).drop("rn")))
+    x = fx.profile_levels(fx.volume_profile(x)).drop("volumes")
+    x = fx.with_index(x, P.index_bars(panel))
     x = x.join(member, "symbol", "left").join(P.sector_ranks(panel, member), ["date", "sector"], "left")
     return pt.levels(x)
 

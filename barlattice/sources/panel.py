@@ -24,12 +24,13 @@ SYMBOL = "(CASE CAST({0} AS BIGINT) % 4 WHEN 0 THEN '60' WHEN 1 THEN '00' WHEN 2
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, date, open, high, low, close, volume, turnover.
 
-    One exchange by symbol serves both the aggregation to bars and every window over a symbol.
+    Line items are aggregated where they are read, then by (symbol, date); so only bars, of which a symbol
+    has one a day, are ever brought together by symbol, however many line items it has.
     """
     lines = read(spark, sf_dir, "lineitem").select(
         symbol_of(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"
     )
-    lines = lines.withColumn("px", 10 + F.sqrt("l_extendedprice") / 300).repartition("symbol")
+    lines = lines.withColumn("px", 10 + F.sqrt("l_extendedprice") / 300)
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return lines.groupBy("symbol", "date").agg(
         F.min_by("px", order).alias("open"),
@@ -44,13 +45,19 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the session's shared checkpoint folder and read it from there.
 
-    For a panel that a query uses several times: the line items behind it are then read once. Only
-    where ``spark.checkpoint.dir`` is unset, as in local tests, a temporary folder takes its place.
+    For a panel that a query uses several times: the line items behind it are then read once. Where
+    ``spark.checkpoint.dir`` is unset, a local master, as in tests, gets a temporary folder and a cluster
+    an error, as its machines share no such folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp("-checkpoints")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -139,13 +146,17 @@ sr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY sector_chg DESC,
   SELECT date, sector, round(avg(chg), 6) AS sector_chg FROM chg JOIN sec USING (symbol) WHERE chg IS NOT NULL GROUP BY date, sector))"""
 
 
+def signal_bars(panel: DataFrame) -> DataFrame:
+    """The bars that are signals, with all their columns, rn and signal_id: from the 120th on, closing above the 20 closes before."""
+    before = F.max("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-20, -1))
+    x = numbered(panel.withColumn("before", before)).where((F.col("rn") >= 120) & (F.col("close") > F.col("before"))).drop("before")
+    return x.withColumn("signal_id", F.concat_ws(":", "symbol", F.col("date").cast("string")))
+
+
 def signals(panel: DataFrame) -> DataFrame:
-    """Bars from the 120th on that close above the 20 closes before: trigger just above the high, stop below the low, target beyond."""
-    w = Window.partitionBy("symbol").orderBy("date")
-    chosen = numbered(panel.withColumn("before", F.max("close").over(w.rowsBetween(-20, -1)))).where((F.col("rn") >= 120) & (F.col("close") > F.col("before")))
-    return chosen.select(
-        F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("signal_id"),
-        "symbol", F.col("date").alias("signal_date"), "rn", "close",
+    """Signals: trigger just above the bar's high, stop below its low, target beyond."""
+    return signal_bars(panel).select(
+        "signal_id", "symbol", F.col("date").alias("signal_date"), "rn", "close",
         F.round(F.col("high") * 1.0005, 4).alias("trigger"), F.round(F.col("low") * 0.995, 4).alias("stop"), F.round(F.col("high") * 1.02, 4).alias("target"),
     )
 

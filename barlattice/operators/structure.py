@@ -144,3 +144,106 @@ def exit_states(after: DataFrame, rule: Rule = BALANCED, window: int = 5, pushes
         .when(now, "REPEATED_RESISTANCE_REJECTION_RISK").otherwise("HOLD_OR_REOBSERVE")
     )
     return x.withColumn("exit_state", state).withColumnRenamed("n", "failed_pushes")
+
+
+#: What a pair of lows is judged by, in order: the trend, the structure, the bar itself, the support.
+TREND = ("close_above_fast_average", "ma_order_ok", "positive_slope", "up_close_fraction_ok")
+GATES = ("pre_pullback_peak_available", "peak_age_ok", "depth_ok", "rebound_high_available", "rebound_size_ok")
+CONFIRMATION = ("close_above_rebound_high", "close_above_previous_close", "positive_body", "close_location_ok")
+SUPPORT = ("entry_support_ok",)
+NEAR_MISS = {**dict.fromkeys(TREND, "ONE_TREND_SUBCONDITION"), **dict.fromkeys(CONFIRMATION, "ONE_CONFIRMATION_SUBCONDITION"), "depth_ok": "DEPTH_ONLY", "peak_age_ok": "PEAK_AGE_ONLY", "rebound_size_ok": "REBOUND_SIZE_ONLY", "entry_support_ok": "SUPPORT_ONLY"}
+
+
+def pair_contexts(panel: DataFrame, rule: Rule = BALANCED, history: int = 260) -> DataFrame:
+    """Every pair of rising pivot lows of each symbol's last ``history`` bars, judged for its last bar T.
+
+    One row per pair; a symbol without pairs has one row with a null ``rn1``. Conditions that cannot be
+    told are null. All looks along a symbol are windows over its ``history`` bars, and pairs meet by
+    symbol, at most some thousand for one.
+    """
+    from pyspark.sql import Window
+
+    w, every = fx.by_symbol(), Window.partitionBy("symbol")
+    trend = fx.trend_features(panel, rule.fast, rule.slow, rule.trend, rule.up_fraction).select("symbol", "date", "sma_fast", "sma_slow", "log_slope", "up_fraction")
+    x = panel.withColumn("rn", F.row_number().over(w)).withColumn("t", F.max("rn").over(every)).where(F.col("rn") > F.col("t") - history)
+    x = pt.pivots(x.withColumn("prev_close", F.lag("close").over(w)), rule.radius)
+    after = Window.partitionBy("symbol").orderBy(F.col("rn").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before_t = F.col("rn") < F.col("t")
+    x = x.withColumn("later_low", F.min(F.when(before_t, F.col("low"))).over(after)).withColumn("later_close", F.min(F.when(before_t, F.col("close"))).over(after))
+    known = F.col("rn") < F.col("t") - rule.radius
+    high = F.when(F.col("is_high") & known, F.struct("rn", "high", "later_low", "later_close"))
+    x = x.withColumn("peak", F.last(high, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("last_high", F.max(high).over(every))
+    last = x.where("rn = t").select("symbol", "date", "t", "open", "high", "low", "close", "prev_close").join(trend, ["symbol", "date"], "left")
+    lows = x.where(F.col("is_low") & known)
+    first = lows.select("symbol", F.col("rn").alias("rn1"), F.col("low").alias("low1"), "peak")
+    second = lows.select(F.col("symbol").alias("__s"), F.col("rn").alias("rn2"), F.col("low").alias("low2"), F.when(F.col("last_high.rn") > F.col("rn"), F.col("last_high")).alias("rebound"))
+    pairs = first.join(second, (F.col("symbol") == F.col("__s")) & (F.col("rn2") - F.col("rn1") >= rule.apart) & (F.col("low2") > F.col("low1"))).drop("__s")
+    y = last.join(pairs, "symbol", "left")
+    c, span = F.col("close"), F.col("high") - F.col("low")
+    y = y.withColumn("age", F.col("t") - F.col("peak.rn")).withColumn("depth", (F.col("peak.high") - F.col("peak.later_low")) / F.col("peak.high")).withColumn("size", (F.col("rebound.high") - F.col("low2")) / F.col("low2"))
+    y = y.withColumn("place", F.when(span > 0, (c - F.col("low")) / span).otherwise(1.0)).withColumn("least_close", F.least(c, F.col("peak.later_close")))
+    paired = F.col("rn1").isNotNull()
+    conditions = {
+        "close_above_fast_average": c > F.col("sma_fast"), "ma_order_ok": F.col("sma_fast") > F.col("sma_slow"), "positive_slope": F.col("log_slope") > 0, "up_close_fraction_ok": F.col("up_fraction") >= rule.up_fraction,
+        "pre_pullback_peak_available": F.when(paired, F.col("peak").isNotNull()), "peak_age_ok": F.col("age") <= rule.reach, "depth_ok": F.col("depth").between(*rule.depth),
+        "rebound_high_available": F.when(paired, F.col("rebound").isNotNull()), "rebound_size_ok": F.col("size").between(*rule.rebound),
+        "close_above_rebound_high": c > F.col("rebound.high"), **{n: F.when(F.col("rebound").isNotNull(), e) for n, e in {"close_above_previous_close": c > F.col("prev_close"), "positive_body": c > F.col("open"), "close_location_ok": F.col("place") >= rule.close_location}.items()},
+        "entry_support_ok": F.when(F.col("peak").isNotNull(), F.col("least_close") >= F.col("low1")),
+    }
+    y = y.select("*", *[e.alias(n) for n, e in conditions.items()])
+    names = [*TREND, *GATES, *CONFIRMATION, *SUPPORT]
+    known_all, fails = F.lit(True), F.lit(0)
+    for n in names:
+        known_all, fails = known_all & F.col(n).isNotNull(), fails + F.coalesce((~F.col(n)).cast("int"), F.lit(0))
+    fits = F.lit(True)
+    for n in GATES:
+        fits = fits & F.coalesce(F.col(n), F.lit(False))
+    y = y.withColumn("failed_count", F.when(known_all, fails)).withColumn("fits", fits & paired)
+    place = F.struct("rn2", "rn1")
+    # Pairs are tried from the latest second low and, for it, the latest first low; the first that fits ends the search.
+    y = y.withColumn("chosen", F.max(F.when(F.col("fits"), place)).over(every))
+    y = y.where(F.col("chosen").isNull() | (place >= F.col("chosen")))
+    return y.withColumn("near", paired & (F.col("chosen").isNull() | (place == F.col("chosen"))))
+
+
+def diagnosis(contexts: DataFrame, rule: Rule = BALANCED) -> DataFrame:
+    """One row per symbol: structure status, match, pairs tried, failures of each gate and the least number of failed conditions."""
+    def met(names):
+        out = F.lit(True)
+        for n in names:
+            out = out & F.coalesce(F.col(n), F.lit(False))
+        return out
+
+    one = met(TREND) & F.col("fits") & met(CONFIRMATION) & met(SUPPORT)
+    x = contexts.groupBy("symbol", "date").agg(
+        F.max("t").alias("bars"), F.count("rn1").alias("pairs"), F.max("fits").alias("fitted"), F.max(F.coalesce("pre_pullback_peak_available", F.lit(False))).alias("peaks"),
+        F.max(F.coalesce(F.col("peak_age_ok") & F.col("depth_ok"), F.lit(False))).alias("aged"), F.max(one).alias("matched"), F.min(F.when(F.col("near"), F.col("failed_count"))).cast("long").alias("least_failed"),
+        *[F.count_if(~F.col(n)).alias(f"n_{n}_failed") for n in GATES],
+    )
+    status = (
+        F.when(F.col("bars") < max(rule.slow, rule.reach + 2), "INSUFFICIENT_HISTORY").when(F.col("fitted"), "OK").when(F.col("pairs") == 0, "NO_DISTINCT_HIGHER_LOW_PAIR")
+        .when(~F.col("peaks"), "NO_PRE_PULLBACK_PEAK").when(~F.col("aged"), "PULLBACK_DEPTH_OUTSIDE_CANDIDATE").otherwise("NO_CONFIRMED_REBOUND_HIGH")
+    )
+    return x.select("symbol", "date", status.alias("structure_status"), "matched", "pairs", "least_failed", *[f"n_{n}_failed" for n in GATES])
+
+
+def near_misses(contexts: DataFrame, rule: Rule = BALANCED) -> DataFrame:
+    """Per symbol and class of near miss, the pair with exactly one failed condition that fails by least: value, threshold, signed margin.
+
+    A range is missed at the end that the value is beyond; equal margins go to the pair tried first.
+    """
+    c = F.col
+    bounds = {
+        "close_above_fast_average": (c("close"), c("sma_fast")), "ma_order_ok": (c("sma_fast"), c("sma_slow")), "positive_slope": (c("log_slope"), F.lit(0.0)), "up_close_fraction_ok": (c("up_fraction"), F.lit(rule.up_fraction)),
+        "close_above_rebound_high": (c("close"), c("rebound.high")), "close_above_previous_close": (c("close"), c("prev_close")), "positive_body": (c("close"), c("open")), "close_location_ok": (c("place"), F.lit(rule.close_location)),
+        "entry_support_ok": (c("least_close"), c("low1")),
+    }
+    facts = {n: (v, t, v - t) for n, (v, t) in bounds.items()}
+    for n, v, (low, high) in (("depth_ok", c("depth"), rule.depth), ("rebound_size_ok", c("size"), rule.rebound)):
+        facts[n] = (v, F.when(v < low, F.lit(low)).otherwise(F.lit(high)), F.when(v < low, v - low).otherwise(high - v))
+    facts["peak_age_ok"] = (c("age").cast("double"), F.lit(float(rule.reach)), (rule.reach - c("age")).cast("double"))
+    sample = F.coalesce(*[F.when(~c(n), F.struct(F.lit(NEAR_MISS[n]).alias("near_miss_class"), F.lit(n).alias("condition"), v.cast("double").alias("value"), t.cast("double").alias("threshold"), m.cast("double").alias("margin"))) for n, (v, t, m) in facts.items()])
+    x = contexts.where("near AND failed_count = 1").withColumn("s", sample).where("s IS NOT NULL")
+    least = F.min_by("s", F.struct(F.round(F.abs("s.margin"), 9), -c("rn2"), -c("rn1"))).alias("s")
+    x = x.groupBy("symbol", "date", F.col("s.near_miss_class").alias("near_miss_class")).agg(least)
+    return x.select("symbol", "date", "near_miss_class", "s.condition", "s.value", "s.threshold", "s.margin")

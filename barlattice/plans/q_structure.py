@@ -103,3 +103,65 @@ def structure_simulation(spark, d):
     s = x.select(F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("signal_id"), "symbol", F.col("date").alias("signal_date"), "rn", "close", "trigger", "stop", "target")
     path = ex.own_clock_path(s, P.numbered(P.bars(spark, d)), 20)
     return ex.replay(path, horizon=20, gap_fills=False, time_exit=False).join(s.select("signal_id", "trigger", "stop", F.round("target", 6).alias("target")), "signal_id")
+
+
+def pairs_sql(rule: st.Rule, name: str) -> str:
+    """All pairs of rising lows for each symbol's last bar, as joins of pivot tables; ``name`` makes the table names."""
+    r, k, m = rule, name, max(rule.trend, rule.slow)
+    fails = " + ".join(f"CAST(NOT {n} AS INTEGER)" for n in (*st.TREND, *st.GATES, *st.CONFIRMATION, *st.SUPPORT))
+    return f"""h_{k} AS (SELECT *, max(rn) OVER (PARTITION BY symbol) AS t FROM nb QUALIFY rn > t - 260),
+v_{k} AS (SELECT *, lag(close) {W} AS prev_close, count(low) {f(-r.radius, -1)} + count(low) {f(1, r.radius)} AS cnt, min(low) {f(-r.radius, -1)} AS a1, min(low) {f(1, r.radius)} AS a2, max(high) {f(-r.radius, -1)} AS b1, max(high) {f(1, r.radius)} AS b2 FROM h_{k}),
+l_{k} AS (SELECT symbol, rn, low FROM v_{k} WHERE cnt = {2 * r.radius} AND low <= a1 AND low <= a2 AND rn < t - {r.radius}), g_{k} AS (SELECT symbol, rn, high FROM v_{k} WHERE cnt = {2 * r.radius} AND high >= b1 AND high >= b2 AND rn < t - {r.radius}),
+tr_{k} AS (SELECT symbol, rn, avg(close) {f(1 - r.fast)} AS sma_fast, avg(close) {f(1 - r.slow)} AS sma_slow, regr_slope(ln(close), CAST(rn AS DOUBLE)) {f(1 - r.trend)} AS log_slope, avg(rise) {f(2 - r.trend)} AS up_fraction FROM (SELECT *, CASE WHEN close > lag(close) {W} THEN 1.0 WHEN lag(close) {W} IS NOT NULL THEN 0.0 END AS rise FROM nb) QUALIFY rn >= {m}),
+t_{k} AS (SELECT v.symbol, v.date, v.t, v.open, v.high, v.low, v.close, v.prev_close, sma_fast, sma_slow, log_slope, up_fraction FROM v_{k} v LEFT JOIN tr_{k} q ON q.symbol = v.symbol AND q.rn = v.rn WHERE v.rn = v.t),
+p_{k} AS (SELECT t.*, a.rn AS rn1, a.low AS low1, b.rn AS rn2, b.low AS low2 FROM t_{k} t LEFT JOIN (l_{k} a JOIN l_{k} b ON a.symbol = b.symbol AND b.rn - a.rn >= {r.apart} AND b.low > a.low) ON a.symbol = t.symbol),
+pk_{k} AS (SELECT l.symbol, l.rn AS rn1, max(g.rn) AS peak_rn, arg_max(g.high, g.rn) AS peak FROM l_{k} l JOIN g_{k} g ON g.symbol = l.symbol AND g.rn < l.rn GROUP BY 1, 2),
+pm_{k} AS (SELECT pk.symbol, rn1, any_value(peak_rn) AS peak_rn, any_value(peak) AS peak, min(b.low) AS later_low, min(b.close) AS later_close FROM pk_{k} pk JOIN h_{k} b ON b.symbol = pk.symbol AND b.rn > peak_rn AND b.rn < b.t GROUP BY 1, 2),
+rb_{k} AS (SELECT l.symbol, l.rn AS rn2, arg_max(g.high, g.rn) AS rebound FROM l_{k} l JOIN g_{k} g ON g.symbol = l.symbol AND g.rn > l.rn GROUP BY 1, 2),
+q_{k} AS (SELECT p.*, peak_rn, peak, rebound, p.t - peak_rn AS age, (peak - later_low) / peak AS depth, (rebound - low2) / low2 AS size, CASE WHEN high > low THEN (close - low) / (high - low) ELSE 1 END AS place, CASE WHEN later_close < close THEN later_close ELSE close END AS least_close FROM p_{k} p LEFT JOIN pm_{k} pm ON pm.symbol = p.symbol AND pm.rn1 = p.rn1 LEFT JOIN rb_{k} rb ON rb.symbol = p.symbol AND rb.rn2 = p.rn2),
+c0_{k} AS (SELECT *, close > sma_fast AS close_above_fast_average, sma_fast > sma_slow AS ma_order_ok, log_slope > 0 AS positive_slope, up_fraction >= {r.up_fraction} AS up_close_fraction_ok, CASE WHEN rn1 IS NOT NULL THEN peak IS NOT NULL END AS pre_pullback_peak_available, age <= {r.reach} AS peak_age_ok, depth BETWEEN {r.depth[0]} AND {r.depth[1]} AS depth_ok,
+ CASE WHEN rn1 IS NOT NULL THEN rebound IS NOT NULL END AS rebound_high_available, size BETWEEN {r.rebound[0]} AND {r.rebound[1]} AS rebound_size_ok, close > rebound AS close_above_rebound_high, CASE WHEN rebound IS NOT NULL THEN close > prev_close END AS close_above_previous_close, CASE WHEN rebound IS NOT NULL THEN close > open END AS positive_body, CASE WHEN rebound IS NOT NULL THEN place >= {r.close_location} END AS close_location_ok, CASE WHEN peak IS NOT NULL THEN least_close >= low1 END AS entry_support_ok FROM q_{k}),
+c1_{k} AS (SELECT *, CAST({fails} AS BIGINT) AS failed_count, coalesce({' AND '.join(st.GATES)}, FALSE) AS fits FROM c0_{k}), b_{k} AS (SELECT symbol, rn1, rn2 FROM c1_{k} WHERE fits QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn2 DESC, rn1 DESC) = 1),
+{k} AS (SELECT c.*, c.rn1 IS NOT NULL AND (b.rn1 IS NULL OR (b.rn1 = c.rn1 AND b.rn2 = c.rn2)) AS near FROM c1_{k} c LEFT JOIN b_{k} b ON b.symbol = c.symbol WHERE b.rn1 IS NULL OR c.rn2 > b.rn2 OR (c.rn2 = b.rn2 AND c.rn1 >= b.rn1))"""
+
+
+RULES = {"BALANCED": (st.BALANCED, "cb"), "CONSERVATIVE": (st.CONSERVATIVE, "cv")}
+
+
+def diagnosis_sql(rule: st.Rule, name: str, label: str) -> str:
+    enough = max(rule.slow, rule.reach + 2)
+    met = " AND ".join((*st.TREND, "fits", *st.CONFIRMATION, *st.SUPPORT))
+    return f"""SELECT symbol, date, '{label}' AS rule, CASE WHEN max(t) < {enough} THEN 'INSUFFICIENT_HISTORY' WHEN bool_or(fits) THEN 'OK' WHEN count(rn1) = 0 THEN 'NO_DISTINCT_HIGHER_LOW_PAIR' WHEN NOT bool_or(coalesce(pre_pullback_peak_available, FALSE)) THEN 'NO_PRE_PULLBACK_PEAK' WHEN NOT bool_or(coalesce(peak_age_ok AND depth_ok, FALSE)) THEN 'PULLBACK_DEPTH_OUTSIDE_CANDIDATE' ELSE 'NO_CONFIRMED_REBOUND_HIGH' END AS structure_status,
+bool_or(coalesce({met}, FALSE)) AS matched, count(rn1) AS pairs, min(failed_count) FILTER (near) AS least_failed, {', '.join(f'count(*) FILTER (NOT {n}) AS n_{n}_failed' for n in st.GATES)} FROM {name} GROUP BY symbol, date"""
+
+
+def near_sql(rule: st.Rule, name: str, label: str) -> str:
+    def ends(v, bounds):
+        return v, f"CASE WHEN {v} < {bounds[0]} THEN {bounds[0]} ELSE {bounds[1]} END", f"CASE WHEN {v} < {bounds[0]} THEN {v} - {bounds[0]} ELSE {bounds[1]} - {v} END"
+
+    plain = {"close_above_fast_average": ("close", "sma_fast"), "ma_order_ok": ("sma_fast", "sma_slow"), "positive_slope": ("log_slope", "0.0"), "up_close_fraction_ok": ("up_fraction", str(rule.up_fraction)), "close_above_rebound_high": ("close", "rebound"), "close_above_previous_close": ("close", "prev_close"), "positive_body": ("close", "open"), "close_location_ok": ("place", str(rule.close_location)), "entry_support_ok": ("least_close", "low1")}
+    facts = {**{n: (v, x, f"{v} - {x}") for n, (v, x) in plain.items()}, "depth_ok": ends("depth", rule.depth), "rebound_size_ok": ends("size", rule.rebound), "peak_age_ok": ("age", str(rule.reach), f"{rule.reach} - age")}
+    cases = [" ".join(f"WHEN NOT {n} THEN {x}" for n, x in ((n, [f"'{st.NEAR_MISS[n]}'", f"'{n}'", *(f"CAST({z} AS DOUBLE)" for z in fs)][i]) for n, fs in facts.items())) for i in range(5)]
+    columns = ", ".join(f"CASE {c} END AS {n}" for c, n in zip(cases, ("near_miss_class", "condition", "value", "threshold", "margin")))
+    return f"SELECT symbol, date, '{label}' AS rule, near_miss_class, condition, round(value, 6) AS value, round(threshold, 6) AS threshold, round(margin, 6) AS margin FROM (SELECT symbol, date, rn1, rn2, {columns} FROM {name} WHERE near AND failed_count = 1) WHERE near_miss_class IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, near_miss_class ORDER BY round(abs(margin), 9), rn2 DESC, rn1 DESC) = 1"
+
+
+def contexts_of(spark, d):
+    """Contexts of both rules over one panel."""
+    panel = P.kept_bars(spark, d)
+    return [(st.pair_contexts(panel, rule), rule, label) for label, (rule, _) in RULES.items()]
+
+
+ALL_PAIRS = f"WITH {B}, {', '.join(pairs_sql(*x) for x in RULES.values())} "
+
+
+@query("o4_14b_pullback_diagnosis", ALL_PAIRS + " UNION ALL ".join(diagnosis_sql(*x, label) for label, x in RULES.items()))
+def pullback_diagnosis(spark, d):
+    balanced, conservative = (st.diagnosis(x, rule).withColumn("rule", F.lit(label)) for x, rule, label in contexts_of(spark, d))
+    return balanced.unionByName(conservative)
+
+
+@query("o4_14c_pullback_near_misses", ALL_PAIRS + " UNION ALL ".join(f"({near_sql(*x, label)})" for label, x in RULES.items()))
+def pullback_near_misses(spark, d):
+    balanced, conservative = (r6(st.near_misses(x, rule).withColumn("rule", F.lit(label)), "value threshold margin", "symbol", "date", "rule", "near_miss_class", "condition") for x, rule, label in contexts_of(spark, d))
+    return balanced.unionByName(conservative)

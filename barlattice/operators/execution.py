@@ -33,15 +33,16 @@ def session_path(signals: DataFrame, panel: DataFrame, sessions: DataFrame, step
 def fixed_outcomes(path: DataFrame, last_pos: Column | None, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """signal_id, horizon, status, return_pct, mfe_pct, mae_pct, observed: one row per signal and horizon.
 
-    Statuses: NO_T_PLUS_1_OPEN, INSUFFICIENT_FORWARD_COVERAGE, INCOMPLETE_STOCK_WINDOW, AVAILABLE.
+    Statuses: SYMBOL_NOT_IN_RAW_STORE (where the path has a false ``in_store``), NO_T_PLUS_1_OPEN, INSUFFICIENT_FORWARD_COVERAGE, INCOMPLETE_STOCK_WINDOW, AVAILABLE.
     """
     x = path.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons]))).where("step <= horizon")
     grouped = x.groupBy("signal_id", "horizon").agg(
         F.count("b_close").alias("observed"), F.max(F.when(F.col("step") == 1, F.col("b_open"))).alias("entry"), F.max(F.when(F.col("step") == F.col("horizon"), F.col("b_close"))).alias("exit"),
         F.max("b_high").alias("hi"), F.min("b_low").alias("lo"), F.max(F.col("step") if last_pos is None else last_pos).alias("far"), F.max("reach").alias("reach") if "reach" in x.columns else F.lit(None).cast("long").alias("reach"),
+        F.max("in_store").alias("in_store") if "in_store" in x.columns else F.lit(True).alias("in_store"),
     )
     status = (
-        F.when(F.col("reach").isNotNull() & (F.col("far") > F.col("reach")), "INSUFFICIENT_FORWARD_COVERAGE").when(F.col("entry").isNull(), "NO_T_PLUS_1_OPEN").when(F.col("observed") < F.col("horizon"), "INCOMPLETE_STOCK_WINDOW").otherwise("AVAILABLE")
+        F.when(~F.col("in_store"), "SYMBOL_NOT_IN_RAW_STORE").when(F.col("reach").isNotNull() & (F.col("far") > F.col("reach")), "INSUFFICIENT_FORWARD_COVERAGE").when(F.col("entry").isNull(), "NO_T_PLUS_1_OPEN").when(F.col("observed") < F.col("horizon"), "INCOMPLETE_STOCK_WINDOW").otherwise("AVAILABLE")
     )
     out = grouped.withColumn("status", status)
 

@@ -4,20 +4,77 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlattice.sources.panel import kept
+
 
 def rate(condition: Column) -> Column:
     return F.avg(F.when(condition.isNotNull(), condition.cast("int")))
 
 
-def summary(value: str, mfe: str | None = None, mae: str | None = None) -> list[Column]:
-    """n, positive rate, means of all, of gains and of losses, median, extremes and mean excursions."""
+def numbered_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` parted into ranges of ``order``, written once, with the column ``__range``, which ascends with the order.
+
+    Ranges are as many as shuffle partitions and hold about equal shares, so that a task has its range only.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def places(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, each row's place (from 0) in the order over the whole table, and ``__all``, the number of rows.
+
+    A row's place is the rows of the ranges before its own and its place within; no task has all rows.
+    """
+    x = numbered_ranges(df, order)
+    sizes = x.groupBy(F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.orderBy("__r"))  # one row for each range
+    sizes = sizes.select("__r", (upto - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("__all"))
+    x = x.join(F.broadcast(sizes), F.col("__range") == F.col("__r"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return x.withColumn(name, place).drop("__range", "__r", "__before")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """``keys`` and ``quantiles``, the exact interpolated quantiles of the non-null values of each key, as an array.
+
+    Equal values are counted first, then the distinct ones are parted into ranges, so that a key that
+    has all rows, or a value that most rows have, is no single task's.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    x = numbered_ranges(counted, [*keys, "__v"])
+    own = Window.partitionBy(*[F.col(f"__{k}") for k in keys])
+    sizes = x.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r")).agg(F.sum("__c").alias("__s"))
+    sizes = sizes.select("*", (F.sum("__s").over(own.orderBy("__r")) - F.col("__s")).alias("__before"), F.sum("__s").over(own).alias("__n"))
+    match = F.col("__range") == F.col("__r")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    x = x.join(F.broadcast(sizes), match)  # one row for each range, and one more for each key
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy("__range", *keys).orderBy("__v"))
+    x = x.withColumn("__upto", upto)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__upto") - F.col("__c") <= rank) & (rank < F.col("__upto")), F.col("__v")))
+
+    out = []
+    for q in probabilities:
+        exact = F.lit(q) * (F.col("__n") - 1)
+        low, high = at(F.floor(exact)), at(F.ceil(exact))
+        out.append(low + (high - low) * F.max(exact - F.floor(exact)))
+    return x.groupBy(*keys).agg(F.array(*out).alias("quantiles"))
+
+
+def summary(value: str, mfe: str | None = None, mae: str | None = None, median: bool = True) -> list[Column]:
+    """n, positive rate, means of all, of gains and of losses, median, extremes and mean excursions.
+
+    The median here takes the values of a group into one task; for large groups leave it to ``exact_quantiles``.
+    """
     v = F.col(value)
     out = [
         F.count(value).alias("n"), F.round(rate(v > 0), 6).alias("positive_rate"), F.round(F.avg(value), 6).alias("mean"), F.round(F.avg(F.when(v > 0, v)), 6).alias("mean_gain"), F.round(F.avg(F.when(v < 0, v)), 6).alias("mean_loss"),
-        F.round(F.expr(f"percentile({value}, 0.5)"), 6).alias("median"), F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max"),
+        *([F.round(F.expr(f"percentile({value}, 0.5)"), 6).alias("median")] if median else []), F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max"),
     ]
     if mfe:
         out += [F.round(F.avg(mfe), 6).alias("mean_mfe"), F.round(F.avg(mae), 6).alias("mean_mae")]

@@ -175,7 +175,7 @@ def observation_join(spark, d):
 
 @query(
     "o5_15_version_diff",
-    f"WITH a AS (WITH {BASE}, {own_path(10)} " + OUTCOME.format("step", "CROSS JOIN (SELECT CAST(NULL AS BIGINT) AS reach)") + "), b AS (SELECT signal_id, horizon, return_pct + CASE WHEN horizon = 5 THEN 0.5 ELSE 0 END AS return_pct FROM a) SELECT a.horizon, count(*) AS n, count(*) FILTER (abs(a.return_pct - b.return_pct) > 1e-12) AS changed, round(avg(b.return_pct - a.return_pct), 6) AS mean_delta FROM a JOIN b USING (signal_id, horizon) GROUP BY 1",
+    f"WITH a AS (WITH {BASE}, {own_path(10)} " + OUTCOME.format("step", "CROSS JOIN (SELECT CAST(NULL AS BIGINT) AS reach)", "FALSE") + "), b AS (SELECT signal_id, horizon, return_pct + CASE WHEN horizon = 5 THEN 0.5 ELSE 0 END AS return_pct FROM a) SELECT a.horizon, count(*) AS n, count(*) FILTER (abs(a.return_pct - b.return_pct) > 1e-12) AS changed, round(avg(b.return_pct - a.return_pct), 6) AS mean_delta FROM a JOIN b USING (signal_id, horizon) GROUP BY 1",
 )
 def version_diff(spark, d):
     from .q_execution import own_clock_outcomes

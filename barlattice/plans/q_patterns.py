@@ -174,25 +174,34 @@ def snapshot_tolerance(spark, d):
     return x.select("symbol", "date", same.alias("same"), F.when(~same, "CLOSE_MISMATCH").alias("reason"))
 
 
-DECISION = f"""m AS (SELECT count(*) AS events, count(ret10) AS available, avg(CAST(ret10 > 0 AS INTEGER)) AS positive, avg(ret10) AS mean, median(ret10) AS med FROM out JOIN sig ON sig.symbol = out.symbol AND sig.signal_date = out.date),
-y AS (SELECT year(date) AS y, count(ret10) AS n, avg(ret10) AS mean FROM out JOIN sig ON sig.symbol = out.symbol AND sig.signal_date = out.date GROUP BY 1), yy AS (SELECT count(*) FILTER (n >= 10) AS robust, count(*) FILTER (n >= 10 AND mean > 0) AS good FROM y)"""
+#: Fixed values of the eight gates, in their order.
+GATES = {"manifest_parity": "parity", "event_count_minimum": "events >= 30", "available_events_per_horizon": "least_available >= 30", "primary_positive_rate": "positive >= 0.5", "primary_mean_return": "mean > 0", "primary_median_return": "med > 0", "year_count": "robust >= 3", "positive_mean_year_count": "good >= 2"}
+DECISION = f"""jo AS (SELECT out.*, sig.signal_id FROM out JOIN sig ON sig.symbol = out.symbol AND sig.signal_date = out.date),
+m AS (SELECT count(*) AS events, least(count(ret1), count(ret3), count(ret5), count(ret10)) AS least_available, avg(CAST(ret10 > 0 AS INTEGER)) AS positive, avg(ret10) AS mean, median(ret10) AS med, count(*) = (SELECT count(*) FROM sig) AND count(DISTINCT signal_id) = count(*) AND count(ret10) <= count(ret5) AND count(ret5) <= count(ret3) AND count(ret3) <= count(ret1) AS parity FROM jo),
+y AS (SELECT year(date) AS y, count(ret10) AS n, avg(ret10) AS mean FROM jo GROUP BY 1), yy AS (SELECT count(*) FILTER (n >= 10) AS robust, count(*) FILTER (n >= 10 AND mean > 0) AS good FROM y)"""
 
 
 @query(
     "o4_13_eligibility_decision",
-    f"WITH {B}, {P.NUMBERED}, {P.SIGNALS}, {P.OUTCOMES}, {DECISION}, g AS (SELECT concat_ws('|', CASE WHEN events < 30 THEN 'EVENTS' END, CASE WHEN available < 30 THEN 'AVAILABLE' END, CASE WHEN positive < 0.5 THEN 'POSITIVE_RATE' END, CASE WHEN mean <= 0 THEN 'MEAN' END, CASE WHEN med <= 0 THEN 'MEDIAN' END, CASE WHEN robust < 3 THEN 'ROBUST_YEARS' END, CASE WHEN good < 2 THEN 'POSITIVE_YEARS' END) AS failed_gates FROM m, yy) "
-    "SELECT failed_gates, CASE WHEN failed_gates = '' THEN 'ELIGIBLE' ELSE 'NOT_ELIGIBLE' END AS decision FROM g",
+    f"WITH {B}, {P.NUMBERED}, {P.SIGNALS}, {P.OUTCOMES}, {DECISION}, g AS (SELECT least_available, concat_ws('|', {', '.join(f'CASE WHEN NOT coalesce({c}, FALSE) THEN {chr(39)}{n}{chr(39)} END' for n, c in GATES.items())}) AS failed_gates FROM m, yy) "
+    "SELECT failed_gates, least_available, CASE WHEN failed_gates = '' THEN 'CANDIDATE_ELIGIBLE_FOR_FROZEN_PREREQUISITES' ELSE 'CANDIDATE_REJECTED' END AS decision FROM g",
 )
 def eligibility_decision(spark, d):
-    panel = P.bars(spark, d)
-    x = P.outcomes(panel).join(P.signals(panel).select("symbol", F.col("signal_date").alias("date")), ["symbol", "date"])
-    m = x.agg(F.count(F.lit(1)).alias("events"), F.count("ret10").alias("available"), F.avg((F.col("ret10") > 0).cast("int")).alias("positive"), F.avg("ret10").alias("mean"), F.expr("percentile(ret10, 0.5)").alias("med"))
+    """Eight gates over aggregated outcomes. Parity: every signal has its outcome once, and longer horizons have no more of them."""
+    from barlattice.operators import statistics as stt
+
+    panel = P.kept_bars(spark, d)
+    s = P.signals(panel)
+    x = P.kept(P.outcomes(panel).join(s.select("symbol", F.col("signal_date").alias("date"), "signal_id"), ["symbol", "date"]).select("signal_id", "date", "ret1", "ret3", "ret5", "ret10"))
+    counts = [F.count(f"ret{h}") for h in (1, 3, 5, 10)]
+    nested = (counts[3] <= counts[2]) & (counts[2] <= counts[1]) & (counts[1] <= counts[0]) & (F.count_distinct("signal_id") == F.count(F.lit(1)))
+    m = x.agg(F.count(F.lit(1)).alias("events"), F.least(*counts).alias("least_available"), F.avg((F.col("ret10") > 0).cast("int")).alias("positive"), F.avg("ret10").alias("mean"), nested.alias("nested"))
+    med = stt.exact_quantiles(x, [], "ret10", [0.5]).select(F.col("quantiles")[0].alias("med"))
     y = x.groupBy(F.year("date")).agg(F.count("ret10").alias("n"), F.avg("ret10").alias("mean"))
     yy = y.agg(F.count_if(F.col("n") >= 10).alias("robust"), F.count_if((F.col("n") >= 10) & (F.col("mean") > 0)).alias("good"))
-    gates = {"EVENTS": "events < 30", "AVAILABLE": "available < 30", "POSITIVE_RATE": "positive < 0.5", "MEAN": "mean <= 0", "MEDIAN": "med <= 0", "ROBUST_YEARS": "robust < 3", "POSITIVE_YEARS": "good < 2"}
-    both = m.withColumn("one", F.lit(1)).join(yy.withColumn("one", F.lit(1)), "one")  # one row each
-    failed = F.concat_ws("|", *[F.when(F.expr(c), n) for n, c in gates.items()])
-    return both.select(failed.alias("failed_gates")).withColumn("decision", F.when(F.col("failed_gates") == "", "ELIGIBLE").otherwise("NOT_ELIGIBLE"))
+    one = m.crossJoin(med).crossJoin(yy).crossJoin(s.agg(F.count(F.lit(1)).alias("signals"))).withColumn("parity", F.col("nested") & (F.col("events") == F.col("signals")))  # one row each
+    failed = F.concat_ws("|", *[F.when(~F.coalesce(F.expr(c), F.lit(False)), n) for n, c in GATES.items()])
+    return one.select(failed.alias("failed_gates"), "least_available").withColumn("decision", F.when(F.col("failed_gates") == "", "CANDIDATE_ELIGIBLE_FOR_FROZEN_PREREQUISITES").otherwise("CANDIDATE_REJECTED"))
 
 
 MARGIN = "CASE WHEN n_failed = 1 THEN CASE failed_conditions WHEN 'PLATFORM_RANGE' THEN round(0.30 - plat_range, 6) WHEN 'CLOSE_ABOVE_PRIOR_HIGH' THEN round(close / prev60_hi_c - 1, 6) WHEN 'VOLUME_EXPANSION' THEN round(vol_ratio_k - 1.8, 6) WHEN 'DAY_CHANGE' THEN round(chg1 - 3, 6) ELSE round(close / ma20 - 1, 6) END END"

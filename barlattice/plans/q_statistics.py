@@ -11,7 +11,7 @@ from barlattice.operators import ranks as rk
 from barlattice.operators import statistics as stt
 from barlattice.sources import panel as P
 
-from .q_execution import AFTER_ENTRY, BASE, DELAY, PROSPECTIVE, RULE, first_triggers, horizons_after_entry, own_path, prospective, rule_model
+from .q_execution import AFTER_ENTRY, BASE, COHORT, DELAY, PROSPECTIVE, RULE, first_triggers, horizons_after_entry, own_path, prospective, rule_model, trades
 from .q_features import COMPRESSION_SQL, PAIR_SQL, PULLBACK_SQL, REGIME_SQL, REVERSAL_SQL, RISK_SQL, pair_series
 from .q_patterns import ALL, BOARD, CONDITIONS, LEVELS_WITH, RVC, VCB, features_of, reversal_classified, signal_levels
 from .registry import query
@@ -42,8 +42,17 @@ LONG = "lng AS (" + " UNION ALL ".join(f"SELECT symbol, date, CAST({h} AS BIGINT
 )
 def return_summary(spark, d):
     x = long_outcomes(P.bars(spark, d)).withColumn("period_year", F.year("date")).withColumn("period_month", F.date_format("date", "yyyy-MM"))
-    sets = x.groupingSets([["horizon"], ["horizon", "period_year"], ["horizon", "period_month"]], "horizon", "period_year", "period_month")
-    return sets.agg(*stt.summary("ret", "mfe", "mae"))
+    # Each row counts in three groups: all of its horizon, its year, its month.
+    none = F.struct(F.lit(None).cast("int").alias("period_year"), F.lit(None).cast("string").alias("period_month"))
+    year, month = F.struct("period_year", F.lit(None).cast("string").alias("period_month")), F.struct(F.lit(None).cast("int").alias("period_year"), "period_month")
+    keys = ["horizon", "period_year", "period_month"]
+    x = P.kept(x.select("horizon", "ret", "mfe", "mae", F.explode(F.array(none, year, month)).alias("g")).select("horizon", "g.*", "ret", "mfe", "mae"))
+    q = stt.exact_quantiles(x, keys, "ret", [0.5]).select(*[F.col(k).alias(f"q_{k}") for k in keys], F.round(F.col("quantiles")[0], 6).alias("median"))
+    s = x.groupBy(*keys).agg(*stt.summary("ret", "mfe", "mae", median=False))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"q_{k}"))
+    return s.join(q, same, "left").select(*s.columns, "median")
 
 
 @query(
@@ -54,15 +63,33 @@ def return_summary(spark, d):
 def frequency_and_concentration(spark, d):
     s = P.signals(P.bars(spark, d))
     c = s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    total = c.agg(F.sum("n").alias("total"), F.lit(1).alias("one"))
-    c = c.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").withColumn("share", F.col("n") / F.col("total"))
+    total = c.agg(F.sum("n").alias("total"))
+    c = c.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total"))  # one row
     best = c.orderBy(F.col("n").desc(), "symbol").limit(5).withColumn("rk", F.row_number().over(Window.orderBy(F.col("n").desc(), "symbol")))
-    top = best.agg(F.round(F.sum(F.when(F.col("rk") == 1, F.col("share"))), 6).alias("top1"), F.round(F.sum("share"), 6).alias("top5"), F.lit(1).alias("one"))
-    t = c.agg(F.sum("n").alias("signals"), F.count(F.lit(1)).alias("symbols"), F.round(F.sum(F.col("share") * F.col("share")), 6).alias("hhi"), F.lit(1).alias("one"))
-    daily = s.groupBy("signal_date").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    limit = daily.agg((F.avg("n") + 3 * F.stddev_pop("n")).alias("limit"), F.lit(1).alias("one"))
-    dates = daily.join(F.broadcast(limit), "one").groupBy("one").agg(F.count(F.lit(1)).alias("active_dates"), F.count_if(F.col("n") > F.col("limit")).alias("anomalous_dates"))
-    return t.join(top, "one").join(dates, "one").select("signals", "symbols", "hhi", "top1", "top5", "active_dates", "anomalous_dates")
+    top = best.agg(F.round(F.sum(F.when(F.col("rk") == 1, F.col("share"))), 6).alias("top1"), F.round(F.sum("share"), 6).alias("top5"))
+    t = c.agg(F.sum("n").alias("signals"), F.count(F.lit(1)).alias("symbols"), F.round(F.sum(F.col("share") * F.col("share")), 6).alias("hhi"))
+    daily = s.groupBy("signal_date").agg(F.count(F.lit(1)).alias("n"))
+    limit = daily.agg((F.avg("n") + 3 * F.stddev_pop("n")).alias("limit"))
+    dates = daily.crossJoin(F.broadcast(limit)).agg(F.count(F.lit(1)).alias("active_dates"), F.count_if(F.col("n") > F.col("limit")).alias("anomalous_dates"))
+    return t.crossJoin(top).crossJoin(dates).select(  # one row each
+        "signals", "symbols", "hhi", "top1", "top5", "active_dates", "anomalous_dates")
+
+
+FREQUENCY = {"DAY": ("CAST(signal_date AS VARCHAR)", "CAST(signal_date AS STRING)"), "MONTH": ("strftime(signal_date, '%Y-%m')", "date_format(signal_date, 'yyyy-MM')"), "YEAR": ("CAST(year(signal_date) AS VARCHAR)", "CAST(year(signal_date) AS STRING)"), "PHASE": ("CASE WHEN signal_date < DATE '1998-01-01' THEN 'EARLY' ELSE 'LATE' END",) * 2}
+
+
+@query("o6_2b_signal_frequency", f"WITH {BASE} " + " UNION ALL ".join(f"SELECT '{level}' AS level, {sql} AS period, count(*) AS n, count(DISTINCT symbol) AS symbols, count(DISTINCT signal_date) AS dates FROM sig GROUP BY 2" for level, (sql, _) in FREQUENCY.items()))
+def signal_frequency(spark, d):
+    s = P.signals(P.bars(spark, d)).select("symbol", "signal_date")
+    each = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.expr(e).alias("period")) for level, (_, e) in FREQUENCY.items()]))
+    return s.select("symbol", "signal_date", each.alias("g")).groupBy("g.level", "g.period").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"), F.count_distinct("signal_date").alias("dates"))
+
+
+@query("o6_2c_top_symbols", f"WITH {BASE}, c AS (SELECT symbol, count(*) AS n FROM sig GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY n DESC, symbol) AS BIGINT) AS rank, symbol, n, round(n / (SELECT sum(n) FROM c), 6) AS share FROM c ORDER BY n DESC, symbol LIMIT 10")
+def top_symbols(spark, d):
+    c = P.signals(P.bars(spark, d)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    best = c.orderBy(F.col("n").desc(), "symbol").limit(10).crossJoin(F.broadcast(c.agg(F.sum("n").alias("total"))))
+    return best.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "symbol")).cast("long").alias("rank"), "symbol", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 @query("o6_3_daily_funnel", f"WITH {B}, {P.INDEX}, {FEATURES} SELECT date, count(*) AS evaluated, {', '.join(f'count(*) FILTER ({c}) AS n_{n.lower()}' for n, c in CONDITIONS.items())}, count(*) FILTER ({ALL}) AS matched, CASE WHEN date < DATE '1998-01-01' THEN 'EARLY' ELSE 'LATE' END AS phase FROM fe WHERE rn >= 120 GROUP BY date")
@@ -81,8 +108,10 @@ def daily_funnel(spark, d):
     f"WITH {OUT}, {LONG} SELECT horizon, count(ret) AS n, {', '.join(f'round(quantile_cont(ret, {p / 100}), 6) AS p{p}' for p in (10, 25, 50, 75, 90))}, round(stddev_pop(ret), 6) AS std FROM lng GROUP BY 1",
 )
 def distribution(spark, d):
-    x = long_outcomes(P.bars(spark, d)).groupBy("horizon").agg(F.count("ret").alias("n"), F.expr("percentile(ret, array(0.1, 0.25, 0.5, 0.75, 0.9))").alias("q"), F.round(F.stddev_pop("ret"), 6).alias("std"))
-    return x.select("horizon", "n", *[F.round(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))], "std")
+    x = P.kept(long_outcomes(P.bars(spark, d)).select("horizon", "ret"))
+    q = stt.exact_quantiles(x, ["horizon"], "ret", [0.1, 0.25, 0.5, 0.75, 0.9])
+    s = x.groupBy("horizon").agg(F.count("ret").alias("n"), F.round(F.stddev_pop("ret"), 6).alias("std")).join(q, "horizon", "left")
+    return s.select("horizon", "n", *[F.round(F.col("quantiles")[i], 6).alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))], "std")
 
 
 TRADES = """SELECT count(*) AS signals, count(return_pct) AS closed, count(*) FILTER (status = 'NOT_TRIGGERED') AS not_triggered, count(*) FILTER (status = 'UNVERIFIED') AS unverified, count(*) FILTER (status = 'EXIT_AMBIGUOUS') AS ambiguous, round(avg(CAST(return_pct > 0 AS INTEGER)), 6) AS win_rate_by_return,
@@ -109,6 +138,44 @@ def rule_performance(spark, d):
     return rule_model(spark, d).agg(*trade_stats())
 
 
+TRADE_DETAIL = f"""{PROSPECTIVE}, td AS (SELECT rp.*, sig.trigger, sig.stop, CASE WHEN exit_price IS NOT NULL AND entry_price > sig.stop THEN (exit_price - entry_price) / (entry_price - sig.stop) END AS r FROM rp JOIN sig USING (signal_id)),
+tx AS (SELECT td.signal_id, max((b_high / entry_price - 1) * 100) AS hi, min((b_low / entry_price - 1) * 100) AS lo FROM td JOIN pth ON pth.signal_id = td.signal_id AND step BETWEEN entry_step AND exit_step GROUP BY 1),
+tm AS (SELECT td.signal_id, max(step) FILTER (b_close IS NOT NULL) AS seen, arg_max(b_close, step) FILTER (b_close IS NOT NULL) AS mark FROM td JOIN pth ON pth.signal_id = td.signal_id AND step >= entry_step AND td.status = 'UNVERIFIED' GROUP BY 1),
+tr AS (SELECT td.*, greatest(0, hi) AS mfe, least(0, lo) AS mae, (mark / entry_price - 1) * 100 AS mtm FROM td LEFT JOIN tx USING (signal_id) LEFT JOIN tm USING (signal_id))"""
+CLOSED = "return_pct IS NOT NULL AND status <> 'EXIT_AMBIGUOUS'"
+
+
+@query(
+    "o6_5c_trade_details",
+    f"WITH {TRADE_DETAIL} SELECT count(*) FILTER ({CLOSED}) AS closed, round(avg(r) FILTER ({CLOSED}), 6) AS avg_r, round(median(r) FILTER ({CLOSED}), 6) AS median_r, round(median(return_pct) FILTER ({CLOSED}), 9) AS median_return, "
+    + ", ".join(f"count(*) FILTER ({CLOSED} AND status LIKE 'EXIT_{k}%') AS {k.lower()}_exits, round(count(*) FILTER ({CLOSED} AND status LIKE 'EXIT_{k}%') / nullif(count(*) FILTER ({CLOSED}), 0) * 100, 6) AS {k.lower()}_rate" for k in ("TARGET", "STOP", "TIME"))
+    + f", round(median(exit_step - entry_step) FILTER ({CLOSED}), 6) AS median_holding, round(avg(mfe) FILTER ({CLOSED}), 6) AS avg_mfe, round(avg(mae) FILTER ({CLOSED}), 6) AS avg_mae, round(median(mfe) FILTER ({CLOSED}), 6) AS median_mfe, round(median(mae) FILTER ({CLOSED}), 6) AS median_mae, count(mtm) AS open_positions, round(avg(mtm), 6) AS open_mtm, count(*) FILTER ({CLOSED}) < 10 AS sample_small FROM tr",
+)
+def trade_details(spark, d):
+    """R multiples, exits, holding, excursions and marks of open positions under the prospective model."""
+    t = P.kept(trades(spark, d))
+    closed = t.where(F.col("return_pct").isNotNull() & (F.col("status") != "EXIT_AMBIGUOUS"))
+    n = F.count(F.lit(1))
+    exits = [x for k in ("TARGET", "STOP", "TIME") for x in (F.count_if(F.col("status").startswith(f"EXIT_{k}")).alias(f"{k.lower()}_exits"), F.round(F.try_divide(F.count_if(F.col("status").startswith(f"EXIT_{k}")), n) * 100, 6).alias(f"{k.lower()}_rate"))]
+    a = closed.agg(n.alias("closed"), F.round(F.avg("r"), 6).alias("avg_r"), *exits, F.round(F.avg("mfe"), 6).alias("avg_mfe"), F.round(F.avg("mae"), 6).alias("avg_mae"), (n < 10).alias("sample_small"))
+    o = t.agg(F.count("mtm").alias("open_positions"), F.round(F.avg("mtm"), 6).alias("open_mtm"))
+    measures = {"r": "median_r", "return_pct": "median_return", "holding": "median_holding", "mfe": "median_mfe", "mae": "median_mae"}
+    stacked = closed.select(F.explode(F.array(*[F.struct(F.lit(out).alias("measure"), F.col(c).cast("double").alias("v")) for c, out in measures.items()])).alias("m")).select("m.*")
+    q = stt.exact_quantiles(stacked, ["measure"], "v", [0.5])
+    q = q.agg(*[F.round(F.max(F.when(F.col("measure") == out, F.col("quantiles")[0])), 9 if out == "median_return" else 6).alias(out) for out in measures.values()])
+    return a.crossJoin(o).crossJoin(q)  # one row each
+
+
+@query(
+    "o6_5d_excluded_signals",
+    f"WITH {PROSPECTIVE} SELECT CASE WHEN status = 'UNVERIFIED' AND entry_step IS NOT NULL THEN 'OPEN_UNVERIFIED' WHEN status = 'UNVERIFIED' THEN 'UNVERIFIED_MISSING_OBSERVATION' WHEN status = 'NOT_TRIGGERED' THEN 'EXPIRED_UNTRIGGERED' WHEN status = 'EXIT_AMBIGUOUS' THEN 'AMBIGUOUS_SAME_BAR' ELSE 'NOT_A_CONFIRMED_CLOSED_TRADE' END AS reason, count(*) AS n FROM rp WHERE return_pct IS NULL OR status = 'EXIT_AMBIGUOUS' GROUP BY 1",
+)
+def excluded_signals(spark, d):
+    s, out = F.col("status"), prospective(spark, d).where("return_pct IS NULL OR status = 'EXIT_AMBIGUOUS'")
+    reason = F.when((s == "UNVERIFIED") & F.col("entry_step").isNotNull(), "OPEN_UNVERIFIED").when(s == "UNVERIFIED", "UNVERIFIED_MISSING_OBSERVATION").when(s == "NOT_TRIGGERED", "EXPIRED_UNTRIGGERED").when(s == "EXIT_AMBIGUOUS", "AMBIGUOUS_SAME_BAR").otherwise("NOT_A_CONFIRMED_CLOSED_TRADE")
+    return out.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "o6_6_performance_by_regime",
     f"WITH {PROSPECTIVE}, {P.INDEX}, {REGIME_SQL}, xr AS (SELECT rp.*, trend, volatility FROM rp JOIN sig USING (signal_id) JOIN rg ON rg.date = sig.signal_date) SELECT trend, volatility, count(return_pct) AS closed, round(avg(return_pct), 6) AS mean, round(avg(CAST(status LIKE 'EXIT_STOP%' AND exit_step - entry_step <= 2 AS INTEGER)), 6) AS fast_stop_rate FROM xr GROUP BY GROUPING SETS ((), (trend), (volatility))",
@@ -132,6 +199,39 @@ def delay_cohorts(spark, d):
     return x.groupBy("cutoff").agg(F.count_if(early).alias("early_n"), F.round(F.avg(F.when(early, F.col("r"))), 6).alias("early_mean"), F.round(F.avg(F.when(~early, F.col("r"))), 6).alias("late_mean"))
 
 
+TEN = DELAY.replace("FROM pth", "FROM pth WHERE step <= 10")  # the path has an eleventh step, for late exits
+COHORTS = f"{AFTER_ENTRY}, {TEN}, co AS (SELECT cl.*, {COHORT} AS cohort, rp.status AS outcome, rp.return_pct, rp.exit_step - rp.entry_step AS holding FROM cl JOIN rp USING (signal_id)), e5 AS (SELECT signal_id, CASE WHEN ae.status IN ('TERMINAL', 'MARKED') THEN (price / entry_price - 1) * 100 END AS e5 FROM ae WHERE k = 5)"
+COHORT_METRICS = """count(*) AS signals, count(return_pct) FILTER (outcome <> 'EXIT_AMBIGUOUS') AS resolved, count(*) FILTER (outcome = 'EXIT_AMBIGUOUS') AS ambiguous, count(*) FILTER (outcome LIKE 'EXIT_TARGET%') AS targets, count(*) FILTER (outcome LIKE 'EXIT_STOP%') AS stops, count(*) FILTER (outcome = 'EXIT_TIME') AS timed,
+round(count(*) FILTER (outcome LIKE 'EXIT_TARGET%') / nullif(count(return_pct) FILTER (outcome <> 'EXIT_AMBIGUOUS'), 0) * 100, 6) AS win_rate, round(avg(return_pct), 9) AS mean_return, round(avg(return_pct) FILTER (return_pct > 0) / nullif(-avg(return_pct) FILTER (return_pct < 0), 0), 9) AS payoff, round(avg(holding) FILTER (return_pct IS NOT NULL), 6) AS mean_holding, round(avg(e5), 6) AS mean_e5"""
+
+
+def cohort_rows(spark, d):
+    """Every signal with its delay, cohort, outcome and the mark five bars after entry."""
+    r = prospective(spark, d).select("signal_id", F.col("status").alias("outcome"), "return_pct", (F.col("exit_step") - F.col("entry_step")).alias("holding"))
+    e = horizons_after_entry(spark, d, rounded=False).where("horizon = 5").select("signal_id", F.col("return_pct").alias("e5"))
+    return first_triggers(spark, d).join(r, "signal_id").join(e, "signal_id", "left")
+
+
+def cohort_metrics() -> list:
+    r, o = F.col("return_pct"), F.col("outcome")
+    resolved = F.count(F.when(o != "EXIT_AMBIGUOUS", r))
+    target = F.count_if(o.startswith("EXIT_TARGET"))
+    return [
+        F.count(F.lit(1)).alias("signals"), resolved.alias("resolved"), F.count_if(o == "EXIT_AMBIGUOUS").alias("ambiguous"), target.alias("targets"), F.count_if(o.startswith("EXIT_STOP")).alias("stops"), F.count_if(o == "EXIT_TIME").alias("timed"),
+        F.round(F.try_divide(target, resolved) * 100, 6).alias("win_rate"), F.round(F.avg(r), 9).alias("mean_return"), F.round(F.try_divide(F.avg(F.when(r > 0, r)), -F.avg(F.when(r < 0, r))), 9).alias("payoff"), F.round(F.avg(F.when(r.isNotNull(), F.col("holding"))), 6).alias("mean_holding"), F.round(F.avg("e5"), 6).alias("mean_e5"),
+    ]
+
+
+@query("o6_7b_cohort_metrics", f"WITH {COHORTS} SELECT coalesce(cohort, co.status) AS cohort, {COHORT_METRICS} FROM co LEFT JOIN e5 USING (signal_id) GROUP BY 1")
+def cohort_summary(spark, d):
+    return cohort_rows(spark, d).groupBy(F.coalesce("cohort", "status").alias("cohort")).agg(*cohort_metrics())
+
+
+@query("o6_7c_by_delay", f"WITH {COHORTS} SELECT delay, {COHORT_METRICS} FROM co LEFT JOIN e5 USING (signal_id) WHERE delay IS NOT NULL GROUP BY 1")
+def by_delay(spark, d):
+    return cohort_rows(spark, d).where("delay IS NOT NULL").groupBy("delay").agg(*cohort_metrics())
+
+
 @query(
     "o6_8_daily_equal_weight",
     f"WITH {OUT}, {LONG}, a AS (SELECT horizon, {BOARD} AS board, date, avg(ret) AS m FROM lng WHERE ret IS NOT NULL GROUP BY 1, 2, 3) SELECT horizon, board, count(*) AS n_dates, round(avg(m), 6) AS daily_mean FROM a GROUP BY 1, 2",
@@ -178,25 +278,10 @@ def daily_group_means(spark, d):
 BINS = f"{OUT}, fb AS (SELECT o.symbol, o.date, ret10, volume / avg(volume) {f(-20, -1)} AS rv, turnover FROM out o), fq AS (SELECT *, CAST(least(5, floor((row_number() OVER (ORDER BY rv, symbol, date) - 1) * 5.0 / count(*) OVER ()) + 1) AS INTEGER) AS q1, CAST(least(5, floor((row_number() OVER (ORDER BY turnover, symbol, date) - 1) * 5.0 / count(*) OVER ()) + 1) AS INTEGER) AS q2 FROM fb WHERE rv IS NOT NULL AND ret10 IS NOT NULL)"
 
 
-def band_cuts(df, features: list[str]) -> list[list[float]]:
-    """Approximate quantiles that part each feature into 256 bands."""
-    return df.approxQuantile(features, [i / 256 for i in range(1, 256)], 0.0005)
-
-
-def global_bins(df, feature: str, name: str, cuts: list[float], bins: int = 5):
-    """Equal-count bins over the whole table without one task holding it.
-
-    Rows are counted in bands of approximate quantiles; a row's place is the rows of the bands before
-    its own, plus its place within its band.
-    """
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    x = df.withColumn("__band", F.size(F.filter(edges, lambda e: e < F.col(feature))))
-    sizes = x.groupBy("__band").count()
-    total = Window.orderBy("__band")
-    sizes = sizes.select(F.col("__band").alias("__b"), (F.sum("count").over(total) - F.col("count")).alias("__before"), F.sum("count").over(Window.partitionBy()).alias("__all"))
-    x = x.join(F.broadcast(sizes), F.col("__band") == F.col("__b"))  # one row per band: 256 at most
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__band").orderBy(feature, "symbol", "date")) - 1
-    return x.withColumn(name, F.least(F.lit(bins), F.floor(place * bins / F.col("__all")) + 1).cast("int")).drop("__band", "__b", "__before", "__all")
+def global_bins(df, feature: str, name: str, bins: int = 5):
+    """Equal-count bins over the whole table, ties by symbol and date."""
+    x = stt.places(df, [feature, "symbol", "date"], "__place")
+    return x.withColumn(name, F.least(F.lit(bins), F.floor(F.col("__place") * bins / F.col("__all")) + 1).cast("int")).drop("__place", "__all")
 
 
 def bin_inputs(spark, d):
@@ -206,9 +291,7 @@ def bin_inputs(spark, d):
 
 
 def feature_bins(spark, d):
-    x = bin_inputs(spark, d)
-    first, second = band_cuts(x, ["rv", "turnover"])
-    return global_bins(global_bins(x, "rv", "q1", first), "turnover", "q2", second)
+    return global_bins(global_bins(bin_inputs(spark, d), "rv", "q1"), "turnover", "q2")
 
 
 @query(
@@ -406,17 +489,12 @@ def mid_rank_coordinates(spark, d):
 )
 def joint_top_percent(spark, d):
     x = bin_inputs(spark, d).drop("ret10")
-    n = x.count()
-    k = -(-n // 100)
-    least = (n - k) * 100 // max(n, 1) + 1
+    last = F.col("__all") - F.ceil(0.01 * F.col("__all"))  # the top percent are the rows from this place on
 
-    def top(feature, cuts):
-        # The rows from the bin of place n - k on hold the top percent; only they are ordered.
-        last = global_bins(x, feature, "bin", cuts, 100).where(F.col("bin") >= least)
-        return last.orderBy(F.col(feature).desc(), F.col("symbol").desc(), F.col("date").desc()).limit(k).select("symbol", "date")
+    def top(df, feature):
+        return stt.places(df, [feature, "symbol", "date"], "__place").withColumn(f"__{feature}", F.col("__place") >= last).drop("__place", "__all")
 
-    first, second = band_cuts(x, ["rv", "turnover"])
-    return x.join(top("rv", first), ["symbol", "date"], "left_semi").join(top("turnover", second), ["symbol", "date"], "left_semi").select("symbol", "date", F.round("rv", 6).alias("rv"), "turnover")
+    return top(top(x, "rv"), "turnover").where("__rv AND __turnover").select("symbol", "date", F.round("rv", 6).alias("rv"), "turnover")
 
 
 PIVOT = f"pv0 AS (SELECT *, count(low) {f(-2, -1)} + count(low) {f(1, 2)} AS cnt, min(low) {f(-2, -1)} AS l1, min(low) {f(1, 2)} AS l2, max(high) {f(-2, -1)} AS h1, max(high) {f(1, 2)} AS h2 FROM nb), piv AS (SELECT symbol, date, rn, low, high, (cnt = 4 AND low <= l1 AND low <= l2) AS is_low, (cnt = 4 AND high >= h1 AND high >= h2) AS is_high FROM pv0)"

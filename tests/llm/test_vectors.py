@@ -59,16 +59,42 @@ def test_cosine_groups(spark, bucket):
     assert got == brute.cosine_groups(rows)
 
 
-def test_two_functions_per_table(spark):
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_recall_of_the_settings(spark, width):
+    """Pairs at just the limit, with the production tables and margins of each width: nearly all are found, none twice."""
+    r = np.random.default_rng(width)
+    x = r.normal(size=(800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=(800, 64))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * z
+    rows = [(2 * i + j, [float(c) for c in v.astype(np.float32)], 1) for i, p in enumerate(zip(x, y)) for j, v in enumerate(p)]
+    out = crosspoly.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=width).collect()
+    assert all(o.n_links <= 1 and o.component_id in (o.vec_id, o.vec_id - o.vec_id % 2) for o in out)
+    assert sum(o.n_links for o in out) >= 0.995 * len(rows)
+
+
+@pytest.mark.parametrize("width", [2, 3])
+def test_several_functions_per_table(spark, width):
     rows = vectors(4, n=200)
     usable = [(i, v, c) for i, v, c in rows if brute.usable(v) and c is not None and len(v) == 16]
-    df = spark.createDataFrame(usable, "id long, v array<float>, label int").selectExpr("id", "label", "v", "size(v) AS dim")
-    found = crosspoly.links(df, 2, 0.98, 6, 0.12, 4096).groupBy("a").sum("n").collect()
-    want = {i: n for i, n, _, _ in brute.cosine_groups(usable) if n}
-    got = {r.a: r["sum(n)"] for r in found if r["sum(n)"]}
+    got = {r.vec_id: r.n_links for r in crosspoly.near_duplicates(spark.createDataFrame(usable, SCHEMA), tables=8, margin=0.12, width=width).collect()}
+    want = {i: n for i, n, _, _ in brute.cosine_groups(usable)}
     assert sum(got.values()) >= 0.98 * sum(want.values()) and all(got[i] <= want[i] for i in got)
 
 
+def test_repeated_rows_and_null_ids(spark):
+    """Rows of one vec_id never link with each other; a null one links with nothing and is no neighbour."""
+    v, w = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0]
+    df = spark.createDataFrame([(1, v, 1), (1, v, 1), (2, w, 1), (None, v, 1), (20, w, None)], SCHEMA)
+    out = crosspoly.near_duplicates(df).collect()
+    assert sorted((r.vec_id or 0, r.component_id, r.kept) for r in out if r.vec_id in (1, 2, 20)) == [(1, 1, True), (1, 1, True), (2, 1, False), (20, 20, True)]
+    assert [(r.n_links, r.component_id) for r in out if r.vec_id is None] == [(0, None)]
+    found = vptree.nearest(df.selectExpr("*", "1 AS id", "2 AS cell", "3 AS score"), df.where("vec_id = 20 OR vec_id IS NULL")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == [(20, 1, 2), (20, 2, 1), (20, 3, 1)]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(crosspoly.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

@@ -24,10 +24,11 @@ def vectors(seed=1, n=300, dim=16):
     return out
 
 
-def test_nearest_is_exact(spark):
+@pytest.mark.parametrize("shard", [8, 64, 8192])
+def test_nearest_is_exact(spark, shard):
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), shard=64, block=7).collect()}
+    got = {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), shard=shard).collect()}
     assert got == brute.nearest([(i, v) for i, v, _ in rows], [(i, v) for i, v, _ in rows if i % 20 == 0])
 
 
@@ -44,6 +45,23 @@ def test_relaxed_factor_recall():
     assert len(loose & exact) / len(exact) >= 0.9
 
 
+def test_cells_are_left_out(spark, monkeypatch):
+    """Clusters far apart: exact with factor one although most shards are never visited; recall with a larger one."""
+    r = np.random.default_rng(5)
+    centres = 40 * np.eye(24)
+    points = [centres[i % 24] + r.normal(size=24) for i in range(1200)]
+    rows = [(i, [float(x) for x in p.astype(np.float32)], 0) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute.nearest([(i, v) for i, v, _ in rows], [(i, v) for i, v, _ in rows if i % 20 == 0], 10)
+    visits = []
+    real = vptree.searched
+    monkeypatch.setattr(vptree, "searched", lambda points, asked, *rest: visits.append(asked.count()) or real(points, asked, *rest))
+    got = {(x.query_id, x.rank, x.vec_id, round(x.score, 9)) for x in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=10, shard=25).collect()}
+    assert got == want and visits[0] < 200 and visits[1] < 200 and len(rows) / 25 * 60 == 2880
+    loose = {(x.query_id, x.vec_id) for x in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=10, factor=1.3, shard=25).collect()}
+    assert len(loose & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want) and visits[3] <= visits[1] + 20
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1)], SCHEMA)
     assert [(r.query_id, r.rank, r.vec_id) for r in vptree.nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1)]

@@ -133,3 +133,24 @@ def sainte_lague(votes, seats):
         best = max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
         won[best] += 1
     return won
+
+
+def mix(docs, block=64, seed=6, repeats=3):
+    """docs: (doc_id, text, source) rows; (row, size, taken) in their order, for sources of one shard."""
+    size = [len(words(t)) for _, t, _ in docs]
+    sizes: dict = {}
+    for (_, _, s), n in zip(docs, size):
+        sizes[s] = sizes.get(s, 0) + n
+    target = targets(sizes, repeats)
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    unit = max(1, min(block, int(min((t for t in target.values() if t > 0), default=0) // 16)))
+    seats = sainte_lague([target[s] for s in order], int(sum(target.values()) / unit + 0.5))
+    taken = [0] * len(docs)
+    for s, n in zip(order, seats):
+        rows = sorted((i for i, d in enumerate(docs) if d[2] == s), key=lambda i: (hashlib.md5(f"{seed}:{'' if docs[i][0] is None else docs[i][0]}".encode()).hexdigest(), docs[i][0] or 0))
+        take = min(n * unit, repeats * sizes[s])
+        rounds, rest = divmod(take, sizes[s]) if sizes[s] else (0, 0)
+        for i in rows:
+            taken[i] = rounds * size[i] + min(rest, size[i])
+            rest -= min(rest, size[i])
+    return list(zip(docs, size, taken))

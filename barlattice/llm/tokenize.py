@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,9 @@ def encoding(ranks_path: str, pattern: str):
 def safe_cut(text: str, at: int) -> int:
     """The last boundary at or before ``at`` that no match of the split pattern crosses, or 0.
 
-    White space never follows other characters within a match, and letters and digits never share
-    one, so a cut there leaves every match as it was.
+    White space never follows other characters within a match, letters and digits never share one, and
+    a letter is followed in a match by no punctuation but an apostrophe, so a cut there leaves every
+    match as it was. Scripts without spaces have only the last kind.
     """
     for i in range(min(at, len(text) - 1), 0, -1):
         before, after = text[i - 1], text[i]
@@ -43,6 +45,8 @@ def safe_cut(text: str, at: int) -> int:
             continue
         if after in " \n\t\r" or (before.isascii() and after.isascii() and ((before.isalpha() and after.isdigit()) or (before.isdigit() and after.isalpha()))):
             return i
+        if before.isalpha() and after not in "'\u2019" and unicodedata.category(after)[0] == "P":
+            return i
     return 0
 
 

@@ -45,12 +45,27 @@ def test_decode(spark):
 def test_pieces_are_safe():
     r = random.Random(1)
     e = coder()
-    for _ in range(50):
-        text = "".join(r.choice("ab1 '\n\tés.,") for _ in range(200))
+    for n in range(100):
+        text = "".join(r.choice("ab1 '\n\tés.," if n % 2 else "字漢ก้า。、，'’1aé🙂") for _ in range(200))
         assert "".join(tokenize.pieces(text, 9)) == text
         assert sum((e.encode_ordinary(p) for p in tokenize.pieces(text, 9)), []) == e.encode_ordinary(text)
 
 
+def test_very_long_texts_and_repeated_rows(spark):
+    """Texts of several pieces at the production size, one of them without any space; null and repeated doc_ids."""
+    texts = ["漢字かな交じり文、句読点だけ。" * 160_000, "plain words, 1234 numbers and don'ts\n" * 60_000, "x" * 1_200_000]
+    df = spark.createDataFrame([(None, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2][:50_000])], "doc_id long, text string").selectExpr("*", "1 AS ids")
+    assert max(map(len, tokenize.pieces(texts[0]))) <= tokenize.PIECE
+    e = coder()
+    out = tokenize.round_trip(df).collect()
+    want = {None: texts[0], 1: texts[1], 2: texts[2][:50_000]}
+    assert sorted(r.doc_id or 0 for r in out) == [0, 1, 1, 2]
+    for r in out:
+        parts = [e.encode_ordinary(p) for p in tokenize.pieces(want[r.doc_id], 1 << 16)]
+        ids = np.concatenate([np.array(p, "<u4") for p in parts])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
+
+
 def documents(seed=2, n=400):
     r = random.Random(seed)
     out = []

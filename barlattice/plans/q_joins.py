@@ -309,7 +309,10 @@ def pending_is_not_zero(spark, d):
     return x.select("date", F.when(F.col("evaluable") > 0, F.coalesce("n", F.lit(0))).alias("matched"), F.when(F.col("evaluable") == 0, "PENDING").when(F.col("n").isNull(), "NONE").otherwise("MATCH").alias("status"))
 
 
-@query("o13_7_replay_parity", f"WITH {BASE}, {own_path(10)} SELECT count(DISTINCT signal_id) AS compared, CAST(0 AS BIGINT) AS differing FROM pth")
+@query(
+    "o13_7_replay_parity",
+    f"WITH {BASE}, {P.OUTCOMES}, {own_path(10)}, fo AS (" + OUTCOME.format("step", "CROSS JOIN (SELECT CAST(NULL AS BIGINT) AS reach)", "FALSE") + ") SELECT count(*) AS compared, count(*) FILTER (fo.return_pct IS DISTINCT FROM round(o.ret10, 6)) AS differing FROM fo JOIN sig USING (signal_id) JOIN out o ON o.symbol = sig.symbol AND o.date = sig.signal_date WHERE fo.horizon = 10",
+)
 def replay_parity(spark, d):
     """The two evaluators of a fixed outcome (lead windows, joined paths) must give the same returns."""
     from .q_execution import own_clock_outcomes

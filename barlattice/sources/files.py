@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .panel import shared_folder
+
 QUOTE_FIELDS = 50
 STAMP_AT = 30
 
@@ -17,6 +20,14 @@ class TablePaths:
 
     root: str
 
+    @classmethod
+    def resolve(cls, environment: dict[str, str], default: str, variable: str = "BARLATTICE_DATA_ROOT") -> TablePaths:
+        """The root that the environment names, else the default; an empty name is an error, not a default."""
+        root = environment.get(variable, default)
+        if not root.strip():
+            raise ValueError(f"{variable} is empty")
+        return cls(root.rstrip("/"))
+
     def table(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
 
@@ -79,6 +90,32 @@ def content_hash(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("content_sha256"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the session's shared checkpoint folder, for files that are read again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_canonical(df: DataFrame, path: str, order: list[str]) -> None:
+    """Parquet (zstd) in ranges of the order, sorted within."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
+    """CSV with a header and just these fields, in this order."""
+    df.select(*fields).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def merge_parts(spark: SparkSession, parts: list[str], path: str, key: list[str], column: str) -> None:
+    """One result of parts that share no key; a key in two parts is an error."""
+    whole = spark.read.parquet(parts[0])
+    for part in parts[1:]:
+        whole = whole.unionByName(spark.read.parquet(part))
+    twice = whole.groupBy(*key).count().where("count > 1").limit(1).count()
+    if twice:
+        raise ValueError("parts overlap")
+    write_by_date(whole, path, column)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """Compressed JSON lines; the session's default codec settings make equal rows equal bytes."""
     df.write.mode("overwrite").option("compression", "gzip").json(path)

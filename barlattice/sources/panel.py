@@ -42,14 +42,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the session's shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share.
 
-    For a panel that a query uses several times: the line items behind it are then read once. Where
-    ``spark.checkpoint.dir`` is unset, a local master, as in tests, gets a temporary folder and a cluster
-    an error, as its machines share no such folder.
+    Where ``spark.checkpoint.dir`` is unset, a local master, as in tests, gets a temporary folder and a
+    cluster an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,6 +56,15 @@ def kept(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp("-checkpoints")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there.
+
+    For a panel that a query uses several times: the line items behind it are then read once.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

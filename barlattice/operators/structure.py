@@ -123,6 +123,28 @@ def observations(structures: DataFrame, rule: Rule = BALANCED) -> DataFrame:
     return structures.withColumn("close_location", place).withColumn("support_state", support).withColumn("confirmed", confirmed)
 
 
+def failed_pushes(structures: DataFrame, rule: Rule = BALANCED, window: int = 5) -> DataFrame:
+    """Adds n_failed_pushes, among the last ``window`` bars after the peak, and run_at_end, those at the end without a break."""
+    bars = F.concat(F.transform(F.slice("past", F.greatest(F.size("past") - window + 2, F.lit(1)), window - 1), lambda p: F.struct(p["rn"].alias("rn"), p["high"].alias("high"), p["low"].alias("low"), p["close"].alias("close"))), F.array(F.struct("rn", "high", "low", "close")))
+
+    def fails(p):
+        span = p["high"] - p["low"]
+        place = F.when(span > 0, (p["close"] - p["low"]) / span).otherwise(1.0)
+        return (p["high"] >= F.col("peak") * (1 - rule.tolerance)) & (p["close"] < F.col("peak")) & (place <= 0.60)
+
+    flags = F.transform(F.filter(bars, lambda p: p["rn"] > F.col("peak_rn")), fails)
+    x = structures.withColumn("flags", flags)
+    run = F.aggregate("flags", F.lit(0), lambda n, f: F.when(f, n + 1).otherwise(0))
+    return x.withColumn("n_failed_pushes", F.size(F.filter("flags", lambda f: f)).cast("long")).withColumn("run_at_end", run.cast("long")).drop("flags")
+
+
+def limit_up(limit, tick, high, close) -> list:
+    """status, touched and failed of a daily bar against its upper limit; unknown without a limit or a tick."""
+    known = limit.isNotNull() & tick.isNotNull() & high.isNotNull() & close.isNotNull()
+    touched = high >= limit - tick / 2
+    return [F.when(known, "AVAILABLE_DAILY_PROXY").otherwise("UNAVAILABLE").alias("limit_up_status"), F.when(known, touched).alias("limit_up_touched"), F.when(known, touched & (close < limit - tick / 2)).alias("limit_up_failed")]
+
+
 def exit_states(after: DataFrame, rule: Rule = BALANCED, window: int = 5, pushes: int = 2) -> DataFrame:
     """State of each bar after the entry bar: support break, early profit, first warning, repeated risk or hold.
 

@@ -72,6 +72,19 @@ def structure_predicates(spark, d):
     return x.select("symbol", "date", "confirmed", "support_state", stall.alias("stall"), rejected.alias("rejected"), F.lit("UNAVAILABLE").alias("limit_up_status"))
 
 
+@query(
+    "o4_6b_failed_pushes",
+    f"WITH {B}, {STRUCTURE}, w AS (SELECT s.symbol, s.rn AS t, b.rn, b.high >= peak * (1 - {R.tolerance}) AND b.close < peak AND CASE WHEN b.high > b.low THEN (b.close - b.low) / (b.high - b.low) ELSE 1 END <= 0.60 AS fail FROM strc s JOIN nb b ON b.symbol = s.symbol AND b.rn BETWEEN s.rn - 4 AND s.rn AND b.rn > peak_rn), "
+    "g AS (SELECT symbol, t, count(*) FILTER (fail) AS n_failed_pushes, t - coalesce(max(rn) FILTER (NOT fail), min(rn) - 1) AS run_at_end FROM w GROUP BY 1, 2) "
+    "SELECT s.symbol, s.date, n_failed_pushes, run_at_end, CASE WHEN s.rn % 2 = 0 THEN 'AVAILABLE_DAILY_PROXY' ELSE 'UNAVAILABLE' END AS limit_up_status, CASE WHEN s.rn % 2 = 0 THEN high >= prev_close * 1.02 - 0.005 END AS limit_up_touched, CASE WHEN s.rn % 2 = 0 THEN high >= prev_close * 1.02 - 0.005 AND close < prev_close * 1.02 - 0.005 END AS limit_up_failed FROM strc s JOIN g ON g.symbol = s.symbol AND g.t = s.rn",
+)
+def failed_pushes(spark, d):
+    """Failed pushes at the peak and their run up to the bar; every second bar is given a limit price of 1.02 closes."""
+    x = st.failed_pushes(structures(spark, d))
+    limit = F.when(F.col("rn") % 2 == 0, F.col("prev_close") * 1.02)
+    return x.select("symbol", "date", "n_failed_pushes", "run_at_end", *st.limit_up(limit, F.lit(0.01), F.col("high"), F.col("close")))
+
+
 AFTER = """af AS (SELECT s.symbol, s.date, b.rn - s.rn AS step, peak, low1 AS floor_, b.open, b.high, b.low, b.close, first_value(b.open) OVER (PARTITION BY s.symbol, s.date ORDER BY b.rn) AS entry FROM strc s JOIN nb b ON b.symbol = s.symbol AND b.rn BETWEEN s.rn + 1 AND s.rn + 10 WHERE s.close > s.rebound),
 ag AS (SELECT *, CAST(step > 1 AND high >= peak * (1 - 0.01) AND close < peak AND CASE WHEN high > low THEN (close - low) / (high - low) ELSE 1 END <= 0.60 AS INTEGER) AS push FROM af),
 ah AS (SELECT *, CAST(sum(push) OVER (PARTITION BY symbol, date ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM ag)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Header fields that a not-modified response must not change in the stored one, in lower case.
 KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "etag")
 #: Parts of the time that records of one URL are dealt out by.
-SLICES = 256
+SLICES = 128
 
 
 def canonical_url(url: Column) -> Column:
@@ -29,18 +29,27 @@ def strong(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), r"^W/", "")
 
 
-def latest_before(records: DataFrame, full: Column, payload: Column, span: tuple[int, int] | None = None) -> DataFrame:
+def slice_of(ts: Column, edges: list) -> Column:
+    """How many of the sorted edges are below ``ts``, by halving."""
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(ts <= edges[middle], pick(low, middle)).otherwise(pick(middle + 1, high))
+
+    return pick(0, len(edges))
+
+
+def latest_before(records: DataFrame, full: Column, payload: Column, slices: int = SLICES) -> DataFrame:
     """Add ``found``: the payload of the latest row with ``full`` before each row of the same ``url``.
 
     Rows come in the order (ts, record_id). One URL may hold any share of the rows: its rows are
-    dealt out by slices of time; within a slice a window looks back, and what the slices before it
-    ended with, one row per URL and slice, is carried in.
+    dealt out by slices of time that hold about equal numbers of all rows, so that a burst is many
+    slices; within a slice a window looks back, and what the slices before it ended with, one row per
+    URL and slice, is carried in. Rows of one second are in one slice.
     """
-    if span is None:
-        span = records.agg(F.min("ts"), F.max("ts")).first()
-    low, high = (span[0] or 0), (span[1] or 0)
-    width = max(1, (high - low) // SLICES + 1)
-    sliced = records.withColumn("__slice", F.floor((F.col("ts") - low) / width))
+    edges = sorted(set(records.approxQuantile("ts", [i / slices for i in range(1, slices)], 0.1 / slices)))
+    sliced = records.withColumn("__slice", slice_of(F.col("ts"), edges))
     inside = Window.partitionBy("url", "__slice").orderBy("ts", "record_id")
     kept = F.when(full, payload)
     near = F.last(kept, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))

@@ -14,11 +14,11 @@ from .vectors import matrix, valid
 
 NEIGHBOURS = 20
 #: Rows of a shard, and queries that are searched at once: what one task holds.
-SHARD, BLOCK = 8192, 1024
+SHARD, BLOCK = 8192, 4096
 #: Cells of vectors of one length, at most; a cell of more rows than a shard is several shards. The centres come from a
 #: sample of four vectors for each.
 CELLS = 1024
-LEAF = 128
+LEAF = 256
 #: 1 is exact; above 1, a branch goes as soon as its bound times the factor passes the k-th distance.
 FACTOR = 1.0
 SLACK = 1e-9

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata, crosspoly, langid, mixing, oracle, resample, revisit, simhash, suffixes, tokenize, vptree
+from . import automata, bpecount, crosspoly, hamerly, langid, middle, mixing, oracle, resample, revisit, simhash, suffixes, tokenize, vptree
 from .common import ship
 
 
@@ -62,8 +62,21 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_read(spark, sf_dir, "documents"), good)
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.round_trip(_read(spark, sf_dir, "documents"))
+
+
+def op12_bpecount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpecount.count_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hamerly.cluster(_read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_vptree, op2_revisit, op3_crosspoly, op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes, op10_resample)
+    for f in (op1_vptree, op2_revisit, op3_crosspoly, op4_simhash, op5_bpe, op6_mixing, op7_langid, op8_automata, op9_suffixes, op10_resample, op11_middle, op12_bpecount, op13_hamerly)
 }
-ORACLE_SQL = {"op1_vptree": oracle.OP1, "op2_revisit": revisit.ORACLE, "op3_crosspoly": oracle.OP3, "op6_mixing": oracle.OP6, "op8_automata": oracle.OP8, "op9_suffixes": oracle.OP9}
+ORACLE_SQL = {"op1_vptree": oracle.OP1, "op2_revisit": revisit.ORACLE, "op3_crosspoly": oracle.OP3, "op6_mixing": oracle.OP6, "op8_automata": oracle.OP8, "op9_suffixes": oracle.OP9, "op11_middle": middle.ORACLE, "op13_hamerly": hamerly.oracle()}

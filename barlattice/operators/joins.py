@@ -1,4 +1,4 @@
-"""Join semantics: as-of, last valid record, coverage, dominance, merging and diffs."""
+"""Join semantics: as-of, last valid record, coverage, merging and diffs."""
 
 from __future__ import annotations
 
@@ -31,19 +31,6 @@ def coverage(expected: DataFrame, observed: DataFrame, key: str, missing: str, e
     return a.unionByName(observed.join(expected, key, "left_anti").select(key, F.lit(extra).alias("problem")))
 
 
-def dominance(rows: DataFrame, key: str, name: str, high: str, low: str) -> DataFrame:
-    """How many rows of the same key are at least as good in both values and better in one.
-
-    Within a key (a date's signals), rows sorted by the high value hold an array of what came before;
-    a row is compared with that array, so rows are never paired across keys or emitted as pairs.
-    """
-    w = Window.partitionBy(key).orderBy(F.col(high).desc())
-    upto = F.collect_list(F.struct(high, low)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    x = rows.withColumn("__better", upto)
-    better = F.filter("__better", lambda o: (o[high] >= F.col(high)) & (o[low] <= F.col(low)) & ((o[high] > F.col(high)) | (o[low] < F.col(low))))
-    return x.select(name, F.size(better).cast("long").alias("dominated_by"))
-
-
 def pair_models(prospective: DataFrame, rule: DataFrame) -> DataFrame:
     """Both models' rows of every signal, and how they differ."""
     p = prospective.select("signal_id", F.col("status").alias("prospective_status"), F.col("entry_step").alias("pe"), F.col("return_pct").alias("prospective_return"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barlattice.functions import scalars as sc
 from barlattice.operators import execution as ex
 from barlattice.operators import features as fx
+from barlattice.operators import fronts
 from barlattice.operators import joins as jn
 from barlattice.sources import panel as P
 
@@ -135,8 +136,8 @@ def event_window_join(spark, d):
     f"{LEVELS_WITH}, c AS (SELECT signal_id, date, round(rr, 9) AS h, round(risk, 9) AS l FROM lv WHERE rr IS NOT NULL AND risk IS NOT NULL) SELECT c.signal_id, (SELECT count(*) FROM c o WHERE o.date = c.date AND o.h >= c.h AND o.l <= c.l AND (o.h > c.h OR o.l < c.l)) AS dominated_by FROM c",
 )
 def dominance(spark, d):
-    x = signal_levels(spark, d).where("rr IS NOT NULL AND risk IS NOT NULL").select("signal_id", "date", F.round("rr", 9).alias("h"), F.round("risk", 9).alias("l"))
-    return jn.dominance(x, "date", "signal_id", "h", "l")
+    x = signal_levels(spark, d).where("rr IS NOT NULL AND risk IS NOT NULL").select("signal_id", "date", F.round("rr", 9).alias("h"), (-F.round("risk", 9)).alias("l"))
+    return fronts.fronts(x, "date", "signal_id", ["h", "l"]).select("signal_id", F.col("n_dominators").alias("dominated_by"))
 
 
 def model_pairs(spark, d):

@@ -135,7 +135,7 @@ def test_ranks(spark):
     assert runs == {(1, 3), (7, 1), (9, 2)}
 
 
-def test_pareto_and_dominance(spark):
+def test_pareto_fronts_of_two_values(spark):
     r = random.Random(5)
     rows = [("d", str(i), float(r.randint(0, 8)), float(r.randint(0, 8))) for i in range(40)]
 
@@ -143,7 +143,6 @@ def test_pareto_and_dominance(spark):
         return a[2] >= b[2] and a[3] <= b[3] and (a[2] > b[2] or a[3] < b[3])
 
     df = spark.createDataFrame(rows, "d string, name string, h double, l double")
-    assert {x.name: x.dominated_by for x in jn.dominance(df, "d", "name", "h", "l").collect()} == {b[1]: sum(beats(a, b) for a in rows) for b in rows}
     left, want, front = list(rows), {}, 1
     while left and front <= 3:
         first = [b for b in left if not any(beats(a, b) for a in left)]

@@ -182,6 +182,8 @@ class Counting:
         if not plain or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in added):
             raise ValueError(f"{path}: only byte-level BPE without unknown tokens, and added tokens that are plain strings, can be counted")
         library = Tokenizer.from_file(path)
+        if library.normalizer is None or library.pre_tokenizer is None:
+            raise ValueError(f"{path}: no rules for normalising or splitting texts")
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         if self.normalize("a\n\t b") != "a b" or self.split(" a  b ") != [("a", (1, 2)), ("b", (4, 5))]:
             raise ValueError(f"{path}: only vocabularies that drop white space can be counted word by word")

@@ -5,9 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import os
 import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,32 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlattice.sources.shipping import ship  # noqa: F401
+
 #: Rows of a few numbers each that may be broadcast, once counted.
 BROADCAST_ROWS = 10_000
 #: The words of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it; once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp("-package"), "barlattice.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.join(os.path.basename(package), os.path.relpath(full, package)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 

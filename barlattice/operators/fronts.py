@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barlattice.sources.panel import kept
 from barlattice.sources.shipping import ship
 
-from .statistics import places
+from .statistics import group_places
 
 #: Rows of a group that are compared within one task at once.
 TILE = 4096
@@ -23,17 +23,6 @@ TILE = 4096
 BLOCK = 256
 
 
-def group_places(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
-    """Adds ``name``, each row's place (from 0) in the order within its key, and ``__size``, the key's rows.
-
-    The table is numbered in ranges; a key that has all rows is many ranges.
-    """
-    x = places(df, [F.col(key), *order], "__place")
-    starts = x.groupBy(F.col(key).alias("__key")).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__size"))
-    x = x.join(starts, F.col(key).eqNullSafe(F.col("__key")))
-    return x.withColumn(name, F.col("__place") - F.col("__first")).drop("__place", "__first", "__key", "__all")
-
-
 def usable(better: list[str]) -> Column:
     out = F.lit(True)
     for c in better:

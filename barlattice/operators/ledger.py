@@ -10,8 +10,8 @@ APPENDED, IDEMPOTENT, CONFLICT, SAME_EPISODE = "APPENDED", "IDEMPOTENT", "CONFLI
 # The keys that a watchlist document and a candidate may and must have.
 TOP_KEYS = ["date", "mode", "strategy_version", "universe_policy", "market_env", "sectors", "input_coverage", "candidates"]
 TOP_REQUIRED = ["date", "mode", "market_env", "sectors", "candidates"]
-CANDIDATE_KEYS = ["code", "name", "sector", "buy_type", "setup", "strategy_version", "signal_id", "target_type", "score", "price", "chg", "trigger", "support", "stop", "target", "rr", "risk", "stop_dist", "vol_ratio", "turnover"]
-CANDIDATE_REQUIRED = ["code", "name", "buy_type", "price", "trigger", "stop", "target", "rr"]
+CANDIDATE_REQUIRED = ["code", "name", "buy_type", "score", "price", "trigger", "stop", "target", "rr"]
+CANDIDATE_KEYS = [*CANDIDATE_REQUIRED, "sector", "chg", "support", "stop_dist", "vol_ratio", "turnover", "float_mv", "target_type", "risk", "setup", "strategy_version", "signal_id"]
 ADJUSTMENTS = ["RAW_UNADJUSTED", "HISTORICAL_ADJUSTED_AS_OF", "HISTORICAL_QFQ_AS_OF"]
 
 

@@ -142,7 +142,7 @@ def closed_world(spark, d):
     k = F.dayofyear("signal_date")
     s = P.signals(P.bars(spark, d)).withColumn("k", k)
     fields = {
-        "code": F.when(F.col("k") % 29 == 0, "12").otherwise(F.substring("symbol", 3, 6)), "name": F.col("symbol"), "buy_type": F.when(F.col("k") % 5 != 2, "A"), "price": F.col("close"), "trigger": F.col("trigger"),
+        "code": F.when(F.col("k") % 29 == 0, "12").otherwise(F.substring("symbol", 3, 6)), "name": F.col("symbol"), "score": F.lit(60), "float_mv": F.when(F.col("k") % 3 == 0, 1e9), "buy_type": F.when(F.col("k") % 5 != 2, "A"), "price": F.col("close"), "trigger": F.col("trigger"),
         "stop": F.when(F.col("k") % 31 == 0, -1.0).otherwise(F.col("stop")), "target": F.col("target"), "rr": F.lit(2.0), "signal_id": F.when(F.col("k") % 5 == 3, F.col("signal_date").cast("string")).otherwise(F.col("signal_id")),
         "trig": F.when(F.col("k") % 5 == 1, 1), "mood": F.when(F.col("k") % 23 == 0, "x"),
     }  # null fields are not written

@@ -121,6 +121,27 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def write_streams(df: DataFrame, path: str, stream: str, order: list[str], line: str, rows: int = 1_000_000) -> None:
+    """The lines of each stream in order, as gzip text files of ``rows`` lines; equal rows make equal bytes, however they lie.
+
+    Each file is one stretch of its stream's places, sorted within its task, so a long stream is many files.
+    """
+    from barlattice.operators.statistics import group_places
+
+    x = group_places(df, stream, [F.col(c) for c in order], "__at").withColumn("__file", F.floor(F.col("__at") / rows))
+    x = x.repartition(stream, "__file").sortWithinPartitions(stream, "__file", "__at")
+    x.select(F.col(stream), F.col("__file").alias("stretch"), F.coalesce(F.col(line), F.lit("")).alias("value")).write.partitionBy(stream, "stretch").option("compression", "gzip").text(path)
+
+
+def file_hashes(spark: SparkSession, path: str, stream: str) -> DataFrame:
+    """Per stream of ``write_streams``: n_files, n_bytes and files_sha256, the hash of its files' hashes; bytes are hashed where they are read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path)
+    place = [F.regexp_extract("path", f"/{n}=([^/]*)/", 1) for n in (stream, "stretch")]
+    x = raw.select(F.url_decode(place[0]).alias(stream), place[1].cast("long").alias("stretch"), "length", F.sha2("content", 256).alias("sha256"))
+    g = x.groupBy(stream).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("stretch", "sha256"))).alias("all"))
+    return g.select(stream, "n_files", "n_bytes", F.sha2(F.array_join(F.transform("all", lambda r: r["sha256"]), ""), 256).alias("files_sha256"))
+
+
 def write_by_date(df: DataFrame, path: str, column: str = "signal_date") -> None:
     """Parquet by date; a rerun replaces only the dates that it holds."""
     df.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)

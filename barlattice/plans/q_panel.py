@@ -64,11 +64,6 @@ def watchlist_documents(spark, d):
     return files.watchlists(docs)
 
 
-@query("o1_6_table_paths", "SELECT * FROM (VALUES ('lineitem', 'root/lineitem.parquet'), ('orders', 'root/orders.parquet'), ('supplier', 'root/supplier.parquet')) t(name, path)")
-def table_paths(spark, d):
-    return spark.createDataFrame([(n, files.TablePaths("root").table(n)) for n in ("lineitem", "orders", "supplier")], "name string, path string")
-
-
 @query(
     "o1_7_content_hash",
     f"WITH {B}, l AS (SELECT symbol, symbol || '|' || CAST(date AS VARCHAR) || '|' || CAST(CAST(round(close * 10000) AS BIGINT) AS VARCHAR) AS line FROM bars) SELECT symbol, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY line)) AS content_sha256 FROM l GROUP BY 1",

@@ -20,6 +20,18 @@ def line_number(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
+def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, n_rows and fingerprint of the rows as a multiset: neither their order nor their partitioning matters.
+
+    The four parts of each row's SHA-256 are summed exactly, before the exchange and after; the fingerprint is the
+    hash of the number and the sums. Rows are equal by the JSON of ``columns``, nulls included.
+    """
+    row = df.select(*keys, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("__hash"))
+    parts = [F.sum(F.conv(F.substring("__hash", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"__{i}") for i in range(4)]
+    g = row.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *parts)
+    return g.select(*keys, "n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"__{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))
+
+
 def leaves(lines: DataFrame, stream: str, order: list[str], line: str, size: int = LEAF) -> DataFrame:
     """stream, node (from 0), n_rows, n_bytes (with line ends), multiset and sha256 of every ``size`` lines in the order.
 

@@ -149,3 +149,30 @@ def date_bootstrap(daily: DataFrame, columns: list[str], draws: int = 10_000, se
     aggs = [F.expr(f"percentile({c}, array(0.025, 0.975))").alias(c) for c in columns]
     one = means.agg(*aggs)
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in columns])).alias("r")).select("r.*")
+
+
+def outcome_metrics(rows: DataFrame, key: str, period: str, total: str = "ALL") -> DataFrame:
+    """Counts, rates, means, expectancy, exact medians of excursions and extremes of ``ret``, ``mfe``, ``mae`` per key and period, and per key.
+
+    Periods are aggregated once and the totals made of them. A return of zero counts with the losses. The expectancy is
+    the share of gains times their mean and the rest times its mean; where one of both is missing, the mean.
+    """
+    v = F.col("ret")
+    gain = F.when(v > 0, v)
+    parts = {"n": F.count(F.lit(1)), "positive": F.count(gain), "s": F.sum(v), "sp": F.sum(gain), "sn": F.sum(F.when(v <= 0, v)), "sf": F.sum("mfe"), "nf": F.count("mfe"), "sa": F.sum("mae"), "na": F.count("mae"), "lo": F.min(v), "hi": F.max(v)}
+    per = kept(rows.groupBy(key, period).agg(*[e.alias(c) for c, e in parts.items()]))
+    fold = [(F.min if c == "lo" else F.max if c == "hi" else F.sum)(c).alias(c) for c in parts]
+    x = per.unionByName(per.groupBy(key).agg(*fold).withColumn(period, F.lit(total)))
+    medians = None
+    for value in ("mfe", "mae"):
+        own = exact_quantiles(rows, [key, period], value, [0.5]).unionByName(exact_quantiles(rows, [key], value, [0.5]).withColumn(period, F.lit(total)))
+        own = own.select(key, period, F.col("quantiles")[0].alias(f"median_{value}"))
+        medians = own if medians is None else medians.join(own, [key, period], "full")
+    x = x.join(medians, [key, period], "left")
+    n, positive = F.col("n"), F.col("positive")
+    mean, up, down = F.col("s") / n, F.try_divide(F.col("sp"), positive), F.try_divide(F.col("sn"), n - positive)
+    share = positive / n
+    return x.select(
+        key, period, n.alias("sample_count"), positive.alias("positive_count"), (n - positive).alias("non_positive_count"), share.alias("positive_rate"), F.coalesce(share * up + (1 - share) * down, mean).alias("expectancy"),
+        mean.alias("mean_return"), up.alias("mean_positive"), down.alias("mean_non_positive"), F.try_divide("sf", "nf").alias("mean_mfe"), "median_mfe", F.try_divide("sa", "na").alias("mean_mae"), "median_mae", F.col("lo").alias("min_return"), F.col("hi").alias("max_return"),
+    )

@@ -22,12 +22,17 @@ SYMBOL = "(CASE CAST({0} AS BIGINT) % 4 WHEN 0 THEN '60' WHEN 1 THEN '00' WHEN 2
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of the line items of ``sf_dir``."""
+    return bars_of(read(spark, sf_dir, "lineitem"))
+
+
+def bars_of(lineitem: DataFrame) -> DataFrame:
     """symbol, date, open, high, low, close, volume, turnover.
 
     Line items are aggregated where they are read, then by (symbol, date); so only bars, of which a symbol
     has one a day, are ever brought together by symbol, however many line items it has.
     """
-    lines = read(spark, sf_dir, "lineitem").select(
+    lines = lineitem.select(
         symbol_of(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"
     )
     lines = lines.withColumn("px", 10 + F.sqrt("l_extendedprice") / 300)

@@ -74,3 +74,16 @@ def test_streams_written_twice_are_the_same_files(spark, tmp_path, rows):
         assert sorted((r.stream, r.value) for r in back) == sorted((s, x or "") for s, own in lines.items() for x in own)
     assert out[0] == out[1] and set(out[0]) == set(lines) and out[0]["a b"][0] == (2 if rows == 2 else 1)
     assert json.dumps(out[0])
+
+
+def test_fingerprints_of_multisets(spark):
+    rows = [("a", 1, None), ("a", 2, "x"), ("a", 2, "x"), ("b", 1, ""), (None, 1, "y")]
+    df = spark.createDataFrame(rows, "k string, n int, t string")
+
+    def prints(x):
+        return {r.k: (r.n_rows, r.fingerprint) for r in idn.fingerprint(x, ["k"], ["n", "t"]).collect()}
+
+    base = prints(df)
+    assert prints(df.orderBy(F.rand()).repartition(7)) == base and base["a"][0] == 3
+    fewer, null = df.dropDuplicates(), df.withColumn("t", F.when(F.col("k") == "b", None).otherwise(F.col("t")))
+    assert {k for k in base if prints(fewer)[k] != base[k]} == {"a"} and {k for k in base if prints(null)[k] != base[k]} == {"b"}

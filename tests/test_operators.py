@@ -1,7 +1,9 @@
 """Hand-built bars and signals, and properties that must hold on any input."""
 
 import datetime
+import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -257,3 +259,22 @@ def test_joint_top_percent_of_few_rows(spark, monkeypatch, n):
     df = spark.createDataFrame([("s", DAY - datetime.timedelta(days=i), float(n - i), float(n - i), 0.0) for i in range(n)], "symbol string, date date, rv double, turnover double, ret10 double")
     monkeypatch.setattr(q, "bin_inputs", lambda spark, d: df)
     assert sorted(r.rv for r in q.joint_top_percent(spark, "").collect()) == [float(n - i) for i in range(-(-n // 100))][::-1]
+
+
+def test_outcome_metrics(spark):
+    r = random.Random(8)
+    rows = [(h, y, r.choice([0.0, 1.5, -2.0, r.gauss(0, 3)]), abs(r.gauss(0, 2)), -abs(r.gauss(0, 2))) for h in (1, 5) for y in ("2024", "2025") for _ in range(r.randint(5, 40))] + [(9, "2025", 1.0, None, -1.0), (10, "2025", 0.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "horizon int, period string, ret double, mfe double, mae double")
+    got = {(x.horizon, x.period): x for x in st.outcome_metrics(df, "horizon", "period").collect()}
+    assert set(got) == {(h, p) for h, y, *_ in rows for p in (y, "ALL")}
+    for (h, p), x in got.items():
+        own = [z for z in rows if z[0] == h and p in (z[1], "ALL")]
+        ret = [z[2] for z in own]
+        gains, rest = [v for v in ret if v > 0], [v for v in ret if v <= 0]
+        mean = statistics.fmean(ret)
+        expectancy = len(gains) / len(ret) * statistics.fmean(gains) + len(rest) / len(ret) * statistics.fmean(rest) if gains and rest else mean
+        medians = [statistics.median(v) if (v := [z[i] for z in own if z[i] is not None]) else None for i in (3, 4)]
+        assert (x.sample_count, x.positive_count, x.non_positive_count) == (len(ret), len(gains), len(rest))
+        assert math.isclose(x.expectancy, expectancy, abs_tol=1e-9) and math.isclose(x.mean_return, mean, abs_tol=1e-9) and (x.min_return, x.max_return) == (min(ret), max(ret))
+        for a, b in zip((x.median_mfe, x.median_mae), medians):
+            assert a is b is None or math.isclose(a, b, abs_tol=1e-9)

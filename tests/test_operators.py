@@ -265,7 +265,7 @@ def test_outcome_metrics(spark):
     r = random.Random(8)
     rows = [(h, y, r.choice([0.0, 1.5, -2.0, r.gauss(0, 3)]), abs(r.gauss(0, 2)), -abs(r.gauss(0, 2))) for h in (1, 5) for y in ("2024", "2025") for _ in range(r.randint(5, 40))] + [(9, "2025", 1.0, None, -1.0), (10, "2025", 0.0, 1.0, None)]
     df = spark.createDataFrame(rows, "horizon int, period string, ret double, mfe double, mae double")
-    got = {(x.horizon, x.period): x for x in st.outcome_metrics(df, "horizon", "period").collect()}
+    got = {(x.horizon, x.period): x for x in stt.outcome_metrics(df, "horizon", "period").collect()}
     assert set(got) == {(h, p) for h, y, *_ in rows for p in (y, "ALL")}
     for (h, p), x in got.items():
         own = [z for z in rows if z[0] == h and p in (z[1], "ALL")]

@@ -15,7 +15,8 @@ from .vectors import matrix, valid
 COSINE = 0.98
 #: Tables and margin for 1, 2 and 3 functions a table. A bucket is probed where the coordinates that name it come, taken
 #: together, within the margin of the largest. In 64 dimensions a pair at cosine 0.98 meets in one table with probability
-#: 0.995, 0.936 and 0.874 and is missed by all with 2e-7, 2e-5 and 3e-5; a vector is in 7, 12 and 22 buckets.
+#: 0.995, 0.936 and 0.874 and is missed by all with 2e-7, 2e-5 and 3e-5; a vector is in 7, 12 and 22 buckets. The margins are
+#: those of 64 dimensions; ``reach`` has those of others.
 SETTINGS = {1: (3, 0.04), 2: (4, 0.03), 3: (5, 0.03)}
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt out as pairs of blocks.
 BUCKET = 4096
@@ -81,7 +82,17 @@ def width_for(rows: int, dim: int) -> int:
     return max(1, round(math.log(max(rows, 2) / 512) / math.log(2 * max(dim, 2)))) if rows > 512 else 1
 
 
-def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: float, bucket: int) -> DataFrame:
+def reach(width: int, padded: int) -> float:
+    """The margin in ``padded`` dimensions: rotated components shrink with the root of the dimension, and so does what two near vectors differ in.
+
+    In two dimensions the four axes are so far apart that either of two vectors at cosine 0.98 falls short of the other's
+    axis by 0.1415 at most.
+    """
+    usual = SETTINGS.get(width, SETTINGS[max(SETTINGS)])[1] * math.sqrt(64 / padded)
+    return max(usual, 0.1415 * width) if padded == 2 else usual
+
+
+def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: float | None, bucket: int) -> DataFrame:
     """(a, b, n): vector a, its parent in a tree over its set within one bucket, and its links counted there.
 
     A pair counts only in the first bucket where it can be found, so that the sum of n over all
@@ -104,7 +115,7 @@ def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: fl
                     some = part.slice(a, 4096)
                     rows, h = normal(matrix(some.column(2))), hashes(int(dim))
                     for t in range(tables):
-                        source, bucket_ids, first = h.probes([h.codes(rows, t, f) for f in range(width)], margin)
+                        source, bucket_ids, first = h.probes([h.codes(rows, t, f) for f in range(width)], reach(width, h.padded) if margin is None else margin)
                         taken = some.take(pa.array(source))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), t, np.int32)), taken.column(1), pa.array(bucket_ids), pa.array(first), taken.column(0), taken.column(2), taken.column(3)], names=["tab", "label", "bucket", "main", "id", "v", "dim"])
 
@@ -119,6 +130,7 @@ def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: fl
         ids, main, block = rows["id"].to_numpy(), rows["main"].to_numpy(zero_copy_only=False).astype(bool), rows["block"].to_numpy()
         unit = normal(matrix(rows["v"]))
         h = hashes(unit.shape[1])
+        most = reach(width, h.padded) if margin is None else margin
         lefts, rights = [], []
         for a in range(0, len(ids), 512):
             close = unit[a : a + 512] @ unit[a:].T >= cosine
@@ -135,8 +147,8 @@ def links(vectors: DataFrame, width: int, cosine: float, tables: int, margin: fl
         first = np.ones(len(i), bool)
         for table in range(t + 1):
             coded = [h.codes(unit[used], table, f) for f in range(width)]
-            forth = sum(gap[y, m[x]] for m, gap in coded) <= margin  # x's own bucket, probed by y
-            back_ = sum(gap[x, m[y]] for m, gap in coded) <= margin
+            forth = sum(gap[y, m[x]] for m, gap in coded) <= most  # x's own bucket, probed by y
+            back_ = sum(gap[x, m[y]] for m, gap in coded) <= most
             if table < t:
                 first &= ~(forth | back_)
             else:
@@ -182,14 +194,14 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, tables: int | None =
     non-finite components, and rows with a null label or vec_id, link with nothing; such a row has
     n_links 0 and its own vec_id as component_id. Vectors of different lengths do not link. vec_id is
     taken as a key; rows of one vec_id never link with each other. Empty tables give empty results.
-    ``width``, ``tables`` and ``margin`` follow from the number of rows unless given.
+    ``width`` and ``tables`` follow from the number of rows, ``margin`` from the width and the dimension, unless given.
     """
     usable = valid(df, "embedding").where("label IS NOT NULL AND vec_id IS NOT NULL")
     vectors = usable.select(F.col("vec_id").cast("long").alias("id"), "label", F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
     size = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(2))).first()
     width = width or min(width_for(*size), max(SETTINGS))
     usual = SETTINGS.get(width, SETTINGS[max(SETTINGS)])
-    found = cut(links(vectors, width, cosine, tables or usual[0], usual[1] if margin is None else margin, bucket))
+    found = cut(links(vectors, width, cosine, tables or usual[0], margin, bucket))
     counts = found.groupBy(F.col("a").alias("__c")).agg(F.sum("n").alias("__n"))
     joined = components(found.select("a", "b")).select(F.col("node").alias("__node"), "component")
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"))

@@ -93,6 +93,32 @@ def test_recall_of_the_settings(spark, width):
     assert sum(o.n_links for o in out) >= 0.995 * len(rows)
 
 
+@pytest.mark.parametrize("dim", [2, 3, 8, 64, 256, 768, 1024])
+def test_recall_and_copies_in_other_dimensions(dim):
+    """Pairs at cosine 0.98 with the production tables and margins: nearly all meet, and no vector is in many buckets."""
+    r = np.random.default_rng(dim)
+    x, z = r.normal(size=(2, 400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for width, (tables, _) in crosspoly.SETTINGS.items():
+        h = crosspoly.Hashes(dim, tables, width)
+        margin, met, copies = crosspoly.reach(width, h.padded), np.zeros(len(x), bool), 0
+        for t in range(tables):
+            a, b = ([h.codes(v, t, f) for f in range(width)] for v in (x, y))
+            i = np.arange(len(x))
+            met |= (sum(g[i, m] for (m, _), (_, g) in zip(a, b)) <= margin) | (sum(g[i, m] for (m, _), (_, g) in zip(b, a)) <= margin)
+            copies += len(h.probes(a, margin)[0]) / len(x)
+        assert met.mean() >= 0.98 and copies < 40
+
+
+@pytest.mark.parametrize("dim", [2, 200])
+def test_cosine_groups_in_other_dimensions(spark, dim):
+    rows = [(i, v, c) for i, v, c in vectors(dim, n=240, dim=dim) if v is None or len(v) in (0, dim)]
+    got = {tuple(x) for x in crosspoly.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute.cosine_groups(rows)
+
+
 @pytest.mark.parametrize("width", [2, 3])
 def test_several_functions_per_table(spark, width):
     rows = vectors(4, n=200)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features as fx
@@ -145,9 +145,17 @@ def limit_up(limit, tick, high, close) -> list:
     return [F.when(known, "AVAILABLE_DAILY_PROXY").otherwise("UNAVAILABLE").alias("limit_up_status"), F.when(known, touched).alias("limit_up_touched"), F.when(known, touched & (close < limit - tick / 2)).alias("limit_up_failed")]
 
 
-def exit_states(after: DataFrame, rule: Rule = BALANCED, window: int = 5, pushes: int = 2) -> DataFrame:
+def stalled(median_ratio: Column, body_return: Column, close_location: Column, ratio: float = 2.0) -> Column:
+    """Much volume and little progress: ``ratio`` medians of volume, a body of half a percent at most, a close in the lower 60 %."""
+    return F.coalesce((median_ratio >= ratio) & (F.abs(body_return) <= 0.005) & (close_location <= 0.60), F.lit(False))
+
+
+def exit_states(after: DataFrame, rule: Rule = BALANCED, window: int = 5, pushes: int = 2, stall: str | None = None) -> DataFrame:
     """State of each bar after the entry bar: support break, early profit, first warning, repeated risk or hold.
 
+    With ``stall``, a column that tells a stalled bar, profit is taken early only on such a bar (the defence by price and
+    volume); without, by price alone. ``exit_class`` and ``exit_action`` follow from the state; warnings are no action.
+
     ``after`` has (key, step from 1 = entry, entry, peak, floor, open, high, low, close). A push fails at
     the peak where the high reaches it within the tolerance, the close stays below and in the lower 60 %.
     """
@@ -161,11 +169,17 @@ def exit_states(after: DataFrame, rule: Rule = BALANCED, window: int = 5, pushes
     x = x.withColumn("n", F.sum("push").over(w)).where("step > 1")
     now, before = F.col("push") == 1, F.col("n") - F.col("push")
     early = now & (before >= 1) & (F.col("n") >= pushes) & (F.col("close") > F.col("entry"))
+    if stall:
+        early = early & F.col(stall)
     state = (
         F.when(F.col("close") < F.col("floor"), "KEY_SUPPORT_BREAK").when(early, "EARLY_PROFIT_TAKING_CANDIDATE").when(now & (before == 0), "FIRST_RESISTANCE_REJECTION_WARNING")
         .when(now, "REPEATED_RESISTANCE_REJECTION_RISK").otherwise("HOLD_OR_REOBSERVE")
     )
-    return x.withColumn("exit_state", state).withColumnRenamed("n", "failed_pushes")
+    x = x.withColumn("exit_state", state)
+    broken, taken = F.col("exit_state") == "KEY_SUPPORT_BREAK", F.col("exit_state") == "EARLY_PROFIT_TAKING_CANDIDATE"
+    kind = F.when(broken, F.when(F.col("close") > F.col("entry"), "PROFIT_PROTECTION").otherwise("ENTRY_RISK")).when(taken, "PROFIT_EXIT").when(F.col("exit_state") == "HOLD_OR_REOBSERVE", "NONE").otherwise("WARNING_ONLY")
+    x = x.withColumn("exit_class", kind).withColumn("exit_action", F.when(broken | taken, "NEXT_SESSION_REFERENCE_EXIT").otherwise("NONE"))
+    return x.withColumnRenamed("n", "failed_pushes")
 
 
 #: What a pair of lows is judged by, in order: the trend, the structure, the bar itself, the support.

@@ -66,7 +66,7 @@ def structure_predicates(spark, d):
     x = st.observations(structures(spark, d), R).drop("close_location")
     x = x.join(fx.geometry(panel).select("symbol", "date", "body_return", "close_location"), ["symbol", "date"]).join(fx.relative_volume(panel).select("symbol", "date", "median_ratio"), ["symbol", "date"])
     low_place = F.col("close_location") <= 0.60
-    stall = F.coalesce((F.col("median_ratio") >= 2.0) & (F.abs("body_return") <= 0.005) & low_place, F.lit(False))
+    stall = st.stalled(F.col("median_ratio"), F.col("body_return"), F.col("close_location"))
     rejected = (F.col("high") >= F.col("peak") * (1 - R.tolerance)) & (F.col("close") < F.col("peak")) & low_place
     # The bars carry no limit price, and a daily bar alone cannot show a failed limit.
     return x.select("symbol", "date", "confirmed", "support_state", stall.alias("stall"), rejected.alias("rejected"), F.lit("UNAVAILABLE").alias("limit_up_status"))
@@ -95,14 +95,38 @@ ah AS (SELECT *, CAST(sum(push) OVER (PARTITION BY symbol, date ORDER BY step RO
     f"WITH {B}, {STRUCTURE}, {AFTER} SELECT symbol, date, step, n AS failed_pushes, CASE WHEN close < floor_ THEN 'KEY_SUPPORT_BREAK' WHEN push = 1 AND n >= 2 AND close > entry THEN 'EARLY_PROFIT_TAKING_CANDIDATE' WHEN push = 1 AND n = 1 THEN 'FIRST_RESISTANCE_REJECTION_WARNING' WHEN push = 1 THEN 'REPEATED_RESISTANCE_REJECTION_RISK' ELSE 'HOLD_OR_REOBSERVE' END AS exit_state FROM ah WHERE step > 1",
 )
 def exit_states(spark, d):
-    panel = P.numbered(P.bars(spark, d))
+    return st.exit_states(bars_after(spark, d, P.numbered(P.bars(spark, d))), R).select("symbol", "date", "step", "failed_pushes", "exit_state")
+
+
+def bars_after(spark, d, panel, *more):
+    """The ten bars after each structure that closes above its rebound, with the entry open and ``more`` columns of the bars."""
     s = structures(spark, d).where("close > rebound").select("symbol", "date", F.col("rn").alias("s_rn"), "peak", F.col("low1").alias("floor"))
-    b = panel.select("symbol", "rn", "open", "high", "low", "close")
+    b = panel.select("symbol", "rn", "open", "high", "low", "close", *more)
     x = s.withColumn("rn", F.explode(F.sequence(F.col("s_rn") + 1, F.col("s_rn") + 10))).join(b, ["symbol", "rn"]).withColumn("step", (F.col("rn") - F.col("s_rn")).cast("long"))
     x = x.withColumn("key", F.struct("symbol", "date"))
     first = x.where("step = 1").select(F.col("key").alias("k"), F.col("open").alias("entry"))
-    x = x.join(first, x["key"] == first["k"])
-    return st.exit_states(x, R).select("symbol", "date", "step", "failed_pushes", "exit_state")
+    return x.join(first, x["key"] == first["k"])
+
+
+VOLUME_STATE = "CASE WHEN close < floor_ THEN 'KEY_SUPPORT_BREAK' WHEN push = 1 AND n >= 2 AND close > entry AND {0} THEN 'EARLY_PROFIT_TAKING_CANDIDATE' WHEN push = 1 AND n = 1 THEN 'FIRST_RESISTANCE_REJECTION_WARNING' WHEN push = 1 THEN 'REPEATED_RESISTANCE_REJECTION_RISK' ELSE 'HOLD_OR_REOBSERVE' END"
+CLASS = "CASE {0} WHEN 'KEY_SUPPORT_BREAK' THEN CASE WHEN close > entry THEN 'PROFIT_PROTECTION' ELSE 'ENTRY_RISK' END WHEN 'EARLY_PROFIT_TAKING_CANDIDATE' THEN 'PROFIT_EXIT' WHEN 'HOLD_OR_REOBSERVE' THEN 'NONE' ELSE 'WARNING_ONLY' END"
+
+
+@query(
+    "o4_7b_exit_states_by_volume",
+    f"WITH {B}, {STRUCTURE}, {GEOMETRY_SQL}, {RELVOL_SQL}, {AFTER.replace('b.rn - s.rn AS step,', 'b.rn - s.rn AS step, b.date AS bdate,')}, ai AS (SELECT ah.*, coalesce(median_ratio >= 2.0 AND abs(body_return) <= 0.005 AND close_location <= 0.60, FALSE) AS stall FROM ah LEFT JOIN ge ON ge.symbol = ah.symbol AND ge.date = ah.bdate LEFT JOIN ra ON ra.symbol = ah.symbol AND ra.date = ah.bdate), "
+    f"aj AS (SELECT *, {VOLUME_STATE.format('TRUE')} AS by_price, {VOLUME_STATE.format('stall')} AS by_volume FROM ai WHERE step > 1) "
+    f"SELECT symbol, date, step, stall, by_price AS exit_state, {CLASS.format('by_price')} AS exit_class, by_volume AS exit_state_by_volume, {CLASS.format('by_volume')} AS exit_class_by_volume, CASE WHEN by_volume IN ('KEY_SUPPORT_BREAK', 'EARLY_PROFIT_TAKING_CANDIDATE') THEN 'NEXT_SESSION_REFERENCE_EXIT' ELSE 'NONE' END AS exit_action_by_volume FROM aj",
+)
+def exit_states_by_volume(spark, d):
+    """Both defences side by side: profit taken early by price alone, and only where the push stalls on high volume."""
+    panel = P.kept_bars(spark, d)
+    stall = st.stalled(F.col("median_ratio"), F.col("body_return"), F.col("close_location")).alias("stall")
+    told = fx.geometry(panel).select("symbol", "date", "body_return", "close_location").join(fx.relative_volume(panel).select("symbol", "date", "median_ratio"), ["symbol", "date"])
+    x = bars_after(spark, d, P.numbered(panel).join(told.select("symbol", "date", stall), ["symbol", "date"]), "stall")
+    price = st.exit_states(x, R)
+    volume = st.exit_states(x, R, stall="stall").select("symbol", "date", "step", F.col("exit_state").alias("exit_state_by_volume"), F.col("exit_class").alias("exit_class_by_volume"), F.col("exit_action").alias("exit_action_by_volume"))
+    return price.select("symbol", "date", "step", "stall", "exit_state", "exit_class").join(volume, ["symbol", "date", "step"])
 
 
 LEVELS = "sig AS (SELECT symbol || ':' || CAST(date AS VARCHAR) AS signal_id, symbol, date AS signal_date, rn, close, trigger, stop, CASE WHEN peak > close * 1.03 THEN peak ELSE close + 2.5 * (close - stop) END AS target FROM (SELECT *, round(greatest(rebound, ma5), 2) AS trigger, round(low1 * 0.98, 2) AS stop FROM strc WHERE close > rebound AND support_state IN ('INTACT', 'T_INTRADAY_PUNCTURE_RECOVERED', 'PULLBACK_INTRADAY_PUNCTURE_RECOVERED')))"

@@ -278,3 +278,22 @@ def test_outcome_metrics(spark):
         assert math.isclose(x.expectancy, expectancy, abs_tol=1e-9) and math.isclose(x.mean_return, mean, abs_tol=1e-9) and (x.min_return, x.max_return) == (min(ret), max(ret))
         for a, b in zip((x.median_mfe, x.median_mae), medians):
             assert a is b is None or math.isclose(a, b, abs_tol=1e-9)
+
+
+def test_exit_states_by_price_and_by_volume(spark):
+    """Two failed pushes above the entry: profit is taken by price; by price and volume only if the second one stalls."""
+    push, calm, broken = (11.0, 11.0, 10.0, 10.2), (10.0, 10.5, 9.8, 10.2), (9.0, 9.2, 8.0, 8.5)
+    paths = {"a": [(calm, False), (push, False), (push, True)], "b": [(calm, False), (push, True), (push, False)], "c": [(calm, False), (calm, True), (broken, True)], "d": [(push, True), (push, True)]}
+    rows = [(k, i + 1, 10.0, 11.0, 9.0, *bar, stall) for k, own in paths.items() for i, (bar, stall) in enumerate(own)]
+    df = spark.createDataFrame(rows, "key string, step int, entry double, peak double, floor double, open double, high double, low double, close double, stalls boolean")
+
+    def states(**more):
+        return {(r.key, r.step): (r.exit_state, r.exit_class, r.exit_action) for r in st.exit_states(df, **more).collect()}
+
+    taken, first = ("EARLY_PROFIT_TAKING_CANDIDATE", "PROFIT_EXIT", "NEXT_SESSION_REFERENCE_EXIT"), ("FIRST_RESISTANCE_REJECTION_WARNING", "WARNING_ONLY", "NONE")
+    hold, risk, gone = ("HOLD_OR_REOBSERVE", "NONE", "NONE"), ("REPEATED_RESISTANCE_REJECTION_RISK", "WARNING_ONLY", "NONE"), ("KEY_SUPPORT_BREAK", "ENTRY_RISK", "NEXT_SESSION_REFERENCE_EXIT")
+    assert states() == {("a", 2): first, ("a", 3): taken, ("b", 2): first, ("b", 3): taken, ("c", 2): hold, ("c", 3): gone, ("d", 2): first}
+    assert states(stall="stalls") == {("a", 2): first, ("a", 3): taken, ("b", 2): first, ("b", 3): risk, ("c", 2): hold, ("c", 3): gone, ("d", 2): first}
+    bars = [(2.0, 0.005, 0.6, True), (1.99, 0.0, 0.1, False), (3.0, -0.006, 0.1, False), (3.0, 0.0, 0.61, False), (None, 0.0, 0.1, False)]
+    told = spark.createDataFrame(bars, "m double, b double, c double, want boolean")
+    assert all(r.s == r.want for r in told.withColumn("s", st.stalled(F.col("m"), F.col("b"), F.col("c"))).collect())

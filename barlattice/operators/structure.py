@@ -201,7 +201,9 @@ def pair_contexts(panel: DataFrame, rule: Rule = BALANCED, history: int = 260) -
 
     w, every = fx.by_symbol(), Window.partitionBy("symbol")
     x = panel.withColumn("rn", F.row_number().over(w)).withColumn("t", F.max("rn").over(every)).where(F.col("rn") > F.col("t") - history)
-    trend = fx.trend_features(x.select("symbol", "date", "close"), rule.fast, rule.slow, rule.trend, rule.up_fraction).select("symbol", "date", "sma_fast", "sma_slow", "log_slope", "up_fraction")
+    # Only the last bar's trend is asked for, and it looks no further back than this.
+    recent = x.where(F.col("rn") > F.col("t") - max(rule.slow, rule.trend) - 1)
+    trend = fx.trend_features(recent.select("symbol", "date", "close"), rule.fast, rule.slow, rule.trend, rule.up_fraction).select("symbol", "date", "sma_fast", "sma_slow", "log_slope", "up_fraction")
     x = pt.pivots(x.withColumn("prev_close", F.lag("close").over(w)), rule.radius)
     after = Window.partitionBy("symbol").orderBy(F.col("rn").desc()).rowsBetween(Window.unboundedPreceding, -1)
     before_t = F.col("rn") < F.col("t")

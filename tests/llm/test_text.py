@@ -274,6 +274,8 @@ def test_revisit(spark):
 def test_revisit_time_slices(spark):
     r = random.Random(8)
     rows = [(i, "hot.com/p", r.randint(0, 5000), r.choice(["response", "revisit"]), 200, {}, str(i)) for i in range(400)]
+    rows += [(1000 + i, "hot.com/p", 9_000 + i % 3, r.choice(["response", "revisit"]), 200, {}, str(i)) for i in range(300)]  # a burst: one slice holds it
+    rows += [(2000, "hot.com/p", 10**12, "revisit", 200, {}, "x"), (2001, "hot.com/p", -(10**12), "response", 200, {}, "y"), rows[3], rows[3]]  # far times, repeated rows
     out = {x.record_id: x.refers_to for x in revisit.resolve(spark.createDataFrame(rows, REC)).collect()}
     full = sorted((t, i) for i, _, t, kind, *_ in rows if kind == "response")
     for i, _, t, kind, *_ in rows:

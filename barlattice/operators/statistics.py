@@ -130,7 +130,8 @@ def moving_block_interval(series: DataFrame, keys: list[str], order: str, value:
 def date_bootstrap(daily: DataFrame, columns: list[str], draws: int = 10_000, seed: int = 20260906) -> DataFrame:
     """Quantiles of the joint means of ``columns`` when dates are drawn with replacement.
 
-    ``daily`` has one row per date; each chunk of 250 draws is a task of its own.
+    ``daily`` has one row per date; each chunk of 250 draws is a task of its own. Rows with a null take no part; without rows
+    the quantiles are null.
     """
     rows = daily.select(*columns).dropna()
     n_chunks = draws // 250
@@ -141,6 +142,8 @@ def date_bootstrap(daily: DataFrame, columns: list[str], draws: int = 10_000, se
         for pdf in batches:
             for chunk, values in zip(pdf["chunk"], pdf["rows"]):
                 x = np.array([[r[c] for c in columns] for r in values], float)
+                if not len(x):
+                    continue
                 rng = np.random.Generator(np.random.PCG64([seed, int(chunk)]))
                 picks = rng.integers(0, len(x), (250, len(x)))
                 yield pd.DataFrame(x[picks].mean(axis=1), columns=columns)

@@ -297,3 +297,46 @@ def test_exit_states_by_price_and_by_volume(spark):
     bars = [(2.0, 0.005, 0.6, True), (1.99, 0.0, 0.1, False), (3.0, -0.006, 0.1, False), (3.0, 0.0, 0.61, False), (None, 0.0, 0.1, False)]
     told = spark.createDataFrame(bars, "m double, b double, c double, want boolean")
     assert all(r.s == r.want for r in told.withColumn("s", st.stalled(F.col("m"), F.col("b"), F.col("c"))).collect())
+
+
+def interpolated(values, q):
+    values = sorted(values)
+    at = q * (len(values) - 1)
+    low = int(at)
+    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+
+
+@pytest.mark.parametrize("n", [7, 53, 130])
+def test_block_bootstrap_values(spark, n):
+    """The same draws taken one by one: blocks end to end, cut at the length of the series."""
+    r = random.Random(n)
+    x = [r.gauss(0.2, 1.0) for _ in range(n)]
+    rows = [("k", i, v) for i, v in enumerate(x)] + [("k", 9999, None), ("empty", 1, None)]
+    r.shuffle(rows)
+    got = {o.k: o for o in stt.moving_block_interval(spark.createDataFrame(rows, "k string, o long, v double"), ["k"], "o", "v", repetitions=500, seed=5).collect()}
+    rng, size, means = np.random.Generator(np.random.PCG64(5)), min(20, n), []
+    for _ in range(2):
+        starts = rng.integers(0, n - size + 1, (250, -(-n // size))).tolist()
+        means += [statistics.fmean([x[s + j] for s in own for j in range(size)][:n]) for own in starts]
+    assert got["k"].n == n and math.isclose(got["k"].low, interpolated(means, 0.025), abs_tol=1e-12) and math.isclose(got["k"].high, interpolated(means, 0.975), abs_tol=1e-12)
+    assert got["empty"].n == 0 and got["empty"].low is None
+
+
+def test_date_bootstrap_values(spark):
+    """The same draws taken one by one, and the normal approximation of the interval."""
+    r = random.Random(4)
+    rows = [(r.gauss(0, 1), r.gauss(3, 2)) for _ in range(90)]
+    df = spark.createDataFrame(rows + [(None, 1.0)], "a double, b double")
+    got = {o.measure: (o.low, o.high) for o in stt.date_bootstrap(df.repartition(5), ["a", "b"], draws=1000, seed=6).collect()}
+    ordered, means = sorted(rows), {"a": [], "b": []}
+    for chunk in range(4):
+        picks = np.random.Generator(np.random.PCG64([6, chunk])).integers(0, len(rows), (250, len(rows))).tolist()
+        for i, c in enumerate("ab"):
+            means[c] += [statistics.fmean(ordered[p][i] for p in own) for own in picks]
+    for i, c in enumerate("ab"):
+        assert math.isclose(got[c][0], interpolated(means[c], 0.025), abs_tol=1e-9) and math.isclose(got[c][1], interpolated(means[c], 0.975), abs_tol=1e-9)
+        own = [z[i] for z in rows]
+        half = 1.96 * statistics.pstdev(own) / math.sqrt(len(own))
+        assert abs(got[c][0] - (statistics.fmean(own) - half)) < 0.3 * half and abs(got[c][1] - (statistics.fmean(own) + half)) < 0.3 * half
+    none = {o.measure: (o.low, o.high) for o in stt.date_bootstrap(df.where("a > 100"), ["a", "b"], draws=500).collect()}
+    assert none == {"a": (None, None), "b": (None, None)}

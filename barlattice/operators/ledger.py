@@ -105,3 +105,22 @@ def recover(missed: DataFrame, evidence: DataFrame) -> DataFrame:
         .when(far, "PRICE_BASIS_INCOMPATIBLE").otherwise("RECOVERED")
     )
     return x.withColumn("status", status).select("signal_id", "due_date", "status", F.when(F.col("status") == "RECOVERED", F.round("__p", 6)).alias("price"))
+
+
+def backfill(locked: DataFrame, panel: DataFrame, observed: DataFrame, values: dict[str, str], tolerance: float = 1e-9) -> DataFrame:
+    """Every locked row (signal_id, symbol, date, locked_close) with its observation, or why it has none; no row is lost or added.
+
+    ``observed`` has symbol, date and, for each value, the value and its reason (``values``: name -> reason's name). A row
+    whose bar is missing, or has another close than was locked, gets no values, whatever was observed; a single value that
+    cannot be told keeps its own reason and leaves the others.
+    """
+    bar = panel.select("symbol", "date", F.col("close").alias("__close"))
+    x = locked.join(bar, ["symbol", "date"], "left").join(observed.withColumn("__seen", F.lit(True)), ["symbol", "date"], "left")
+    same = F.abs(F.col("__close") - F.col("locked_close")) <= tolerance
+    status = F.when(F.col("__close").isNull(), "BAR_MISSING").when(~F.coalesce(same, F.lit(False)), "IDENTITY_MISMATCH").when(F.col("__seen").isNull(), "NO_OBSERVATION")
+    reasons = F.lit(False)
+    for reason in values.values():
+        reasons = reasons | F.col(reason).isNotNull()
+    x = x.withColumn("status", F.coalesce(status, F.when(reasons, "PARTIAL").otherwise("COMPLETE")))
+    usable = F.col("status").isin("PARTIAL", "COMPLETE")
+    return x.select("signal_id", "status", *[F.when(usable, F.col(c)).alias(c) for pair in values.items() for c in pair])

@@ -1,14 +1,16 @@
-"""Queries over nested documents (o5.4, o13.4), two runs of one computation (o13.7) and full outcome metrics (o6.1)."""
+"""Queries over nested documents (o5.4, o13.4), two runs of one computation (o13.7), backfills (o13.8) and full outcome metrics (o6.1)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from barlattice.operators import identity as idn
+from barlattice.operators import ledger as lg
 from barlattice.operators import nested
 from barlattice.operators import statistics as st
 from barlattice.sources import panel as P
 
+from .q_features import pullback_observation
 from .q_statistics import determinism_sample
 from .registry import ORACLE_SQL, query
 
@@ -99,3 +101,19 @@ def outcome_metrics(spark, d):
     rows = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"ret{h}").alias("ret"), F.col(f"mfe{h}").alias("mfe"), F.col(f"mae{h}").alias("mae")) for h in (1, 3, 5, 10)]))
     x = P.kept(e.select(F.year("date").cast("string").alias("period"), rows.alias("r")).select("period", "r.*").where("ret IS NOT NULL"))
     return st.outcome_metrics(x, "horizon", "period").select("horizon", "period", "sample_count", "positive_count", "non_positive_count", *[F.round(c, 6).alias(c) for c in ("positive_rate", "expectancy", *METRICS)])
+
+
+BACKFILLED = {"down_volume_share": "share_reason", "up_down_volume_ratio": "ratio_reason", "decay_ratio": "decay_reason"}
+
+
+@query(
+    "o13_8b_observation_backfill",
+    f"WITH {BASE}, ob AS ({ORACLE_SQL['o3_12_pullback_observation']}), x AS (SELECT sig.signal_id, sig.rn, ob.*, CASE WHEN sig.rn % 19 = 0 THEN 'BAR_MISSING' WHEN sig.rn % 17 = 0 THEN 'IDENTITY_MISMATCH' WHEN ob.symbol IS NULL THEN 'NO_OBSERVATION' WHEN share_reason IS NOT NULL OR ratio_reason IS NOT NULL OR decay_reason IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM sig LEFT JOIN ob ON ob.symbol = sig.symbol AND ob.date = sig.signal_date) "
+    "SELECT signal_id, status, " + ", ".join(f"CASE WHEN status IN ('PARTIAL', 'COMPLETE') THEN {c} END AS {c}" for pair in BACKFILLED.items() for c in pair) + " FROM x",
+)
+def observation_backfill(spark, d):
+    """The locked signals get the volume observation of their bar; some were locked at another close, or at a date without a bar."""
+    panel = P.kept_bars(spark, d)
+    late = F.when(F.col("rn") % 19 == 0, F.date_add("signal_date", 100_000)).otherwise(F.col("signal_date"))
+    locked = P.signals(panel).select("signal_id", "symbol", late.alias("date"), F.when(F.col("rn") % 17 == 0, F.col("close") + 1).otherwise(F.col("close")).alias("locked_close"))
+    return lg.backfill(locked, panel, pullback_observation(spark, d).drop("window_days"), BACKFILLED)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlattice.functions import scalars as sc
-from barlattice.operators import adjust, structure as st, execution as ex, features as fx, joins as jn, patterns as pt, ranks as rk, statistics as stt
+from barlattice.operators import adjust, structure as st, execution as ex, features as fx, joins as jn, ledger as lg, patterns as pt, ranks as rk, statistics as stt
 from barlattice.sources import files, panel as P
 from barlattice.streaming import late
 
@@ -340,3 +340,12 @@ def test_date_bootstrap_values(spark):
         assert abs(got[c][0] - (statistics.fmean(own) - half)) < 0.3 * half and abs(got[c][1] - (statistics.fmean(own) + half)) < 0.3 * half
     none = {o.measure: (o.low, o.high) for o in stt.date_bootstrap(df.where("a > 100"), ["a", "b"], draws=500).collect()}
     assert none == {"a": (None, None), "b": (None, None)}
+
+
+def test_backfill_keeps_every_locked_row(spark):
+    locked = spark.createDataFrame([("s1", "a", 1, 2.0), ("s2", "a", 2, 9.0), ("s3", "a", 3, 2.0), ("s4", "b", 1, 2.0), ("s5", "c", 1, 2.0), ("s6", "c", 2, None)], "signal_id string, symbol string, date int, locked_close double")
+    panel = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 2.0), ("b", 1, 2.0), ("c", 1, 2.0), ("c", 2, 2.0)], "symbol string, date int, close double")
+    seen = spark.createDataFrame([("a", 1, 0.5, None, 1.5, None), ("a", 2, 0.5, None, 1.5, None), ("a", 3, 0.5, None, 1.5, None), ("b", 1, 0.25, None, None, "WHY"), ("c", 2, 0.1, None, 1.0, None)], "symbol string, date int, u double, u_reason string, v double, v_reason string")
+    out = {r.signal_id: tuple(r)[1:] for r in lg.backfill(locked, panel, seen, {"u": "u_reason", "v": "v_reason"}).collect()}
+    none = (None, None, None, None)
+    assert out == {"s1": ("COMPLETE", 0.5, None, 1.5, None), "s2": ("IDENTITY_MISMATCH", *none), "s3": ("BAR_MISSING", *none), "s4": ("PARTIAL", 0.25, None, None, "WHY"), "s5": ("NO_OBSERVATION", *none), "s6": ("IDENTITY_MISMATCH", *none)}

@@ -60,26 +60,27 @@ def quote_files(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     symbol = F.lower(F.regexp_replace(F.trim(F.substring_index("line", "=", 1)), "^v_", ""))
     body = F.trim(F.expr("substring(line, locate('=', line) + 1)"))
     x = lines.select("file", "line", symbol.alias("symbol"), body.alias("body"))
-    fields = F.split(F.expr("substring(body, 2, length(body) - 2)"), "~")
-    x = x.select("*", fields.alias("x"))
+    # A filter on the reason would move below and take all it is made of along, once for each use; none moves below an explode.
+    x = x.select("*", F.explode(F.array(F.split(F.expr("substring(body, 2, length(body) - 2)"), "~"))).alias("x"))
 
     def field(place: int) -> Column:
         return F.trim(F.get("x", F.lit(place)))
 
     numbers = {n: field(p).try_cast("double") for n, p in QUOTE_PLACES.items()}
     stamp = field(STAMP_AT)
-    x = x.select("*", field(CODE_AT).alias("code"), field(NAME_AT).alias("name"), stamp.alias("timestamp"), F.try_to_timestamp(F.substring(stamp, 1, 8), F.lit("yyyyMMdd")).cast("date").alias("quote_date"), *[v.alias(n) for n, v in numbers.items()])
+    told = F.struct(field(CODE_AT).alias("code"), field(NAME_AT).alias("name"), stamp.alias("timestamp"), F.try_to_timestamp(F.substring(stamp, 1, 8), F.lit("yyyyMMdd")).cast("date").alias("quote_date"), F.size("x").alias("n_fields"), *[v.alias(n) for n, v in numbers.items()])
+    x = x.select("file", "line", "symbol", "body", F.explode(F.array(told)).alias("t")).select("file", "line", "symbol", "body", "t.*")
     bad_number = [(f"BAD_{n.upper()}", F.col(n).isNull() | F.isnan(n) | (F.abs(n) == float("inf"))) for n in QUOTE_PLACES]
     idle = (F.col("price") > 0) & (F.col("price") == F.col("prev_close"))
     for zero in ("chg_pct", "open", "high", "low", "volume", "turnover", "vol_ratio"):
         idle = idle & (F.col(zero) == 0)
     reason = first_reason([
-        ("BAD_SYMBOL", ~F.col("symbol").rlike(r"^(sh|sz|bj)\d{6}$")), ("BAD_BODY", (F.length("body") < 2) | ~F.col("body").startswith('"') | ~F.col("body").endswith('"')), ("TOO_FEW_FIELDS", F.size("x") < QUOTE_FIELDS),
+        ("BAD_SYMBOL", ~F.col("symbol").rlike(r"^(sh|sz|bj)\d{6}$")), ("BAD_BODY", (F.length("body") < 2) | ~F.col("body").startswith('"') | ~F.col("body").endswith('"')), ("TOO_FEW_FIELDS", F.col("n_fields") < QUOTE_FIELDS),
         ("CODE_MISMATCH", F.col("code").isNull() | (F.col("code") != F.substring("symbol", 3, 6))), ("NO_NAME", F.col("name") == ""),
         ("BAD_TIMESTAMP", ~F.col("timestamp").rlike(r"^\d{14}$") | F.col("quote_date").isNull()), *bad_number,
         ("NOT_POSITIVE", ~idle & (F.least("price", "prev_close", "open") <= 0)), ("BAD_BOUNDS", ~idle & ((F.least("high", "low") <= 0) | (F.col("high") < F.col("low")))), ("NEGATIVE_RATIO", ~idle & (F.least("turnover", "vol_ratio") < 0)),
     ])
-    x = x.withColumn("reason", reason)
+    x = x.select("*", F.explode(F.array(reason)).alias("reason"))
     quotes = x.where("reason IS NULL").select("code", "symbol", "name", *QUOTE_PLACES, "timestamp", "quote_date", "file")
     return quotes, x.where("reason IS NOT NULL").select("file", F.substring("line", 1, SHOWN).alias("line"), "reason")
 

@@ -128,3 +128,11 @@ def test_evidence(spark, tmp_path):
     }
     assert got == want
     assert sorted((r.capture, r.symbol, r.price) for r in ev.quotes(audited).collect()) == [("clean", "600001", 10.5), ("clean", "600002", 3.0), ("utc", "600001", 10.5), ("utc", "600002", 3.0)]
+
+
+def test_quote_lines_are_cut_once(spark, tmp_path):
+    """The filter on the reason takes none of the cutting along, so that a line is cut once and not for every use of a field."""
+    (tmp_path / "one.txt").write_text(f"{quote()};")
+    for side in dc.quote_files(spark, str(tmp_path / "*.txt")):
+        plan = side.groupBy("file").count()._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("~, -1") == 1

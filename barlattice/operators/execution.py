@@ -1,12 +1,13 @@
 """Forward outcomes and execution replays, as set operations over the bars after each signal.
 
 A path is one row per (signal, step) with the bar of that step or nulls where it is missing. Entry and
-exit are the smallest steps that meet their conditions, so a replay is two grouped aggregates.
+exit are the smallest steps that meet their conditions, so a replay is a window and a grouped aggregate over the
+steps of a signal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HORIZONS = (1, 3, 5, 10)
@@ -88,11 +89,11 @@ def replay(path: DataFrame, horizon: int = 10, gap_fills: bool = True, time_exit
         price = F.when(l & h, F.lit(None)).when(l, F.col("stop")).when(h, F.col("target"))
     fill = fill_price() if gap_fills else F.when(F.col("b_high") >= F.col("trigger"), F.col("trigger"))
     p = path.withColumn("fill", fill).withColumn("kind", kind).withColumn("price", price)
-    entry = p.groupBy("signal_id").agg(
-        F.min(F.when(F.col("b_close").isNull(), F.col("step"))).alias("m"), F.min(F.when(F.col("fill").isNotNull() & (F.col("step") <= horizon), F.col("step"))).alias("e0"), F.min_by("fill", F.when(F.col("fill").isNotNull() & (F.col("step") <= horizon), F.col("step"))).alias("fill0"),
-    )
-    entry = entry.withColumn("e", F.when(F.col("m").isNull() | (F.col("e0") < F.col("m")), F.col("e0"))).withColumn("entry_price", F.when(F.col("e").isNotNull(), F.col("fill0")))
-    q = p.drop("fill").join(entry.select("signal_id", "m", "e", "entry_price"), "signal_id")
+    # Windows over the signal instead of groups joined back: its steps are made and exchanged once.
+    w = Window.partitionBy("signal_id")
+    filled = F.when(F.col("fill").isNotNull() & (F.col("step") <= horizon), F.col("step"))
+    q = p.select("*", F.min(F.when(F.col("b_close").isNull(), F.col("step"))).over(w).alias("m"), F.min(filled).over(w).alias("e0"), F.min_by("fill", filled).over(w).alias("fill0")).drop("fill")
+    q = q.withColumn("e", F.when(F.col("m").isNull() | (F.col("e0") < F.col("m")), F.col("e0"))).withColumn("entry_price", F.when(F.col("e").isNotNull(), F.col("fill0")))
     alive = (F.col("step") > F.col("e")) & (F.col("m").isNull() | (F.col("step") < F.col("m")))
     decided = F.when(alive & F.col("kind").isNotNull() & (F.col("step") <= (horizon if time_exit else 10**9)), F.col("step"))
     last = F.when(F.col("e") == horizon, horizon + 1).otherwise(horizon)

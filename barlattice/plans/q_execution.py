@@ -99,14 +99,19 @@ PROSPECTIVE = f"{BASE}, {own_path(11)}, {replay_sql(11, True, True)}"
 RULE = f"{BASE}, {own_path(30)}, {replay_sql(30, False, False, 30)}"
 
 
-def prospective(spark, d):
-    panel = P.kept_bars(spark, d)
-    return ex.replay(ex.own_clock_path(P.signals(panel), P.numbered(panel), 11))
+def kept_path(spark, d, steps):
+    """The steps after every signal, made once for all models of a query; of the bars only what they read is kept."""
+    panel = P.kept(P.bars(spark, d).select("symbol", "date", "open", "high", "low", "close"))
+    path = ex.own_clock_path(P.signals(panel), P.numbered(panel), steps)
+    return P.kept(path.select("signal_id", "trigger", "stop", "target", "step", "b_open", "b_high", "b_low", "b_close"))
 
 
-def rule_model(spark, d):
-    panel = P.kept_bars(spark, d)
-    return ex.replay(ex.own_clock_path(P.signals(panel), P.numbered(panel), 30), horizon=30, gap_fills=False, time_exit=False)
+def prospective(spark, d, path=None):
+    return ex.replay(kept_path(spark, d, 11) if path is None else path)
+
+
+def rule_model(spark, d, path=None):
+    return ex.replay(kept_path(spark, d, 30) if path is None else path, horizon=30, gap_fills=False, time_exit=False)
 
 
 def trades(spark, d):
@@ -184,9 +189,8 @@ def cohort_of(delay):
     return F.when(delay == 1, "T+1").when(delay == 2, "T+2").when(delay == 3, "T+3").when(delay <= 5, "T+4-5").when(delay <= 10, "T+6-10")
 
 
-def first_triggers(spark, d):
-    panel = P.kept_bars(spark, d)
-    path = ex.own_clock_path(P.signals(panel), P.numbered(panel), 10)
+def first_triggers(spark, d, path=None):
+    path = kept_path(spark, d, 10) if path is None else path
     x = path.groupBy("signal_id").agg(F.min(F.when(F.col("b_high") >= F.col("trigger"), F.col("step"))).alias("delay"), F.min(F.when(F.col("b_close").isNull(), F.col("step"))).alias("m"))
     known = F.col("m").isNull() | (F.col("delay") < F.col("m"))
     status = F.when(F.col("delay").isNotNull() & known, "KNOWN").when(F.col("m").isNotNull(), "CENSORED").otherwise("UNTRIGGERED")
@@ -223,9 +227,8 @@ AFTER_ENTRY = f"{PROSPECTIVE}, ae AS (SELECT rp.signal_id, h.k, CASE WHEN entry_
 
 
 @query("o10_8_horizons_after_entry", f"WITH {AFTER_ENTRY} SELECT signal_id, k AS horizon, status, CASE WHEN status IN ('TERMINAL', 'MARKED') THEN round((price / entry_price - 1) * 100, 6) END AS return_pct FROM ae")
-def horizons_after_entry(spark, d, rounded=True):
-    panel = P.kept_bars(spark, d)
-    path = ex.own_clock_path(P.signals(panel), P.numbered(panel), 11)
+def horizons_after_entry(spark, d, rounded=True, path=None):
+    path = kept_path(spark, d, 11) if path is None else path
     r = ex.replay(path).withColumn("horizon", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 3, 5)])))
     marks = path.select(F.col("signal_id").alias("sid"), F.col("step").alias("at"), "b_close")
     x = r.join(marks, (F.col("signal_id") == F.col("sid")) & (F.col("at") == F.col("entry_step") + F.col("horizon")), "left")

@@ -12,7 +12,7 @@ from barlattice.operators import fronts
 from barlattice.operators import joins as jn
 from barlattice.sources import panel as P
 
-from .q_execution import BASE, OUTCOME, PROSPECTIVE, RULE, own_path, prospective, rule_model
+from .q_execution import BASE, OUTCOME, PROSPECTIVE, RULE, own_path, kept_path, prospective, rule_model
 from .q_features import REVERSAL_SQL
 from .q_patterns import LEVELS_WITH, RVC, signal_levels
 from .registry import query
@@ -141,7 +141,8 @@ def dominance(spark, d):
 
 
 def model_pairs(spark, d):
-    p, r = prospective(spark, d), rule_model(spark, d)
+    path = kept_path(spark, d, 30)
+    p, r = prospective(spark, d, path.where("step <= 11")), rule_model(spark, d, path)
     return jn.pair_models(p, r)
 
 

@@ -4,22 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlattice.sources.panel import kept
 
+#: Rows of a part that one task sorts, and rows of a few numbers each that may be broadcast, once counted.
+RANGE, FEW = 500_000, 10_000
+
 
 def rate(condition: Column) -> Column:
     return F.avg(F.when(condition.isNotNull(), condition.cast("int")))
 
 
-def numbered_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+def range_count(spark: SparkSession, rows: int | None = None) -> int:
+    """As many parts as shuffle partitions; more where ``rows``, the number of rows if known, would make a part larger than RANGE."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return least if rows is None else max(least, -(-rows // RANGE))
+
+
+def numbered_ranges(df: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
     """``df`` parted into ranges of ``order``, written once, with the column ``__range``, which ascends with the order.
 
-    Ranges are as many as shuffle partitions and hold about equal shares, so that a task has its range only.
+    Ranges are as many as ``range_count`` says and hold about equal shares, so that a task has its range only.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_count(df.sparkSession, rows)
     return kept(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
 
 
@@ -43,19 +52,21 @@ def group_places(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
     The table is numbered in ranges; a key that has all rows is many ranges.
     """
     x = places(df, [F.col(key), *order], "__place")
-    starts = x.groupBy(F.col(key).alias("__key")).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__size"))
-    x = x.join(starts, F.col(key).eqNullSafe(F.col("__key")))
+    starts = kept(x.groupBy(F.col(key).alias("__key")).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__size")))
+    few = starts.limit(FEW + 1).count() <= FEW  # then the rows need no further exchange
+    x = x.join(F.broadcast(starts) if few else starts, F.col(key).eqNullSafe(F.col("__key")))
     return x.withColumn(name, F.col("__place") - F.col("__first")).drop("__place", "__first", "__key", "__all")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], rows: int | None = None) -> DataFrame:
     """``keys`` and ``quantiles``, the exact interpolated quantiles of the non-null values of each key, as an array.
 
     Equal values are counted first, then the distinct ones are parted into ranges, so that a key that
-    has all rows, or a value that most rows have, is no single task's.
+    has all rows, or a value that most rows have, is no single task's. With ``rows``, the number of rows,
+    a task's share does not grow with them.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    x = numbered_ranges(counted, [*keys, "__v"])
+    x = numbered_ranges(counted, [*keys, "__v"], rows)
     own = Window.partitionBy(*[F.col(f"__{k}") for k in keys])
     sizes = x.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r")).agg(F.sum("__c").alias("__s"))
     sizes = sizes.select("*", (F.sum("__s").over(own.orderBy("__r")) - F.col("__s")).alias("__before"), F.sum("__s").over(own).alias("__n"))

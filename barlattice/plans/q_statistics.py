@@ -11,7 +11,7 @@ from barlattice.operators import ranks as rk
 from barlattice.operators import statistics as stt
 from barlattice.sources import panel as P
 
-from .q_execution import AFTER_ENTRY, BASE, COHORT, DELAY, PROSPECTIVE, RULE, first_triggers, horizons_after_entry, own_path, prospective, rule_model, trades
+from .q_execution import AFTER_ENTRY, BASE, COHORT, DELAY, PROSPECTIVE, RULE, first_triggers, horizons_after_entry, kept_path, own_path, prospective, rule_model, trades
 from .q_features import COMPRESSION_SQL, PAIR_SQL, PULLBACK_SQL, REGIME_SQL, REVERSAL_SQL, RISK_SQL, pair_series
 from .q_patterns import ALL, BOARD, CONDITIONS, LEVELS_WITH, RVC, VCB, features_of, reversal_classified, signal_levels
 from .registry import query
@@ -46,8 +46,10 @@ def return_summary(spark, d):
     none = F.struct(F.lit(None).cast("int").alias("period_year"), F.lit(None).cast("string").alias("period_month"))
     year, month = F.struct("period_year", F.lit(None).cast("string").alias("period_month")), F.struct(F.lit(None).cast("int").alias("period_year"), "period_month")
     keys = ["horizon", "period_year", "period_month"]
-    x = P.kept(x.select("horizon", "ret", "mfe", "mae", F.explode(F.array(none, year, month)).alias("g")).select("horizon", "g.*", "ret", "mfe", "mae"))
-    q = stt.exact_quantiles(x, keys, "ret", [0.5]).select(*[F.col(k).alias(f"q_{k}") for k in keys], F.round(F.col("quantiles")[0], 6).alias("median"))
+    x = P.kept(x.select("horizon", "ret", "mfe", "mae", "period_year", "period_month"))
+    rows = 3 * x.count()
+    x = x.select("horizon", "ret", "mfe", "mae", F.explode(F.array(none, year, month)).alias("g")).select("horizon", "g.*", "ret", "mfe", "mae")
+    q = stt.exact_quantiles(x, keys, "ret", [0.5], rows).select(*[F.col(k).alias(f"q_{k}") for k in keys], F.round(F.col("quantiles")[0], 6).alias("median"))
     s = x.groupBy(*keys).agg(*stt.summary("ret", "mfe", "mae", median=False))
     same = F.lit(True)
     for k in keys:
@@ -207,9 +209,10 @@ round(count(*) FILTER (outcome LIKE 'EXIT_TARGET%') / nullif(count(return_pct) F
 
 def cohort_rows(spark, d):
     """Every signal with its delay, cohort, outcome and the mark five bars after entry."""
-    r = prospective(spark, d).select("signal_id", F.col("status").alias("outcome"), "return_pct", (F.col("exit_step") - F.col("entry_step")).alias("holding"))
-    e = horizons_after_entry(spark, d, rounded=False).where("horizon = 5").select("signal_id", F.col("return_pct").alias("e5"))
-    return first_triggers(spark, d).join(r, "signal_id").join(e, "signal_id", "left")
+    path = kept_path(spark, d, 11)
+    r = prospective(spark, d, path).select("signal_id", F.col("status").alias("outcome"), "return_pct", (F.col("exit_step") - F.col("entry_step")).alias("holding"))
+    e = horizons_after_entry(spark, d, rounded=False, path=path).where("horizon = 5").select("signal_id", F.col("return_pct").alias("e5"))
+    return first_triggers(spark, d, path.where("step <= 10")).join(r, "signal_id").join(e, "signal_id", "left")
 
 
 def cohort_metrics() -> list:
@@ -451,9 +454,10 @@ def quality_ranking(spark, d):
     """Composite of three volume ranks per date; top 1, 3 and 5 with shared boundary ties, rank IC and five bins."""
     from .q_features import pullback_features
 
-    panel = P.bars(spark, d)
+    panel = P.kept_bars(spark, d)
+    parts = stt.range_count(spark, panel.count())
     x = pullback_features(panel).where("rn >= 120").select("symbol", "date", F.col("down_volume_share").alias("f1"), F.col("up_down_mean_ratio").alias("f2"), F.col("half_mean_decay").alias("f3"))
-    x = x.join(P.outcomes(panel).select("symbol", "date", "ret10"), ["symbol", "date"]).dropna()
+    x = x.join(P.outcomes(panel).select("symbol", "date", "ret10"), ["symbol", "date"]).dropna().repartition(parts, "date")
     w = Window.partitionBy("date")
     x = x.withColumn("n", F.count(F.lit(1)).over(w))
     x = x.select("*", *[rk.average_rank(["date"], c).alias(f"r{c}") for c in ("f1", "f2", "f3")])

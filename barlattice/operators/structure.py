@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import features as fx
@@ -52,29 +52,34 @@ def pullback_structures(numbered: DataFrame, rule: Rule = BALANCED) -> DataFrame
     low and, for it, the latest first low; the first pair that fits in all respects is taken.
     """
     x = pt.pivots(numbered, rule.radius)
-    past = F.collect_list(F.struct("rn", "low", "high", "close", "is_low", "is_high")).over(fx.back(-rule.reach, -1))
-    x = x.select("symbol", "date", "rn", "open", "high", "low", "close", F.lag("close").over(fx.by_symbol()).alias("prev_close"), F.avg("close").over(fx.back(-4)).alias("ma5"), past.alias("past"), *[F.collect_list(c).over(fx.back(-rule.reach - BASELINE, -1)).alias(f"{c}s") for c in ("volume", "close")])
+    past = F.collect_list(F.struct("rn", "low", "high", "close")).over(fx.back(-rule.reach, -1))
+    # The peak of a low is the last high before it; the rebound of any second low is the last high known at the bar.
+    high = F.when(F.col("is_high"), F.struct("rn", "high"))
+    x = x.select("*", F.last(high, ignorenulls=True).over(fx.by_symbol().rowsBetween(Window.unboundedPreceding, -1)).alias("peak"), F.last(high, ignorenulls=True).over(fx.by_symbol().rowsBetween(Window.unboundedPreceding, -1 - rule.radius)).alias("rebound"))
+    lows = F.collect_list(F.when(F.col("is_low"), F.struct("rn", "low", "peak"))).over(fx.back(-rule.reach, -1 - rule.radius))
+    bottoms = F.collect_list(F.coalesce("low", F.lit(float("nan")))).over(fx.back(-rule.reach, -1))
+    x = x.select("symbol", "date", "rn", "open", "high", "low", "close", F.lag("close").over(fx.by_symbol()).alias("prev_close"), F.avg("close").over(fx.back(-4)).alias("ma5"), past.alias("past"), F.reverse(lows).alias("lows"), bottoms.alias("bottoms"), "rebound", *[F.collect_list(c).over(fx.back(-rule.reach - BASELINE, -1)).alias(f"{c}s") for c in ("volume", "close")])
     x = x.where(F.col("rn") >= max(rule.slow, rule.reach + 2))
-    known = F.col("rn") - 1 - rule.radius
-    x = x.withColumn("lows", F.reverse(F.filter("past", lambda p: p["is_low"] & (p["rn"] <= known)))).withColumn("highs", F.reverse(F.filter("past", lambda p: p["is_high"] & (p["rn"] <= known))))
-
-    def pair(second, first):
-        peak = F.get(F.filter("highs", lambda h: h["rn"] < first["rn"]), F.lit(0))
-        rebound = F.get(F.filter("highs", lambda h: h["rn"] > second["rn"]), F.lit(0))
-
-        def facts(z):
-            p, r = z["peak"], z["rebound"]
-            floor = F.array_min(F.transform(F.filter("past", lambda x: x["rn"] > p["rn"]), lambda x: x["low"]))
-            return F.struct(
-                first["rn"].alias("rn1"), first["low"].alias("low1"), second["rn"].alias("rn2"), second["low"].alias("low2"), p["rn"].alias("peak_rn"), p["high"].alias("peak"), r["rn"].alias("rebound_rn"), r["high"].alias("rebound"),
-                ((p["high"] - floor) / p["high"]).alias("depth"), ((r["high"] - second["low"]) / second["low"]).alias("size"),
-            )
-
-        # A one-element array binds peak and rebound, so that each is searched for once.
-        return F.transform(F.array(F.struct(peak.alias("peak"), rebound.alias("rebound"))), facts)
-
-    pairs = F.flatten(F.flatten(F.transform("lows", lambda s: F.transform(F.filter("lows", lambda a: (s["rn"] - a["rn"] >= rule.apart) & (s["low"] > a["low"])), lambda a: pair(s, a)))))
-    fits = F.filter(pairs, lambda p: p["depth"].between(*rule.depth) & p["size"].between(*rule.rebound))
+
+    def first(a):
+        """A first low: the depth depends on it alone, by the peak before it and the lows from there to the bar."""
+        n = (F.col("rn") - 1 - a["peak"]["rn"]).cast("int")
+        floor = F.array_min(F.slice("bottoms", F.size("bottoms") - n + 1, n))
+        return F.struct(a["rn"].alias("rn1"), a["low"].alias("low1"), a["peak"]["rn"].alias("peak_rn"), a["peak"]["high"].alias("peak"), ((a["peak"]["high"] - floor) / a["peak"]["high"]).alias("depth"))
+
+    def second(b):
+        return F.struct(b["rn"].alias("rn2"), b["low"].alias("low2"), F.col("rebound.rn").alias("rebound_rn"), F.col("rebound.high").alias("rebound"), ((F.col("rebound.high") - b["low"]) / b["low"]).alias("size"))
+
+    firsts = F.filter(F.transform(F.filter("lows", lambda a: a["peak"]["rn"] >= F.col("rn") - rule.reach), first), lambda a: a["depth"].between(*rule.depth))
+    seconds = F.filter(F.transform(F.filter("lows", lambda b: F.col("rebound.rn") > b["rn"]), second), lambda b: b["size"].between(*rule.rebound))
+    # A one-element array binds both, so that each low is judged once and not for each pair.
+    x = x.select("*", F.explode(F.array(F.struct(firsts.alias("firsts"), seconds.alias("seconds")))).alias("of"))
+
+    def pairs(b):
+        near = F.filter("of.firsts", lambda a: (b["rn2"] - a["rn1"] >= rule.apart) & (b["low2"] > a["low1"]))
+        return F.transform(near, lambda a: F.struct(a["rn1"], a["low1"], b["rn2"], b["low2"], a["peak_rn"], a["peak"], b["rebound_rn"], b["rebound"], a["depth"], b["size"]))
+
+    fits = F.flatten(F.transform("of.seconds", pairs))
     # Exploding the first fit computes it once for all later uses; no filter moves below it.
     found = x.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "volumes", "closes", F.explode(F.slice(fits, 1, 1)).alias("s"))
     return found.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "volumes", "closes", "s.*")

@@ -137,7 +137,7 @@ def structure_simulation(spark, d):
     x = st.observations(structures(spark, d), R).where(F.col("support_state").isin("INTACT", "T_INTRADAY_PUNCTURE_RECOVERED", "PULLBACK_INTRADAY_PUNCTURE_RECOVERED")).where("close > rebound")
     x = x.withColumn("trigger", F.round(F.greatest("rebound", "ma5"), 2)).withColumn("stop", F.round(F.col("low1") * 0.98, 2))
     x = x.withColumn("target", F.when(F.col("peak") > F.col("close") * 1.03, F.col("peak")).otherwise(F.col("close") + 2.5 * (F.col("close") - F.col("stop"))))
-    s = x.select(F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("signal_id"), "symbol", F.col("date").alias("signal_date"), "rn", "close", "trigger", "stop", "target")
+    s = P.kept(x.select(F.concat_ws(":", "symbol", F.col("date").cast("string")).alias("signal_id"), "symbol", F.col("date").alias("signal_date"), "rn", "close", "trigger", "stop", "target"))
     path = ex.own_clock_path(s, P.numbered(P.bars(spark, d)), 20)
     return ex.replay(path, horizon=20, gap_fills=False, time_exit=False).join(s.select("signal_id", "trigger", "stop", F.round("target", 6).alias("target")), "signal_id")
 

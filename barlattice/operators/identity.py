@@ -38,8 +38,13 @@ def leaves(lines: DataFrame, stream: str, order: list[str], line: str, size: int
     ``multiset`` sums a number of each line, so it does not depend on the order; sha256 does. The order must be total: rows
     that tie in it must have equal lines. A null line is an empty one.
     """
-    text = F.coalesce(F.col(line), F.lit(""))
-    x = group_places(lines.select(stream, *[F.col(c) for c in dict.fromkeys(order) if c not in (stream,)], text.alias("__line")), stream, [F.col(c) for c in order], "__at")
+    x = group_places(lines.select(stream, *[F.col(c) for c in dict.fromkeys([*order, line]) if c != stream]), stream, [F.col(c) for c in order], "__at")
+    return placed_leaves(x, stream, "__at", line, size)
+
+
+def placed_leaves(lines: DataFrame, stream: str, place: str, line: str, size: int = LEAF) -> DataFrame:
+    """The ``leaves`` of lines that have their place in the stream, from 0 and without gaps: they are exchanged once, by leaf."""
+    x = lines.select(stream, F.col(place).alias("__at"), F.coalesce(F.col(line), F.lit("")).alias("__line"))
     x = x.select(stream, F.floor(F.col("__at") / size).alias("node"), F.struct("__at", "__line").alias("row"), "__line")
     g = x.groupBy(stream, "node").agg(F.sort_array(F.collect_list("row")).alias("rows"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length("__line") + 1).alias("n_bytes"), F.sum(line_number(F.col("__line"))).alias("multiset"))
     return g.select(stream, "node", "n_rows", "n_bytes", "multiset", F.sha2(F.array_join(F.transform("rows", lambda r: r["__line"]), "\n"), 256).alias("sha256"))
@@ -73,6 +78,7 @@ def verify(actual: DataFrame, declared: DataFrame, stream: str, size: int = LEAF
     Rows are missing or added by number; with equal numbers and another content they are swapped if the multiset is the
     same, else changed. A stream on one side only is missing or undeclared; its rows are no zero on the other side but null.
     """
+    actual, declared = kept(actual), kept(declared)  # for the roots and for the leaves that differ
     a, b = roots(actual, stream, size), roots(declared, stream, size)
     found = a.select(F.col(stream), "n_rows", "multiset", F.col("content_sha256"))
     said = b.select(F.col(stream).alias("__stream"), F.col("n_rows").alias("declared_rows"), F.col("multiset").alias("__multiset"), F.col("content_sha256").alias("__sha256"))

@@ -34,7 +34,8 @@ pv AS (SELECT pf.signal_id, sum(CASE WHEN edge > close * 1.02 THEN volume ELSE 0
 
 @query("o3_2_volume_by_price", f"WITH {P.BARS}, {P.NUMBERED}, {P.SIGNALS}, {PROFILE_SQL} SELECT signal_id, bin, round(edge, 6) AS edge, round(volume, 6) AS volume FROM pf")
 def volume_by_price(spark, d):
-    x = fx.volume_profile(P.signal_bars(fx.with_profile(P.bars(spark, d))).select("symbol", "signal_id", "past", "profile_lo", "profile_hi"))
+    panel = P.kept_bars(spark, d)
+    x = fx.volume_profile(P.signal_bars(fx.with_profile(panel)).select("symbol", "signal_id", "rn", "profile_lo", "profile_hi"), panel)
     return r6(x.select("signal_id", F.inline("volumes")), "edge volume", "signal_id", "bin")
 
 
@@ -44,9 +45,10 @@ def volume_by_price(spark, d):
     "SELECT signal_id, round(overhang, 6) AS overhang, round(vol_edge, 6) AS vol_edge, round(vol_bar_lo, 6) AS vol_bar_lo FROM pv JOIN vb USING (signal_id)",
 )
 def overhang(spark, d):
-    panel = P.bars(spark, d).withColumn("vol_bar_lo", F.min_by("low", F.struct(-F.col("volume"), F.col("date"))).over(fx.back(-9)))
-    x = P.signal_bars(fx.with_profile(panel)).select("symbol", "signal_id", "close", "vol_bar_lo", "past", "profile_lo", "profile_hi")
-    return r6(fx.profile_levels(fx.volume_profile(x)), "overhang vol_edge vol_bar_lo", "signal_id")
+    bars = P.kept_bars(spark, d)
+    panel = bars.withColumn("vol_bar_lo", F.min_by("low", F.struct(-F.col("volume"), F.col("date"))).over(fx.back(-9)))
+    x = P.signal_bars(fx.with_profile(panel)).select("symbol", "signal_id", "close", "vol_bar_lo", "rn", "profile_lo", "profile_hi")
+    return r6(fx.profile_levels(fx.volume_profile(x, bars)), "overhang vol_edge vol_bar_lo", "signal_id")
 
 
 @query(
@@ -210,7 +212,11 @@ tp AS (SELECT tt.symbol, tt.date, b.rn AS p, b.high AS p_high, b.low AS p_low, b
     f"SELECT symbol, date, {rounded('l0 h1 l2 recovery')}, CASE WHEN recovery IS NULL THEN 'INVALID' WHEN recovery < 0.5 THEN 'EARLY' WHEN recovery <= 1.0 THEN 'RECOVERING' ELSE 'EXTENDED' END AS state, CASE WHEN l2 IS NULL THEN 'NO_COMPLETE_POST_H1_PULLBACK_DAY' WHEN recovery IS NULL THEN 'INVALID_L0_L2_H1_ORDER_OR_DENOMINATOR' END AS reason FROM z",
 )
 def structure_proxy(spark, d):
-    return r6(fx.structure_proxy(P.bars(spark, d)), "l0 h1 l2 recovery", "symbol", "date", "state", "reason")
+    return structure_of(P.bars(spark, d))
+
+
+def structure_of(panel):
+    return r6(fx.structure_proxy(panel), "l0 h1 l2 recovery", "symbol", "date", "state", "reason")
 
 
 @query(
@@ -220,8 +226,12 @@ def structure_proxy(spark, d):
     "SELECT symbol, date, n AS window_days, round(coalesce(dv, 0) / total, 6) AS down_volume_share, round(ua / da, 6) AS up_down_volume_ratio, CASE WHEN n >= 4 THEN round(h2 / h1, 6) END AS decay_ratio, CASE WHEN n = 0 THEN 'NO_PULLBACK_WINDOW' END AS share_reason, CASE WHEN n = 0 THEN 'NO_PULLBACK_WINDOW' WHEN ua IS NULL OR da IS NULL THEN 'NO_UP_OR_DOWN_DAY' END AS ratio_reason, CASE WHEN n = 0 THEN 'NO_PULLBACK_WINDOW' WHEN n < 4 THEN 'PULLBACK_WINDOW_LT_4' END AS decay_reason FROM g",
 )
 def pullback_observation(spark, d):
+    return observation_of(P.bars(spark, d))
+
+
+def observation_of(panel):
     columns = "down_volume_share up_down_volume_ratio decay_ratio"
-    return r6(fx.pullback_observation(P.bars(spark, d)), columns, "symbol", "date", "window_days", "share_reason", "ratio_reason", "decay_reason")
+    return r6(fx.pullback_observation(panel), columns, "symbol", "date", "window_days", "share_reason", "ratio_reason", "decay_reason")
 
 
 TRACE_COLUMNS = "base_hi breakout_volume_ratio pull_volume_ratio retest_volume_ratio reactivation_vs_retest reactivation_vs_breakout day_position distance_from_base_pct"

@@ -64,7 +64,7 @@ def signal_levels(spark, d):
     panel = P.kept_bars(spark, d)
     member = P.sectors(spark, d)
     x = P.signal_bars(fx.with_profile(fx.platform_features(panel).drop("rn")))
-    x = fx.profile_levels(fx.volume_profile(x)).drop("volumes")
+    x = fx.profile_levels(fx.volume_profile(x, panel)).drop("volumes")
     x = fx.with_index(x, P.index_bars(panel))
     x = x.join(member, "symbol", "left").join(P.sector_ranks(panel, member), ["date", "sector"], "left")
     return pt.levels(x)

@@ -184,7 +184,7 @@ def shortlist(spark, d):
 
     from barlattice.operators import ranks as rk
 
-    x = signal_levels(spark, d).where("rr IS NOT NULL AND risk IS NOT NULL").select("signal_id", "date", "rr", "risk")
+    x = P.kept(signal_levels(spark, d).where("rr IS NOT NULL AND risk IS NOT NULL").select("signal_id", "date", "rr", "risk"))  # every front reads it
     x = rk.pareto_fronts(x, "date", "rr", "risk", "signal_id", fronts=3).where("front IS NOT NULL")
     order = Window.partitionBy("date").orderBy("front", F.round("rr", 12).desc(), F.round("risk", 12), "signal_id")
     return x.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 3").select("date", "place", "signal_id", "front", (F.col("place") <= 2).alias("in_two"))

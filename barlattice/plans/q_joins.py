@@ -137,7 +137,7 @@ def event_window_join(spark, d):
 )
 def dominance(spark, d):
     x = signal_levels(spark, d).where("rr IS NOT NULL AND risk IS NOT NULL").select("signal_id", "date", F.round("rr", 9).alias("h"), (-F.round("risk", 9)).alias("l"))
-    return fronts.fronts(x, "date", "signal_id", ["h", "l"]).select("signal_id", F.col("n_dominators").alias("dominated_by"))
+    return fronts.dominator_counts(x, "date", "signal_id", ["h", "l"]).select("signal_id", F.col("n_dominators").alias("dominated_by"))
 
 
 def model_pairs(spark, d):

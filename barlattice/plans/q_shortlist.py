@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlattice.operators import fronts as fr
 from barlattice.sources import panel as P
 
-from .q_features import pullback_observation, structure_proxy
+from .q_features import observation_of, structure_of
 from .registry import ORACLE_SQL, query
 from .sql import rounded
 
@@ -17,9 +17,10 @@ NO_REASON = "why = ''"
 
 def candidates(spark, d):
     """Bars in a pullback with their state, volume observation and reference prices; the target is the high since the breakout."""
-    panel = P.bars(spark, d).select("symbol", "date", F.round("close", 4).alias("price"), F.round(F.col("high") * 1.0005, 4).alias("trigger"), F.round(F.col("low") * 0.995, 4).alias("stop"))
-    volume = pullback_observation(spark, d).select("symbol", "date", "down_volume_share", "up_down_volume_ratio", (F.col("share_reason").isNotNull() | F.col("ratio_reason").isNotNull()).alias("volume_missing"))
-    structure = structure_proxy(spark, d).select("symbol", "date", "state", F.round(F.col("h1") * 1.01, 4).alias("target"))
+    bars = P.kept_bars(spark, d)
+    panel = bars.select("symbol", "date", F.round("close", 4).alias("price"), F.round(F.col("high") * 1.0005, 4).alias("trigger"), F.round(F.col("low") * 0.995, 4).alias("stop"))
+    volume = observation_of(bars).select("symbol", "date", "down_volume_share", "up_down_volume_ratio", (F.col("share_reason").isNotNull() | F.col("ratio_reason").isNotNull()).alias("volume_missing"))
+    structure = structure_of(bars).select("symbol", "date", "state", F.round(F.col("h1") * 1.01, 4).alias("target"))
     return volume.join(structure, ["symbol", "date"]).join(panel, ["symbol", "date"]).withColumnRenamed("symbol", "code")
 
 
@@ -41,7 +42,7 @@ PAIRS = f"dp AS MATERIALIZED (SELECT x.date, x.code, o.code AS dominator FROM ve
 @query("o5_11b_dominators", f"{CANDIDATES}, {vectors('prices AND volumes')}, {PAIRS} SELECT * FROM dp")
 def dominators(spark, d):
     """Who dominates whom in four coordinates, among all candidates of a date with valid prices and ratios, whatever their state."""
-    x = fr.shortlist(candidates(spark, d).withColumn("state", F.lit(STAGE)), STAGE).where("front IS NOT NULL")
+    x = fr.judged(candidates(spark, d).withColumn("state", F.lit(STAGE)), STAGE).where(F.size("reasons") == 0)
     coordinates = {"a": -F.round("down_volume_share", 12), "b": F.round("up_down_volume_ratio", 12), "c": -F.round("risk_fraction", 12), "e": F.round("reward_risk", 12)}
     return fr.dominators(x.select("date", "code", *[v.alias(k) for k, v in coordinates.items()]), "date", "code", list(coordinates))
 

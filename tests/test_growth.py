@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlattice.operators import execution as ex
+from barlattice.operators import fronts
 from barlattice.operators import identity as idn
 from barlattice.operators import statistics as stt
-from barlattice.plans import q_execution, q_joins, q_statistics, q_structure
+from barlattice.plans import q_execution, q_joins, q_ledger, q_patterns, q_shortlist, q_statistics, q_structure
 from barlattice.sources import panel as P
 
 SMALL = "/root/testdata/sf0.001"
@@ -67,3 +68,23 @@ def test_parts_grow_with_the_rows(spark, monkeypatch):
     df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
     assert stt.numbered_ranges(df, ["v"], 101).select("__range").distinct().count() > 4
     assert stt.exact_quantiles(df, ["k"], "v", [0.5], 101).first().quantiles == [sorted(values)[50]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+def test_dominators_share_bars_and_find_no_fronts(spark, bars_read, monkeypatch):
+    monkeypatch.setattr(fronts, "fronts", None)
+    q_shortlist.dominators(spark, SMALL)
+    assert len(bars_read) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+def test_dominance_and_shortlist_make_levels_once(spark, monkeypatch):
+    """No front is peeled for numbers of dominators, and the fronts of the shortlist read written levels."""
+    monkeypatch.setattr(fronts, "fronts", None)
+    q_joins.dominance(spark, SMALL)
+    assert "vma20_prev" not in plan_of(q_ledger.shortlist(spark, SMALL))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+def test_only_signals_take_bars_of_the_profile(spark):
+    assert "AS past#" not in plan_of(q_patterns.score(spark, SMALL))

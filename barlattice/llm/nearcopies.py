@@ -1,13 +1,16 @@
 """SimHash near-dedup at a shingle similarity: fingerprints in Gray order propose pairs, the whole shingle sets decide.
 
 Two sets of similarity 0.8 have SimHash fingerprints that differ in about 10 of 64 bits and seldom in
-more than 22. No choice of agreeing fingerprint bits is selective at such a distance, so the buckets in
-which fingerprints are ordered and searched are those of documents that share some shingle minima.
+more than 22. No choice of agreeing bits of 64 is selective at such a distance, so a document has a
+long SimHash, of as many words as it takes: each of its tables is some bits of it, and documents that
+agree in all bits of a table are in one bucket. Buckets are ordered and searched by a word of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,22 @@ from .simhash import GrayIndex, gray_rank
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Bits in which fingerprints may differ: at similarity 0.8 each differs with probability 0.152, more than 22 with 5e-5.
 DISTANCE = 22
-#: Minima of a bucket, and buckets of a document: at similarity 0.8 two share none with probability (1 - 0.8^5)^24 = 7e-5.
-ROWS, BANDS = 5, 24
+#: The same for the two words that check a pair before its sets are read: more than 40 of 128 with 1e-6, or with 2e-4 for sets of 4 and 5.
+CHECKED = 40
+#: Share of bits in which similarity 0.8 agrees, and the probability with which it shares no bucket.
+AGREED, MISSED = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi, 1e-4
+#: Strangers of a bucket, at most, as a power of two; bits of a bucket at least.
+STRANGERS, LEAST_BITS = 4, 8
 #: Buckets of up to so many nodes give all their pairs at once; larger ones first only neighbours in Gray order and a pivot.
-SMALL = 16
+SMALL = 32
+#: Tables in which large buckets propose pairs; in the others they are searched only.
+PROPOSING = 24
 #: Nodes of a bucket that one task orders; larger buckets are dealt out.
 BUCKET = 50_000
 #: Nodes that are compared with one node in one task.
 BLOCK = 256
 #: Nodes of a large bucket that come into one task with their sets.
 HELD = 1024
-FACTORS = np.random.default_rng(SEED).integers(0, 2**32, (2, ROWS * BANDS, 1), dtype=np.uint32) | np.array([[[1]], [[0]]], np.uint32)
 
 
 def shingles(text: bytes, n: int = SHINGLE, chunk: int = 1 << 22) -> np.ndarray:
@@ -55,16 +63,43 @@ def shingles(text: bytes, n: int = SHINGLE, chunk: int = 1 << 22) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key per bucket. Sets of under four shingles are near copies only of themselves and have none."""
-    if len(hashes) < 4:
-        return np.zeros(0, np.int64)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * BANDS, 2**32 - 1, np.uint32)
-    for a in range(0, len(short), 4096):
-        least = np.minimum(least, (short[a : a + 4096] * FACTORS[0] + FACTORS[1]).min(axis=1))
-    raw = [least[i * ROWS : (i + 1) * ROWS].tobytes() for i in range(BANDS)]
-    return np.array([xxhash.xxh64_intdigest(x, i) for i, x in enumerate(raw)], np.uint64).view(np.int64)
+def layout(rows: int) -> tuple[int, int]:
+    """Bits of a bucket and number of tables for so many documents: the more there are, the more bits, so that strangers stay few."""
+    bits = max(LEAST_BITS, (max(rows, 1) - 1).bit_length() - STRANGERS)
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-(AGREED**bits)))
+
+
+@functools.lru_cache
+def mixers(count: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2**64, (2, count), dtype=np.uint64) | np.array([[1], [0]], np.uint64)
+
+
+def long_simhash(hashes: np.ndarray, count: int, chunk: int = 255) -> np.ndarray:
+    """``count`` words of SimHash: every word mixes the hashes in its own way; a bit is 1 if set in over half of them."""
+    odd, other = mixers(count)
+    bits = np.zeros(64 * count, np.int64)
+    for a in range(0, len(hashes), chunk):  # at most 255, so that bytes can count
+        x = (hashes[a : a + chunk, None] ^ other) * odd
+        x ^= x >> np.uint64(32)
+        bits += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")
+
+
+def buckets(words: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket in each table, a number from 0 up, of each row of words: the table and its bits of the words, in order."""
+    out = np.tile(np.arange(tables, dtype=np.int64) << bits, (len(words), 1))
+    for a in range(0, len(words), 1024):
+        own = np.unpackbits(np.ascontiguousarray(words[a : a + 1024]).view(np.uint8), axis=1, bitorder="little")[:, : bits * tables].reshape(-1, tables, bits)
+        for i in range(bits):
+            out[a : a + 1024] |= own[:, :, i].astype(np.int64) << i
+    return out
+
+
+def exact_buckets(hashes: np.ndarray) -> list[int]:
+    """Further buckets (negative) of sets of 4 and 5 shingles, whose bits agree less often: those of 5 have one for each 4 of theirs."""
+    if len(hashes) not in (4, 5):
+        return []
+    return [xxhash.xxh64_intdigest(np.sort(np.array(x, np.uint64)).tobytes(), SEED) % 2**63 - 2**63 for x in itertools.combinations(hashes.tolist(), 4)]
 
 
 def set_fingerprint(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
@@ -107,24 +142,89 @@ def keyed(docs: DataFrame, salt: int) -> DataFrame:
     return docs.select(F.coalesce(doc, own_key(salt)).alias("key"), doc.isNotNull().alias("named"), F.col("text").cast("string").alias("text"))
 
 
-def sketches(keys: DataFrame) -> DataFrame:
-    """Of every row of ``keyed``: key, named, a hash of the whole shingle set, its size, its fingerprint and its buckets."""
+def sketches(keys: DataFrame, count: int) -> DataFrame:
+    """Of every row of ``keyed``: key, named, a hash of the whole shingle set, its size, fingerprint, long SimHash and exact buckets.
+
+    Sets of under four shingles are near copies only of themselves and have neither SimHash nor buckets.
+    """
 
     @tidy
     def run(batches):
         for batch in batches:
-            marks, sizes, prints, keys = [], [], [], []
+            marks, sizes, prints, words, exact = [], [], [], [], []
             for x in batch.column(2):
                 found = shingles(x.as_buffer().to_pybytes() if x.is_valid else b"")
                 marks.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 prints.append(set_fingerprint(found))
-                keys.append(bands(found))
+                words.append(long_simhash(found, count).tobytes() if len(found) >= 4 else None)
+                exact.append(exact_buckets(found))
             signed = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (marks, prints))
-            columns = [batch.column(0), batch.column(1), next(signed), pa.array(sizes, pa.int32()), next(signed), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "named", "mark", "size", "fp", "bands"])
+            columns = [batch.column(0), batch.column(1), next(signed), pa.array(sizes, pa.int32()), next(signed), pa.array(words, pa.binary()), pa.array(exact, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "named", "mark", "size", "fp", "words", "exact"])
+
+    return keys.mapInArrow(run, "key long, named boolean, mark long, size int, fp long, words binary, exact array<long>")
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    """The long SimHashes of a column without nulls, a row each."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), "<u8").reshape(len(column), -1)
+
+
+def agree(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Do the two words that check a pair differ in few enough bits?"""
+    return np.bitwise_count(words[i, :2] ^ words[j, :2]).sum(axis=1) <= CHECKED
+
+
+def bands_of(batch: pa.RecordBatch, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row (by its place in the batch) and the key of each bucket of each row."""
+    there = np.arange(batch.num_rows)
+    more = np.repeat(there, batch["exact"].value_lengths().to_numpy())
+    return np.concatenate([np.repeat(there, tables), more]), np.concatenate([buckets(words_of(batch["words"]), bits, tables).ravel(), batch["exact"].flatten().to_numpy()])
+
+
+def dealt_out(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """node, size, fp and band: a row for each bucket of each node."""
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                rows, band = bands_of(part, bits, tables)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(part[c].take(at) for c in ("node", "size", "fp")), pa.array(band)], names=["node", "size", "fp", "band"])
+
+    return nodes.select("node", "size", "fp", "words", "exact").mapInArrow(run, "node long, size int, fp long, band long")
+
+
+def heavy_buckets(nodes: DataFrame, dealt: DataFrame, bucket: int, bits: int, tables: int) -> DataFrame | None:
+    """__band, held and pivot of the buckets of over ``bucket`` nodes, if there are any.
 
-    return keys.mapInArrow(run, "key long, named boolean, mark long, size int, fp long, bands array<long>")
+    Such a bucket has more than its share of the nodes of some task; only buckets that have are counted.
+    """
+    total = nodes.count()
+    if total <= bucket:
+        return None
+
+    @tidy
+    def some(batches):
+        bands, own = [], 0
+        for batch in batches:
+            bands.append(bands_of(batch, bits, tables)[1])
+            own += batch.num_rows
+        if own:
+            band, count = np.unique(np.concatenate(bands), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(band[count > bucket * own / total])], names=["__band"])
+
+    maybe = cut(nodes.select("words", "exact").mapInArrow(some, "__band long").distinct())
+    many = maybe.limit(BROADCAST_ROWS + 1).count()
+    if not many:
+        return None
+    pivot = F.min(F.struct(F.xxhash64("node", "band").alias("turn"), "node", "fp", "size")).alias("pivot")
+    own = dealt.join(F.broadcast(maybe) if many <= BROADCAST_ROWS else maybe, F.col("band") == F.col("__band"), "left_semi")
+    heavy = cut(own.groupBy("band").agg(F.count(F.lit(1)).alias("held"), pivot).where(F.col("held") > bucket).select(F.col("band").alias("__band"), "held", "pivot"))
+    return None if heavy.isEmpty() else heavy
 
 
 def whole_table(batches) -> pa.Table | None:
@@ -132,19 +232,19 @@ def whole_table(batches) -> pa.Table | None:
     return pa.Table.from_batches(parts) if parts else None
 
 
-def proposals(nodes: DataFrame, small: int, bucket: int, parts: int) -> DataFrame:
+def proposals(nodes: DataFrame, small: int, bucket: int, parts: int, bits: int, tables: int) -> DataFrame:
     """(a, b, bucket): pairs to be compared (bucket null), and the nodes b of large buckets with a pivot a each.
 
-    Small buckets give all pairs that ``close`` lets through. In larger ones a node is proposed with the
-    one before it in Gray order and with the pivot. The order of each bucket is turned by its key, so
+    Small buckets give all pairs that ``close`` lets through. In larger ones of the first tables a node is proposed
+    with the one before it in Gray order and with the pivot; all larger ones are searched. The order of each bucket is turned by its key, so
     that every bucket has another order and another pivot. A bucket of over ``bucket`` nodes is dealt out.
     """
-    dealt = nodes.select("node", "size", "fp", F.explode("bands").alias("band"))
-    pivot = F.min(F.struct(F.xxhash64("node", "band").alias("turn"), "node", "fp", "size")).alias("pivot")
-    heavy = cut(dealt.groupBy("band").agg(F.count(F.lit(1)).alias("held"), pivot).where(F.col("held") > bucket).select(F.col("band").alias("__band"), "held", "pivot"))
-    many = heavy.limit(BROADCAST_ROWS + 1).count()
-    if many:
-        dealt = dealt.join(F.broadcast(heavy) if many <= BROADCAST_ROWS else heavy, F.col("band") == F.col("__band"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / bucket)), F.lit(0)))
+    nodes = nodes.where("words IS NOT NULL")
+    dealt = dealt_out(nodes, bits, tables)
+    heavy = heavy_buckets(nodes, dealt, bucket, bits, tables)
+    if heavy is not None:
+        few = heavy.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        dealt = dealt.join(F.broadcast(heavy) if few else heavy, F.col("band") == F.col("__band"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / bucket)), F.lit(0)))
         dealt = dealt.select("node", "size", "fp", "band", "block", F.col("pivot.node").alias("pnode"), F.col("pivot.fp").alias("pfp"), F.col("pivot.size").alias("psize"))
     else:
         dealt = dealt.select("*", F.lit(0).cast("long").alias("block"), F.lit(None).cast("long").alias("pnode"), F.lit(None).cast("long").alias("pfp"), F.lit(None).cast("int").alias("psize"))
@@ -158,7 +258,7 @@ def proposals(nodes: DataFrame, small: int, bucket: int, parts: int) -> DataFram
         given = table["pnode"].is_valid().to_numpy()
         lead = [table[c].fill_null(0).to_numpy() for c in ("pnode", "pfp", "psize")]
         fp = fp.view(np.uint64)
-        order = np.lexsort((node, gray_rank(fp ^ band.view(np.uint64)), block, band))
+        order = np.lexsort((node, gray_rank(fp ^ (band.view(np.uint64) + np.uint64(1)) * mixers(1)[0]), block, band))
         node, size, fp, band, block, given, *lead = (x[order] for x in (node, size, fp, band, block, given, *lead))
         first = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (block[1:] != block[:-1])])
         count = np.diff(np.r_[first, len(band)])
@@ -176,15 +276,16 @@ def proposals(nodes: DataFrame, small: int, bucket: int, parts: int) -> DataFram
                     yield pairs(i, i + gap)
         for begin, n in zip(first[~little].tolist(), count[~little].tolist()):
             i = np.arange(begin, begin + n)
-            yield pairs(i[:-1], i[1:])
-            if given[begin]:
+            early = band[begin] < PROPOSING << bits
+            if early:
+                yield pairs(i[:-1], i[1:])
+            if given[begin] and early:
                 p, q, r = (np.concatenate([x[begin : begin + 1], y[i]]) for x, y in zip(lead, (node, fp.view(np.int64), size)))
                 fits = close(q.view(np.uint64), r, np.zeros(n, int), np.arange(1, n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(fits.sum()), p[0])), pa.array(node[i[fits]]), pa.nulls(int(fits.sum()), pa.int64())], names=["a", "b", "bucket"])
-                main = p[0]
-            else:
+            elif early:
                 yield pairs(np.full(n - 1, begin), i[1:])
-                main = node[begin]
+            main = lead[0][begin] if given[begin] else node[begin]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, main)), pa.array(node[i]), pa.array(band[i])], names=["a", "b", "bucket"])
 
     return dealt.repartition(parts, "band", "block").mapInArrow(run, "a long, b long, bucket long")
@@ -210,31 +311,54 @@ def shingle_sets(keys: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.mapInArrow(read, "id long, hashes binary")
 
 
-def searched(keys: DataFrame, rows: DataFrame, parts: int, block: int = HELD) -> DataFrame:
+def searched(keys: DataFrame, nodes: DataFrame, rows: DataFrame, parts: int, bits: int, tables: int, block: int = HELD) -> DataFrame:
     """Links (a, b) between different components in large buckets, one node outside the bucket's main component.
 
-    ``rows`` has bucket, node, size, fp, bands, c (component), main (the bucket's) and held (its size).
+    ``rows`` has bucket, node, size, fp, words (the first two), c (component), main (the bucket's) and held (its size).
     The nodes of a bucket, in blocks, make a Gray index each, and those outside the main component are
-    its queries; whole groups unlike a query are left at the upper nodes. The sets come once for each
-    node and block, and pairs are compared where they are found, in the first bucket that both share.
+    its queries; whole groups unlike a query are left at the upper nodes. A first search tells which nodes
+    fit another one at all; their sets come once for each node and block, and pairs are compared where
+    they are found, in the first table that both share and in exact buckets.
     """
     blocks = F.ceil(F.col("held") / block).cast("int")
-    names = ["bucket", "node", "size", "fp", "bands", "c", "main"]
-    inner = rows.select(*names, F.lit(False).alias("asks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    asking = rows.where("c <> main").select(*names, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    sets = shingle_sets(keys, rows.select("node"))
-    dealt = inner.union(asking).join(sets, F.col("node") == F.col("id")).drop("id").repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block")
-
-    def compare(table: pa.Table):
-        """One block of one bucket."""
-        band, node, size, fp, c, main, asks = (table[x].to_numpy(zero_copy_only=False) for x in ("bucket", "node", "size", "fp", "c", "main", "asks"))
-        bands, blobs = np.stack(table["bands"].to_numpy(zero_copy_only=False)), table["hashes"].combine_chunks()
+    names = ["bucket", "node", "size", "fp", "words", "c", "main"]
+
+    def blocked(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
+        inner = rows.select(*names, F.lit(False).alias("asks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        asking = rows.where("c <> main").select(*names, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        dealt = inner.union(asking)
+        dealt = dealt if sets is None else dealt.join(sets, F.col("node") == F.col("id")).drop("id")
+        return dealt.repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block")
+
+    def found(table: pa.Table):
+        """Pairs (asking, inside) of one block of one bucket that may be near copies and are not linked yet, in parts."""
+        node, size, fp, c, main, asks = (table[x].to_numpy(zero_copy_only=False) for x in ("node", "size", "fp", "c", "main", "asks"))
+        words = words_of(table["words"].combine_chunks())
         fp, asks = fp.view(np.uint64), asks.astype(bool)
         inside, outside = np.flatnonzero(~asks), np.flatnonzero(asks)
         inside = inside[np.argsort(gray_rank(fp[inside]), kind="stable")]
         if not len(inside) or not len(outside):
             return
         index = GrayIndex(np.zeros(len(inside), np.int64), fp[inside])
+        for q, leaf in index.search(fp[outside], np.zeros(len(outside), np.int64), DISTANCE, chunk=64):
+            i, j = outside[q], inside[leaf]
+            fits = (c[i] != c[j]) & ((node[i] < node[j]) | (c[j] == main[j])) & close(fp, size, i, j)
+            i, j = i[fits], j[fits]
+            fits = agree(words, i, j)
+            yield i[fits], j[fits]
+
+    def fitting(table: pa.Table):
+        """The nodes of one block that are in such a pair: no others need their sets."""
+        node, at = table["node"].to_numpy(), set()
+        for i, j in found(table):
+            at.update(i.tolist(), j.tolist())
+        fits = np.unique(node[list(at)]) if at else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fits), table["bucket"][0].as_py(), np.int64)), pa.array(fits)], names=["__bucket", "__node"])
+
+    def compare(table: pa.Table):
+        """The links of one block of one bucket."""
+        band, node, size, c = (table[x].to_numpy() for x in ("bucket", "node", "size", "c"))
+        blobs = table["hashes"].combine_chunks()
         held: dict[int, set] = {}
         up: dict[int, int] = {}
         a, b = [], []
@@ -249,12 +373,10 @@ def searched(keys: DataFrame, rows: DataFrame, parts: int, block: int = HELD) ->
                 held[node[i]] = set(np.frombuffer(blobs[i].as_buffer(), np.uint64).tolist())
             return held[node[i]]
 
-        for q, leaf in index.search(fp[outside], np.zeros(len(outside), np.int64), DISTANCE, chunk=64):
-            i, j = outside[q], inside[leaf]
-            fits = (c[i] != c[j]) & ((node[i] < node[j]) | (c[j] == main[j])) & close(fp, size, i, j)
-            i, j = i[fits], j[fits]
-            shared = bands[i] == bands[j]
-            here = bands[i, shared.argmax(axis=1)] == band[i]
+        all_buckets = buckets(words_of(table["words"].combine_chunks()), bits, tables)
+        for i, j in found(table):
+            first = (all_buckets[i] == all_buckets[j]).argmax(axis=1)
+            here = (band[i] < 0) | (all_buckets[i, first] == band[i])
             for x, y in zip(i[here].tolist(), j[here].tolist()):
                 one, two = find(int(c[x])), find(int(c[y]))
                 if one == two:
@@ -266,32 +388,42 @@ def searched(keys: DataFrame, rows: DataFrame, parts: int, block: int = HELD) ->
                     b.append(node[y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    @tidy
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            keys = [batch.column(x).to_numpy() for x in ("bucket", "block")]
-            edges = [0, *(np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-            for x, y in zip(edges[:-1], edges[1:]):
-                if (keys[0][x], keys[1][x]) != now:
-                    if held:
-                        yield from compare(pa.Table.from_batches(held))
-                    now, held = (keys[0][x], keys[1][x]), []
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield from compare(pa.Table.from_batches(held))
-
-    return cut(dealt.mapInArrow(run, "a long, b long"))
-
-
-def verified(keys: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have the similarity.
+    def each(judge):
+        @tidy
+        def run(batches):
+            held: list[pa.RecordBatch] = []
+            now = None
+            for batch in batches:
+                keys = [batch.column(x).to_numpy() for x in ("bucket", "block")]
+                edges = [0, *(np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+                for x, y in zip(edges[:-1], edges[1:]):
+                    if (keys[0][x], keys[1][x]) != now:
+                        if held:
+                            yield from judge(pa.Table.from_batches(held))
+                        now, held = (keys[0][x], keys[1][x]), []
+                    held.append(batch.slice(x, y - x))
+            if held:
+                yield from judge(pa.Table.from_batches(held))
+
+        return run
+
+    left = cut(blocked(rows, None).mapInArrow(each(fitting), "__bucket long, __node long").distinct())
+    rows = rows.join(left, (F.col("bucket") == F.col("__bucket")) & (F.col("node") == F.col("__node")), "left_semi").drop("words")
+    rows = cut(rows.join(nodes.select(F.col("node").alias("__own"), "words"), F.col("node") == F.col("__own")).drop("__own"))
+    return cut(blocked(rows, shingle_sets(keys, rows.select("node"))).mapInArrow(each(compare), "a long, b long"))
+
+
+def verified(keys: DataFrame, nodes: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have the similarity, of those that agree in two more words of SimHash.
 
     The partners of a node are dealt out in blocks, so that no task holds all of a hot node's; the
     node's set goes once to each block.
     """
-    pairs = cut(pairs.where("a <> b").select(F.col("a").alias("one"), F.col("b").alias("two")).distinct())
+    pairs = pairs.where("a <> b").select(F.col("a").alias("one"), F.col("b").alias("two")).distinct()
+    for side in ("one", "two"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(f"__{side}"), F.hex(F.substring("words", 1, 16)).alias(f"w{side}")), F.col(side) == F.col(f"__{side}"))
+    differ = [F.bit_count(F.conv(F.substring("wone", at, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("wtwo", at, 8), 16, 10).cast("long"))) for at in (1, 9, 17, 25)]
+    pairs = cut(pairs.where(differ[0] + differ[1] + differ[2] + differ[3] <= CHECKED).select("one", "two"))
     sizes = pairs.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     heads = sizes.select("one", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     hot = cut(sizes.where("blocks > 1"))
@@ -332,11 +464,12 @@ def near_copies(docs: DataFrame, small: int = SMALL, bucket: int = BUCKET, held:
     """
     parts = partitions(docs.sparkSession, docs) * 2
     keys = keyed(docs, free_salt(docs) if salt is None else salt)
-    marks = cut(sketches(keys))
+    bits, tables = layout(docs.count())
+    marks = cut(sketches(keys, max(2, math.ceil(bits * tables / 64))))
     least = F.min(F.when(F.col("named"), F.col("key")))
-    nodes = cut(marks.groupBy("mark", "size").agg(least.alias("least"), F.coalesce(least, F.min("key")).alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    proposed = cut(proposals(nodes, small, bucket, parts))
-    links = verified(keys, proposed.where("bucket IS NULL").select("a", "b"), parts)
+    nodes = cut(marks.groupBy("mark", "size").agg(least.alias("least"), F.coalesce(least, F.min("key")).alias("node"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.first("exact").alias("exact")))
+    proposed = cut(proposals(nodes, small, bucket, parts, bits, tables))
+    links = verified(keys, nodes, proposed.where("bucket IS NULL").select("a", "b"), parts)
     joined = components(links)
     placed = proposed.where("bucket IS NOT NULL").join(joined, F.col("b") == F.col("node"), "left").select("bucket", "a", "b", F.coalesce("component", "b").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.expr("a = b"), F.col("c"))).alias("main"), F.count(F.lit(1)).alias("held"))
@@ -344,8 +477,8 @@ def near_copies(docs: DataFrame, small: int = SMALL, bucket: int = BUCKET, held:
     many = mixed.limit(BROADCAST_ROWS + 1).count()
     if many:
         rows = placed.join(F.broadcast(mixed) if many <= BROADCAST_ROWS else mixed, "bucket")
-        rows = cut(rows.join(nodes.select("node", "size", "fp", "bands"), F.col("b") == F.col("node")).select("bucket", "node", "size", "fp", "bands", "c", "main", "held"))
-        joined = components(links.union(searched(keys, rows, parts, held)))
+        rows = cut(rows.join(nodes.select("node", "size", "fp", F.substring("words", 1, 16).alias("words")), F.col("b") == F.col("node")).select("bucket", "node", "size", "fp", "words", "c", "main", "held"))
+        joined = components(links.union(searched(keys, nodes, rows, parts, bits, tables, held)))
     grouped = nodes.join(joined, "node", "left").select("mark", "size", "least", F.coalesce("component", "node").alias("group"))
     names = grouped.groupBy(F.col("group").alias("__group")).agg(F.min("least").alias("component_id"))
     named = grouped.join(names, F.col("group") == F.col("__group")).select(F.col("mark").alias("__mark"), F.col("size").alias("__size"), "group", "component_id")

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from barlattice.llm import nearcopies
@@ -109,3 +110,46 @@ def test_null_id_joins_two_groups(spark):
 def test_long_text_in_parts():
     text = " ".join(f"w{i % 700}" for i in range(3000)).encode()
     assert nearcopies.shingles(text, chunk=100).tolist() == nearcopies.shingles(text).tolist()
+
+
+def plain_simhash(hashes, count):
+    """Bit by bit: those set in over half of the hashes, mixed for each word."""
+    out = []
+    for odd, other in nearcopies.mixers(count).T.tolist():
+        mixed = [((h ^ other) * odd) % 2**64 for h in hashes.tolist()]
+        mixed = [x ^ (x >> 32) for x in mixed]
+        out.append(sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in mixed) > len(mixed)))
+    return out
+
+
+def test_buckets_are_bits_of_the_simhash():
+    """Not of anything else: two documents share the bucket of a table if their SimHashes agree in its bits."""
+    r = np.random.default_rng(5)
+    sets = [r.integers(0, 2**64, n, dtype=np.uint64) for n in (4, 60, 700)]
+    words = np.stack([nearcopies.long_simhash(x, 3, chunk=50) for x in sets])
+    assert words.tolist() == [plain_simhash(x, 3) for x in sets]
+    for row, got in zip(words.tolist(), nearcopies.buckets(words, 11, 17).tolist()):
+        whole = sum(w << 64 * i for i, w in enumerate(row))
+        assert got == [(t << 11) + (whole >> 11 * t) % 2**11 for t in range(17)]
+
+
+@pytest.mark.parametrize("rows", [100, 200_000])
+def test_pairs_at_the_similarity_share_a_bucket(rows):
+    bits, tables = nearcopies.layout(rows)
+    r = np.random.default_rng(6)
+    found = 0
+    for n in [9, 45, 90, 270] * 50:
+        both, own = r.integers(0, 2**64, 8 * n // 9, dtype=np.uint64), r.integers(0, 2**64, 2 * (n // 9), dtype=np.uint64)
+        pair = [np.concatenate([both, x]) for x in np.split(own, 2)]
+        assert nearcopies.alike(*map(np.unique, pair)) and not nearcopies.alike(*map(np.unique, (np.append(pair[0], own[-1] + np.uint64(1)), pair[1])))
+        words = np.stack([nearcopies.long_simhash(x, -(-bits * tables // 64)) for x in pair])
+        keys = nearcopies.buckets(words, bits, tables)
+        found += bool((keys[0] == keys[1]).any() and nearcopies.agree(words, np.array([0]), np.array([1]))[0])
+    assert found >= 199
+
+
+def test_sets_of_four_and_five_share_an_exact_bucket():
+    five = np.array([5, 3, 1, 2, 4], np.uint64)
+    for gone in range(5):
+        assert set(nearcopies.exact_buckets(np.delete(five, gone))) & set(nearcopies.exact_buckets(five))
+    assert nearcopies.exact_buckets(five[:3]) == [] and max(nearcopies.exact_buckets(five)) < 0

@@ -18,15 +18,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, cut, partitions, tidy
+from .common import BROADCAST_ROWS, components, cut, partitions, salted, tidy
 from .simhash import GrayIndex, gray_rank
 
 #: Words of a shingle, and the similarity from which two documents are near copies.
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Bits in which fingerprints may differ: at similarity 0.8 each differs with probability 0.152, more than 22 with 5e-5.
 DISTANCE = 22
-#: The same for the two words that check a pair before its sets are read: more than 40 of 128 with 1e-6, or with 2e-4 for sets of 4 and 5.
-CHECKED = 40
+#: Share of bits in which two sets of similarity 0.8 differ, at most (the sizes 13 and 14); where the smaller set has 4 shingles, the other.
+#: A pair's sets are read if its long SimHashes differ in no more than that and CHECKED standard deviations.
+DIFFERS, DIFFERS_AT_4, CHECKED = 0.1612, 0.1875, 5
 #: Share of bits in which similarity 0.8 agrees, and the probability with which it shares no bucket.
 AGREED, MISSED = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi, 1e-4
 #: Strangers of a bucket, at most, as a power of two; bits of a bucket at least.
@@ -34,10 +35,10 @@ STRANGERS, LEAST_BITS = 4, 8
 #: Buckets of up to so many nodes give all their pairs at once; larger ones first only neighbours in Gray order and a pivot.
 SMALL = 32
 #: Tables in which large buckets propose pairs; in the others they are searched only.
-PROPOSING = 24
+PROPOSING = 12
 #: Nodes of a bucket that one task orders; larger buckets are dealt out.
 BUCKET = 50_000
-#: Nodes that are compared with one node in one task.
+#: Nodes of a family of candidates in a block; a task has the sets of two blocks at most.
 BLOCK = 256
 #: Nodes of a large bucket that come into one task with their sets.
 HELD = 1024
@@ -171,9 +172,14 @@ def words_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), "<u8").reshape(len(column), -1)
 
 
-def agree(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Do the two words that check a pair differ in few enough bits?"""
-    return np.bitwise_count(words[i, :2] ^ words[j, :2]).sum(axis=1) <= CHECKED
+def agree(words: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """May rows i and j be near copies, by all bits of their long SimHashes? ``least``: the size of the smaller set of each pair."""
+    bits = 64 * words.shape[1]
+    most, at_4 = (share * bits + CHECKED * math.sqrt(share * (1 - share) * bits) for share in (DIFFERS, DIFFERS_AT_4))
+    differ = np.zeros(len(i), np.int64)
+    for k in range(words.shape[1]):
+        differ += np.bitwise_count(words[i, k] ^ words[j, k])
+    return differ <= (most if least is None else np.where(least == 4, at_4, most))
 
 
 def bands_of(batch: pa.RecordBatch, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,14 +317,14 @@ def shingle_sets(keys: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.mapInArrow(read, "id long, hashes binary")
 
 
-def searched(keys: DataFrame, nodes: DataFrame, rows: DataFrame, parts: int, bits: int, tables: int, block: int = HELD) -> DataFrame:
+def searched(keys: DataFrame, rows: DataFrame, parts: int, bits: int, tables: int, block: int = HELD) -> DataFrame:
     """Links (a, b) between different components in large buckets, one node outside the bucket's main component.
 
-    ``rows`` has bucket, node, size, fp, words (the first two), c (component), main (the bucket's) and held (its size).
+    ``rows`` has bucket, node, size, fp, words, c (component), main (the bucket's) and held (its size).
     The nodes of a bucket, in blocks, make a Gray index each, and those outside the main component are
-    its queries; whole groups unlike a query are left at the upper nodes. A first search tells which nodes
-    fit another one at all; their sets come once for each node and block, and pairs are compared where
-    they are found, in the first table that both share and in exact buckets.
+    its queries; whole groups unlike a query are left at the upper nodes. A pair counts where it is found
+    in the first table that both share, and in exact buckets. A first search tells which nodes are in such
+    a pair in their bucket; only their sets come, once for each node and block, and are compared there.
     """
     blocks = F.ceil(F.col("held") / block).cast("int")
     names = ["bucket", "node", "size", "fp", "words", "c", "main"]
@@ -332,8 +338,9 @@ def searched(keys: DataFrame, nodes: DataFrame, rows: DataFrame, parts: int, bit
 
     def found(table: pa.Table):
         """Pairs (asking, inside) of one block of one bucket that may be near copies and are not linked yet, in parts."""
-        node, size, fp, c, main, asks = (table[x].to_numpy(zero_copy_only=False) for x in ("node", "size", "fp", "c", "main", "asks"))
+        band, node, size, fp, c, main, asks = (table[x].to_numpy(zero_copy_only=False) for x in ("bucket", "node", "size", "fp", "c", "main", "asks"))
         words = words_of(table["words"].combine_chunks())
+        all_buckets = buckets(words, bits, tables)
         fp, asks = fp.view(np.uint64), asks.astype(bool)
         inside, outside = np.flatnonzero(~asks), np.flatnonzero(asks)
         inside = inside[np.argsort(gray_rank(fp[inside]), kind="stable")]
@@ -341,11 +348,15 @@ def searched(keys: DataFrame, nodes: DataFrame, rows: DataFrame, parts: int, bit
             return
         index = GrayIndex(np.zeros(len(inside), np.int64), fp[inside])
         for q, leaf in index.search(fp[outside], np.zeros(len(outside), np.int64), DISTANCE, chunk=64):
-            i, j = outside[q], inside[leaf]
-            fits = (c[i] != c[j]) & ((node[i] < node[j]) | (c[j] == main[j])) & close(fp, size, i, j)
-            i, j = i[fits], j[fits]
-            fits = agree(words, i, j)
-            yield i[fits], j[fits]
+            for at in range(0, len(q), 8192):
+                i, j = outside[q[at : at + 8192]], inside[leaf[at : at + 8192]]
+                fits = (c[i] != c[j]) & ((node[i] < node[j]) | (c[j] == main[j])) & close(fp, size, i, j)
+                i, j = i[fits], j[fits]
+                fits = agree(words, i, j, np.minimum(size[i], size[j]))
+                i, j = i[fits], j[fits]
+                first = (all_buckets[i] == all_buckets[j]).argmax(axis=1)
+                here = (band[i] < 0) | (all_buckets[i, first] == band[i])
+                yield i[here], j[here]
 
     def fitting(table: pa.Table):
         """The nodes of one block that are in such a pair: no others need their sets."""
@@ -357,28 +368,20 @@ def searched(keys: DataFrame, nodes: DataFrame, rows: DataFrame, parts: int, bit
 
     def compare(table: pa.Table):
         """The links of one block of one bucket."""
-        band, node, size, c = (table[x].to_numpy() for x in ("bucket", "node", "size", "c"))
+        node, size, c = (table[x].to_numpy() for x in ("node", "size", "c"))
         blobs = table["hashes"].combine_chunks()
         held: dict[int, set] = {}
         up: dict[int, int] = {}
         a, b = [], []
 
-        def find(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
         def own(i: int) -> set:
             if node[i] not in held:
                 held[node[i]] = set(np.frombuffer(blobs[i].as_buffer(), np.uint64).tolist())
             return held[node[i]]
 
-        all_buckets = buckets(words_of(table["words"].combine_chunks()), bits, tables)
         for i, j in found(table):
-            first = (all_buckets[i] == all_buckets[j]).argmax(axis=1)
-            here = (band[i] < 0) | (all_buckets[i, first] == band[i])
-            for x, y in zip(i[here].tolist(), j[here].tolist()):
-                one, two = find(int(c[x])), find(int(c[y]))
+            for x, y in zip(i.tolist(), j.tolist()):
+                one, two = top(up, int(c[x])), top(up, int(c[y]))
                 if one == two:
                     continue
                 both = len(own(x) & own(y))
@@ -408,46 +411,72 @@ def searched(keys: DataFrame, nodes: DataFrame, rows: DataFrame, parts: int, bit
         return run
 
     left = cut(blocked(rows, None).mapInArrow(each(fitting), "__bucket long, __node long").distinct())
-    rows = rows.join(left, (F.col("bucket") == F.col("__bucket")) & (F.col("node") == F.col("__node")), "left_semi").drop("words")
-    rows = cut(rows.join(nodes.select(F.col("node").alias("__own"), "words"), F.col("node") == F.col("__own")).drop("__own"))
+    rows = cut(rows.join(left, (F.col("bucket") == F.col("__bucket")) & (F.col("node") == F.col("__node")), "left_semi"))
     return cut(blocked(rows, shingle_sets(keys, rows.select("node"))).mapInArrow(each(compare), "a long, b long"))
 
 
+def top(up: dict[int, int], x: int) -> int:
+    """The name of x's set, where ``up`` leads from a name to a smaller one."""
+    while up.get(x, x) != x:
+        x = up[x]
+    return x
+
+
+def families(pairs: DataFrame) -> DataFrame:
+    """(node, family): the least node within two steps over the pairs (one, two); so most of those that meet often have one name."""
+    both = pairs.union(pairs.select("two", "one")).toDF("a", "b")
+    near = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))).toDF("node", "least")
+    return cut(salted(both, near, "b", "node", "a").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("family")))
+
+
 def verified(keys: DataFrame, nodes: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have the similarity, of those that agree in two more words of SimHash.
+    """Links (a, b) that join the nodes which the pairs of similar whole shingle sets among ``pairs`` join, as flat trees.
 
-    The partners of a node are dealt out in blocks, so that no task holds all of a hot node's; the
-    node's set goes once to each block.
+    Only pairs whose long SimHashes agree are compared. A pair goes to a pair of blocks of its family, and a
+    node's set goes once to each of those where it has a pair: not with each pair.
     """
-    pairs = pairs.where("a <> b").select(F.col("a").alias("one"), F.col("b").alias("two")).distinct()
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")).distinct()
     for side in ("one", "two"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(f"__{side}"), F.hex(F.substring("words", 1, 16)).alias(f"w{side}")), F.col(side) == F.col(f"__{side}"))
-    differ = [F.bit_count(F.conv(F.substring("wone", at, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("wtwo", at, 8), 16, 10).cast("long"))) for at in (1, 9, 17, 25)]
-    pairs = cut(pairs.where(differ[0] + differ[1] + differ[2] + differ[3] <= CHECKED).select("one", "two"))
-    sizes = pairs.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    heads = sizes.select("one", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    hot = cut(sizes.where("blocks > 1"))
-    dealt = pairs.join(F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot, "one", "left")
-    dealt = dealt.select("one", F.pmod(F.xxhash64("two"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.col("two").alias("node"), F.lit(False).alias("head"))
-    asked = cut(dealt.union(heads.select("one", "block", F.col("one").alias("node"), F.lit(True).alias("head"))))
-    sets = shingle_sets(keys, asked.select("node"))
-    ready = asked.join(sets, asked["node"] == sets["id"]).select("one", "block", "node", "head", "hashes")
-    ready = ready.repartition(parts, "one", "block").sortWithinPartitions("one", "block", F.col("head").desc())
+        pairs = pairs.join(nodes.select(F.col("node").alias(f"__{side}"), F.col("size").alias(f"size_{side}"), F.col("words").alias(f"words_{side}")), F.col(side) == F.col(f"__{side}"))
+
+    @tidy
+    def agreeing(batches):
+        for batch in batches:
+            n = np.arange(batch.num_rows)
+            words = np.concatenate([words_of(batch[x]) for x in ("words_one", "words_two")]) if len(n) else np.zeros((0, 1), "<u8")
+            fits = agree(words, n, n + len(n), np.minimum(batch["size_one"].to_numpy(), batch["size_two"].to_numpy()))
+            yield batch.select(["one", "two"]).filter(pa.array(fits))
+
+    pairs = cut(pairs.select("one", "two", "size_one", "size_two", "words_one", "words_two").mapInArrow(agreeing, "one long, two long"))
+    named = families(pairs)
+    hot = cut(named.groupBy(F.col("family").alias("__family")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    placed = salted(pairs, named, "one", "node", "two").join(F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot, F.col("family") == F.col("__family"), "left")
+    one, two = (F.pmod(F.xxhash64(x), F.coalesce("blocks", F.lit(1))).cast("int") for x in ("one", "two"))
+    placed = cut(placed.select("family", F.least(one, two).alias("lo"), F.greatest(one, two).alias("hi"), "one", "two"))
+    asked = cut(placed.select("family", "lo", "hi", F.col("one").alias("node")).union(placed.select("family", "lo", "hi", "two")).distinct())
+    ready = asked.join(shingle_sets(keys, asked.select("node")), F.col("node") == F.col("id")).select("family", "lo", "hi", "node", F.lit(None).cast("long").alias("other"), "hashes")
+    ready = ready.union(placed.select("family", "lo", "hi", "one", "two", F.lit(None).cast("binary")))
+    ready = ready.repartition(parts, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", F.col("other").isNotNull())
 
     @tidy
     def compare(batches):
-        head, own = None, None
+        now, sets, up = None, {}, {}
         for batch in batches:
             a, b = [], []
-            one, block, node, is_head = (batch.column(i).to_pylist() for i in range(4))
-            for i, blob in enumerate(batch.column(4)):
-                here = np.frombuffer(blob.as_buffer(), np.uint64)
-                if is_head[i]:
-                    head, own = (one[i], block[i]), here.copy()
-                elif head == (one[i], block[i]) and alike(own, here):
-                    a.append(one[i])
-                    b.append(node[i])
+            *place, node, other = (batch.column(i).to_pylist() for i in range(5))
+            for here, x, y, blob in zip(zip(*place), node, other, batch.column(5)):
+                if here != now:
+                    a.extend(up)
+                    b.extend(top(up, z) for z in up)
+                    now, sets, up = here, {}, {}
+                if y is None:
+                    sets[x] = np.frombuffer(blob.as_buffer(), np.uint64).copy()
+                    continue
+                one, two = top(up, x), top(up, y)
+                if one != two and alike(sets[x], sets[y]):
+                    up[max(one, two)] = min(one, two)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(up, x) for x in up], pa.int64())], names=["a", "b"])
 
     return cut(ready.mapInArrow(compare, "a long, b long"))
 
@@ -477,8 +506,8 @@ def near_copies(docs: DataFrame, small: int = SMALL, bucket: int = BUCKET, held:
     many = mixed.limit(BROADCAST_ROWS + 1).count()
     if many:
         rows = placed.join(F.broadcast(mixed) if many <= BROADCAST_ROWS else mixed, "bucket")
-        rows = cut(rows.join(nodes.select("node", "size", "fp", F.substring("words", 1, 16).alias("words")), F.col("b") == F.col("node")).select("bucket", "node", "size", "fp", "words", "c", "main", "held"))
-        joined = components(links.union(searched(keys, nodes, rows, parts, bits, tables, held)))
+        rows = cut(rows.join(nodes.select("node", "size", "fp", "words"), F.col("b") == F.col("node")).select("bucket", "node", "size", "fp", "words", "c", "main", "held"))
+        joined = components(links.union(searched(keys, rows, parts, bits, tables, held)))
     grouped = nodes.join(joined, "node", "left").select("mark", "size", "least", F.coalesce("component", "node").alias("group"))
     names = grouped.groupBy(F.col("group").alias("__group")).agg(F.min("least").alias("component_id"))
     named = grouped.join(names, F.col("group") == F.col("__group")).select(F.col("mark").alias("__mark"), F.col("size").alias("__size"), "group", "component_id")

@@ -153,3 +153,18 @@ def test_sets_of_four_and_five_share_an_exact_bucket():
     for gone in range(5):
         assert set(nearcopies.exact_buckets(np.delete(five, gone))) & set(nearcopies.exact_buckets(five))
     assert nearcopies.exact_buckets(five[:3]) == [] and max(nearcopies.exact_buckets(five)) < 0
+
+
+def test_whole_simhash_spares_sets_of_unlike_pairs():
+    """Pairs at similarity 0.5 do not have their sets read, though two words alone would let them through; sets of 4 and 5 have."""
+    r = np.random.default_rng(7)
+    bits, tables = nearcopies.layout(51_282)
+    count = -(-bits * tables // 64)
+    let = few = 0
+    for _ in range(50):
+        both, own = r.integers(0, 2**64, 200, dtype=np.uint64), r.integers(0, 2**64, 200, dtype=np.uint64)
+        words = np.stack([nearcopies.long_simhash(np.concatenate([both, x]), count) for x in np.split(own, 2)])
+        let += nearcopies.agree(words, np.array([0]), np.array([1]))[0]
+        words = np.stack([nearcopies.long_simhash(both[:n], count) for n in (4, 5)])
+        few += nearcopies.agree(words, np.array([0]), np.array([1]), np.array([4]))[0]
+    assert let <= 2 and few == 50

@@ -45,8 +45,8 @@ BALANCED = Rule()
 CONSERVATIVE = Rule(90, 20, 90, 0.60, 3, 4, 25, (0.04, 0.15), (0.02, 0.10), 0.015, 0.60)
 
 
-def pullback_structures(numbered: DataFrame, rule: Rule = BALANCED) -> DataFrame:
-    """Bars with a structure: peak, first and second low, rebound high, depth, all before the bar.
+def pullback_structures(numbered: DataFrame, rule: Rule = BALANCED, more: tuple[str, ...] = ()) -> DataFrame:
+    """Bars with a structure: peak, first and second low, rebound high, depth, all before the bar. ``more`` columns are passed on.
 
     Pivots must be confirmed by bars that end before it. Pairs of lows are tried from the latest second
     low and, for it, the latest first low; the first pair that fits in all respects is taken.
@@ -58,7 +58,7 @@ def pullback_structures(numbered: DataFrame, rule: Rule = BALANCED) -> DataFrame
     x = x.select("*", F.last(high, ignorenulls=True).over(fx.by_symbol().rowsBetween(Window.unboundedPreceding, -1)).alias("peak"), F.last(high, ignorenulls=True).over(fx.by_symbol().rowsBetween(Window.unboundedPreceding, -1 - rule.radius)).alias("rebound"))
     lows = F.collect_list(F.when(F.col("is_low"), F.struct("rn", "low", "peak"))).over(fx.back(-rule.reach, -1 - rule.radius))
     bottoms = F.collect_list(F.coalesce("low", F.lit(float("nan")))).over(fx.back(-rule.reach, -1))
-    x = x.select("symbol", "date", "rn", "open", "high", "low", "close", F.lag("close").over(fx.by_symbol()).alias("prev_close"), F.avg("close").over(fx.back(-4)).alias("ma5"), past.alias("past"), F.reverse(lows).alias("lows"), bottoms.alias("bottoms"), "rebound", *[F.collect_list(c).over(fx.back(-rule.reach - BASELINE, -1)).alias(f"{c}s") for c in ("volume", "close")])
+    x = x.select("symbol", "date", "rn", "open", "high", "low", "close", F.lag("close").over(fx.by_symbol()).alias("prev_close"), F.avg("close").over(fx.back(-4)).alias("ma5"), past.alias("past"), F.reverse(lows).alias("lows"), bottoms.alias("bottoms"), "rebound", *[F.collect_list(c).over(fx.back(-rule.reach - BASELINE, -1)).alias(f"{c}s") for c in ("volume", "close")], *more)
     x = x.where(F.col("rn") >= max(rule.slow, rule.reach + 2))
 
     def first(a):
@@ -81,8 +81,8 @@ def pullback_structures(numbered: DataFrame, rule: Rule = BALANCED) -> DataFrame
 
     fits = F.flatten(F.transform("of.seconds", pairs))
     # Exploding the first fit computes it once for all later uses; no filter moves below it.
-    found = x.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "volumes", "closes", F.explode(F.slice(fits, 1, 1)).alias("s"))
-    return found.select("symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "volumes", "closes", "s.*")
+    out = ["symbol", "date", "rn", "open", "high", "low", "close", "prev_close", "ma5", "past", "volumes", "closes", *more]
+    return x.select(*out, F.explode(F.slice(fits, 1, 1)).alias("s")).select(*out, "s.*")
 
 
 def volume_path(structures: DataFrame) -> DataFrame:
@@ -155,23 +155,48 @@ def stalled(median_ratio: Column, body_return: Column, close_location: Column, r
     return F.coalesce((median_ratio >= ratio) & (F.abs(body_return) <= 0.005) & (close_location <= 0.60), F.lit(False))
 
 
+def fails_push(bar, peak: Column, rule: Rule = BALANCED) -> Column:
+    """A push fails at the peak where the high reaches it within the tolerance, the close stays below and in the lower 60 %."""
+    return (bar("high") >= peak * (1 - rule.tolerance)) & (bar("close") < peak) & (fx.close_location(bar) <= 0.60)
+
+
+def with_next_bars(numbered: DataFrame, columns: list[str], steps: int = 10) -> DataFrame:
+    """Adds ``after``, up to ``steps`` bars that follow each bar: a window over its symbol, so that structures need no join with bars."""
+    return numbered.withColumn("after", F.collect_list(F.struct(*columns)).over(fx.back(1, steps)))
+
+
+def pushes_after(structures: DataFrame, rule: Rule = BALANCED, window: int = 5) -> DataFrame:
+    """symbol, date, floor, entry, step from 2, the columns of ``after``, push, and n, the failed pushes of the last ``window`` steps.
+
+    ``structures`` pass ``after`` on. Pushes are counted within its short array: nothing is exchanged or sorted.
+    """
+    push = F.transform("after", lambda b, i: (fails_push(lambda c: b[c], F.col("peak"), rule) & (i > 0)).cast("int"))
+    # A one-element array binds the pushes, so that they are judged once and not for each step.
+    x = structures.select("symbol", "date", F.col("low1").alias("floor"), F.get("after", F.lit(0))["open"].alias("entry"), "after", F.explode(F.array(push)).alias("pushes"))
+    x = x.select("symbol", "date", "floor", "entry", "pushes", F.posexplode("after").alias("at", "bar")).where("at > 0")
+    last = F.slice("pushes", F.greatest(F.col("at") + 2 - window, F.lit(1)), F.least(F.col("at") + 1, F.lit(window)))
+    known = F.filter(last, lambda p: p.isNotNull())
+    n = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("long"), lambda s, p: s + p))
+    return x.select("symbol", "date", (F.col("at") + 1).cast("long").alias("step"), "floor", "entry", "bar.*", F.get("pushes", F.col("at")).alias("push"), n.alias("n"))
+
+
 def exit_states(after: DataFrame, rule: Rule = BALANCED, window: int = 5, pushes: int = 2, stall: str | None = None) -> DataFrame:
     """State of each bar after the entry bar: support break, early profit, first warning, repeated risk or hold.
 
     With ``stall``, a column that tells a stalled bar, profit is taken early only on such a bar (the defence by price and
     volume); without, by price alone. ``exit_class`` and ``exit_action`` follow from the state; warnings are no action.
 
-    ``after`` has (key, step from 1 = entry, entry, peak, floor, open, high, low, close). A push fails at
-    the peak where the high reaches it within the tolerance, the close stays below and in the lower 60 %.
+    ``after`` has (key, step from 1 = entry, entry, peak, floor, open, high, low, close).
     """
-    from pyspark.sql import Window
-
-    span = F.col("high") - F.col("low")
-    place = F.when(span > 0, (F.col("close") - F.col("low")) / span).otherwise(1.0)
-    push = (F.col("high") >= F.col("peak") * (1 - rule.tolerance)) & (F.col("close") < F.col("peak")) & (place <= 0.60) & (F.col("step") > 1)
+    push = fails_push(F.col, F.col("peak"), rule) & (F.col("step") > 1)
     x = after.withColumn("push", push.cast("int"))
     w = Window.partitionBy("key").orderBy("step").rowsBetween(1 - window, 0)
     x = x.withColumn("n", F.sum("push").over(w)).where("step > 1")
+    return with_exits(x, pushes, stall).withColumnRenamed("n", "failed_pushes")
+
+
+def with_exits(counted: DataFrame, pushes: int = 2, stall: str | None = None, suffix: str = "") -> DataFrame:
+    """Adds exit_state, exit_class and exit_action, their names with the suffix, to steps with push and n, the pushes counted so far."""
     now, before = F.col("push") == 1, F.col("n") - F.col("push")
     early = now & (before >= 1) & (F.col("n") >= pushes) & (F.col("close") > F.col("entry"))
     if stall:
@@ -180,11 +205,11 @@ def exit_states(after: DataFrame, rule: Rule = BALANCED, window: int = 5, pushes
         F.when(F.col("close") < F.col("floor"), "KEY_SUPPORT_BREAK").when(early, "EARLY_PROFIT_TAKING_CANDIDATE").when(now & (before == 0), "FIRST_RESISTANCE_REJECTION_WARNING")
         .when(now, "REPEATED_RESISTANCE_REJECTION_RISK").otherwise("HOLD_OR_REOBSERVE")
     )
-    x = x.withColumn("exit_state", state)
-    broken, taken = F.col("exit_state") == "KEY_SUPPORT_BREAK", F.col("exit_state") == "EARLY_PROFIT_TAKING_CANDIDATE"
-    kind = F.when(broken, F.when(F.col("close") > F.col("entry"), "PROFIT_PROTECTION").otherwise("ENTRY_RISK")).when(taken, "PROFIT_EXIT").when(F.col("exit_state") == "HOLD_OR_REOBSERVE", "NONE").otherwise("WARNING_ONLY")
-    x = x.withColumn("exit_class", kind).withColumn("exit_action", F.when(broken | taken, "NEXT_SESSION_REFERENCE_EXIT").otherwise("NONE"))
-    return x.withColumnRenamed("n", "failed_pushes")
+    name = f"exit_state{suffix}"
+    broken, taken = F.col(name) == "KEY_SUPPORT_BREAK", F.col(name) == "EARLY_PROFIT_TAKING_CANDIDATE"
+    kind = F.when(broken, F.when(F.col("close") > F.col("entry"), "PROFIT_PROTECTION").otherwise("ENTRY_RISK")).when(taken, "PROFIT_EXIT").when(F.col(name) == "HOLD_OR_REOBSERVE", "NONE").otherwise("WARNING_ONLY")
+    x = counted.withColumn(name, state)
+    return x.withColumn(f"exit_class{suffix}", kind).withColumn(f"exit_action{suffix}", F.when(broken | taken, "NEXT_SESSION_REFERENCE_EXIT").otherwise("NONE"))
 
 
 #: What a pair of lows is judged by, in order: the trend, the structure, the bar itself, the support.

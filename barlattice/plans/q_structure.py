@@ -95,17 +95,13 @@ ah AS (SELECT *, CAST(sum(push) OVER (PARTITION BY symbol, date ORDER BY step RO
     f"WITH {B}, {STRUCTURE}, {AFTER} SELECT symbol, date, step, n AS failed_pushes, CASE WHEN close < floor_ THEN 'KEY_SUPPORT_BREAK' WHEN push = 1 AND n >= 2 AND close > entry THEN 'EARLY_PROFIT_TAKING_CANDIDATE' WHEN push = 1 AND n = 1 THEN 'FIRST_RESISTANCE_REJECTION_WARNING' WHEN push = 1 THEN 'REPEATED_RESISTANCE_REJECTION_RISK' ELSE 'HOLD_OR_REOBSERVE' END AS exit_state FROM ah WHERE step > 1",
 )
 def exit_states(spark, d):
-    return st.exit_states(bars_after(spark, d, P.numbered(P.bars(spark, d))), R).select("symbol", "date", "step", "failed_pushes", "exit_state")
+    return st.with_exits(steps_after(P.numbered(P.bars(spark, d)))).select("symbol", "date", "step", F.col("n").alias("failed_pushes"), "exit_state")
 
 
-def bars_after(spark, d, panel, *more):
-    """The ten bars after each structure that closes above its rebound, with the entry open and ``more`` columns of the bars."""
-    s = structures(spark, d).where("close > rebound").select("symbol", "date", F.col("rn").alias("s_rn"), "peak", F.col("low1").alias("floor"))
-    b = panel.select("symbol", "rn", "open", "high", "low", "close", *more)
-    x = s.withColumn("rn", F.explode(F.sequence(F.col("s_rn") + 1, F.col("s_rn") + 10))).join(b, ["symbol", "rn"]).withColumn("step", (F.col("rn") - F.col("s_rn")).cast("long"))
-    x = x.withColumn("key", F.struct("symbol", "date"))
-    first = x.where("step = 1").select(F.col("key").alias("k"), F.col("open").alias("entry"))
-    return x.join(first, x["key"] == first["k"])
+def steps_after(numbered, *more):
+    """The pushes in the ten bars after each structure that closes above its rebound, with ``more`` columns of the bars; symbols that are null have none."""
+    panel = st.with_next_bars(numbered.where("symbol IS NOT NULL"), ["open", "high", "low", "close", *more])
+    return st.pushes_after(st.pullback_structures(panel, R, ("after",)).where("close > rebound"), R)
 
 
 VOLUME_STATE = "CASE WHEN close < floor_ THEN 'KEY_SUPPORT_BREAK' WHEN push = 1 AND n >= 2 AND close > entry AND {0} THEN 'EARLY_PROFIT_TAKING_CANDIDATE' WHEN push = 1 AND n = 1 THEN 'FIRST_RESISTANCE_REJECTION_WARNING' WHEN push = 1 THEN 'REPEATED_RESISTANCE_REJECTION_RISK' ELSE 'HOLD_OR_REOBSERVE' END"
@@ -120,13 +116,9 @@ CLASS = "CASE {0} WHEN 'KEY_SUPPORT_BREAK' THEN CASE WHEN close > entry THEN 'PR
 )
 def exit_states_by_volume(spark, d):
     """Both defences side by side: profit taken early by price alone, and only where the push stalls on high volume."""
-    panel = P.kept_bars(spark, d)
-    stall = st.stalled(F.col("median_ratio"), F.col("body_return"), F.col("close_location")).alias("stall")
-    told = fx.geometry(panel).select("symbol", "date", "body_return", "close_location").join(fx.relative_volume(panel).select("symbol", "date", "median_ratio"), ["symbol", "date"])
-    x = bars_after(spark, d, P.numbered(panel).join(told.select("symbol", "date", stall), ["symbol", "date"]), "stall")
-    price = st.exit_states(x, R)
-    volume = st.exit_states(x, R, stall="stall").select("symbol", "date", "step", F.col("exit_state").alias("exit_state_by_volume"), F.col("exit_class").alias("exit_class_by_volume"), F.col("exit_action").alias("exit_action_by_volume"))
-    return price.select("symbol", "date", "step", "stall", "exit_state", "exit_class").join(volume, ["symbol", "date", "step"])
+    x = fx.with_median_ratio(P.numbered(P.bars(spark, d))).withColumn("stall", st.stalled(F.col("median_ratio"), fx.body_return(), fx.close_location())).drop("past", "med")
+    x = st.with_exits(st.with_exits(steps_after(x, "stall")), stall="stall", suffix="_by_volume")
+    return x.select("symbol", "date", "step", "stall", "exit_state", "exit_class", "exit_state_by_volume", "exit_class_by_volume", "exit_action_by_volume")
 
 
 LEVELS = "sig AS (SELECT symbol || ':' || CAST(date AS VARCHAR) AS signal_id, symbol, date AS signal_date, rn, close, trigger, stop, CASE WHEN peak > close * 1.03 THEN peak ELSE close + 2.5 * (close - stop) END AS target FROM (SELECT *, round(greatest(rebound, ma5), 2) AS trigger, round(low1 * 0.98, 2) AS stop FROM strc WHERE close > rebound AND support_state IN ('INTACT', 'T_INTRADAY_PUNCTURE_RECOVERED', 'PULLBACK_INTRADAY_PUNCTURE_RECOVERED')))"

@@ -10,6 +10,7 @@ from barlattice.operators import execution as ex
 from barlattice.operators import fronts
 from barlattice.operators import identity as idn
 from barlattice.operators import statistics as stt
+from barlattice.operators import structure as st
 from barlattice.plans import q_execution, q_joins, q_ledger, q_patterns, q_shortlist, q_statistics, q_structure
 from barlattice.sources import panel as P
 
@@ -88,3 +89,24 @@ def test_dominance_and_shortlist_make_levels_once(spark, monkeypatch):
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 def test_only_signals_take_bars_of_the_profile(spark):
     assert "AS past#" not in plan_of(q_patterns.score(spark, SMALL))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
+@pytest.mark.parametrize("states", [q_structure.exit_states, q_structure.exit_states_by_volume])
+def test_exit_states_exchange_bars_once(spark, bars_read, states):
+    """The steps after a structure lie on its row: the bars are made once, brought together by symbol, and nothing is joined."""
+    plan = states(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert len(bars_read) == 1 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_pushes_of_arrays_and_of_rows_are_the_same(spark):
+    r = random.Random(5)
+    price = lambda: r.choice([None, 9.0, 9.5, 10.0, 10.0, 10.5, 11.0])
+    paths = {f"{i}": [[price() for _ in range(4)] for _ in range(r.randrange(11))] for i in range(200)}
+    kind = "struct<open: double, high: double, low: double, close: double>"
+    arrays = spark.createDataFrame([(k, 1, 10.5, 9.5, [tuple(b) for b in own]) for k, own in paths.items()], f"symbol string, date int, peak double, low1 double, after array<{kind}>")
+    rows = spark.createDataFrame([(k, i + 1, own[0][0], 10.5, 9.5, *b) for k, own in paths.items() for i, b in enumerate(own)], "key string, step int, entry double, peak double, floor double, open double, high double, low double, close double")
+    facts = ["step", "push", "exit_state", "exit_class", "exit_action"]
+    got = st.with_exits(st.pushes_after(arrays)).select("symbol", "n", *facts).collect()
+    want = st.exit_states(rows).select("key", "failed_pushes", *facts).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and len({r.exit_state for r in got}) == 5

@@ -6,11 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from barlattice.sources.panel import kept
 
 #: Rows of a part that one task sorts, and rows of a few numbers each that may be broadcast, once counted.
 RANGE, FEW = 500_000, 10_000
+#: Sampled keys, about, that long groups are cut at to count their ranges.
+CUTS = 8192
+#: JSON that keeps microseconds.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def rate(condition: Column) -> Column:
@@ -58,6 +63,70 @@ def group_places(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
     return x.withColumn(name, F.col("__place") - F.col("__first")).drop("__place", "__first", "__key", "__all")
 
 
+def cuts_below(df: DataFrame, cuts: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``, how many cuts of its group are not above each row: groups are numbers ``__no``, rows and ``cuts`` have structs ``__at``.
+
+    The cuts, few, become a sorted literal that is searched by halves where the rows are; a group without cuts has none below.
+    """
+    cut = F.struct("__no", "__at")
+    kind = cuts.select(cut.alias("cut")).schema["cut"].dataType
+    lines = cuts.select(F.to_json(cut, EXACT).alias("line"), F.from_json(F.to_json(cut, EXACT), kind, EXACT).eqNullSafe(cut).alias("same")).collect()
+    if not all(r.same for r in lines):
+        raise ValueError(f"values of {kind.simpleString()} that JSON changes")
+    of = F.sort_array(F.from_json(F.lit(f"[{','.join(r.line for r in lines)}]"), ArrayType(kind), EXACT))
+    spans = cuts.groupBy(F.col("__no").alias("__g")).agg(F.count(F.lit(1)).cast("int").alias("__len"))
+    spans = kept(spans.withColumn("__from", F.coalesce(F.sum("__len").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")))
+    longest = spans.agg(F.max("__len")).first()[0] or 0
+    x = df.join(F.broadcast(spans), F.col("__no") == F.col("__g"), "left")
+
+    def further(n, step):
+        return F.when((n + step <= F.col("__len")) & (F.get(of, F.col("__from") + n + step - 1)["__at"] <= F.col("__at")), n + step).otherwise(n)
+
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, longest.bit_length())))])
+    return x.withColumn(name, F.coalesce(F.aggregate(steps, F.lit(0), further), F.lit(0))).drop("__g", "__len", "__from")
+
+
+def group_stretches(df: DataFrame, key: str, order: list[str], rows: int, name: str) -> DataFrame:
+    """Adds ``name``, the stretch of ``rows`` places (from 0) that each row's place in the order within its key is in.
+
+    ``df`` is read several times and must give the same rows, but few of them are exchanged: keys of more than ``rows`` rows
+    are cut into ranges at sampled rows, the ranges are counted where they are read, and only ranges with an end of a
+    stretch are numbered, for the row that begins the next. The sample decides how many these are, and not the result.
+    """
+    long = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
+    long = kept(long.withColumn("__no", F.row_number().over(Window.orderBy("__key"))))  # one row for ``rows`` rows at most
+    total = long.agg(F.sum("__n")).first()[0]
+    if total is None:
+        return df.withColumn(name, F.lit(0).cast("long"))
+
+    def key_of(columns):
+        return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
+
+    def numbered(columns, how):
+        return df.join(F.broadcast(long.drop("__n")), F.col(key).eqNullSafe(F.col("__key")), how).drop("__key").withColumn("__at", key_of(columns))
+
+    x = numbered(order[:-1] or order, "inner")  # without the last column, a line most often, ranges are as good
+    sample = kept(x.where(F.pmod(F.xxhash64("__no", "__at"), F.lit(max(1, total // CUTS))) == 0).select("__no", "__at").distinct())
+    x = cuts_below(x, sample, "__range")
+    upto = F.sum("__c").over(Window.partitionBy("__no").orderBy("__range"))
+    ranges = x.groupBy("__no", "__range").agg(F.count(F.lit(1)).alias("__c")).select("__no", "__range", (upto - F.col("__c")).alias("__first"), upto.alias("__upto"))
+    begin = F.greatest(F.floor((F.col("__first") - 1) / rows), F.lit(0))
+    torn = kept(ranges.where(begin < F.floor((F.col("__upto") - 1) / rows)))  # at most one for each stretch
+    w = Window.partitionBy("__no", "__range").orderBy(*order)
+    at = [(F.col("__first") + n.over(w) - 1).alias(p) for n, p in ((F.row_number(), "__place"), (F.rank(), "__like"))]
+    begins = x.join(F.broadcast(torn), ["__no", "__range"]).select("__no", key_of(order).alias("__at"), *at)
+    begins = kept(begins.where("__place > 0").where(F.col("__place") % rows == 0))
+    x = cuts_below(numbered(order, "left"), begins.select("__no", "__at"), name).withColumn(name, F.col(name).cast("long"))
+    own = [*df.columns, name]
+    tied = begins.where("__like < __place").select("__no", "__at", "__like").distinct()
+    if tied.isEmpty():
+        return x.select(*own)
+    # Of rows that equal the first of a stretch some are before it; which of them does not matter.
+    equal = x.drop(name).join(F.broadcast(tied), ["__no", "__at"])
+    place = F.col("__like") + F.row_number().over(Window.partitionBy("__no", "__at").orderBy("__like")) - 1
+    return x.join(F.broadcast(tied), ["__no", "__at"], "left_anti").select(*own).unionByName(equal.withColumn(name, F.floor(place / rows)).select(*own))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], rows: int | None = None) -> DataFrame:
     """``keys`` and ``quantiles``, the exact interpolated quantiles of the non-null values of each key, as an array.
 

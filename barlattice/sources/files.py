@@ -124,12 +124,14 @@ def write_lines(df: DataFrame, path: str) -> None:
 def write_streams(df: DataFrame, path: str, stream: str, order: list[str], line: str, rows: int = 1_000_000) -> None:
     """The lines of each stream in order, as gzip text files of ``rows`` lines; equal rows make equal bytes, however they lie.
 
-    Each file is one stretch of its stream's places, sorted within its task, so a long stream is many files.
+    Each file is one stretch of its stream's places, sorted within its task, so a long stream is many files. Rows are
+    exchanged once, straight to their file; ``df`` is read several times. Rows that tie in the order lie by their line.
     """
-    from barlattice.operators.statistics import group_places
+    from barlattice.operators.statistics import group_stretches
 
-    x = group_places(df, stream, [F.col(c) for c in order], "__at").withColumn("__file", F.floor(F.col("__at") / rows))
-    x = x.repartition(stream, "__file").sortWithinPartitions(stream, "__file", "__at")
+    order = [c for c in dict.fromkeys([*order, line]) if c != stream]
+    x = group_stretches(df.select(stream, *order), stream, order, rows, "__file")
+    x = x.repartition(stream, "__file").sortWithinPartitions(stream, "__file", *order)
     x.select(F.col(stream), F.col("__file").alias("stretch"), F.coalesce(F.col(line), F.lit("")).alias("value")).write.partitionBy(stream, "stretch").option("compression", "gzip").text(path)
 
 

@@ -95,12 +95,12 @@ ah AS (SELECT *, CAST(sum(push) OVER (PARTITION BY symbol, date ORDER BY step RO
     f"WITH {B}, {STRUCTURE}, {AFTER} SELECT symbol, date, step, n AS failed_pushes, CASE WHEN close < floor_ THEN 'KEY_SUPPORT_BREAK' WHEN push = 1 AND n >= 2 AND close > entry THEN 'EARLY_PROFIT_TAKING_CANDIDATE' WHEN push = 1 AND n = 1 THEN 'FIRST_RESISTANCE_REJECTION_WARNING' WHEN push = 1 THEN 'REPEATED_RESISTANCE_REJECTION_RISK' ELSE 'HOLD_OR_REOBSERVE' END AS exit_state FROM ah WHERE step > 1",
 )
 def exit_states(spark, d):
-    return st.with_exits(steps_after(P.numbered(P.bars(spark, d)))).select("symbol", "date", "step", F.col("n").alias("failed_pushes"), "exit_state")
+    return st.with_exits(steps_after(P.numbered(P.bars_by_symbol(spark, d)))).select("symbol", "date", "step", F.col("n").alias("failed_pushes"), "exit_state")
 
 
 def steps_after(numbered, *more):
-    """The pushes in the ten bars after each structure that closes above its rebound, with ``more`` columns of the bars; symbols that are null have none."""
-    panel = st.with_next_bars(numbered.where("symbol IS NOT NULL"), ["open", "high", "low", "close", *more])
+    """The pushes in the ten bars after each structure that closes above its rebound, with ``more`` columns of the bars."""
+    panel = st.with_next_bars(numbered, ["open", "high", "low", "close", *more])
     return st.pushes_after(st.pullback_structures(panel, R, ("after",)).where("close > rebound"), R)
 
 
@@ -116,7 +116,7 @@ CLASS = "CASE {0} WHEN 'KEY_SUPPORT_BREAK' THEN CASE WHEN close > entry THEN 'PR
 )
 def exit_states_by_volume(spark, d):
     """Both defences side by side: profit taken early by price alone, and only where the push stalls on high volume."""
-    x = fx.with_median_ratio(P.numbered(P.bars(spark, d))).withColumn("stall", st.stalled(F.col("median_ratio"), fx.body_return(), fx.close_location())).drop("past", "med")
+    x = fx.with_median_ratio(P.numbered(P.bars_by_symbol(spark, d))).withColumn("stall", st.stalled(F.col("median_ratio"), fx.body_return(), fx.close_location())).drop("past", "med")
     x = st.with_exits(st.with_exits(steps_after(x, "stall")), stall="stall", suffix="_by_volume")
     return x.select("symbol", "date", "step", "stall", "exit_state", "exit_class", "exit_state_by_volume", "exit_class_by_volume", "exit_action_by_volume")
 

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Line items of one symbol that one task may have.
+TOGETHER = 500_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -26,15 +30,28 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_of(read(spark, sf_dir, "lineitem"))
 
 
-def bars_of(lineitem: DataFrame) -> DataFrame:
+def bars_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of all symbols but the null one, for windows over symbols.
+
+    Where no symbol has more than TOGETHER line items, these are exchanged by symbol, and bars made and kept there: one exchange and not two.
+    """
+    lines = read(spark, sf_dir, "lineitem").where("l_suppkey IS NOT NULL")
+    most = lines.groupBy(symbol_of(F.col("l_suppkey")).alias("symbol")).count().agg(F.max("count")).first()[0]
+    return bars_of(lines, together=(most or 0) <= TOGETHER)
+
+
+def bars_of(lineitem: DataFrame, together: bool = False) -> DataFrame:
     """symbol, date, open, high, low, close, volume, turnover.
 
     Line items are aggregated where they are read, then by (symbol, date); so only bars, of which a symbol
-    has one a day, are ever brought together by symbol, however many line items it has.
+    has one a day, are ever brought together by symbol, however many line items it has. With ``together``
+    a symbol's line items are.
     """
     lines = lineitem.select(
         symbol_of(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"
     )
+    if together:
+        lines = lines.repartition("symbol")
     lines = lines.withColumn("px", 10 + F.sqrt("l_extendedprice") / 300)
     # The order of a day's lines, (order, line, part, price in cents), as one number: with it the aggregate needs no sort.
     first = F.col("l_orderkey") * 8 + F.col("l_linenumber")

@@ -93,10 +93,16 @@ def test_only_signals_take_bars_of_the_profile(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 @pytest.mark.parametrize("states", [q_structure.exit_states, q_structure.exit_states_by_volume])
-def test_exit_states_exchange_bars_once(spark, bars_read, states):
-    """The steps after a structure lie on its row: the bars are made once, brought together by symbol, and nothing is joined."""
-    plan = states(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert len(bars_read) == 1 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+def test_exit_states_exchange_line_items_once(spark, monkeypatch, states):
+    """The steps after a structure lie on its row: nothing is joined, and bars are made once, where the symbol is; a symbol with many line items has them made before."""
+    found = {}
+    for together, exchanges in ((P.TOGETHER, 1), (1, 2)):
+        monkeypatch.setattr(P, "TOGETHER", together)
+        x = states(spark, SMALL)
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == exchanges and plan.count("FileScan") == 1
+        found[exchanges] = sorted(map(str, x.collect()))
+    assert found[1] == found[2] and found[1]
 
 
 def test_pushes_of_arrays_and_of_rows_are_the_same(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .panel import shared_folder
@@ -121,18 +121,22 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-def write_streams(df: DataFrame, path: str, stream: str, order: list[str], line: str, rows: int = 1_000_000) -> None:
+def write_streams(df: DataFrame, path: str, stream: str, order: list[str], line: str | Column, rows: int = 1_000_000) -> None:
     """The lines of each stream in order, as gzip text files of ``rows`` lines; equal rows make equal bytes, however they lie.
 
     Each file is one stretch of its stream's places, sorted within its task, so a long stream is many files. Rows are
     exchanged once, straight to their file; ``df`` is read several times. Rows that tie in the order lie by their line.
+    With an expression for ``line`` all columns of ``df`` are exchanged and the lines, often longer, made of them after that.
     """
     from barlattice.operators.statistics import group_stretches
 
-    order = [c for c in dict.fromkeys([*order, line]) if c != stream]
-    x = group_stretches(df.select(stream, *order), stream, order, rows, "__file")
-    x = x.repartition(stream, "__file").sortWithinPartitions(stream, "__file", *order)
-    x.select(F.col(stream), F.col("__file").alias("stretch"), F.coalesce(F.col(line), F.lit("")).alias("value")).write.partitionBy(stream, "stretch").option("compression", "gzip").text(path)
+    order = [c for c in dict.fromkeys(order) if c != stream]
+    if isinstance(line, str):
+        df, line = df.select(*dict.fromkeys([stream, *order, line])), F.col(line)
+    text = F.coalesce(line, F.lit("")).alias("__line")
+    x = group_stretches(df.select("*", text), stream, [*order, "__line"], rows, "__file").drop("__line")
+    x = x.repartition(stream, "__file").select("*", text).sortWithinPartitions(stream, "__file", *order, "__line")
+    x.select(F.col(stream), F.col("__file").alias("stretch"), F.col("__line").alias("value")).write.partitionBy(stream, "stretch").option("compression", "gzip").text(path)
 
 
 def file_hashes(spark: SparkSession, path: str, stream: str) -> DataFrame:
